@@ -1 +1,53 @@
-"""Named queries (filled in below)."""
+"""Named queries: keyed reads, typed projection, first rows, batch maps."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..functions.numeric import METERS_TO_FEET
+from ..operators.layout import SEGMENT_FEATURES, with_segments
+from ..operators.udf import map_batches
+from ..sources import fixtures as fx
+from ..sources.typed import typed_projection
+from .common import rounded
+from .registry import query
+
+# The key looked up, the cast map of the typed read, and the
+# number of first rows shown.
+LOOKUP_HUC_KEY = 7
+CASTS = {"integer": "bigint", "float": "double"}
+FIRST_ROWS = 10
+
+
+@query("q_lookup_by_key", f"SELECT comid, huc_key FROM reach WHERE huc_key = {LOOKUP_HUC_KEY}")
+def q_lookup_by_key(spark, root):
+    return fx.reach(spark, root).where(F.col("huc_key") == LOOKUP_HUC_KEY)
+
+
+@query("q_typed_projection", """
+SELECT CAST(id AS BIGINT) AS id, CAST(toid AS BIGINT) AS toid, CAST(ord AS BIGINT) AS ord FROM flowpaths""")
+def q_typed_projection(spark, root):
+    return typed_projection(fx.flowpaths(spark, root), CASTS)
+
+
+@query("q_first_rows", f"SELECT comid, huc_key FROM reach ORDER BY comid LIMIT {FIRST_ROWS}")
+def q_first_rows(spark, root):
+    return fx.reach(spark, root).orderBy("comid").limit(FIRST_ROWS)
+
+
+def _to_cubic_feet(pdf: pd.DataFrame) -> pd.DataFrame:
+    out = pdf[["feature_id", "time", "segment"]].copy()
+    out["streamflow_ft3"] = pdf["streamflow"] * (METERS_TO_FEET ** 3)
+    return out
+
+
+@query("q_map_segments", f"""
+WITH pf AS (SELECT feature_id, dense_rank() OVER (ORDER BY feature_id) - 1 AS p FROM (SELECT DISTINCT feature_id FROM flow))
+SELECT f.feature_id, f.time, CAST(floor(pf.p / {SEGMENT_FEATURES}) AS INTEGER) AS segment,
+       round(f.streamflow * pow(3.28084, 3), 6) AS streamflow_ft3
+FROM flow f JOIN pf USING (feature_id)""")
+def q_map_segments(spark, root):
+    seg = with_segments(fx.flow(spark, root))
+    out = map_batches(seg, _to_cubic_feet, "feature_id long, time timestamp_ntz, segment int, streamflow_ft3 double")
+    return rounded(out)
