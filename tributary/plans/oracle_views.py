@@ -46,11 +46,13 @@ VIEWS: dict[str, str] = {
     "results": "SELECT l_returnflag AS query, l_linenumber AS nb_days, "
                "CASE WHEN l_linestatus = 'O' THEN 'base' ELSE 'rechunked' END AS source, "
                "l_extendedprice / 1000 AS time FROM lineitem",
-    "areas": "SELECT n_nationkey AS area_id, c.v AS v, (-4.0 + 2.0 * (n_nationkey % 5)) + c.dx AS x, "
-             "(-4.0 + 2.0 * floor(n_nationkey / 5)) + c.dy AS y FROM nation, "
-             "(VALUES (0, -0.9, -0.6), (1, 0.7, -0.9), (2, 0.9, 0.7), (3, -0.6, 0.9)) AS c(v, dx, dy)",
-    "catchments": "SELECT toid AS catchment_id, c.v AS v, (-4.0 + 0.4 + 2.0 * cx) + c.dx AS x, "
-                  "(-4.0 + -1.1 + 2.0 * cy) + c.dy AS y FROM coverage, "
+    "areas": "SELECT n_nationkey AS area_id, c.v AS v, "
+             "(CAST(-4.0 AS DOUBLE) + CAST(2.0 AS DOUBLE) * (n_nationkey % 5)) + CAST(c.dx AS DOUBLE) AS x, "
+             "(CAST(-4.0 AS DOUBLE) + CAST(2.0 AS DOUBLE) * floor(n_nationkey / 5)) + CAST(c.dy AS DOUBLE) AS y "
+             "FROM nation, (VALUES (0, -0.9, -0.6), (1, 0.7, -0.9), (2, 0.9, 0.7), (3, -0.6, 0.9)) AS c(v, dx, dy)",
+    "catchments": "SELECT toid AS catchment_id, c.v AS v, "
+                  "(CAST(-3.6 AS DOUBLE) + CAST(2.0 AS DOUBLE) * cx) + CAST(c.dx AS DOUBLE) AS x, "
+                  "(CAST(-5.1 AS DOUBLE) + CAST(2.0 AS DOUBLE) * cy) + CAST(c.dy AS DOUBLE) AS y FROM coverage, "
                   "(VALUES (0, 0.0, 0.0), (1, 1.3, 0.0), (2, 1.3, 1.3), (3, 0.0, 1.3)) AS c(v, dx, dy)",
 }
 

@@ -1 +1,169 @@
-"""Named queries (filled in below)."""
+"""Named spatial queries: watersheds x reach lines, polygon overlays, dissolve,
+bounds, bounding-box selection, coordinate transforms."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..functions.time import partial_label
+from ..operators import spatial as sp
+from ..sources import fixtures as fx
+from . import spatial_sql as q
+from .common import rounded
+from .registry import query
+
+# Grid cell of the candidate joins, distance of the "near the
+# outline" test, the bounding box and day of the grid selection, and the
+# mapping of segment coordinates to degrees for the projections.
+CELL = 1.0
+NEAR = 0.25
+BBOX_X = (10.0, 60.0)
+BBOX_Y = (2.0, 6.0)
+BBOX_DAY = "2024-01-15"
+LON_0, LON_SCALE = -96.0, 2.0
+LAT_0, LAT_SCALE = 38.0, 2.0
+
+_AE = f"ae AS {q.ring_edges('areas', 'area_id')}"
+_SEG = ("s.x1", "s.y1", "s.x2", "s.y2")
+_EDGE = ("ae.x1", "ae.y1", "ae.x2", "ae.y2")
+
+
+@query("q_spatial_intersects", f"""
+WITH {_AE},
+hit AS (SELECT DISTINCT ae.area_id, s.comid FROM ae, seg s WHERE {q.intersects(*_EDGE, *_SEG)}),
+ins AS (SELECT ae.area_id, s.comid FROM ae, seg s GROUP BY 1, 2
+        HAVING sum({q.crossing('s.x1', 's.y1', *_EDGE)}) % 2 = 1)
+SELECT area_id, comid FROM hit UNION SELECT area_id, comid FROM ins""")
+def q_spatial_intersects(spark, root):
+    return sp.intersects_lines(fx.areas(spark, root), "area_id", fx.seg(spark, root), "comid", CELL)
+
+
+_CE = f"ce AS {q.ring_edges('catchments', 'catchment_id')}"
+_CEDGE = ("ce.x1", "ce.y1", "ce.x2", "ce.y2")
+
+
+@query("q_poly_intersects", f"""
+WITH {_AE}, {_CE},
+hit AS (SELECT DISTINCT ae.area_id, ce.catchment_id FROM ae, ce WHERE {q.intersects(*_EDGE, *_CEDGE)}),
+b_in_a AS (SELECT ae.area_id, c.catchment_id FROM ae, catchments c GROUP BY 1, 2, c.v
+           HAVING sum({q.crossing('c.x', 'c.y', *_EDGE)}) % 2 = 1),
+a_in_b AS (SELECT a.area_id, ce.catchment_id FROM areas a, ce GROUP BY 1, 2, a.v
+           HAVING sum({q.crossing('a.x', 'a.y', *_CEDGE)}) % 2 = 1)
+SELECT area_id, catchment_id FROM hit UNION SELECT area_id, catchment_id FROM b_in_a
+UNION SELECT area_id, catchment_id FROM a_in_b""")
+def q_poly_intersects(spark, root):
+    return sp.intersects_polygons(fx.areas(spark, root), "area_id", fx.catchments(spark, root), "catchment_id", CELL)
+
+
+@query("q_spatial_covers", f"""
+WITH {_AE},
+pts AS (SELECT comid, x1 AS px, y1 AS py FROM seg UNION SELECT comid, x2 AS px, y2 AS py FROM seg
+        UNION SELECT comid, (x1 + x2) / 2 AS px, (y1 + y2) / 2 AS py FROM seg),
+need AS (SELECT comid, count(*) AS n FROM pts GROUP BY 1),
+pin AS (SELECT ae.area_id, p.comid, p.px, p.py FROM ae, pts p GROUP BY 1, 2, 3, 4
+        HAVING sum({q.crossing('p.px', 'p.py', *_EDGE)}) % 2 = 1
+            OR max(CASE WHEN {q.on_segment('p.px', 'p.py', *_EDGE)} THEN 1 ELSE 0 END) = 1),
+cov AS (SELECT pin.area_id, pin.comid FROM pin JOIN need USING (comid) GROUP BY 1, 2, need.n HAVING count(*) = need.n),
+crs AS (SELECT DISTINCT ae.area_id, s.comid FROM ae, seg s WHERE {q.proper(*_EDGE, *_SEG)})
+SELECT area_id, comid FROM cov EXCEPT SELECT area_id, comid FROM crs""")
+def q_spatial_covers(spark, root):
+    return sp.covers_lines(fx.areas(spark, root), "area_id", fx.seg(spark, root), "comid", CELL)
+
+
+@query("q_near_boundary", f"""
+WITH {_AE}
+SELECT DISTINCT ae.area_id, s.comid FROM ae, seg s WHERE {q.within(NEAR, *_EDGE, *_SEG)}""")
+def q_near_boundary(spark, root):
+    return sp.near_boundary(fx.areas(spark, root), "area_id", fx.seg(spark, root), "comid", NEAR, CELL)
+
+
+def _square_rings(spark, root):
+    cov = fx.coverage(spark, root)
+    corners = F.array(*[F.struct(F.lit(i).alias("v"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
+                        for i, (dx, dy) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1)])])
+    v = cov.select("toid", "cx", "cy", F.explode(corners).alias("c"))
+    return v.select("toid", F.col("c.v").alias("v"), (F.col("cx") + F.col("c.dx")).cast("double").alias("x"),
+                    (F.col("cy") + F.col("c.dy")).cast("double").alias("y"))
+
+
+@query("q_dissolve", """
+WITH sq AS (SELECT toid, grp, CAST(cx AS DOUBLE) AS x0, CAST(cy AS DOUBLE) AS y0 FROM coverage),
+e AS (SELECT grp, x0 AS x1, y0 AS y1, x0 + 1 AS x2, y0 AS y2 FROM sq
+      UNION ALL SELECT grp, x0 + 1, y0, x0 + 1, y0 + 1 FROM sq
+      UNION ALL SELECT grp, x0, y0 + 1, x0 + 1, y0 + 1 FROM sq
+      UNION ALL SELECT grp, x0, y0, x0, y0 + 1 FROM sq)
+SELECT grp, x1, y1, x2, y2 FROM e GROUP BY ALL HAVING count(*) = 1""")
+def q_dissolve(spark, root):
+    edges = sp.ring_edges(_square_rings(spark, root), "toid")
+    edges = edges.join(fx.coverage(spark, root).select("toid", "grp"), "toid")
+    return sp.dissolve(edges, "grp")
+
+
+@query("q_bounds", """
+SELECT area_id, round(min(x), 6) AS xmin, round(min(y), 6) AS ymin, round(max(x), 6) AS xmax,
+       round(max(y), 6) AS ymax FROM areas GROUP BY 1""")
+def q_bounds(spark, root):
+    return rounded(sp.bounds(fx.areas(spark, root), "area_id"))
+
+
+@query("q_bbox", f"""
+SELECT time, y, x, round(zwattablrt, 6) AS zwattablrt FROM grid
+WHERE x BETWEEN {BBOX_X[0]} AND {BBOX_X[1]} AND y BETWEEN {BBOX_Y[0]} AND {BBOX_Y[1]}
+  AND time >= TIMESTAMP '{BBOX_DAY}' AND time < TIMESTAMP '{BBOX_DAY}' + INTERVAL 1 DAY""")
+def q_bbox(spark, root):
+    g = fx.grid(spark, root)
+    return rounded(g.where(F.col("x").between(*BBOX_X) & F.col("y").between(*BBOX_Y)
+                           & partial_label("time", BBOX_DAY)))
+
+
+@query("q_force_2d", """
+SELECT comid, CAST(0 AS INTEGER) AS v, round(x1, 6) AS x, round(y1, 6) AS y FROM seg
+UNION ALL SELECT comid, CAST(1 AS INTEGER) AS v, round(x2, 6) AS x, round(y2, 6) AS y FROM seg""")
+def q_force_2d(spark, root):
+    s = fx.seg(spark, root)
+    z = F.col("comid").cast("double")
+    line3d = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"), z.alias("z")),
+                     F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"), z.alias("z")))
+    flat = s.select("comid", geo.force_2d(line3d).alias("pts"))
+    return rounded(flat.select("comid", F.posexplode("pts").alias("v", "p"))
+                       .select("comid", "v", F.col("p.x").alias("x"), F.col("p.y").alias("y")))
+
+
+def _albers_sql(lon, lat):
+    k = geo.albers_constants(**geo.ALBERS_5070)
+    s = f"sin(radians({lat}))"
+    qq = (f"({1 - k['e2']!r} * ({s} / (1.0 - {k['e2']!r} * {s} * {s}) - {1 / (2 * k['e'])!r} * "
+          f"ln((1.0 - {k['e']!r} * {s}) / (1.0 + {k['e']!r} * {s}))))")
+    rho = f"({k['a']!r} * sqrt({k['c']!r} - {k['n']!r} * {qq}) / {k['n']!r})"
+    th = f"({k['n']!r} * (radians({lon}) - {k['lon_0']!r}))"
+    return f"{rho} * sin({th})", f"{k['rho0']!r} - {rho} * cos({th})"
+
+
+def _lcc_sql(lon, lat):
+    k = geo.lcc_constants(**geo.LCC_GRID)
+    t = f"tan({__import__('math').pi / 4!r} + radians({lat}) / 2)"
+    rho = f"({k['r'] * k['f']!r} / pow({t}, {k['n']!r}))"
+    th = f"({k['n']!r} * (radians({lon}) - {k['lon_0']!r}))"
+    return f"{rho} * sin({th})", f"{k['rho0']!r} - {rho} * cos({th})"
+
+
+_LON = f"({LON_0} + x1 * {LON_SCALE})"
+_LAT = f"({LAT_0} + y1 * {LAT_SCALE})"
+_AX, _AY = _albers_sql(_LON, _LAT)
+_LX, _LY = _lcc_sql(_LON, _LAT)
+
+
+@query("q_reproject", f"""
+SELECT comid, round({_LON}, 6) AS lon, round({_LAT}, 6) AS lat,
+       round({_AX}, 3) AS x_albers, round({_AY}, 3) AS y_albers, round({_LX}, 3) AS x_lcc, round({_LY}, 3) AS y_lcc
+FROM seg""")
+def q_reproject(spark, root):
+    s = fx.seg(spark, root)
+    lon = F.lit(LON_0) + F.col("x1") * LON_SCALE
+    lat = F.lit(LAT_0) + F.col("y1") * LAT_SCALE
+    ax, ay = geo.albers(lon, lat)
+    lx, ly = geo.lcc(lon, lat)
+    return s.select("comid", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"),
+                    F.round(ax, 3).alias("x_albers"), F.round(ay, 3).alias("y_albers"),
+                    F.round(lx, 3).alias("x_lcc"), F.round(ly, 3).alias("y_lcc"))

@@ -184,7 +184,7 @@ CATCHMENT_OFFSET = (0.4, -1.1)
 
 
 def catchments(spark: SparkSession, root: str) -> DataFrame:
-    """Second polygon layer ``(catchment_id, v, x, y)``: one square per part size class."""
+    """Second polygon layer ``(catchment_id, v, x, y)``: one square per coverage cell."""
     cov = coverage(spark, root)
     x0 = F.lit(AREA_ORIGIN + CATCHMENT_OFFSET[0]) + F.lit(AREA_STEP) * F.col("cx")
     y0 = F.lit(AREA_ORIGIN + CATCHMENT_OFFSET[1]) + F.lit(AREA_STEP) * F.col("cy")
