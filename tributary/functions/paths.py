@@ -36,15 +36,16 @@ def base_name(path) -> Column:
 
 def folder_date(path) -> Column:
     """The ``YYYYMMDD`` of the ``nwm.`` folder as a DATE."""
-    return F.to_date(F.regexp_extract(_col(path), FOLDER_DATE, 1), "yyyyMMdd")
+    raw = F.regexp_extract(_col(path), FOLDER_DATE, 1)
+    return F.try_to_timestamp(raw, F.lit("yyyyMMdd")).cast("date")
 
 
 def parse_forecast_path(path) -> dict[str, Column]:
     """Date, cycle, type and lead of a forecast file; reference and valid time."""
     p = _col(path)
     day = folder_date(p)
-    cycle = F.regexp_extract(p, CYCLE, 1).cast("int")
-    lead = F.regexp_extract(p, LEAD, 1).cast("int")
+    cycle = F.regexp_extract(p, CYCLE, 1).try_cast("int")  # a foreign name gives NULL, not an error
+    lead = F.regexp_extract(p, LEAD, 1).try_cast("int")
     ref = F.make_timestamp_ntz(F.year(day), F.month(day), F.dayofmonth(day), cycle, F.lit(0), F.lit(0))
     valid = ref + F.make_dt_interval(F.lit(0), lead)
     return {

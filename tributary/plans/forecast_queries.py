@@ -9,7 +9,7 @@ from ..operators.ids import subset_ids
 from ..session import shared_dir
 from ..sources import fixtures as fx
 from ..sources.files import read_stacked, write_by_label
-from .common import SQL_AREA_IDS, rounded, study_available
+from .common import SQL_AREA_IDS, rounded, study_ids
 from .registry import query
 
 # The relative evaluation window, in days back from the newest
@@ -20,8 +20,7 @@ REDELIVERY_OFFSET = 0.5
 
 
 def study_forecast(spark, root):
-    fc = fx.forecast(spark, root)
-    return subset_ids(fc, study_available(spark, root, fc))
+    return subset_ids(fx.forecast(spark, root), study_ids(spark, root))
 
 
 _SQL_FC = f"SELECT * FROM forecast WHERE feature_id IN {SQL_AREA_IDS}"

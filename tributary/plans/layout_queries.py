@@ -12,7 +12,7 @@ from ..operators.joins import with_scalars
 from ..operators.ranking import dense_positions
 from ..session import shared_dir
 from ..sources import fixtures as fx
-from .common import POINT_FEATURE, RANGE_START, RANGE_STOP, SQL_AREA_IDS, SQL_CLOSED, rounded, study_available
+from .common import POINT_FEATURE, RANGE_START, RANGE_STOP, SQL_AREA_IDS, SQL_CLOSED, rounded, study_ids
 from .registry import query
 
 # The positional slice (first labels of each axis).
@@ -87,7 +87,7 @@ SELECT 'square' AS layout, count(DISTINCT (chunk_time, chunk_feature)) AS nb_chu
 FROM ({_sql_chunked(*lay.CHUNKS_SQUARE, f"f.feature_id IN {SQL_AREA_IDS} AND f.{SQL_CLOSED}")})""")
 def q_chunks_touched(spark, root):
     flow = fx.flow(spark, root)
-    ids = study_available(spark, root, flow)
+    ids = study_ids(spark, root)
     out = None
     for name, shape in [("original", lay.CHUNKS_ORIGINAL), ("square", lay.CHUNKS_SQUARE)]:
         chunked = lay.with_chunk_ids(flow, *shape)
@@ -109,7 +109,7 @@ FROM a, b""")
 def q_cube_size(spark, root):
     flow = fx.flow(spark, root)
     full = lay.cube_size(flow)
-    sub = subset_ids(flow, study_available(spark, root, flow)).where(range_closed("time", RANGE_START, RANGE_STOP))
+    sub = subset_ids(flow, study_ids(spark, root)).where(range_closed("time", RANGE_START, RANGE_STOP))
     part = lay.cube_size(sub).select(*[F.col(c).alias(f"subset_{c}") for c in
                                       ["nb_times", "nb_features", "nb_cells", "size_gb"]])
     return rounded(with_scalars(full, part))

@@ -16,10 +16,13 @@ from .registry import query
 
 
 def closed_subset(spark, root):
-    """Study-area reaches in the closed date range: the input of the cube queries."""
-    flow = fx.flow(spark, root)
-    sub = subset_ids(flow, study_available(spark, root, flow))
-    return sub.where(range_closed("time", RANGE_START, RANGE_STOP))
+    """Study-area reaches in the closed date range: the input of the cube queries.
+
+    A semi join on the area's ids selects exactly the ids the cube holds, so
+    the intersection step of the reference (J1) is not a separate pass here.
+    """
+    flow = fx.flow(spark, root).where(range_closed("time", RANGE_START, RANGE_STOP))
+    return subset_ids(flow, study_ids(spark, root))
 
 
 def open_subset(spark, root):
@@ -106,8 +109,7 @@ def q_id_counts(spark, root):
 @query("q_subset_ids", f"""
 SELECT feature_id, time, round(streamflow, 6) AS streamflow FROM flow WHERE feature_id IN {SQL_AREA_IDS}""")
 def q_subset_ids(spark, root):
-    flow = fx.flow(spark, root)
-    return rounded(subset_ids(flow, study_available(spark, root, flow)))
+    return rounded(subset_ids(fx.flow(spark, root), study_ids(spark, root)))
 
 
 @query("q_range_closed", f"""

@@ -26,7 +26,8 @@ def ingest_new_files(spark: SparkSession, landing: str, sink: str, checkpoint: s
                      transform: Callable[[DataFrame], DataFrame] | None = None,
                      max_files_per_trigger: int | None = None, partition_by: list[str] | None = None) -> None:
     """One run: ingest every Parquet file in ``landing`` not yet ingested, then stop."""
-    reader = spark.readStream.schema(schema)
+    # Deliveries may land in sub-folders of any name.
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     stream = reader.parquet(landing)
