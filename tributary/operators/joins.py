@@ -1,27 +1,28 @@
-"""Join helpers.
+"""Attaching global aggregates to rows, and the broadcast policy.
 
-Only one kind of explicit broadcast is used in the library: a *global
-aggregate*, which has exactly one row whatever the input size.  Every other
-join leaves the choice to Spark, which broadcasts a side only below
-``spark.sql.autoBroadcastJoinThreshold`` (checked from statistics, or at run
-time by AQE) and uses a shuffle join beyond it.
+Only one kind of value is pushed to every row explicitly: a *global
+aggregate*, which has exactly one row whatever the input size.  It enters as
+a scalar subquery: Spark runs the aggregate once (partial aggregation on
+every task, one row to the final step) and substitutes the value, so the
+outer plan has no join at all.
+
+Every join elsewhere leaves the strategy to Spark, which broadcasts a side
+only below ``spark.sql.autoBroadcastJoinThreshold`` (checked from
+statistics, or at run time by AQE) and uses a shuffle join beyond it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_KEY = "__one"
+
+def scalar(one_row: DataFrame) -> Column:
+    """The single row of a global aggregate as a struct-valued scalar subquery."""
+    return one_row.select(F.struct(*one_row.columns)).scalar()
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row of ``df``.
-
-    ``one_row`` must be a global aggregate (no grouping keys), so its size
-    is bounded by construction and it is broadcast; the join is an equi
-    join on a constant key, not a cartesian product.
-    """
-    left = df.withColumn(_KEY, F.lit(1))
-    right = F.broadcast(one_row.withColumn(_KEY, F.lit(1)))
-    return left.join(right, _KEY).drop(_KEY)
+    """Attach the columns of a one-row global aggregate to every row of ``df``."""
+    s = scalar(one_row)
+    return df.select("*", *[s[c].alias(c) for c in one_row.columns])

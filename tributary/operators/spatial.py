@@ -129,15 +129,79 @@ def _cells_as(df: DataFrame, id_col: str, p: str, cell: float, grow: float) -> D
     return c.select(id_col, "cell", *[F.col(k).alias(f"{p}{k}") for k in ["x1", "y1", "x2", "y2"]])
 
 
+_A = ["a_x1", "a_y1", "a_x2", "a_y2"]
+_B = ["b_x1", "b_y1", "b_x2", "b_y2"]
+
+
+def _with_orients(j: DataFrame) -> DataFrame:
+    """Stage the four orientations of a candidate pair as columns (each computed once)."""
+    p1x, p1y, p2x, p2y = (F.col(c) for c in _A)
+    q1x, q1y, q2x, q2y = (F.col(c) for c in _B)
+    return j.withColumns({
+        "_o1": orient(p1x, p1y, p2x, p2y, q1x, q1y), "_o2": orient(p1x, p1y, p2x, p2y, q2x, q2y),
+        "_o3": orient(q1x, q1y, q2x, q2y, p1x, p1y), "_o4": orient(q1x, q1y, q2x, q2y, p2x, p2y)})
+
+
+def _proper_from_orients() -> Column:
+    o1, o2, o3, o4 = (F.col(c) for c in ["_o1", "_o2", "_o3", "_o4"])
+    return (((o1 > 0) & (o2 < 0)) | ((o1 < 0) & (o2 > 0))) & (((o3 > 0) & (o4 < 0)) | ((o3 < 0) & (o4 > 0)))
+
+
+def _intersect_from_orients() -> Column:
+    p1x, p1y, p2x, p2y = (F.col(c) for c in _A)
+    q1x, q1y, q2x, q2y = (F.col(c) for c in _B)
+    o1, o2, o3, o4 = (F.col(c) for c in ["_o1", "_o2", "_o3", "_o4"])
+    touch = (((o1 == 0) & _on_box(p1x, p1y, p2x, p2y, q1x, q1y))
+             | ((o2 == 0) & _on_box(p1x, p1y, p2x, p2y, q2x, q2y))
+             | ((o3 == 0) & _on_box(q1x, q1y, q2x, q2y, p1x, p1y))
+             | ((o4 == 0) & _on_box(q1x, q1y, q2x, q2y, p2x, p2y)))
+    return _proper_from_orients() | touch
+
+
+def stage_intersects(j: DataFrame) -> DataFrame:
+    """Keep candidate pairs whose segments share a point."""
+    return _with_orients(j).where(_intersect_from_orients())
+
+
+def stage_proper(j: DataFrame) -> DataFrame:
+    """Keep candidate pairs whose segments cross at interior points."""
+    return _with_orients(j).where(_proper_from_orients())
+
+
+def stage_within(d: float):
+    """Keep candidate pairs at most ``d`` apart (intersecting, or an endpoint near the other segment)."""
+    def run(j: DataFrame) -> DataFrame:
+        p1x, p1y, p2x, p2y = (F.col(c) for c in _A)
+        q1x, q1y, q2x, q2y = (F.col(c) for c in _B)
+        j = _with_orients(j).withColumns({
+            "_d1": point_segment_dist2(p1x, p1y, q1x, q1y, q2x, q2y),
+            "_d2": point_segment_dist2(p2x, p2y, q1x, q1y, q2x, q2y),
+            "_d3": point_segment_dist2(q1x, q1y, p1x, p1y, p2x, p2y),
+            "_d4": point_segment_dist2(q2x, q2y, p1x, p1y, p2x, p2y)})
+        near = F.least("_d1", "_d2", "_d3", "_d4") <= F.lit(float(d) * float(d))
+        return j.where(_intersect_from_orients() | near)
+    return run
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+
+
 def segment_pairs(a: DataFrame, a_id: str, b: DataFrame, b_id: str, cell: float, predicate=None,
                   grow: float = 0.0) -> DataFrame:
     """Distinct ``(a_id, b_id)`` with some segment of a and some segment of b
-    satisfying ``predicate`` (default: they intersect)."""
-    predicate = predicate or segments_intersect
-    j = _cells_as(a, a_id, "a_", cell, grow).join(_cells_as(b, b_id, "b_", cell, grow), "cell")
-    hit = predicate(*[F.col(f"a_{k}") for k in ["x1", "y1", "x2", "y2"]],
-                    *[F.col(f"b_{k}") for k in ["x1", "y1", "x2", "y2"]])
-    return j.where(hit).select(a_id, b_id).distinct()
+    passing ``predicate`` (a staged filter; default :func:`stage_intersects`).
+
+    Both sides are hash-partitioned on the cell key, so the exact tests run
+    in parallel over cells whatever the layout of the input files; a hot
+    cell is split by AQE's skew-join handling.
+    """
+    stage = predicate or stage_intersects
+    n = _partitions(a)
+    ca = _cells_as(a, a_id, "a_", cell, grow).repartition(n, "cell")
+    cb = _cells_as(b, b_id, "b_", cell, grow).repartition(n, "cell")
+    j = ca.join(cb, "cell")
+    return stage(j).select(a_id, b_id).distinct()
 
 
 def _edge_bands(edges: DataFrame, poly_id: str, band: float) -> DataFrame:
@@ -230,15 +294,14 @@ def covers_lines(polys: DataFrame, poly_id: str, segs: DataFrame, line_id: str,
     got = (inside.join(ends.select("_pid", line_id), "_pid")
                  .groupBy(poly_id, line_id).agg(F.count_distinct("_pid").alias("_got")))
     full = got.join(need, line_id).where(F.col("_got") == F.col("_need")).select(poly_id, line_id)
-    crossing = segment_pairs(edges, poly_id, segs, line_id, cell, segments_cross_properly)
+    crossing = segment_pairs(edges, poly_id, segs, line_id, cell, stage_proper)
     return full.join(crossing, [poly_id, line_id], "left_anti")
 
 
 def near_boundary(polys: DataFrame, poly_id: str, segs: DataFrame, line_id: str, d: float, cell: float) -> DataFrame:
     """``(poly_id, line_id)`` for lines within ``d`` of the polygon outline."""
     edges = ring_edges(polys, poly_id)
-    pred = lambda *c: segments_within(d, *c)
-    return segment_pairs(edges, poly_id, segs, line_id, cell, pred, grow=d)
+    return segment_pairs(edges, poly_id, segs, line_id, cell, stage_within(d), grow=d)
 
 
 def dissolve(edges: DataFrame, group: str) -> DataFrame:

@@ -13,10 +13,11 @@ from . import spatial_sql as q
 from .common import rounded
 from .registry import query
 
-# Grid cell of the candidate joins, distance of the "near the
+# Grid cell of the candidate joins (about the median segment
+# length of the two layers; results do not depend on it), distance of the "near the
 # outline" test, the bounding box and day of the grid selection, and the
 # mapping of segment coordinates to degrees for the projections.
-CELL = 1.0
+CELL = 2.0
 NEAR = 0.25
 BBOX_X = (10.0, 60.0)
 BBOX_Y = (2.0, 6.0)
