@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ranking import dense_positions
+from .ranking import join_positions
 
 # Chunk shapes (time labels x feature labels) of the reference.
 CHUNKS_ORIGINAL = (672, 30000)
@@ -30,16 +30,28 @@ CHUNKS_SQUARE = (300, 300)
 SEGMENT_FEATURES = 2000  # features per write segment
 
 
+def clustered(df: DataFrame, partition_cols: list[str], order_cols: list[str]) -> DataFrame:
+    """Range-partition on the folder keys, then the order keys, and sort.
+
+    Each task receives one contiguous key range: a small folder value lands
+    in one task (one file), a large or hot one is split across several tasks
+    by the sampled range bounds instead of overloading a single task, and
+    files come out sorted, so row-group statistics prune lookups.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    keys = [*partition_cols, *order_cols]
+    return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+
+
 def with_positions(cube: DataFrame, axes: dict[str, str]) -> DataFrame:
     """Add the dense position of each axis label: ``{axis_col: pos_col}``.
 
     Positions are computed on the distinct labels and joined back on the
-    label; Spark broadcasts the label table when it is small and shuffles
-    otherwise.
+    label - broadcast under a checked label count, a shuffle join beyond.
     """
     out = cube
     for col, name in axes.items():
-        out = out.join(dense_positions(cube, col, name), col)
+        out = join_positions(out, col, name)
     return out
 
 
@@ -55,8 +67,7 @@ def with_chunk_ids(cube: DataFrame, size_t: int, size_f: int,
 def write_chunked(chunked: DataFrame, path: str, sort_cols: list[str]) -> None:
     """One folder per chunk, rows sorted inside (L1-L3)."""
     keys = ["chunk_time", "chunk_feature"]
-    (chunked.repartition(*keys).sortWithinPartitions(*keys, *sort_cols)
-            .write.mode("overwrite").partitionBy(*keys).parquet(path))
+    clustered(chunked, keys, sort_cols).write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
 def read_chunked(spark: SparkSession, path: str) -> DataFrame:
@@ -88,18 +99,18 @@ def write_sorted(df: DataFrame, path: str, key: str, n_files: int | None = None)
 def write_monthly(cube: DataFrame, path: str, time_col: str = "time") -> None:
     """One set of files per month: ``year=/month=`` folders."""
     out = cube.withColumn("year", F.year(time_col)).withColumn("month", F.month(time_col))
-    out.repartition("year", "month").write.mode("overwrite").partitionBy("year", "month").parquet(path)
+    order = [c for c in ("feature_id", time_col) if c in out.columns]
+    clustered(out, ["year", "month"], order).write.mode("overwrite").partitionBy("year", "month").parquet(path)
 
 
 def with_segments(cube: DataFrame, size: int = SEGMENT_FEATURES, feature_col: str = "feature_id") -> DataFrame:
     """``segment = floor(pos_f / size)``: write segments of ``size`` consecutive features."""
-    pos = cube.join(dense_positions(cube, feature_col, "_pos_f"), feature_col)
+    pos = join_positions(cube, feature_col, "_pos_f")
     return pos.withColumn("segment", F.floor(F.col("_pos_f") / size).cast("int")).drop("_pos_f")
 
 
 def write_segments(segmented: DataFrame, path: str, feature_col: str = "feature_id") -> None:
-    (segmented.repartition("segment").sortWithinPartitions(feature_col)
-              .write.mode("overwrite").partitionBy("segment").parquet(path))
+    clustered(segmented, ["segment"], [feature_col]).write.mode("overwrite").partitionBy("segment").parquet(path)
 
 
 def append_slices(slices: list[DataFrame], path: str) -> None:
@@ -108,7 +119,7 @@ def append_slices(slices: list[DataFrame], path: str) -> None:
         s.write.mode("append").parquet(path)
 
 
-def write_two_axis(df: DataFrame, path: str, outer: str, inner: str) -> None:
+def write_two_axis(df: DataFrame, path: str, outer: str, inner: str, order_cols: list[str] | None = None) -> None:
     """Archive appendable on two axes: ``outer=/inner=`` folders.
 
     Written with dynamic partition overwrite, so rewriting a slice replaces
@@ -118,7 +129,8 @@ def write_two_axis(df: DataFrame, path: str, outer: str, inner: str) -> None:
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        df.repartition(outer, inner).write.mode("overwrite").partitionBy(outer, inner).parquet(path)
+        (clustered(df, [outer, inner], order_cols or [])
+           .write.mode("overwrite").partitionBy(outer, inner).parquet(path))
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 

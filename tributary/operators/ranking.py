@@ -40,17 +40,28 @@ def default_buckets(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
-def cumulative_counts(df: DataFrame, col: str, n_buckets: int | None = None,
-                      rel_error: float = 0.001) -> DataFrame:
-    """``(col, n, rank_start)`` for each distinct non-null value of ``col``."""
+# Fixed value: most labels whose position table is broadcast (two 8-byte
+# columns; a few hundred MB as a hashed relation at the limit).
+MAX_BROADCAST_LABELS = 4_000_000
+
+
+def _bounds_and_count(dist: DataFrame, n_buckets: int, accuracy: int) -> tuple[list[float], int]:
+    """Bucket bounds (approximate quantiles of the distinct keys) and the
+    number of distinct values, in one small job."""
+    probs = [i / n_buckets for i in range(1, n_buckets)] if n_buckets > 1 else [0.5]
+    row = dist.agg(F.count(F.lit(1)).alias("c"),
+                   F.percentile_approx("_k", probs, accuracy).alias("q")).first()
+    bounds = sorted(set(row["q"] or [])) if n_buckets > 1 else []
+    return bounds, int(row["c"])
+
+
+def cumulative_counts_sized(df: DataFrame, col: str, n_buckets: int | None = None,
+                            accuracy: int = 10000) -> tuple[DataFrame, int]:
+    """``(col, n, rank_start)`` per distinct value, and the number of distinct values."""
     n_buckets = n_buckets or default_buckets(df)
     dist = (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
               .withColumn("_k", _sort_key(df, col)))
-    if n_buckets > 1:
-        probs = [i / n_buckets for i in range(1, n_buckets)]
-        bounds = sorted(set(dist.approxQuantile("_k", probs, rel_error)))
-    else:
-        bounds = []
+    bounds, n_distinct = _bounds_and_count(dist, n_buckets, accuracy)
     if bounds:
         arr = F.array(*[F.lit(float(b)) for b in bounds])
         bucket = F.size(F.filter(arr, lambda b: b < F.col("_k")))
@@ -64,14 +75,36 @@ def cumulative_counts(df: DataFrame, col: str, n_buckets: int | None = None,
     ow = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_bn").over(ow), F.lit(0))).select(_B, "_off")
     out = local.join(F.broadcast(offsets), _B)
-    return out.select(col, "n", (F.col("_off") + F.col("_local")).alias("rank_start"))
+    return out.select(col, "n", (F.col("_off") + F.col("_local")).alias("rank_start")), n_distinct
+
+
+def cumulative_counts(df: DataFrame, col: str, n_buckets: int | None = None) -> DataFrame:
+    """``(col, n, rank_start)`` for each distinct non-null value of ``col``."""
+    return cumulative_counts_sized(df, col, n_buckets)[0]
+
+
+def dense_positions_sized(df: DataFrame, col: str, name: str = "pos",
+                          n_buckets: int | None = None) -> tuple[DataFrame, int]:
+    """Label positions and the number of labels."""
+    cc, n = cumulative_counts_sized(df.select(col).distinct(), col, n_buckets)
+    return cc.select(col, F.col("rank_start").alias(name)), n
 
 
 def dense_positions(df: DataFrame, col: str, name: str = "pos", n_buckets: int | None = None) -> DataFrame:
     """``(col, pos)``: 0-based position of each distinct label on its sorted axis."""
-    labels = df.select(col).distinct()
-    cc = cumulative_counts(labels, col, n_buckets)
-    return cc.select(col, F.col("rank_start").alias(name))
+    return dense_positions_sized(df, col, name, n_buckets)[0]
+
+
+def join_positions(df: DataFrame, col: str, name: str = "pos", n_buckets: int | None = None) -> DataFrame:
+    """``df`` with the position of its ``col`` label attached.
+
+    The position table is broadcast only when its label count - measured by
+    the same job that finds the bucket bounds - is at most
+    ``MAX_BROADCAST_LABELS``; beyond that it is a shuffle join.
+    """
+    pos, n = dense_positions_sized(df, col, name, n_buckets)
+    side = F.broadcast(pos) if n <= MAX_BROADCAST_LABELS else pos
+    return df.join(side, col)
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str],

@@ -102,7 +102,7 @@ def q_last_days_two_axes(spark, root):
 def _land_forecast(spark, root, path, fc):
     """Write forecast rows as one folder of files per reference time."""
     out = fc.withColumn("ref", F.date_format("reference_time", "yyyyMMdd")).drop("reference_time")
-    write_by_label(out, path, "ref", mode="append")
+    write_by_label(out, path, "ref", mode="append", order_cols=["feature_id", "time"])
 
 
 @query("q_stack_files", """

@@ -167,8 +167,8 @@ def q_archive_two_axis(spark, root):
     fc = fc.withColumn("cycle", (F.year("reference_time") * 100 + F.month("reference_time")).cast("int"))
     fc = fc.drop("reference_time")
     path = shared_dir(spark, "archive_two_axis")
-    lay.write_two_axis(fc, path, "cycle", "lead")
-    lay.write_two_axis(fc.where(F.col("lead") == 1), path, "cycle", "lead")  # rerun of one slice
+    lay.write_two_axis(fc, path, "cycle", "lead", ["feature_id"])
+    lay.write_two_axis(fc.where(F.col("lead") == 1), path, "cycle", "lead", ["feature_id"])  # rerun of one slice
     back = spark.read.parquet(path)
     return rounded(back.select("feature_id", "time", "streamflow", F.col("cycle").cast("int").alias("cycle"),
                                F.col("lead").cast("int").alias("lead")))

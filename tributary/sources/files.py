@@ -12,9 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def write_by_label(df: DataFrame, path: str, label: str, mode: str = "overwrite") -> None:
-    """One folder of files per value of ``label`` (``<label>=<value>``), label column not stored in the files."""
-    df.repartition(label).write.mode(mode).partitionBy(label).parquet(path)
+def write_by_label(df: DataFrame, path: str, label: str, mode: str = "overwrite",
+                   order_cols: list[str] | None = None) -> None:
+    """One folder of files per value of ``label`` (``<label>=<value>``), label column not stored in the files.
+
+    Range-partitioned on the label (then ``order_cols``), so a large label
+    value is spread over several tasks and files.
+    """
+    keys = [label, *(order_cols or [])]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+       .write.mode(mode).partitionBy(label).parquet(path))
 
 
 def read_stacked(spark: SparkSession, path: str, pattern: str, name: str,
