@@ -8,7 +8,7 @@ attached by broadcast, and the expected-file grid a bounded explode per day.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import folder_date, forecast_path, parse_forecast_path, path_key
@@ -19,20 +19,16 @@ def catalog_diff(source: DataFrame, destination: DataFrame) -> DataFrame:
     """``(action, path)``: source files with no index yet (``create``) and
     index files whose source is gone (``delete``) (J11, I3).
 
-    Both anti joins in one pass: the two catalogs are tagged, unioned and
-    shuffled once by key; a window over each key (as many rows as copies of
-    that key) tells whether the other side has it.  Each catalog is read
-    once and no pairs are formed.
+    Two anti joins against the *distinct* keys of the other side (map-side
+    de-duplication keeps the build side small; Spark broadcasts it under the
+    size threshold).  A key repeated on the streaming side is a skewed
+    partition that AQE splits, which a window over each key could not do.
     """
-    src = source.select("path", path_key("path").alias("key"), F.lit(1).alias("_src"))
-    dst = destination.select("path", path_key("path").alias("key"), F.lit(0).alias("_src"))
-    w = Window.partitionBy("key")
-    both = (src.unionByName(dst)
-               .withColumn("_any_src", F.max("_src").over(w))
-               .withColumn("_any_dst", F.max(1 - F.col("_src")).over(w)))
-    lonely = ((F.col("_src") == 1) & (F.col("_any_dst") == 0)) | ((F.col("_src") == 0) & (F.col("_any_src") == 0))
-    action = F.when(F.col("_src") == 1, "create").otherwise("delete")
-    return both.where(lonely).select(action.alias("action"), "path")
+    src = source.select("path", path_key("path").alias("key"))
+    dst = destination.select("path", path_key("path").alias("key"))
+    create = src.join(dst.select("key").distinct(), "key", "left_anti").select(F.lit("create").alias("action"), "path")
+    delete = dst.join(src.select("key").distinct(), "key", "left_anti").select(F.lit("delete").alias("action"), "path")
+    return create.unionByName(delete)
 
 
 def keep_recent_days(catalog: DataFrame, n_days: int) -> DataFrame:
