@@ -105,3 +105,37 @@ def test_near_boundary_distance(spark):
                                  "sid long, x1 double, y1 double, x2 double, y2 double")
     got = {r.sid for r in sp.near_boundary(_rings_df(spark, poly), "pid", segs, "sid", 0.25, 1.0).collect()}
     assert got == {1}
+
+
+def _seg_dist2(p, a, b):
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    l2 = dx * dx + dy * dy
+    t = max(0.0, min(1.0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / l2)) if l2 > 0 else 0.0
+    qx, qy = a[0] + t * dx, a[1] + t * dy
+    return (p[0] - qx) ** 2 + (p[1] - qy) ** 2
+
+
+def test_hot_cells_are_refined_and_exact(spark):
+    """Many segments in one cell: over the pair budget the cell is cut into
+    sub-cells; the pairs found must equal brute force."""
+    rnd = random.Random(7)
+    a = [(i, rnd.uniform(0, 1), rnd.uniform(0, 1), rnd.uniform(0, 1), rnd.uniform(0, 1)) for i in range(60)]
+    a += [(100 + i, rnd.uniform(-3, 3), rnd.uniform(-3, 3), rnd.uniform(-3, 3), rnd.uniform(-3, 3)) for i in range(20)]
+    b = [(i, rnd.uniform(0, 1), rnd.uniform(0, 1), rnd.uniform(0, 1), rnd.uniform(0, 1)) for i in range(40)]
+    schema_a = "aid long, x1 double, y1 double, x2 double, y2 double"
+    da = spark.createDataFrame(a, schema_a)
+    db = spark.createDataFrame(b, schema_a.replace("aid", "bid"))
+    got = {(r.aid, r.bid) for r in sp.segment_pairs(da, "aid", db, "bid", 1.0, budget=10, refine=4).collect()}
+    want = {(ia, ib) for ia, *pa in a for ib, *pb in b
+            if _seg_hit((pa[0], pa[1]), (pa[2], pa[3]), (pb[0], pb[1]), (pb[2], pb[3]))}
+    assert got == want and len(want) > 50
+    near = {(r.aid, r.bid) for r in sp.segment_pairs(da, "aid", db, "bid", 1.0, sp.stage_within(0.05), grow=0.05,
+                                                     budget=10, refine=4).collect()}
+    want_near = set()
+    for ia, *pa in a:
+        for ib, *pb in b:
+            p1, p2, q1, q2 = (pa[0], pa[1]), (pa[2], pa[3]), (pb[0], pb[1]), (pb[2], pb[3])
+            d = min(_seg_dist2(p1, q1, q2), _seg_dist2(p2, q1, q2), _seg_dist2(q1, p1, p2), _seg_dist2(q2, p1, p2))
+            if _seg_hit(p1, p2, q1, q2) or d <= 0.05 * 0.05:
+                want_near.add((ia, ib))
+    assert near == want_near

@@ -119,14 +119,70 @@ def segment_cells(segs: DataFrame, cell: float, grow: float = 0.0) -> DataFrame:
     hi_x = F.floor((F.greatest(ax, bx) + grow) / cell)
     lo_y = F.floor((F.least(ay, by) - grow) / cell)
     hi_y = F.floor((F.greatest(ay, by) + grow) / cell)
+    s = s.withColumns({"_pax": ax, "_pay": ay, "_pbx": bx, "_pby": by})
     s = (s.withColumn("_cx", F.explode(F.sequence(lo_x, hi_x)))
           .withColumn("_cy", F.explode(F.sequence(lo_y, hi_y))))
     return s.withColumn("cell", F.struct("_cx", "_cy")).drop("_k", "_np", "_cx", "_cy")
 
 
+def _refine(c: DataFrame, cell: float, k: int, grow: float) -> DataFrame:
+    """Rows of hot cells: the piece is cut again at ``cell / k`` and keyed by
+    the sub-cells it touches inside its parent cell."""
+    sc = cell / k
+    g = grow + 1e-9 * sc
+    dx, dy = F.col("_pbx") - F.col("_pax"), F.col("_pby") - F.col("_pay")
+    m = F.greatest(F.lit(1), F.ceil(F.sqrt(dx * dx + dy * dy) / sc).cast("int"))
+    r = c.withColumn("_j", F.explode(F.sequence(F.lit(0), m - 1))).withColumn("_m", m)
+    u0, u1 = F.col("_j") / F.col("_m"), (F.col("_j") + 1) / F.col("_m")
+    ax, ay = F.col("_pax") + u0 * dx, F.col("_pay") + u0 * dy
+    bx, by = F.col("_pax") + u1 * dx, F.col("_pay") + u1 * dy
+    r = (r.withColumn("_sx", F.explode(F.sequence(F.floor((F.least(ax, bx) - g) / sc),
+                                                  F.floor((F.greatest(ax, bx) + g) / sc))))
+          .withColumn("_sy", F.explode(F.sequence(F.floor((F.least(ay, by) - g) / sc),
+                                                  F.floor((F.greatest(ay, by) + g) / sc)))))
+    inside = (F.floor(F.col("_sx") / k) == F.col("cell._cx")) & (F.floor(F.col("_sy") / k) == F.col("cell._cy"))
+    return (r.where(inside).withColumn("_sub", F.struct("_sx", "_sy"))
+             .drop("_j", "_m", "_sx", "_sy"))
+
+
 def _cells_as(df: DataFrame, id_col: str, p: str, cell: float, grow: float) -> DataFrame:
     c = segment_cells(df.select(id_col, "x1", "y1", "x2", "y2"), cell, grow)
-    return c.select(id_col, "cell", *[F.col(k).alias(f"{p}{k}") for k in ["x1", "y1", "x2", "y2"]])
+    return c.select(id_col, "cell", "_pax", "_pay", "_pbx", "_pby",
+                    *[F.col(k).alias(f"{p}{k}") for k in ["x1", "y1", "x2", "y2"]])
+
+
+# Candidate pairs one grid cell may produce before it is cut
+# into REFINE x REFINE sub-cells.
+CELL_PAIR_BUDGET = 4_000_000
+REFINE = 16
+
+
+def _keyed(ca: DataFrame, cb: DataFrame, cell: float, grow: float, budget: int,
+           refine: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Join keys for both sides; dense cells get a second, finer level.
+
+    Pieces per cell are counted on both sides (partial aggregation absorbs a
+    hot cell).  A cell whose candidate pairs ``n_a * n_b`` exceed ``budget``
+    is keyed by ``(cell, sub-cell)`` instead, so the pairs tested there fall
+    with the sub-cell size rather than growing with the square of the cell's
+    load.  When no cell is over budget the plan is the plain cell join.
+    """
+    na = ca.groupBy("cell").agg(F.count(F.lit(1)).alias("_na"))
+    nb = cb.groupBy("cell").agg(F.count(F.lit(1)).alias("_nb"))
+    hot = (na.join(nb, "cell").where(F.col("_na") * F.col("_nb") > F.lit(budget))
+             .select("cell", F.lit(True).alias("_hot")))
+    if hot.isEmpty():
+        return ca, cb, ["cell"]
+
+    def split(c: DataFrame) -> DataFrame:
+        c = c.join(hot, "cell", "left")
+        plain = (c.where(F.col("_hot").isNull())
+                  .withColumn("_sub", F.struct(F.lit(0).cast("long").alias("_sx"), F.lit(0).cast("long").alias("_sy"))))
+        fine = _refine(c.where(F.col("_hot").isNotNull()), cell, refine, grow)
+        return (plain.withColumn("_lvl", F.lit(0))
+                     .unionByName(fine.withColumn("_lvl", F.lit(1))).drop("_hot"))
+
+    return split(ca), split(cb), ["cell", "_lvl", "_sub"]
 
 
 _A = ["a_x1", "a_y1", "a_x2", "a_y2"]
@@ -188,19 +244,23 @@ def _partitions(df: DataFrame) -> int:
 
 
 def segment_pairs(a: DataFrame, a_id: str, b: DataFrame, b_id: str, cell: float, predicate=None,
-                  grow: float = 0.0) -> DataFrame:
+                  grow: float = 0.0, budget: int = CELL_PAIR_BUDGET, refine: int = REFINE) -> DataFrame:
     """Distinct ``(a_id, b_id)`` with some segment of a and some segment of b
     passing ``predicate`` (a staged filter; default :func:`stage_intersects`).
 
     Both sides are hash-partitioned on the cell key, so the exact tests run
-    in parallel over cells whatever the layout of the input files; a hot
-    cell is split by AQE's skew-join handling.
+    in parallel over cells whatever the layout of the input files.  Cells
+    over the pair budget are refined (:func:`_keyed`); what stays skewed is
+    split by AQE's skew-join handling.
     """
     stage = predicate or stage_intersects
     n = _partitions(a)
-    ca = _cells_as(a, a_id, "a_", cell, grow).repartition(n, "cell")
-    cb = _cells_as(b, b_id, "b_", cell, grow).repartition(n, "cell")
-    j = ca.join(cb, "cell")
+    ca, cb, keys = _keyed(_cells_as(a, a_id, "a_", cell, grow), _cells_as(b, b_id, "b_", cell, grow),
+                          cell, grow, budget, refine)
+    piece = ["_pax", "_pay", "_pbx", "_pby"]
+    ca = ca.drop(*piece).repartition(n, *keys)
+    cb = cb.drop(*piece).repartition(n, *keys)
+    j = ca.join(cb, keys)
     return stage(j).select(a_id, b_id).distinct()
 
 
