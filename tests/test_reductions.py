@@ -101,3 +101,10 @@ def test_allclose_tolerance_and_missing_cells(spark):
     assert (r.nb_cells, r.nb_only_left, r.nb_only_right, r.nb_not_close, r.all_close) == (5, 1, 1, 1, False)
     same = allclose(a, a, ["k"], ["v"]).first()
     assert same.all_close
+
+
+def test_positions_with_many_buckets_use_binary_search(spark):
+    vals = list(range(0, 30000, 3))
+    df = spark.createDataFrame([(v,) for v in vals], "t long")
+    got = {r.t: r.pos for r in dense_positions(df, "t", "pos", n_buckets=300).collect()}
+    assert got == {v: i for i, v in enumerate(vals)}

@@ -45,29 +45,71 @@ def default_buckets(df: DataFrame) -> int:
 MAX_BROADCAST_LABELS = 4_000_000
 
 
-def _bounds_and_count(dist: DataFrame, n_buckets: int, accuracy: int) -> tuple[list[float], int]:
+# Bucket counts served by the first bound job, the finest
+# bucketing asked for, and the distinct values a bucket (one window
+# partition) should hold at most.
+FIRST_BUCKETS = 256
+MAX_BUCKETS = 4096
+VALUES_PER_BUCKET = 1_000_000
+
+
+def _quantiles(dist: DataFrame, n: int, accuracy: int, with_count: bool):
+    probs = [i / n for i in range(1, n)]
+    aggs = [F.percentile_approx("_k", probs, accuracy).alias("q")]
+    if with_count:
+        aggs.append(F.count(F.lit(1)).alias("c"))
+    return dist.agg(*aggs).first()
+
+
+def _bounds_and_count(dist: DataFrame, n_buckets: int | None, accuracy: int) -> tuple[list[float], int]:
     """Bucket bounds (approximate quantiles of the distinct keys) and the
-    number of distinct values, in one small job."""
-    probs = [i / n_buckets for i in range(1, n_buckets)] if n_buckets > 1 else [0.5]
-    row = dist.agg(F.count(F.lit(1)).alias("c"),
-                   F.percentile_approx("_k", probs, accuracy).alias("q")).first()
-    bounds = sorted(set(row["q"] or [])) if n_buckets > 1 else []
-    return bounds, int(row["c"])
+    number of distinct values.
+
+    One small job returns the count and ``FIRST_BUCKETS - 1`` quantiles; the
+    bucket count follows from the count (about ``VALUES_PER_BUCKET`` values
+    per bucket, never fewer buckets than shuffle partitions).  Only when
+    that asks for more buckets than the first job served does a second job
+    fetch finer quantiles (at most ``MAX_BUCKETS - 1``).
+    """
+    row = _quantiles(dist, FIRST_BUCKETS, accuracy, with_count=True)
+    count, q = int(row["c"]), list(row["q"] or [])
+    if n_buckets is None:
+        n_buckets = min(MAX_BUCKETS, max(default_buckets(dist), -(-count // VALUES_PER_BUCKET)))
+    if n_buckets <= 1 or not q:
+        return [], count
+    grid = FIRST_BUCKETS
+    if n_buckets > FIRST_BUCKETS:
+        q, grid = list(_quantiles(dist, n_buckets, accuracy, with_count=False)["q"] or []), n_buckets
+    step = grid / n_buckets
+    picks = [q[min(len(q) - 1, max(0, int(round(i * step)) - 1))] for i in range(1, n_buckets)]
+    return sorted(set(picks)), count
+
+
+def _with_bucket(dist: DataFrame, bounds: list[float]) -> DataFrame:
+    """Bucket index of ``_k``: monotone in ``_k``, ``len(bounds) + 1`` buckets.
+
+    A few bounds are compared in a generated expression; many bounds go
+    through Spark ML's ``Bucketizer``, which binary-searches them.
+    """
+    if not bounds:
+        return dist.withColumn(_B, F.lit(0))
+    if len(bounds) <= 64:
+        arr = F.array(*[F.lit(float(b)) for b in bounds])
+        return dist.withColumn(_B, F.size(F.filter(arr, lambda b: b < F.col("_k"))))
+    from pyspark.ml.feature import Bucketizer
+
+    splits = [float("-inf"), *[float(b) for b in bounds], float("inf")]
+    out = Bucketizer(splits=splits, inputCol="_k", outputCol="_bk", handleInvalid="keep").transform(dist)
+    return out.withColumn(_B, F.col("_bk").cast("int")).drop("_bk")
 
 
 def cumulative_counts_sized(df: DataFrame, col: str, n_buckets: int | None = None,
                             accuracy: int = 10000) -> tuple[DataFrame, int]:
     """``(col, n, rank_start)`` per distinct value, and the number of distinct values."""
-    n_buckets = n_buckets or default_buckets(df)
     dist = (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
               .withColumn("_k", _sort_key(df, col)))
     bounds, n_distinct = _bounds_and_count(dist, n_buckets, accuracy)
-    if bounds:
-        arr = F.array(*[F.lit(float(b)) for b in bounds])
-        bucket = F.size(F.filter(arr, lambda b: b < F.col("_k")))
-    else:
-        bucket = F.lit(0)
-    dist = dist.withColumn(_B, bucket)
+    dist = _with_bucket(dist, bounds)
     w = Window.partitionBy(_B).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
     local = dist.withColumn("_local", F.coalesce(F.sum("n").over(w), F.lit(0)))
     # One row per bucket: bounded by n_buckets, so a broadcast join is safe.
