@@ -37,29 +37,6 @@ def _on_box(ax, ay, bx, by, cx, cy) -> Column:
     return (cx >= F.least(ax, bx)) & (cx <= F.greatest(ax, bx)) & (cy >= F.least(ay, by)) & (cy <= F.greatest(ay, by))
 
 
-def segments_intersect(p1x, p1y, p2x, p2y, q1x, q1y, q2x, q2y) -> Column:
-    """Closed segments p and q share at least one point."""
-    o1 = orient(p1x, p1y, p2x, p2y, q1x, q1y)
-    o2 = orient(p1x, p1y, p2x, p2y, q2x, q2y)
-    o3 = orient(q1x, q1y, q2x, q2y, p1x, p1y)
-    o4 = orient(q1x, q1y, q2x, q2y, p2x, p2y)
-    proper = (((o1 > 0) & (o2 < 0)) | ((o1 < 0) & (o2 > 0))) & (((o3 > 0) & (o4 < 0)) | ((o3 < 0) & (o4 > 0)))
-    touch = (((o1 == 0) & _on_box(p1x, p1y, p2x, p2y, q1x, q1y))
-             | ((o2 == 0) & _on_box(p1x, p1y, p2x, p2y, q2x, q2y))
-             | ((o3 == 0) & _on_box(q1x, q1y, q2x, q2y, p1x, p1y))
-             | ((o4 == 0) & _on_box(q1x, q1y, q2x, q2y, p2x, p2y)))
-    return proper | touch
-
-
-def segments_cross_properly(p1x, p1y, p2x, p2y, q1x, q1y, q2x, q2y) -> Column:
-    """Segments cross at one interior point of both (no touching)."""
-    o1 = orient(p1x, p1y, p2x, p2y, q1x, q1y)
-    o2 = orient(p1x, p1y, p2x, p2y, q2x, q2y)
-    o3 = orient(q1x, q1y, q2x, q2y, p1x, p1y)
-    o4 = orient(q1x, q1y, q2x, q2y, p2x, p2y)
-    return (((o1 > 0) & (o2 < 0)) | ((o1 < 0) & (o2 > 0))) & (((o3 > 0) & (o4 < 0)) | ((o3 < 0) & (o4 > 0)))
-
-
 def point_on_segment(px, py, ax, ay, bx, by) -> Column:
     return (orient(ax, ay, bx, by, px, py) == 0) & _on_box(ax, ay, bx, by, px, py)
 
@@ -74,16 +51,6 @@ def point_segment_dist2(px, py, ax, ay, bx, by) -> Column:
     return (px - qx) * (px - qx) + (py - qy) * (py - qy)
 
 
-def segments_within(d: float, p1x, p1y, p2x, p2y, q1x, q1y, q2x, q2y) -> Column:
-    """Closed segments are at most ``d`` apart."""
-    d2 = F.lit(float(d) * float(d))
-    near = F.least(point_segment_dist2(p1x, p1y, q1x, q1y, q2x, q2y),
-                   point_segment_dist2(p2x, p2y, q1x, q1y, q2x, q2y),
-                   point_segment_dist2(q1x, q1y, p1x, p1y, p2x, p2y),
-                   point_segment_dist2(q2x, q2y, p1x, p1y, p2x, p2y)) <= d2
-    return segments_intersect(p1x, p1y, p2x, p2y, q1x, q1y, q2x, q2y) | near
-
-
 # ---------------------------------------------------------------- geometry tables
 
 def ring_edges(rings: DataFrame, id_col: str, ring_col: str | None = None) -> DataFrame:
