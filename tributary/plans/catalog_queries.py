@@ -8,7 +8,7 @@ from ..functions.paths import parse_forecast_path, path_key
 from ..operators import catalog as cat
 from ..sources import fixtures as fx
 from ..sources.tables import scan
-from .common import CYCLES, LEADS, RETENTION_DAYS
+from .common import CYCLES, LEADS, RETENTION_DAYS, dates_as_timestamps
 from .registry import query
 
 # Listing prefix/suffix, and the base date and offset of the
@@ -41,9 +41,9 @@ def q_catalog_diff(spark, root):
     return cat.catalog_diff(fx.catalog_src(spark, root), fx.catalog_dst(spark, root))
 
 
-@query("q_retention", f"SELECT path, folder_date FROM {_SQL_KEPT}")
+@query("q_retention", f"SELECT path, CAST(folder_date AS TIMESTAMP) AS folder_date FROM {_SQL_KEPT}")
 def q_retention(spark, root):
-    return cat.keep_recent_days(fx.catalog_src(spark, root), RETENTION_DAYS)
+    return dates_as_timestamps(cat.keep_recent_days(fx.catalog_src(spark, root), RETENTION_DAYS))
 
 
 @query("q_manifest", f"""
@@ -53,28 +53,29 @@ def q_manifest(spark, root):
     return cat.manifest(fx.catalog_src(spark, root))
 
 
-@query("q_expected_files", f"SELECT * FROM {_SQL_EXPECTED}")
+@query("q_expected_files", f"SELECT CAST(folder_date AS TIMESTAMP) AS folder_date, cycle, lead, path FROM {_SQL_EXPECTED}")
 def q_expected_files(spark, root):
     kept = cat.keep_recent_days(fx.catalog_src(spark, root), RETENTION_DAYS)
-    return cat.expected_files(kept, CYCLES, LEADS)
+    return dates_as_timestamps(cat.expected_files(kept, CYCLES, LEADS))
 
 
 @query("q_missing_files", f"""
-SELECT * FROM {_SQL_EXPECTED} e WHERE e.path NOT IN (SELECT path FROM catalog_src)""")
+SELECT CAST(folder_date AS TIMESTAMP) AS folder_date, cycle, lead, path FROM {_SQL_EXPECTED} e
+WHERE e.path NOT IN (SELECT path FROM catalog_src)""")
 def q_missing_files(spark, root):
     src = fx.catalog_src(spark, root)
     expected = cat.expected_files(cat.keep_recent_days(src, RETENTION_DAYS), CYCLES, LEADS)
-    return cat.missing_files(expected, src)
+    return dates_as_timestamps(cat.missing_files(expected, src))
 
 
 @query("q_parse_forecast_path", f"""
-SELECT path, {_SQL_DATE} AS date, {_SQL_CYCLE} AS cycle,
+SELECT path, CAST({_SQL_DATE} AS TIMESTAMP) AS date, {_SQL_CYCLE} AS cycle,
        regexp_extract(path, '\\.short_range\\.([a-z_]+)\\.f\\d{{3}}\\.', 1) AS forecast_type,
        {_SQL_LEAD} AS lead, {_SQL_REF} AS reference_time, {_SQL_REF} + to_hours({_SQL_LEAD}) AS valid_time
 FROM catalog_src""")
 def q_parse_forecast_path(spark, root):
     p = parse_forecast_path("path")
-    return fx.catalog_src(spark, root).select("path", *[c.alias(n) for n, c in p.items()])
+    return dates_as_timestamps(fx.catalog_src(spark, root).select("path", *[c.alias(n) for n, c in p.items()]))
 
 
 @query("q_path_key", f"""
@@ -92,8 +93,8 @@ def q_list_by_prefix(spark, root):
 
 @query("q_date_functions", f"""
 WITH r AS (SELECT DISTINCT {_SQL_REF} AS reference_time FROM catalog_src)
-SELECT reference_time, CAST(reference_time AS DATE) AS day,
-       CAST(CAST(reference_time AS DATE) - INTERVAL {DATE_BACK_DAYS} DAY AS DATE) AS day_back,
+SELECT reference_time, CAST(CAST(reference_time AS DATE) AS TIMESTAMP) AS day,
+       CAST(CAST(CAST(reference_time AS DATE) - INTERVAL {DATE_BACK_DAYS} DAY AS DATE) AS TIMESTAMP) AS day_back,
        CAST(date_diff('day', DATE '{DATE_BASE}', CAST(reference_time AS DATE)) AS INTEGER) AS days_since_base,
        strftime(reference_time, '%Y%m%d') AS folder_label,
        strftime(reference_time, '%m-%d %H') AS plot_label,
@@ -103,13 +104,13 @@ FROM r""")
 def q_date_functions(spark, root):
     ref = cat.manifest(fx.catalog_src(spark, root)).select("reference_time").distinct()
     day = F.to_date("reference_time")
-    return ref.select(
+    return dates_as_timestamps(ref.select(
         "reference_time", day.alias("day"), F.date_sub(day, DATE_BACK_DAYS).alias("day_back"),
         F.datediff(day, F.to_date(F.lit(DATE_BASE))).alias("days_since_base"),
         F.date_format("reference_time", "yyyyMMdd").alias("folder_label"),
         F.date_format("reference_time", "MM-dd HH").alias("plot_label"),
         F.date_format("reference_time", "yyyyMMdd'T'H'Z'").alias("request_label"),
-        (F.col("reference_time") - F.expr("INTERVAL 1 DAY")).alias("day_before"))
+        (F.col("reference_time") - F.expr("INTERVAL 1 DAY")).alias("day_before")))
 
 
 @query("q_parse_url", r"""

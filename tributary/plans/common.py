@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DateType, DoubleType, FloatType
 
 from ..functions.numeric import DECIMALS
 from ..operators.ids import area_ids, available_ids
@@ -34,6 +34,13 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def dates_as_timestamps(df: DataFrame) -> DataFrame:
+    """Return DATE columns as midnight TIMESTAMP_NTZ: the form that both this
+    engine and the SQL oracle hand to pandas alike."""
+    return df.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if isinstance(f.dataType, DateType)
+                       else F.col(f.name) for f in df.schema.fields])
+
+
 def study_ids(spark, root) -> DataFrame:
     """Reach ids of the study area."""
     return area_ids(fx.reach(spark, root), fx.huc(spark, root), AREA_HUC)
