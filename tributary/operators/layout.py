@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ranking import join_positions
+from .ranking import MAX_BROADCAST_LABELS, dense_positions_sized, join_positions
 
 # Chunk shapes (time labels x feature labels) of the reference.
 CHUNKS_ORIGINAL = (672, 30000)
@@ -55,13 +55,23 @@ def with_positions(cube: DataFrame, axes: dict[str, str]) -> DataFrame:
     return out
 
 
+def _with_chunk_of(df: DataFrame, labels: DataFrame, col: str, size: int, name: str) -> DataFrame:
+    """``name = floor(pos(col) / size)``, positions taken on ``labels``.  When
+    the axis has no more labels than one chunk holds (the count comes from
+    the same small job that finds the position buckets), every row is in
+    chunk 0 and no position join is needed."""
+    pos, n = dense_positions_sized(labels, col, "_pos")
+    if n <= size:
+        return df.withColumn(name, F.lit(0))
+    side = F.broadcast(pos) if n <= MAX_BROADCAST_LABELS else pos
+    return df.join(side, col).withColumn(name, F.floor(F.col("_pos") / size).cast("int")).drop("_pos")
+
+
 def with_chunk_ids(cube: DataFrame, size_t: int, size_f: int,
                    time_col: str = "time", feature_col: str = "feature_id") -> DataFrame:
     """Add ``chunk_time`` and ``chunk_feature`` for a ``size_t x size_f`` chunking (L1-L3)."""
-    pos = with_positions(cube, {time_col: "_pos_t", feature_col: "_pos_f"})
-    return (pos.withColumn("chunk_time", F.floor(F.col("_pos_t") / size_t).cast("int"))
-               .withColumn("chunk_feature", F.floor(F.col("_pos_f") / size_f).cast("int"))
-               .drop("_pos_t", "_pos_f"))
+    out = _with_chunk_of(cube, cube, time_col, size_t, "chunk_time")
+    return _with_chunk_of(out, cube, feature_col, size_f, "chunk_feature")
 
 
 def write_chunked(chunked: DataFrame, path: str, sort_cols: list[str]) -> None:
