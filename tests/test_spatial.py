@@ -139,3 +139,17 @@ def test_hot_cells_are_refined_and_exact(spark):
             if _seg_hit(p1, p2, q1, q2) or d <= 0.05 * 0.05:
                 want_near.add((ia, ib))
     assert near == want_near
+
+
+def test_polygon_inside_polygon_and_multi_segment_line_inside(spark):
+    """Containment is decided per test point: a small square inside a large
+    polygon, and a two-segment line inside it, both intersect it."""
+    big = _rings_df(spark, {1: [(0, 0), (10, 0), (10, 10), (0, 10)]}, name="aid")
+    small = _rings_df(spark, {7: [(4, 4), (5, 4), (5, 5), (4, 5)], 8: [(20, 20), (21, 20), (21, 21), (20, 21)]},
+                      name="bid")
+    got = {(r.aid, r.bid) for r in sp.intersects_polygons(big, "aid", small, "bid", 2.0).collect()}
+    assert got == {(1, 7)}
+    segs = spark.createDataFrame([(3, 2.0, 2.0, 3.0, 3.0), (3, 3.0, 3.0, 4.0, 2.0)],
+                                 "sid long, x1 double, y1 double, x2 double, y2 double")
+    big_p = _rings_df(spark, {1: [(0, 0), (10, 0), (10, 10), (0, 10)]})
+    assert {r.sid for r in sp.intersects_lines(big_p, "pid", segs, "sid", 2.0).collect()} == {3}

@@ -287,9 +287,11 @@ def intersects_lines(polys: DataFrame, poly_id: str, segs: DataFrame, line_id: s
     """
     edges = ring_edges(polys, poly_id)
     crossing = segment_pairs(edges, poly_id, segs, line_id, cell)
-    pts = segs.select(line_id, F.col("x1").alias("px"), F.col("y1").alias("py"))
-    inside = points_in_polygons(pts, line_id, edges, poly_id, cell)
-    return crossing.unionByName(inside.select(poly_id, line_id)).distinct()
+    # One test point per segment start; each point is counted on its own.
+    pts = (segs.select(line_id, F.col("x1").alias("px"), F.col("y1").alias("py")).distinct()
+               .withColumn("_pt", F.struct(line_id, "px", "py")))
+    inside = points_in_polygons(pts, "_pt", edges, poly_id, cell)
+    return crossing.unionByName(inside.select(poly_id, F.col(f"_pt.{line_id}").alias(line_id))).distinct()
 
 
 def intersects_polygons(a: DataFrame, a_id: str, b: DataFrame, b_id: str, cell: float) -> DataFrame:
@@ -297,11 +299,12 @@ def intersects_polygons(a: DataFrame, a_id: str, b: DataFrame, b_id: str, cell:
     ring edges meet, or a vertex of one lies inside the other."""
     ea, eb = ring_edges(a, a_id), ring_edges(b, b_id)
     crossing = segment_pairs(ea, a_id, eb, b_id, cell)
-    va = a.select(a_id, F.col("x").alias("px"), F.col("y").alias("py"))
-    vb = b.select(b_id, F.col("x").alias("px"), F.col("y").alias("py"))
-    b_in_a = points_in_polygons(vb, b_id, ea, a_id, cell)
-    a_in_b = points_in_polygons(va, a_id, eb, b_id, cell)
-    return crossing.unionByName(b_in_a.select(a_id, b_id)).unionByName(a_in_b.select(a_id, b_id)).distinct()
+    # Each vertex is its own test point (keyed by polygon and vertex number).
+    va = a.select(F.struct(a_id, "v").alias("_pt"), F.col("x").alias("px"), F.col("y").alias("py"))
+    vb = b.select(F.struct(b_id, "v").alias("_pt"), F.col("x").alias("px"), F.col("y").alias("py"))
+    b_in_a = points_in_polygons(vb, "_pt", ea, a_id, cell).select(a_id, F.col(f"_pt.{b_id}").alias(b_id))
+    a_in_b = points_in_polygons(va, "_pt", eb, b_id, cell).select(F.col(f"_pt.{a_id}").alias(a_id), b_id)
+    return crossing.unionByName(b_in_a).unionByName(a_in_b).distinct()
 
 
 def covers_lines(polys: DataFrame, poly_id: str, segs: DataFrame, line_id: str, cell: float) -> DataFrame:

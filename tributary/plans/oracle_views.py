@@ -41,8 +41,8 @@ VIEWS: dict[str, str] = {
     "catalog_dst": _CATALOG.format(prefix="kerchunk/", suffix=".conus.json", mod=7),
     "seg": "SELECT vec_id AS comid, CAST(embedding[1] AS DOUBLE) * 10 AS x1, CAST(embedding[2] AS DOUBLE) * 10 AS y1, "
            "CAST(embedding[3] AS DOUBLE) * 10 AS x2, CAST(embedding[4] AS DOUBLE) * 10 AS y2 FROM embeddings",
-    "coverage": "SELECT n_nationkey AS toid, n_regionkey AS grp, n_nationkey % 5 AS cx, "
-                "CAST(floor(n_nationkey / 5) AS INTEGER) AS cy FROM nation",
+    "coverage": "SELECT c_custkey AS toid, c_nationkey AS grp, CAST(c_custkey % 40 AS INTEGER) AS cx, "
+                "CAST(floor(c_custkey / 40) % 40 AS INTEGER) AS cy FROM customer",
     "results": "SELECT l_returnflag AS query, l_linenumber AS nb_days, "
                "CASE WHEN l_linestatus = 'O' THEN 'base' ELSE 'rechunked' END AS source, "
                "l_extendedprice / 1000 AS time FROM lineitem",
@@ -50,14 +50,18 @@ VIEWS: dict[str, str] = {
              "(CAST(-4.0 AS DOUBLE) + CAST(2.0 AS DOUBLE) * (n_nationkey % 5)) + CAST(c.dx AS DOUBLE) AS x, "
              "(CAST(-4.0 AS DOUBLE) + CAST(2.0 AS DOUBLE) * floor(n_nationkey / 5)) + CAST(c.dy AS DOUBLE) AS y "
              "FROM nation, (VALUES (0, -0.9, -0.6), (1, 0.7, -0.9), (2, 0.9, 0.7), (3, -0.6, 0.9)) AS c(v, dx, dy)",
-    "catchments": "SELECT toid AS catchment_id, c.v AS v, "
-                  "(CAST(-3.6 AS DOUBLE) + CAST(2.0 AS DOUBLE) * cx) + CAST(c.dx AS DOUBLE) AS x, "
-                  "(CAST(-5.1 AS DOUBLE) + CAST(2.0 AS DOUBLE) * cy) + CAST(c.dy AS DOUBLE) AS y FROM coverage, "
-                  "(VALUES (0, 0.0, 0.0), (1, 1.3, 0.0), (2, 1.3, 1.3), (3, 0.0, 1.3)) AS c(v, dx, dy)",
+    "catchments": "SELECT catchment_id, c.v AS v, "
+                  "CASE c.v WHEN 0 THEN x0 WHEN 1 THEN x0 + s WHEN 2 THEN x0 + s ELSE x0 END AS x, "
+                  "CASE c.v WHEN 0 THEN y0 WHEN 1 THEN y0 WHEN 2 THEN y0 + s ELSE y0 + s END AS y "
+                  "FROM (SELECT p_partkey AS catchment_id, "
+                  "CAST(-4.6 AS DOUBLE) + CAST(0.37 AS DOUBLE) * (p_partkey % 25) AS x0, "
+                  "CAST(-4.6 AS DOUBLE) + CAST(0.37 AS DOUBLE) * (floor(p_partkey / 25) % 25) AS y0, "
+                  "CAST(0.2 AS DOUBLE) + p_size / CAST(100.0 AS DOUBLE) AS s FROM part), "
+                  "(VALUES (0), (1), (2), (3)) AS c(v)",
 }
 
 # Views built on other views.
-DEPENDS = {"catchments": ["coverage"]}
+DEPENDS: dict[str, list[str]] = {}
 
 
 def _used(sql: str) -> list[str]:

@@ -80,32 +80,33 @@ def q_near_boundary(spark, root):
 
 
 def _square_rings(spark, root):
-    cov = fx.coverage(spark, root)
+    """Ring vertices ``(grp, cell, v, x, y)`` of each group's distinct unit cells."""
+    cells = fx.coverage(spark, root).select("grp", "cx", "cy").distinct()
     corners = F.array(*[F.struct(F.lit(i).alias("v"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
                         for i, (dx, dy) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1)])])
-    v = cov.select("toid", "cx", "cy", F.explode(corners).alias("c"))
-    return v.select("toid", F.col("c.v").alias("v"), (F.col("cx") + F.col("c.dx")).cast("double").alias("x"),
+    v = cells.select("grp", (F.col("cx") * fx.COVERAGE_SIDE + F.col("cy")).alias("cell"), "cx", "cy",
+                     F.explode(corners).alias("c"))
+    return v.select("grp", "cell", F.col("c.v").alias("v"), (F.col("cx") + F.col("c.dx")).cast("double").alias("x"),
                     (F.col("cy") + F.col("c.dy")).cast("double").alias("y"))
 
 
 @query("q_dissolve", """
-WITH sq AS (SELECT toid, grp, CAST(cx AS DOUBLE) AS x0, CAST(cy AS DOUBLE) AS y0 FROM coverage),
+WITH sq AS (SELECT DISTINCT grp, CAST(cx AS DOUBLE) AS x0, CAST(cy AS DOUBLE) AS y0 FROM coverage),
 e AS (SELECT grp, x0 AS x1, y0 AS y1, x0 + 1 AS x2, y0 AS y2 FROM sq
       UNION ALL SELECT grp, x0 + 1, y0, x0 + 1, y0 + 1 FROM sq
       UNION ALL SELECT grp, x0, y0 + 1, x0 + 1, y0 + 1 FROM sq
       UNION ALL SELECT grp, x0, y0, x0, y0 + 1 FROM sq)
 SELECT grp, x1, y1, x2, y2 FROM e GROUP BY ALL HAVING count(*) = 1""")
 def q_dissolve(spark, root):
-    edges = sp.ring_edges(_square_rings(spark, root), "toid")
-    edges = edges.join(fx.coverage(spark, root).select("toid", "grp"), "toid")
+    edges = sp.ring_edges(_square_rings(spark, root), "grp", "cell").drop("cell")
     return sp.dissolve(edges, "grp")
 
 
 @query("q_bounds", """
-SELECT area_id, round(min(x), 6) AS xmin, round(min(y), 6) AS ymin, round(max(x), 6) AS xmax,
-       round(max(y), 6) AS ymax FROM areas GROUP BY 1""")
+SELECT catchment_id, round(min(x), 6) AS xmin, round(min(y), 6) AS ymin, round(max(x), 6) AS xmax,
+       round(max(y), 6) AS ymax FROM catchments GROUP BY 1""")
 def q_bounds(spark, root):
-    return rounded(sp.bounds(fx.areas(spark, root), "area_id"))
+    return rounded(sp.bounds(fx.catchments(spark, root), "catchment_id"))
 
 
 @query("q_bbox", f"""

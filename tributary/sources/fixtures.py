@@ -139,12 +139,17 @@ def seg(spark: SparkSession, root: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("comid"), *xy)
 
 
+# The coverage lattice (cells per row and per column).
+COVERAGE_SIDE = 40
+
+
 def coverage(spark: SparkSession, root: str) -> DataFrame:
-    """Unit squares ``(toid, grp, cx, cy)`` whose union per group is dissolved."""
-    n = scan(spark, root, "nation")
-    return n.select(n.n_nationkey.alias("toid"), n.n_regionkey.alias("grp"),
-                    (n.n_nationkey % 5).alias("cx"),
-                    F.floor(n.n_nationkey / 5).cast("int").alias("cy"))
+    """Unit cells ``(toid, grp, cx, cy)``, one per customer, grouped by nation;
+    the union of a group's cells is what dissolve outlines."""
+    c = scan(spark, root, "customer")
+    return c.select(c.c_custkey.alias("toid"), c.c_nationkey.alias("grp"),
+                    (c.c_custkey % COVERAGE_SIDE).cast("int").alias("cx"),
+                    (F.floor(c.c_custkey / COVERAGE_SIDE) % COVERAGE_SIDE).cast("int").alias("cy"))
 
 
 def results(spark: SparkSession, root: str) -> DataFrame:
@@ -177,25 +182,29 @@ def areas(spark: SparkSession, root: str) -> DataFrame:
                       (F.col("cy") + F.col("c.dy")).alias("y"))
 
 
-# Catchment squares of the second polygon layer, side 1.3,
-# lower-left corner offset from the watershed centre lattice by (0.4, -1.1).
-CATCHMENT_SIDE = 1.3
-CATCHMENT_OFFSET = (0.4, -1.1)
+# Catchment squares of the second polygon layer, one per part:
+# lower-left corner on a 25 x 25 lattice from (-4.6, -4.6) with step 0.37,
+# side 0.2 plus a hundredth of the part size.
+CATCHMENT_ORIGIN = -4.6
+CATCHMENT_STEP = 0.37
+CATCHMENT_LATTICE = 25
+CATCHMENT_SIDE_BASE = 0.2
 
 
 def catchments(spark: SparkSession, root: str) -> DataFrame:
-    """Second polygon layer ``(catchment_id, v, x, y)``: one square per coverage cell."""
-    cov = coverage(spark, root)
-    x0 = F.lit(AREA_ORIGIN + CATCHMENT_OFFSET[0]) + F.lit(AREA_STEP) * F.col("cx")
-    y0 = F.lit(AREA_ORIGIN + CATCHMENT_OFFSET[1]) + F.lit(AREA_STEP) * F.col("cy")
-    s = CATCHMENT_SIDE
-    corners = F.array(*[F.struct(F.lit(i).alias("v"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                        for i, (dx, dy) in enumerate([(0.0, 0.0), (s, 0.0), (s, s), (0.0, s)])])
-    pts = cov.select(F.col("toid").alias("catchment_id"), x0.alias("x0"), y0.alias("y0"),
-                     F.explode(corners).alias("c"))
-    return pts.select("catchment_id", F.col("c.v").alias("v"),
-                      (F.col("x0") + F.col("c.dx")).alias("x"),
-                      (F.col("y0") + F.col("c.dy")).alias("y"))
+    """Second polygon layer ``(catchment_id, v, x, y)``: one square per part."""
+    p = scan(spark, root, "part")
+    x0 = F.lit(CATCHMENT_ORIGIN) + F.lit(CATCHMENT_STEP) * (p.p_partkey % CATCHMENT_LATTICE)
+    y0 = F.lit(CATCHMENT_ORIGIN) + F.lit(CATCHMENT_STEP) * (F.floor(p.p_partkey / CATCHMENT_LATTICE)
+                                                            % CATCHMENT_LATTICE)
+    side = F.lit(CATCHMENT_SIDE_BASE) + p.p_size / F.lit(100.0)
+    sq = p.select(p.p_partkey.alias("catchment_id"), x0.alias("x0"), y0.alias("y0"), side.alias("s"))
+    corners = F.array(
+        F.struct(F.lit(0).alias("v"), F.col("x0").alias("x"), F.col("y0").alias("y")),
+        F.struct(F.lit(1).alias("v"), (F.col("x0") + F.col("s")).alias("x"), F.col("y0").alias("y")),
+        F.struct(F.lit(2).alias("v"), (F.col("x0") + F.col("s")).alias("x"), (F.col("y0") + F.col("s")).alias("y")),
+        F.struct(F.lit(3).alias("v"), F.col("x0").alias("x"), (F.col("y0") + F.col("s")).alias("y")))
+    return sq.select("catchment_id", F.explode(corners).alias("c")).select("catchment_id", "c.v", "c.x", "c.y")
 
 
 FIXTURES = {
