@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
-from .joins import with_scalars
 
 _B = "_bucket"
 
@@ -57,11 +56,11 @@ def _quantiles(dist: DataFrame, n: int, accuracy: int, with_count: bool):
     probs = [i / n for i in range(1, n)]
     aggs = [F.percentile_approx("_k", probs, accuracy).alias("q")]
     if with_count:
-        aggs.append(F.count(F.lit(1)).alias("c"))
+        aggs += [F.count(F.lit(1)).alias("c"), F.sum("n").alias("rows")]
     return dist.agg(*aggs).first()
 
 
-def _bounds_and_count(dist: DataFrame, n_buckets: int | None, accuracy: int) -> tuple[list[float], int]:
+def _bounds_and_count(dist: DataFrame, n_buckets: int | None, accuracy: int) -> tuple[list[float], int, int]:
     """Bucket bounds (approximate quantiles of the distinct keys) and the
     number of distinct values.
 
@@ -72,17 +71,17 @@ def _bounds_and_count(dist: DataFrame, n_buckets: int | None, accuracy: int) ->
     fetch finer quantiles (at most ``MAX_BUCKETS - 1``).
     """
     row = _quantiles(dist, FIRST_BUCKETS, accuracy, with_count=True)
-    count, q = int(row["c"]), list(row["q"] or [])
+    count, rows, q = int(row["c"]), int(row["rows"] or 0), list(row["q"] or [])
     if n_buckets is None:
         n_buckets = min(MAX_BUCKETS, max(default_buckets(dist), -(-count // VALUES_PER_BUCKET)))
     if n_buckets <= 1 or not q:
-        return [], count
+        return [], count, rows
     grid = FIRST_BUCKETS
     if n_buckets > FIRST_BUCKETS:
         q, grid = list(_quantiles(dist, n_buckets, accuracy, with_count=False)["q"] or []), n_buckets
     step = grid / n_buckets
     picks = [q[min(len(q) - 1, max(0, int(round(i * step)) - 1))] for i in range(1, n_buckets)]
-    return sorted(set(picks)), count
+    return sorted(set(picks)), count, rows
 
 
 def _with_bucket(dist: DataFrame, bounds: list[float]) -> DataFrame:
@@ -104,11 +103,12 @@ def _with_bucket(dist: DataFrame, bounds: list[float]) -> DataFrame:
 
 
 def cumulative_counts_sized(df: DataFrame, col: str, n_buckets: int | None = None,
-                            accuracy: int = 10000) -> tuple[DataFrame, int]:
-    """``(col, n, rank_start)`` per distinct value, and the number of distinct values."""
+                            accuracy: int = 10000) -> tuple[DataFrame, int, int]:
+    """``(col, n, rank_start)`` per distinct value, the number of distinct
+    values and the number of rows (both from the bound job)."""
     dist = (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
               .withColumn("_k", _sort_key(df, col)))
-    bounds, n_distinct = _bounds_and_count(dist, n_buckets, accuracy)
+    bounds, n_distinct, n_rows = _bounds_and_count(dist, n_buckets, accuracy)
     dist = _with_bucket(dist, bounds)
     w = Window.partitionBy(_B).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
     local = dist.withColumn("_local", F.coalesce(F.sum("n").over(w), F.lit(0)))
@@ -117,7 +117,7 @@ def cumulative_counts_sized(df: DataFrame, col: str, n_buckets: int | None = Non
     ow = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_bn").over(ow), F.lit(0))).select(_B, "_off")
     out = local.join(F.broadcast(offsets), _B)
-    return out.select(col, "n", (F.col("_off") + F.col("_local")).alias("rank_start")), n_distinct
+    return out.select(col, "n", (F.col("_off") + F.col("_local")).alias("rank_start")), n_distinct, n_rows
 
 
 def cumulative_counts(df: DataFrame, col: str, n_buckets: int | None = None) -> DataFrame:
@@ -128,7 +128,7 @@ def cumulative_counts(df: DataFrame, col: str, n_buckets: int | None = None) ->
 def dense_positions_sized(df: DataFrame, col: str, name: str = "pos",
                           n_buckets: int | None = None) -> tuple[DataFrame, int]:
     """Label positions and the number of labels."""
-    cc, n = cumulative_counts_sized(df.select(col).distinct(), col, n_buckets)
+    cc, n, _ = cumulative_counts_sized(df.select(col).distinct(), col, n_buckets)
     return cc.select(col, F.col("rank_start").alias(name)), n
 
 
@@ -153,9 +153,8 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str
                     n_buckets: int | None = None) -> DataFrame:
     """One row of exact quantiles with linear interpolation between ranks
     (the ``quantile_cont`` / numpy ``linear`` definition) (A13)."""
-    cc = cumulative_counts(df, col, n_buckets)
-    total = cc.agg(F.sum("n").alias("_total"))
-    j = with_scalars(cc, total)
+    cc, _, total = cumulative_counts_sized(df, col, n_buckets)
+    j = cc.withColumn("_total", F.lit(total))
     aggs = []
     for p, name in zip(probs, names):
         k = F.lit(p) * (F.col("_total") - 1)
