@@ -78,6 +78,8 @@ def q_resume_missing(spark, root):
     lists = _lists(spark, root)
     hg.write_extracts(lists.where(F.col("huc2").isin(FINISHED_HUC2)), path)  # the earlier, partial run
     done = hg.read_extracts(spark, path).select("huc4").distinct()
-    todo = fx.huc(spark, root).select("huc4").join(done, "huc4", "left_anti")
+    # The to-do list is pinned (reliable checkpoint in spark.checkpoint.dir)
+    # before the resumed run appends to the folder it was computed from.
+    todo = fx.huc(spark, root).select("huc4").join(done, "huc4", "left_anti").checkpoint(eager=True)
     hg.write_extracts(lists.join(todo, "huc4", "left_semi"), path, mode="append")
     return todo
