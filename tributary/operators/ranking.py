@@ -153,8 +153,10 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str
                     n_buckets: int | None = None) -> DataFrame:
     """One row of exact quantiles with linear interpolation between ranks
     (the ``quantile_cont`` / numpy ``linear`` definition) (A13)."""
-    cc, _, total = cumulative_counts_sized(df, col, n_buckets)
-    j = cc.withColumn("_total", F.lit(total))
+    cc = cumulative_counts(df, col, n_buckets)
+    # The total is a scalar subquery, evaluated with the query itself, so the
+    # ranks and the total always come from the same data.
+    j = cc.withColumn("_total", cc.agg(F.sum("n")).scalar())
     aggs = []
     for p, name in zip(probs, names):
         k = F.lit(p) * (F.col("_total") - 1)
