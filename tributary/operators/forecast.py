@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import missing_as_null
-from ..functions.time import months_between_labels
+from ..functions.time import months_between_labels, range_instants
 from .joins import with_scalars
 
 KEY = ["feature_id", "reference_time", "time"]
@@ -76,7 +76,7 @@ def last_days_two_axes(fc: DataFrame, first_days_back: int, last_days_back: int)
     lo = F.col("_anchor") - F.make_dt_interval(F.lit(first_days_back))
     hi = F.col("_anchor") - F.make_dt_interval(F.lit(last_days_back))
     j = with_scalars(fc, anchor)
-    keep = (F.col("reference_time").between(lo, hi)) & (F.col("time").between(lo, hi))
+    keep = range_instants("reference_time", lo, hi) & range_instants("time", lo, hi)
     return j.where(keep).drop("_anchor")
 
 

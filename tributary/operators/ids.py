@@ -15,7 +15,12 @@ from .joins import with_scalars
 
 
 def area_ids(reach: DataFrame, huc: DataFrame, huc_prefix: str, code_col: str = "huc4") -> DataFrame:
-    """Reach ids (``comid``) whose watershed code starts with ``huc_prefix`` (S6, J5 stand-in)."""
+    """Reach ids (``comid``) of the watersheds whose code starts with ``huc_prefix``.
+
+    A prefix of a watershed code names its parent, so this is the set of
+    reaches of an area at any level (S6); where reaches come from a spatial
+    join instead, :mod:`.spatial` gives the same ``comid`` set (J5).
+    """
     codes = huc.where(F.col(code_col).startswith(huc_prefix)).select("huc_key")
     return reach.join(codes, "huc_key", "left_semi").select("comid")
 
