@@ -24,8 +24,12 @@ def catalog_diff(source: DataFrame, destination: DataFrame) -> DataFrame:
     size threshold).  A key repeated on the streaming side is a skewed
     partition that AQE splits, which a window over each key could not do.
     """
-    src = source.select("path", path_key("path").alias("key"))
-    dst = destination.select("path", path_key("path").alias("key"))
+    # Entries without a path are not files.  With null paths gone the key is
+    # made non-nullable, so the optimizer infers no extra not-null filter that
+    # would build every key twice.
+    key = F.coalesce(path_key("path"), F.lit("")).alias("key")
+    src = source.where(F.col("path").isNotNull()).select("path", key)
+    dst = destination.where(F.col("path").isNotNull()).select("path", key)
     create = src.join(dst.select("key").distinct(), "key", "left_anti").select(F.lit("create").alias("action"), "path")
     delete = dst.join(src.select("key").distinct(), "key", "left_anti").select(F.lit("delete").alias("action"), "path")
     return create.unionByName(delete)
