@@ -75,3 +75,22 @@ def test_incremental_ingest_reads_each_file_once(spark, tmp_dir):
     spark.createDataFrame([(3, 3.0)], schema).write.parquet(f"{landing}/b")
     ingest_new_files(spark, landing, sink, ckpt, schema)
     assert spark.read.parquet(sink).count() == 3
+
+
+def test_refresh_once_writes_consistent_artifacts(spark, tmp_dir):
+    from tributary.sources import fixtures as fx
+    from tributary.streaming.refresh import read_artifact, refresh_once
+
+    root = "/root/testdata/sf0.001"
+    src, dst = fx.catalog_src(spark, root), fx.catalog_dst(spark, root)
+    paths = refresh_once(src, dst, tmp_dir, 28, 24, 18)
+    kept = cat.keep_recent_days(src, 28)
+    assert read_artifact(spark, paths, "retained").count() == kept.count()
+    diff = read_artifact(spark, paths, "diff")
+    want = cat.catalog_diff(kept.select("path"), dst)
+    assert sorted(map(tuple, diff.select("action", "path").collect())) == \
+        sorted(map(tuple, want.select("action", "path").collect()))
+    manifest = read_artifact(spark, paths, "manifest")
+    assert manifest.count() == kept.count()
+    missing = read_artifact(spark, paths, "missing")
+    assert missing.count() == cat.missing_files(cat.expected_files(kept, 24, 18), kept).count()
