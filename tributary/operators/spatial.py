@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_root
+
 
 # ---------------------------------------------------------------- predicates
 
@@ -92,10 +94,12 @@ def segment_cells(segs: DataFrame, cell: float, grow: float = 0.0) -> DataFrame:
     return s.withColumn("cell", F.struct("_cx", "_cy")).drop("_k", "_np", "_cx", "_cy")
 
 
-def _refine(c: DataFrame, cell: float, k: int, grow: float) -> DataFrame:
-    """Rows of hot cells: the piece is cut again at ``cell / k`` and keyed by
-    the sub-cells it touches inside its parent cell."""
-    sc = cell / k
+def _refine(c: DataFrame, size: float, k: int, grow: float, sub_key: str) -> DataFrame:
+    """Rows of hot keys: the current piece (``_pax .. _pby``) is cut again at
+    ``size / k``; each sub-piece is keyed (column ``sub_key``) by the sub-cells
+    it touches inside its current cell (``_ccx, _ccy``), and becomes the
+    current piece and cell for a further level."""
+    sc = size / k
     g = grow + 1e-9 * sc
     dx, dy = F.col("_pbx") - F.col("_pax"), F.col("_pby") - F.col("_pay")
     m = F.greatest(F.lit(1), F.ceil(F.sqrt(dx * dx + dy * dy) / sc).cast("int"))
@@ -103,13 +107,16 @@ def _refine(c: DataFrame, cell: float, k: int, grow: float) -> DataFrame:
     u0, u1 = F.col("_j") / F.col("_m"), (F.col("_j") + 1) / F.col("_m")
     ax, ay = F.col("_pax") + u0 * dx, F.col("_pay") + u0 * dy
     bx, by = F.col("_pax") + u1 * dx, F.col("_pay") + u1 * dy
-    r = (r.withColumn("_sx", F.explode(F.sequence(F.floor((F.least(ax, bx) - g) / sc),
-                                                  F.floor((F.greatest(ax, bx) + g) / sc))))
-          .withColumn("_sy", F.explode(F.sequence(F.floor((F.least(ay, by) - g) / sc),
-                                                  F.floor((F.greatest(ay, by) + g) / sc)))))
-    inside = (F.floor(F.col("_sx") / k) == F.col("cell._cx")) & (F.floor(F.col("_sy") / k) == F.col("cell._cy"))
-    return (r.where(inside).withColumn("_sub", F.struct("_sx", "_sy"))
-             .drop("_j", "_m", "_sx", "_sy"))
+    r = r.withColumns({"_nax": ax, "_nay": ay, "_nbx": bx, "_nby": by})
+    r = (r.withColumn("_sx", F.explode(F.sequence(F.floor((F.least("_nax", "_nbx") - g) / sc),
+                                                  F.floor((F.greatest("_nax", "_nbx") + g) / sc))))
+          .withColumn("_sy", F.explode(F.sequence(F.floor((F.least("_nay", "_nby") - g) / sc),
+                                                  F.floor((F.greatest("_nay", "_nby") + g) / sc)))))
+    inside = (F.floor(F.col("_sx") / k) == F.col("_ccx")) & (F.floor(F.col("_sy") / k) == F.col("_ccy"))
+    r = r.where(inside).withColumn(sub_key, F.struct("_sx", "_sy"))
+    r = r.withColumns({"_pax": F.col("_nax"), "_pay": F.col("_nay"), "_pbx": F.col("_nbx"), "_pby": F.col("_nby"),
+                       "_ccx": F.col("_sx"), "_ccy": F.col("_sy")})
+    return r.drop("_j", "_m", "_sx", "_sy", "_nax", "_nay", "_nbx", "_nby")
 
 
 def _cells_as(df: DataFrame, id_col: str, p: str, cell: float, grow: float) -> DataFrame:
@@ -118,38 +125,52 @@ def _cells_as(df: DataFrame, id_col: str, p: str, cell: float, grow: float) -> D
                     *[F.col(k).alias(f"{p}{k}") for k in ["x1", "y1", "x2", "y2"]])
 
 
-# Candidate pairs one grid cell may produce before it is cut
-# into REFINE x REFINE sub-cells.
+# Candidate pairs one key may produce before it is cut into
+# REFINE x REFINE sub-cells, and the deepest level of cutting.
 CELL_PAIR_BUDGET = 4_000_000
 REFINE = 16
+MAX_LEVELS = 3
 
 
 def _keyed(ca: DataFrame, cb: DataFrame, cell: float, grow: float, budget: int,
-           refine: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Join keys for both sides; dense cells get a second, finer level.
-
-    Pieces per cell are counted on both sides (partial aggregation absorbs a
-    hot cell).  A cell whose candidate pairs ``n_a * n_b`` exceed ``budget``
-    is keyed by ``(cell, sub-cell)`` instead, so the pairs tested there fall
-    with the sub-cell size rather than growing with the square of the cell's
-    load.  When no cell is over budget the plan is the plain cell join.
+           refine: int, max_levels: int = MAX_LEVELS) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Join keys for both sides; dense cells get finer levels.
+
+    Pieces per key are counted on both sides (partial aggregation absorbs a
+    hot key).  A key whose candidate pairs ``n_a * n_b`` exceed ``budget`` is
+    cut into sub-cells and keyed one level deeper; this repeats (up to
+    ``max_levels``) while some key is over budget, so the pairs tested in a
+    dense spot fall with the sub-cell area instead of growing with the
+    square of its load.  A key is hot or not on both sides alike, so rows
+    left at a level (sub-key ``(0, 0)``) never meet refined rows.  When no
+    cell is over budget the plan is the plain cell join.
     """
-    na = ca.groupBy("cell").agg(F.count(F.lit(1)).alias("_na"))
-    nb = cb.groupBy("cell").agg(F.count(F.lit(1)).alias("_nb"))
-    hot = (na.join(nb, "cell").where(F.col("_na") * F.col("_nb") > F.lit(budget))
-             .select("cell", F.lit(True).alias("_hot")))
-    if hot.isEmpty():
-        return ca, cb, ["cell"]
-
-    def split(c: DataFrame) -> DataFrame:
-        c = c.join(hot, "cell", "left")
-        plain = (c.where(F.col("_hot").isNull())
-                  .withColumn("_sub", F.struct(F.lit(0).cast("long").alias("_sx"), F.lit(0).cast("long").alias("_sy"))))
-        fine = _refine(c.where(F.col("_hot").isNotNull()), cell, refine, grow)
-        return (plain.withColumn("_lvl", F.lit(0))
-                     .unionByName(fine.withColumn("_lvl", F.lit(1))).drop("_hot"))
-
-    return split(ca), split(cb), ["cell", "_lvl", "_sub"]
+    cur = {"_ccx": F.col("cell._cx"), "_ccy": F.col("cell._cy")}
+    ca, cb = ca.withColumns(cur), cb.withColumns(cur)
+    keys, size = ["cell"], cell
+    for level in range(max_levels):
+        na = ca.groupBy(*keys).agg(F.count(F.lit(1)).alias("_na"))
+        nb = cb.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nb"))
+        hot = (na.join(nb, keys).where(F.col("_na") * F.col("_nb") > F.lit(budget))
+                 .select(*keys, F.lit(True).alias("_hot")))
+        if hot.isEmpty():
+            break
+        sub_key = f"_sub{level}"
+
+        def split(c: DataFrame, hot=hot, keys=list(keys), size=size, sub_key=sub_key) -> DataFrame:
+            c = c.join(hot, keys, "left")
+            plain = c.where(F.col("_hot").isNull()).withColumn(
+                sub_key, F.struct(F.lit(0).cast("long").alias("_sx"), F.lit(0).cast("long").alias("_sy")))
+            fine = _refine(c.where(F.col("_hot").isNotNull()), size, refine, grow, sub_key)
+            return plain.unionByName(fine).drop("_hot")
+
+        # Each level's keyed pieces are checkpointed (reliable, in the shared
+        # checkpoint folder): the next level's count and the final join read
+        # them instead of recomputing every earlier level.
+        checkpoint_root(ca.sparkSession)
+        ca, cb = split(ca).checkpoint(), split(cb).checkpoint()
+        keys, size = keys + [sub_key], size / refine
+    return ca.drop("_ccx", "_ccy"), cb.drop("_ccx", "_ccy"), keys
 
 
 _A = ["a_x1", "a_y1", "a_x2", "a_y2"]
