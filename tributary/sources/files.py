@@ -39,7 +39,8 @@ def read_stacked(spark: SparkSession, path: str, pattern: str, name: str,
     df = reader.parquet(path)
     fp = F.col("_metadata.file_path")
     raw = F.regexp_extract(fp, pattern, 1)
-    label = F.to_timestamp_ntz(raw, F.lit(fmt)) if fmt else raw
+    # A file whose path lacks the label gets NULL, not a parse error.
+    label = F.when(raw != "", F.to_timestamp_ntz(raw, F.lit(fmt))) if fmt else raw
     return df.select("*", label.alias(name), fp.alias("path"))
 
 
