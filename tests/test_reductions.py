@@ -108,3 +108,17 @@ def test_positions_with_many_buckets_use_binary_search(spark):
     df = spark.createDataFrame([(v,) for v in vals], "t long")
     got = {r.t: r.pos for r in dense_positions(df, "t", "pos", n_buckets=300).collect()}
     assert got == {v: i for i, v in enumerate(vals)}
+
+
+def test_mean_of_means_equals_pooled_mean_only_on_dense_cubes(spark):
+    """A1 (mean over features, then over times) equals A4 (pooled) when every
+    time holds the same features; on a ragged cube they differ."""
+    dense = [(f, f"2001-03-{d:02d}", float(f * d)) for f in range(1, 5) for d in range(1, 8)]
+    df = _cube(spark, dense)
+    a1 = {r.dayofyear: r.streamflow for r in clim.mean_features_mean_day(df).collect()}
+    a4 = {r.dayofyear: r.streamflow for r in clim.pooled_day(df).collect()}
+    assert a1.keys() == a4.keys() and all(abs(a1[k] - a4[k]) < 1e-12 for k in a1)
+    ragged = _cube(spark, [(1, "2001-03-01", 1.0), (2, "2001-03-01", 3.0), (1, "2002-03-01", 10.0)])
+    r1 = {r.dayofyear: r.streamflow for r in clim.mean_features_mean_day(ragged).collect()}
+    r4 = {r.dayofyear: r.streamflow for r in clim.pooled_day(ragged).collect()}
+    assert r1[60] == (2.0 + 10.0) / 2 and r4[60] == (1.0 + 3.0 + 10.0) / 3
