@@ -122,3 +122,14 @@ def test_mean_of_means_equals_pooled_mean_only_on_dense_cubes(spark):
     r1 = {r.dayofyear: r.streamflow for r in clim.mean_features_mean_day(ragged).collect()}
     r4 = {r.dayofyear: r.streamflow for r in clim.pooled_day(ragged).collect()}
     assert r1[60] == (2.0 + 10.0) / 2 and r4[60] == (1.0 + 3.0 + 10.0) / 3
+
+
+def test_lead_in_hours_and_months(spark):
+    fc = spark.createDataFrame([(1, "2022-01-05 07:00:00", "2022-01-05 19:00:00", 1.0),
+                                (1, "2022-01-31 23:00:00", "2022-03-01 00:00:00", 2.0)],
+                               "feature_id long, reference_time string, time string, streamflow double")
+    fc = fc.select("feature_id", F.col("reference_time").cast("timestamp_ntz").alias("reference_time"),
+                   F.col("time").cast("timestamp_ntz").alias("time"), "streamflow")
+    hours = {r.streamflow: r.lead for r in fo.with_lead(fc, "hours").collect()}
+    months = {r.streamflow: r.lead for r in fo.with_lead(fc, "months").collect()}
+    assert hours == {1.0: 12, 2.0: 673} and months == {1.0: 0, 2.0: 2}  # Feb 2022: 28 days

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import missing_as_null
-from ..functions.time import months_between_labels, range_instants
+from ..functions.time import hours_between, months_between_labels, range_instants
 from .joins import with_scalars
 
 KEY = ["feature_id", "reference_time", "time"]
@@ -60,12 +60,18 @@ def series_text(series: Column, time_format: str) -> Column:
         F.format_string("%.6f", F.round(p["v"], 6)))), ";")
 
 
-def with_lead(fc: DataFrame) -> DataFrame:
-    """Replace the valid-time axis by a lead offset from the reference time.
+def with_lead(fc: DataFrame, unit: str = "months") -> DataFrame:
+    """Add the lead of each valid time from its reference time.
 
-    The bound cube is monthly, so the lead counts calendar months.
+    ``unit="hours"`` gives the lead hour of hourly forecast cycles;
+    ``unit="months"`` counts calendar months, for monthly cubes (the bound
+    test cube is monthly).
     """
-    return fc.withColumn("lead", months_between_labels("time", "reference_time"))
+    if unit == "hours":
+        return fc.withColumn("lead", hours_between("time", "reference_time"))
+    if unit == "months":
+        return fc.withColumn("lead", months_between_labels("time", "reference_time"))
+    raise ValueError(f"unknown lead unit {unit!r}")
 
 
 def last_days_two_axes(fc: DataFrame, first_days_back: int, last_days_back: int) -> DataFrame:
