@@ -18,7 +18,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,7 +107,7 @@ def pack_pieces(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces (doc_id, piece, length, ...)."""
     groups = max(1, -(-rows.count() // GROUP_PIECES))
 
-    def place(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def place(key, pdf):
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True],
                               kind="stable", ignore_index=True)
         at, offsets, _ = best_fit_decreasing(pdf["length"].tolist(), capacity)

@@ -66,3 +66,16 @@ def worker_store(name: str) -> dict:
         sys.modules[key] = types.ModuleType(key)
         sys.modules[key].store = {}
     return sys.modules[key].store
+
+
+def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where null equals null; the keys come from ``left``.
+
+    The right keys are renamed first, so both sides may come from one table.
+    """
+    right = right.withColumnsRenamed({k: f"{k}__r" for k in keys})
+    on = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"{k}__r"))
+        on = same if on is None else on & same
+    return left.join(right, on, how).drop(*[f"{k}__r" for k in keys])

@@ -8,7 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, id_files
+from ..sources.tables import scan
+from . import best_fit, exact_dedup, id_files, mixing, quality_rules
 from .common import documents, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +43,46 @@ def op1(spark, sf_dir):
 def op3(spark, sf_dir):
     """Best-fit decreasing packing into 4096-token sequences."""
     return best_fit.best_fit(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), END_ID)
+
+
+OP4_SQL = """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+                  md5('mix-1:' || CAST(doc_id AS VARCHAR)) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+             [3, 1, 2][CAST((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w FROM d GROUP BY source),
+c AS (SELECT *, 2 * source_size AS cap FROM s),
+l AS (SELECT *, (1.5 * sum(source_size) OVER () - (sum(cap) OVER r - cap))
+             / (sum(w) OVER () - sum(w) OVER r + w) AS lv FROM c
+      WINDOW r AS (ORDER BY cap / w, encode(source) NULLS LAST ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce((SELECT max(lv) FROM l WHERE cap / w > lv), 0.0) * w) AS target FROM l),
+p AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY key, size, doc_id ROWS UNBOUNDED PRECEDING) - size AS a FROM d)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(greatest(0, least(a + size, floor(target + 1e-6)) - a)
+            + greatest(0, least(a + size + source_size, floor(target + 1e-6)) - a - source_size) AS BIGINT) AS taken
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+"""
+
+
+@query("op4_mixing", OP4_SQL)
+def op4(spark, sf_dir):
+    """Words that the low-discrepancy mix takes of each document."""
+    return mixing.taken(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP6_SQL = """
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS h FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, h AS text_sha256
+FROM d WINDOW g AS (PARTITION BY h)
+"""
+
+
+@query("op6_exact_dedup", OP6_SQL)
+def op6(spark, sf_dir):
+    """Groups of equal texts; the least doc_id of each stays."""
+    return exact_dedup.exact_groups(documents(spark, sf_dir)).drop("row")
+
+
+@query("op8_quality_rules")
+def op8(spark, sf_dir):
+    """Base counts and the risk-controlled verdict."""
+    return quality_rules.judge(documents(spark, sf_dir), scan(spark, sf_dir, "labels"))
