@@ -7,10 +7,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import scan
-from . import best_fit, exact_dedup, id_files, mixing, quality_rules
-from .common import documents, prepare
+from . import best_fit, exact_dedup, id_files, language, mixing, quality_rules
+from .common import documents, fold_crc, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +87,14 @@ def op6(spark, sf_dir):
 def op8(spark, sf_dir):
     """Base counts and the risk-controlled verdict."""
     return quality_rules.judge(documents(spark, sf_dir), scan(spark, sf_dir, "labels"))
+
+
+@query("op2_language")
+def op2(spark, sf_dir):
+    """Predicted language of every text."""
+    docs = documents(spark, sf_dir)
+    held = F.coalesce(fold_crc(4) == 2, F.lit(False))
+    train = docs.filter(~held & F.col("lang").isNotNull() & F.col("text").isNotNull()) \
+        .select("text", "lang", F.col("doc_id").alias("order"))
+    out = language.predict(docs, language.fit(train))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
