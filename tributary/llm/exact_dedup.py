@@ -89,10 +89,7 @@ def repeated_bits(rows: DataFrame, bits: int) -> np.ndarray:
     # A filter of at most MAX_BITS, so at most 32 MB reach the driver.
     found = rows.select("h").mapInArrow(listed, "segment int, once binary, twice binary") \
         .groupBy("segment").applyInArrow(merged, "segment int, bitmap binary").collect()
-    out = np.zeros(bits // 8, np.uint8)
-    for s, bitmap in found:
-        out[s * SEGMENT_BITS // 8:(s + 1) * SEGMENT_BITS // 8] = np.frombuffer(bitmap, np.uint8)
-    return out
+    return _assembled(found, bits)
 
 
 def flag_repeats(rows: DataFrame, bits: int) -> DataFrame:
@@ -110,6 +107,51 @@ def flag_repeats(rows: DataFrame, bits: int) -> DataFrame:
     return rows.mapInArrow(flag, "doc_id long, text_sha256 string, h long, row long, maybe boolean")
 
 
+def member_bits(rows: DataFrame, column: str) -> np.ndarray:
+    """Bloom filter (packed, at most ``MAX_BITS``) of the values of a long column."""
+    bits = filter_bits(rows.count())
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = np.unique(positions(np.asarray(b.column(0)), bits))
+            cuts = np.searchsorted(p, np.arange(0, bits + 1, SEGMENT_BITS))
+            rows_ = [(s, (p[i:j] - s * SEGMENT_BITS).astype("<u2").tobytes())
+                     for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_], pa.int32()), pa.array([r[1] for r in rows_], pa.binary())],
+                                             names=["segment", "bits"])
+
+    def merged(key, table):
+        n = np.zeros(SEGMENT_BITS, np.uint8)
+        for x in table.column("bits"):
+            n[np.frombuffer(x.as_py(), "<u2")] = 1
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()),
+                         "bitmap": pa.array([np.packbits(n, bitorder="little").tobytes()], pa.binary())})
+
+    found = rows.select(column).mapInArrow(listed, "segment int, bits binary") \
+        .groupBy("segment").applyInArrow(merged, "segment int, bitmap binary").collect()
+    return _assembled(found, bits)
+
+
+def _assembled(segments, bits: int) -> np.ndarray:
+    out = np.zeros(bits // 8, np.uint8)
+    for s, bitmap in segments:
+        out[s * SEGMENT_BITS // 8:(s + 1) * SEGMENT_BITS // 8] = np.frombuffer(bitmap, np.uint8)
+    return out
+
+
+def flag_members(rows: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
+    """The rows whose value may be a member (no member is missed)."""
+    shared, at = rows.sparkSession.sparkContext.broadcast(bitmap), rows.columns.index(column)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            p = positions(np.asarray(b.column(at)), 8 * len(bits))
+            yield b.filter(pa.array(((bits[p >> 3] >> (p & 7)) & 1).all(axis=0).astype(bool)))
+
+    return rows.mapInArrow(pick, rows.schema)
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, row."""
     rows = digests(docs)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import scan
-from . import best_fit, exact_dedup, id_files, language, mixing, quality_rules
+from . import best_fit, exact_dedup, id_files, language, mixing, ngram_join, quality_rules, toxicity
 from .common import documents, fold_crc, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,24 @@ def op2(spark, sf_dir):
         .select("text", "lang", F.col("doc_id").alias("order"))
     out = language.predict(docs, language.fit(train))
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def toxic_training(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled rows that may be learned from: crc32(doc_id) mod 5 is not 0."""
+    return toxicity.labelled(docs, labels, fold_crc(5) != 0)
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    """Toxicity of every text by its nearest labelled examples."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(toxic_training(docs, scan(spark, sf_dir, "labels")))
+    return toxicity.score_texts(docs, *model).select(
+        "doc_id", F.coalesce(fold_crc(5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_ngram_join")
+def op10(spark, sf_dir):
+    """Components of documents whose 4-word shingle sets link."""
+    return ngram_join.near_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
