@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import scan
-from . import best_fit, exact_dedup, id_files, language, mixing, ngram_join, quality_rules, toxicity
+from . import attention_lm, best_fit, exact_dedup, id_files, language, mixing, ngram_join, quality_rules, toxicity
 from .common import documents, fold_crc, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,7 @@ ORACLES: dict[str, str] = {}
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+LM_END_ID = 49407   # the tokenizer's own end-of-text id, which no text is encoded to
 
 
 def query(name: str, oracle: str | None = None):
@@ -119,3 +120,10 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     """Components of documents whose 4-word shingle sets link."""
     return ngram_join.near_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op5_attention_lm")
+def op5(spark, sf_dir):
+    """Log-probability of every text under the attention model and under word counts."""
+    held = F.coalesce(fold_crc(5) == 1, F.lit(False))
+    return attention_lm.score_documents(documents(spark, sf_dir), held, public_tokenizers.path(TOKENIZER), LM_END_ID)
