@@ -79,3 +79,18 @@ def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
         same = F.col(k).eqNullSafe(F.col(f"{k}__r"))
         on = same if on is None else on & same
     return left.join(right, on, how).drop(*[f"{k}__r" for k in keys])
+
+
+def tagged(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written once with a unique row number, and that column's name
+    (one that no column of ``docs`` has).  Decisions on rows refer to it, so
+    null and repeated ids are safe."""
+    name = "row_number"
+    while name in docs.columns:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "tagged"), name
+
+
+def row_id(row: str | None):
+    """The row number column of :func:`tagged`, or a new number."""
+    return (F.col(row) if row else F.monotonically_increasing_id()).alias("row")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, fold, written
+from .common import GAP, fold, row_id, written
 
 HASHES = 2
 BITS_PER_ROW = 16
@@ -34,11 +34,11 @@ MIN_BITS, MAX_BITS = 1 << 16, 1 << 28
 SEGMENT_BITS = 1 << 16
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, row: str | None = None) -> DataFrame:
     """doc_id, row (unique), text_sha256 and a 64-bit hash of it, written once."""
     sha = F.sha2(F.encode(F.regexp_replace(fold(), GAP, " "), "UTF-8"), 256)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha.alias("text_sha256")) \
-        .select("doc_id", "text_sha256", F.xxhash64("text_sha256").alias("h"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha.alias("text_sha256"), row_id(row)) \
+        .select("doc_id", "text_sha256", F.xxhash64("text_sha256").alias("h"), "row")
     return written(rows, "digests")
 
 
@@ -152,9 +152,9 @@ def flag_members(rows: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
     return rows.mapInArrow(pick, rows.schema)
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
+def exact_groups(docs: DataFrame, row: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, row."""
-    rows = digests(docs)
+    rows = digests(docs, row)
     flagged = written(flag_repeats(rows, filter_bits(rows.count())), "flagged")
     single = flagged.filter(~F.col("maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fold, match, written
+from .common import WORD, fold, match, row_id, written
 
 WEIGHTS = (3, 1, 2)     # of the sources in order, repeating
 SHARE = 1.5             # words of the mix, of all words
@@ -36,12 +36,12 @@ CELLS = 1024
 GOLDEN = 0.6180339887498949
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, row: str | None = None) -> DataFrame:
     """row, doc_id, source, size and the key of the shuffled order, written once."""
     key = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                                F.regexp_count(fold(), F.lit(WORD)).cast("long").alias("size"), key.alias("key"),
-                               F.monotonically_increasing_id().alias("row")), "sizes")
+                               row_id(row)), "sizes")
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -121,9 +121,9 @@ def mixture(rows: DataFrame, goal: DataFrame) -> DataFrame:
     return match(slots, placed, ["block", "source"]).select("slot", "source", "row", "doc_id", "first", "words")
 
 
-def taken(docs: DataFrame) -> DataFrame:
+def taken(docs: DataFrame, row: str | None = None) -> DataFrame:
     """Per document: row, doc_id, source, size, source_size, target, taken."""
-    rows = sized(docs)
+    rows = sized(docs, row)
     goal = written(targets(rows), "targets")
     got = mixture(rows, goal).groupBy("row").agg(F.sum("words").alias("taken"))
     return match(rows.join(got, "row", "left"), goal, ["source"]).select(

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import row_id, written
 from .components import components
 from .exact_dedup import flag_members, member_bits
 from .words import coded_words, doc_of
@@ -163,7 +163,7 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, least: np.ndarray) -> tuple
     return key[order], np.bincount(owner, minlength=len(n))
 
 
-def described(docs: DataFrame) -> DataFrame:
+def described(docs: DataFrame, row: str | None = None) -> DataFrame:
     """Per row: row, doc_id, n, node (hash of the set), text_key, keys (packed), written once."""
     least = bands()
 
@@ -179,9 +179,8 @@ def described(docs: DataFrame) -> DataFrame:
                  pa.array([raw[8 * cut[i]:8 * cut[i + 1]] for i in range(len(n))], pa.binary())],
                 names=["row", "doc_id", "n", "node", "text_key", "keys"])
 
-    row = F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()
     text = F.col("text").cast("string")
-    return written(docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
+    return written(docs.select(row_id(row), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
                                F.xxhash64(text).alias("text_key"))
                    .mapInArrow(describe, "row long, doc_id long, n long, node long, text_key long, keys binary"), "sets")
 
@@ -313,10 +312,10 @@ def links(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, components(found)
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, row: str | None = None) -> DataFrame:
     """Per row: row, doc_id, n_shingles, component_id (least doc_id of its
     group), node, group (null for rows without words)."""
-    rows = described(docs)
+    rows = described(docs, row)
     _, roots = links(docs, rows)
     grouped = rows.select("row", "doc_id", "n", "node").join(roots, "node", "left") \
         .select("row", "doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("root", "node").alias("group"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import scan
-from . import attention_lm, best_fit, exact_dedup, id_files, language, mixing, ngram_join, quality_rules, toxicity
+from . import attention_lm, best_fit, exact_dedup, id_files, language, license_rules, mixing, ngram_join, quality_rules, toxicity
 from .common import documents, fold_crc, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,11 @@ def op5(spark, sf_dir):
     """Log-probability of every text under the attention model and under word counts."""
     held = F.coalesce(fold_crc(5) == 1, F.lit(False))
     return attention_lm.score_documents(documents(spark, sf_dir), held, public_tokenizers.path(TOKENIZER), LM_END_ID)
+
+
+@query("op7_license_rules")
+def op7(spark, sf_dir):
+    """Known licence sentences of every text and the licences that they make up."""
+    return license_rules.scan_licences(documents(spark, sf_dir)).select(
+        "doc_id", F.size("sentences").alias("n_sentences"), F.array_join("sentences", " ").alias("sentence_ids"),
+        F.array_join(F.transform("licences", lambda x: x["licence"]), " ").alias("licences"))
