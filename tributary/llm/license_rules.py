@@ -65,7 +65,7 @@ RULES = {
     "CC0-1.0": [["cc0-named"]],
 }
 CUES = ("licen", "permission", "warranty", "redistribution", "public domain")
-SENTENCE_END = r"(?<=[.!?])[ ]+"
+SENTENCE_END = r"(?<=[.!?])[ ]+|(?<=:)[ ]+(?=[A-Z0-9(])"
 
 
 def normal_key(sentence: str) -> str:

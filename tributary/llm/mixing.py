@@ -91,7 +91,7 @@ def schedule(spark: SparkSession, goal: DataFrame) -> DataFrame:
     last = Window.orderBy("none", "name")
     upto = blocks.withColumn("upto", F.sum("blocks").over(last)).filter("blocks > 0")
     total = upto.agg(F.max("upto")).first()[0] or 0     # one number
-    share = upto.select("source", "blocks", ((F.col("upto") - F.col("blocks")) / max(total, 1)).alias("lo"),
+    share = upto.select("source", "blocks", (F.col("upto") - F.col("blocks")).alias("first"), ((F.col("upto") - F.col("blocks")) / max(total, 1)).alias("lo"),
                         (F.col("upto") / max(total, 1)).alias("hi"))
     cells = share.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS)))))
     # frac(i * phi) with i in two parts, so that large slots keep their digits
@@ -106,11 +106,11 @@ def schedule(spark: SparkSession, goal: DataFrame) -> DataFrame:
     ranked = match(ranked, before.drop("n"), ["source", "run"]) \
         .select("slot", "source", "blocks", (F.col("before") + F.col("k")).alias("block")).filter("block < blocks")
     got = runs.groupBy("source").agg(F.sum("n").alias("slots"))
-    short = match(share.select("source", "blocks"), got, ["source"], "left") \
-        .select("source", "blocks", F.coalesce("slots", F.lit(0)).alias("slots")).filter("slots < blocks") \
-        .select("source", F.explode(F.sequence("slots", F.col("blocks") - 1)).alias("block"))
+    short = match(share.select("source", "blocks", "first"), got, ["source"], "left") \
+        .select("source", "blocks", "first", F.coalesce("slots", F.lit(0)).alias("slots")).filter("slots < blocks") \
+        .select("source", "first", F.explode(F.sequence("slots", F.col("blocks") - 1)).alias("block"))
     return ranked.select("slot", "source", "block") \
-        .unionByName(short.select((F.lit(total) + F.col("block")).alias("slot"), "source", "block"))
+        .unionByName(short.select((total + F.col("first") + F.col("block")).alias("slot"), "source", "block"))
 
 
 def mixture(rows: DataFrame, goal: DataFrame) -> DataFrame:
