@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .common import worker_store
+from .words import plain
 
 CACHE_CHUNKS = 600_000
 _PUNCT = string.punctuation
@@ -98,9 +99,7 @@ class ChunkEncoder:
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty), each followed by ``end`` if given,
         and the number of ids of each text."""
-        if pa.types.is_large_string(texts.type) is False:
-            texts = texts.cast(pa.large_string())
-        texts = pc.fill_null(texts, "")
+        texts = plain(texts)
         n = len(texts)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)

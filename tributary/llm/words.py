@@ -7,6 +7,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def plain(texts: pa.Array) -> pa.Array:
+    """Texts as large strings in an array of their own, null as empty.
+
+    The copy matters: string kernels misread arrays that are slices of others.
+    """
+    texts = texts.cast(pa.large_string())
+    return pc.if_else(pc.is_valid(texts), texts, pa.scalar("", pa.large_string()))
+
+
 def coded_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words (Arrow strings), the code of every word in text order,
     and bounds: text ``i`` has codes ``bounds[i]`` to ``bounds[i + 1]``.
@@ -14,7 +23,7 @@ def coded_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarr
     Words are maximal runs without ASCII white space; ``lower`` maps A-Z to
     a-z and nothing else.  Null texts have no words.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = plain(texts)
     if lower:
         texts = pc.ascii_lower(texts)
     if not len(texts):
