@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pyspark.sql import SparkSession
 
-    from tributary.session import SQL_DEFAULTS
+    from tributary.session import SQL_DEFAULTS, with_checkpoint_dir
 
     builder = (SparkSession.builder.master("local[*]")
                .config("spark.sql.shuffle.partitions", "8")
@@ -19,11 +19,8 @@ def spark():
                .config("spark.ui.showConsoleProgress", "false"))
     for k, v in SQL_DEFAULTS.items():
         builder = builder.config(k, v)
-    s = builder.getOrCreate()
+    s = with_checkpoint_dir(builder).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
-    # Tests set their own checkpoint folder only where the session has none.
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tributary-test-"))
     yield s
 
 

@@ -57,9 +57,7 @@ def test_two_axis_rerun_is_idempotent(spark, tmp_dir):
 
 def test_sorted_layout_prunes_row_groups(spark, tmp_dir):
     df = spark.range(0, 20000).withColumn("v", F.col("id") * 2.0)
-    lay.write_sorted(df, tmp_dir, "id", n_files=4)
-    files = [f for f in os.listdir(tmp_dir) if f.endswith(".parquet")]
-    assert len(files) == 4
+    lay.write_sorted(df, tmp_dir, "id")
     plan = spark.read.parquet(tmp_dir).where(F.col("id") == 5)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "EqualTo(id,5)" in plan
 

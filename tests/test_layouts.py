@@ -47,3 +47,29 @@ def test_nan_cells_survive_a_round_trip(spark, tmp_dir):
         "streamflow", F.when(F.col("feature_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("streamflow")))
     lay.write_sorted(flow, tmp_dir, "feature_id")
     _check(spark, flow, spark.read.parquet(tmp_dir))
+
+
+def test_reruns_leave_no_old_rows(spark, tmp_dir):
+    """Another shape, cube or size into the same folder replaces what was there."""
+    cube = spark.createDataFrame([(f, f"2001-{m:02d}-01", float(f * m)) for f in range(6) for m in range(1, 7)],
+                                 "feature_id long, time string, streamflow double")
+    cube = cube.select("feature_id", F.col("time").cast("timestamp_ntz").alias("time"), "streamflow")
+    for shape in [(2, 2), (3, 3)]:
+        lay.write_chunked(lay.with_chunk_ids(cube, *shape), f"{tmp_dir}/c", KEY)
+    assert lay.read_chunked(spark, f"{tmp_dir}/c").count() == 36
+    for part in (cube, cube.where("month(time) > 3")):
+        lay.write_monthly(part, f"{tmp_dir}/m")
+    assert spark.read.parquet(f"{tmp_dir}/m").count() == 18
+    for size in (2, 4):
+        lay.write_segments(lay.with_segments(cube, size), f"{tmp_dir}/s")
+    assert spark.read.parquet(f"{tmp_dir}/s").count() == 36
+    for part in (cube, cube.where("feature_id < 2")):
+        lay.append_slices(part, f"{tmp_dir}/a", "feature_id")
+    assert spark.read.parquet(f"{tmp_dir}/a").count() == 36
+
+
+@pytest.mark.parametrize("size", [1, 10])
+def test_null_labels_are_kept_at_every_size(spark, size):
+    cube = spark.createDataFrame([(1, 5), (2, 5), (None, 5)], "feature_id long, time long")
+    got = {r.feature_id: (r.chunk_time, r.chunk_feature) for r in lay.with_chunk_ids(cube, size, size).collect()}
+    assert got == {1: (0, 0), 2: (0, 1 // size), None: (0, None)}

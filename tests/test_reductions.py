@@ -103,7 +103,7 @@ def test_allclose_tolerance_and_missing_cells(spark):
     assert same.all_close
 
 
-def test_positions_with_many_buckets_use_binary_search(spark):
+def test_positions_with_many_buckets(spark):
     vals = list(range(0, 30000, 3))
     df = spark.createDataFrame([(v,) for v in vals], "t long")
     got = {r.t: r.pos for r in dense_positions(df, "t", "pos", n_buckets=300).collect()}
@@ -133,3 +133,26 @@ def test_lead_in_hours_and_months(spark):
     hours = {r.streamflow: r.lead for r in fo.with_lead(fc, "hours").collect()}
     months = {r.streamflow: r.lead for r in fo.with_lead(fc, "months").collect()}
     assert hours == {1.0: 12, 2.0: 673} and months == {1.0: 0, 2.0: 2}  # Feb 2022: 28 days
+
+
+def test_positions_in_the_native_type(spark):
+    """Big integers, text, dates and decimals keep their own order."""
+    from datetime import date, timedelta
+    from decimal import Decimal
+    cases = [("long", [2 ** 53 + i for i in range(40)]), ("string", [f"{c}{i}" for c in "zaBÄ" for i in range(12)]),
+             ("date", [date(1900, 1, 1) + timedelta(days=97 * i) for i in range(60)]),
+             ("decimal(38,10)", [Decimal(10) ** 20 + Decimal(i) / 7 for i in range(30)]), ("double", [1e300, -1e-300, 0.1, 3.0])]
+    for kind, values in cases:
+        df = spark.createDataFrame([(v,) for v in values * 2], f"t {kind}")
+        got = {r.t: r.pos for r in dense_positions(df, "t", "pos", n_buckets=6).collect()}
+        order = sorted(got, key=lambda v: v.encode() if isinstance(v, str) else v)
+        assert [got[v] for v in order] == list(range(len(order))), kind
+
+
+def test_more_buckets_than_the_sample_serves(spark, monkeypatch):
+    from tributary.operators import ranking
+    monkeypatch.setattr(ranking, "SAMPLE_LABELS", 64)
+    monkeypatch.setattr(ranking, "VALUES_PER_BUCKET", 20)
+    df = spark.range(0, 9000, 3).withColumnRenamed("id", "t")
+    assert len(ranking.label_bounds(df, ["t"])["t"]) > 64
+    assert {r.t: r.pos for r in dense_positions(df, "t").collect()} == {v: i for i, v in enumerate(range(0, 9000, 3))}

@@ -67,9 +67,8 @@ def write_extracts(lists: DataFrame, path: str, mode: str = "overwrite") -> None
     doc = F.array(F.struct(F.struct(F.col("huc4").alias("huc8"), F.col("comids").alias("comids"))
                            .alias("properties")))
     out = lists.select(doc.alias("features"), "id_block", "huc2", "huc4")
-    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    (out.repartitionByRange(n, "huc2", "huc4", "id_block").sortWithinPartitions("huc2", "huc4", "id_block")
-        .write.mode(mode).partitionBy("huc2", "huc4").json(path))
+    (out.repartitionByRange("huc2", "huc4", "id_block").sortWithinPartitions("huc2", "huc4", "id_block")
+        .write.option("partitionOverwriteMode", "static").mode(mode).partitionBy("huc2", "huc4").json(path))
 
 
 def read_extracts(spark: SparkSession, path: str) -> DataFrame:

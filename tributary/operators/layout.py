@@ -5,23 +5,25 @@ partitioning, sorting and file layout of long tables.
   ``size_f`` consecutive feature labels; its id is
   ``(floor(pos_t / size_t), floor(pos_f / size_f))`` where ``pos`` is the
   dense position of the label on its axis (:mod:`.ranking`).
-* Writing "with chunks" clusters each chunk into its own folder
-  (``partitionBy``) after a shuffle on the chunk id, sorted inside; the
+* Writing "with chunks" clusters blocks of chunks into folders
+  (``partitionBy``), sorted by chunk inside; the
   transposed layout (long time, few features) serves long series of few
   reaches, the original one short windows over many reaches.
 * A sorted layout (``repartitionByRange`` + ``sortWithinPartitions``) gives
   tight Parquet row-group statistics, so point lookups skip row groups.
 
-Writes overwrite their target (dynamic partition overwrite replaces only
-the partitions written, so a rerun of one slice is idempotent).
+Writers replace their whole target (static overwrite), so a rerun leaves no
+old folder behind.  Only the two-axis archive overwrites dynamically: it
+replaces exactly the partitions it is given.  How many files are written
+follows from the data (Spark sizes the range partitions), not from a count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ranking import MAX_BROADCAST_LABELS, dense_positions_sized, join_positions
+from .ranking import join_positions
 
 # Chunk shapes (time labels x feature labels) of the reference.
 CHUNKS_ORIGINAL = (672, 30000)
@@ -30,6 +32,12 @@ CHUNKS_SQUARE = (300, 300)
 SEGMENT_FEATURES = 2000  # features per write segment
 
 
+# Fixed value: fine chunks per axis that share one coarse folder.
+CHUNKS_PER_FOLDER = 16
+
+STATIC = {"partitionOverwriteMode": "static"}
+
+
 def clustered(df: DataFrame, partition_cols: list[str], order_cols: list[str]) -> DataFrame:
     """Range-partition on the folder keys, then the order keys, and sort.
 
@@ -38,52 +46,43 @@ def clustered(df: DataFrame, partition_cols: list[str], order_cols: list[str]) -
     by the sampled range bounds instead of overloading a single task, and
     files come out sorted, so row-group statistics prune lookups.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
     keys = [*partition_cols, *order_cols]
-    return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
 def with_positions(cube: DataFrame, axes: dict[str, str]) -> DataFrame:
-    """Add the dense position of each axis label: ``{axis_col: pos_col}``.
-
-    Positions are computed on the distinct labels and joined back on the
-    label - broadcast under a checked label count, a shuffle join beyond.
-    """
-    out = cube
-    for col, name in axes.items():
-        out = join_positions(out, col, name)
-    return out
+    """Add the dense position of each axis label: ``{axis_col: pos_col}``."""
+    return join_positions(cube, axes)
 
 
-def _with_chunk_of(df: DataFrame, labels: DataFrame, col: str, size: int, name: str) -> DataFrame:
-    """``name = floor(pos(col) / size)``, positions taken on ``labels``.  When
-    the axis has no more labels than one chunk holds (the count comes from
-    the same small job that finds the position buckets), every row is in
-    chunk 0 and no position join is needed."""
-    pos, n = dense_positions_sized(labels, col, "_pos")
-    if n <= size:
-        return df.withColumn(name, F.lit(0))
-    side = F.broadcast(pos) if n <= MAX_BROADCAST_LABELS else pos
-    return df.join(side, col).withColumn(name, F.floor(F.col("_pos") / size).cast("int")).drop("_pos")
+def _chunk(pos: str, size: int) -> Column:
+    return F.floor(F.col(pos) / size).cast("int")
 
 
 def with_chunk_ids(cube: DataFrame, size_t: int, size_f: int,
                    time_col: str = "time", feature_col: str = "feature_id") -> DataFrame:
-    """Add ``chunk_time`` and ``chunk_feature`` for a ``size_t x size_f`` chunking (L1-L3)."""
-    out = _with_chunk_of(cube, cube, time_col, size_t, "chunk_time")
-    return _with_chunk_of(out, cube, feature_col, size_f, "chunk_feature")
+    """Add ``chunk_time`` and ``chunk_feature`` for a ``size_t x size_f``
+    chunking (L1-L3).  A row whose label is null has a null chunk."""
+    out = with_positions(cube, {time_col: "_pos_t", feature_col: "_pos_f"})
+    return out.withColumn("chunk_time", _chunk("_pos_t", size_t)).withColumn("chunk_feature", _chunk("_pos_f", size_f)) \
+        .drop("_pos_t", "_pos_f")
 
 
 def write_chunked(chunked: DataFrame, path: str, sort_cols: list[str]) -> None:
-    """One folder per chunk, rows sorted inside (L1-L3)."""
+    """Chunks sorted together inside coarse folders (L1-L3).
+
+    ``CHUNKS_PER_FOLDER`` chunks per axis share a folder, so small chunks do
+    not make millions of folders; the chunk ids are sorted columns, whose
+    row-group statistics prune single chunks.
+    """
     keys = ["chunk_time", "chunk_feature"]
-    clustered(chunked, keys, sort_cols).write.mode("overwrite").partitionBy(*keys).parquet(path)
+    folder = {f"folder_{k[6:]}": F.floor(F.col(k) / CHUNKS_PER_FOLDER).cast("int") for k in keys}
+    (clustered(chunked.withColumns(folder), list(folder), [*keys, *sort_cols])
+        .write.options(**STATIC).mode("overwrite").partitionBy(*folder).parquet(path))
 
 
 def read_chunked(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.parquet(path)
-    return (df.withColumn("chunk_time", F.col("chunk_time").cast("int"))
-              .withColumn("chunk_feature", F.col("chunk_feature").cast("int")))
+    return spark.read.parquet(path).drop("folder_time", "folder_feature")
 
 
 def chunk_report(chunked: DataFrame, time_col: str = "time", feature_col: str = "feature_id") -> DataFrame:
@@ -99,34 +98,37 @@ def chunks_touched(chunked_subset: DataFrame) -> DataFrame:
     return chunked_subset.agg(F.count_distinct("chunk_time", "chunk_feature").alias("nb_chunks"))
 
 
-def write_sorted(df: DataFrame, path: str, key: str, n_files: int | None = None) -> None:
+def write_sorted(df: DataFrame, path: str, key: str) -> None:
     """Range-partitioned, sorted rewrite by ``key`` (S20, S14 second copy)."""
-    n = n_files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    (df.repartitionByRange(n, key).sortWithinPartitions(key)
-       .write.mode("overwrite").parquet(path))
+    clustered(df, [], [key]).write.mode("overwrite").parquet(path)
 
 
 def write_monthly(cube: DataFrame, path: str, time_col: str = "time") -> None:
     """One set of files per month: ``year=/month=`` folders."""
     out = cube.withColumn("year", F.year(time_col)).withColumn("month", F.month(time_col))
     order = [c for c in ("feature_id", time_col) if c in out.columns]
-    clustered(out, ["year", "month"], order).write.mode("overwrite").partitionBy("year", "month").parquet(path)
+    (clustered(out, ["year", "month"], order)
+        .write.options(**STATIC).mode("overwrite").partitionBy("year", "month").parquet(path))
 
 
 def with_segments(cube: DataFrame, size: int = SEGMENT_FEATURES, feature_col: str = "feature_id") -> DataFrame:
     """``segment = floor(pos_f / size)``: write segments of ``size`` consecutive features."""
-    pos = join_positions(cube, feature_col, "_pos_f")
-    return pos.withColumn("segment", F.floor(F.col("_pos_f") / size).cast("int")).drop("_pos_f")
+    return with_positions(cube, {feature_col: "_pos_f"}).withColumn("segment", _chunk("_pos_f", size)).drop("_pos_f")
 
 
 def write_segments(segmented: DataFrame, path: str, feature_col: str = "feature_id") -> None:
-    clustered(segmented, ["segment"], [feature_col]).write.mode("overwrite").partitionBy("segment").parquet(path)
+    (clustered(segmented, ["segment"], [feature_col])
+        .write.options(**STATIC).mode("overwrite").partitionBy("segment").parquet(path))
 
 
-def append_slices(slices: list[DataFrame], path: str) -> None:
-    """Append slices one after another to one archive."""
-    for s in slices:
-        s.write.mode("append").parquet(path)
+def append_slices(df: DataFrame, path: str, slice_col: str, order_cols: list[str] | None = None) -> None:
+    """Add slices to an archive, one folder per value of ``slice_col``.
+
+    One write for all slices of ``df``; slices already there are replaced, the
+    others stay, so a rerun leaves the same rows.
+    """
+    (clustered(df, [slice_col], order_cols or []).write.option("partitionOverwriteMode", "dynamic")
+        .mode("overwrite").partitionBy(slice_col).parquet(path))
 
 
 def write_two_axis(df: DataFrame, path: str, outer: str, inner: str, order_cols: list[str] | None = None) -> None:
@@ -135,14 +137,8 @@ def write_two_axis(df: DataFrame, path: str, outer: str, inner: str, order_cols:
     Written with dynamic partition overwrite, so rewriting a slice replaces
     exactly the partitions it holds and leaves the rest.
     """
-    spark = df.sparkSession
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (clustered(df, [outer, inner], order_cols or [])
-           .write.mode("overwrite").partitionBy(outer, inner).parquet(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    (clustered(df, [outer, inner], order_cols or []).write.option("partitionOverwriteMode", "dynamic")
+        .mode("overwrite").partitionBy(outer, inner).parquet(path))
 
 
 def cube_size(cube: DataFrame, time_col: str = "time", feature_col: str = "feature_id",

@@ -4,159 +4,139 @@
 number of rows with a smaller value (``rank_start``) and its own count.
 It is the basis of dense label positions (W1) and exact quantiles (A13).
 
-Plan: distinct values are cut into ordered buckets at approximate-quantile
-bounds (one small driver-side list, ``n_buckets - 1`` numbers, computed on
-the *distinct* values so one hot value cannot unbalance a bucket); a window
-ranks values inside each bucket (one bucket per task, bucket sizes balanced);
-bucket totals - one row per bucket - give each bucket's offset; a broadcast
-join of that bounded table adds the offset back.
+Plan: distinct values are cut into ordered buckets at bounds taken from a
+hash sample of the *distinct* values, so one hot value cannot unbalance a
+bucket; a window ranks the values inside each bucket; bucket totals, one row
+per bucket, give each bucket's offset.  Bounds and values are compared in the
+column's own type, so big integers keep their order and text works too.  The
+sample is the only thing that reaches the driver: at most ``SAMPLE_LABELS``
+values per column (four per bucket beyond that).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
-
 
 _B = "_bucket"
 
-
-def _sort_key(df: DataFrame, col: str) -> Column:
-    """A numeric key with the same order as ``col``."""
-    dt = df.schema[col].dataType
-    c = F.col(col)
-    if isinstance(dt, TimestampNTZType):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(dt, TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(dt, DateType):
-        return F.unix_date(c).cast("double")
-    return c.cast("double")
+# Distinct values sampled per column, and the distinct values
+# that one bucket (one window partition) should hold.
+SAMPLE_LABELS = 2048
+VALUES_PER_BUCKET = 1_000_000
 
 
 def default_buckets(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
-# Fixed value: most labels whose position table is broadcast (two 8-byte
-# columns; a few hundred MB as a hashed relation at the limit).
-MAX_BROADCAST_LABELS = 4_000_000
-
-
-# Bucket counts served by the first bound job, the finest
-# bucketing asked for, and the distinct values a bucket (one window
-# partition) should hold at most.
-FIRST_BUCKETS = 256
-MAX_BUCKETS = 4096
-VALUES_PER_BUCKET = 1_000_000
-
-
-def _quantiles(dist: DataFrame, n: int, accuracy: int, with_count: bool):
-    probs = [i / n for i in range(1, n)]
-    aggs = [F.percentile_approx("_k", probs, accuracy).alias("q")]
-    if with_count:
-        aggs += [F.count(F.lit(1)).alias("c"), F.sum("n").alias("rows")]
-    return dist.agg(*aggs).first()
+def _order(label: str):
+    """Sort key of a label's text; only the balance of buckets depends on it."""
+    try:
+        return 0, float(label), label
+    except ValueError:
+        return 1, 0.0, label
 
 
-def _bounds_and_count(dist: DataFrame, n_buckets: int | None, accuracy: int) -> tuple[list[float], int, int]:
-    """Bucket bounds (approximate quantiles of the distinct keys) and the
-    number of distinct values.
+def label_bounds(df: DataFrame, cols: list[str], n_buckets: int | None = None) -> dict[str, list[str]]:
+    """Bucket bounds per column, as text, from one query over all columns.
 
-    One small job returns the count and ``FIRST_BUCKETS - 1`` quantiles; the
-    bucket count follows from the count (about ``VALUES_PER_BUCKET`` values
-    per bucket, never fewer buckets than shuffle partitions).  Only when
-    that asks for more buckets than the first job served does a second job
-    fetch finer quantiles (at most ``MAX_BUCKETS - 1``).
-    """
-    row = _quantiles(dist, FIRST_BUCKETS, accuracy, with_count=True)
-    count, rows, q = int(row["c"]), int(row["rows"] or 0), list(row["q"] or [])
-    if n_buckets is None:
-        n_buckets = min(MAX_BUCKETS, max(default_buckets(dist), -(-count // VALUES_PER_BUCKET)))
-    if n_buckets <= 1 or not q:
-        return [], count, rows
-    grid = FIRST_BUCKETS
-    if n_buckets > FIRST_BUCKETS:
-        q, grid = list(_quantiles(dist, n_buckets, accuracy, with_count=False)["q"] or []), n_buckets
-    step = grid / n_buckets
-    picks = [q[min(len(q) - 1, max(0, int(round(i * step)) - 1))] for i in range(1, n_buckets)]
-    return sorted(set(picks)), count, rows
-
-
-def _with_bucket(dist: DataFrame, bounds: list[float]) -> DataFrame:
-    """Bucket index of ``_k``: monotone in ``_k``, ``len(bounds) + 1`` buckets.
-
-    A few bounds are compared in a generated expression; many bounds go
-    through Spark ML's ``Bucketizer``, which binary-searches them.
+    The sample holds the distinct values with the smallest hashes; how far
+    their hashes reach tells how many distinct values there are, and so how
+    many buckets are wanted.  More buckets than the sample serves take a
+    second, larger sample; there is no upper limit.
     """
+    size = SAMPLE_LABELS if n_buckets is None else max(SAMPLE_LABELS, 4 * n_buckets)
+    found: dict[str, list[str]] = {}
+    todo = list(cols)
+    while todo:
+        parts = [df.select(F.col(c).alias("v")).where(F.col("v").isNotNull()).distinct()
+                   .select(F.lit(i).alias("axis"), F.col("v").cast("string").alias("label"), F.xxhash64("v").alias("h"))
+                   .orderBy("h").limit(size) for i, c in enumerate(todo)]
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        sample: dict[str, list] = {c: [] for c in todo}
+        for r in rows.collect():
+            sample[todo[r["axis"]]].append((r["label"], r["h"]))
+        again, largest = [], size
+        for c, got in sample.items():
+            reach = (max((h for _, h in got), default=0) + 2 ** 63 + 1) / 2 ** 64
+            distinct = len(got) if len(got) < size else int((size - 1) / reach)
+            wanted = n_buckets or max(default_buckets(df), -(-distinct // VALUES_PER_BUCKET))
+            if 4 * wanted > size and len(got) == size:
+                again.append(c)
+                largest = max(largest, 4 * wanted)
+                continue
+            labels = sorted((label for label, _ in got), key=_order)
+            step = len(labels) / wanted
+            found[c] = sorted({labels[int(i * step)] for i in range(1, wanted) if int(i * step) > 0}) if labels else []
+        todo, size = again, largest
+    return found
+
+
+def _with_bucket(dist: DataFrame, col: str, bounds: list[str]) -> DataFrame:
+    """Bucket index: how many bounds are below the value (monotone in it)."""
     if not bounds:
         return dist.withColumn(_B, F.lit(0))
-    if len(bounds) <= 64:
-        arr = F.array(*[F.lit(float(b)) for b in bounds])
-        return dist.withColumn(_B, F.size(F.filter(arr, lambda b: b < F.col("_k"))))
-    from pyspark.ml.feature import Bucketizer
-
-    splits = [float("-inf"), *[float(b) for b in bounds], float("inf")]
-    out = Bucketizer(splits=splits, inputCol="_k", outputCol="_bk", handleInvalid="keep").transform(dist)
-    return out.withColumn(_B, F.col("_bk").cast("int")).drop("_bk")
-
-
-def cumulative_counts_sized(df: DataFrame, col: str, n_buckets: int | None = None,
-                            accuracy: int = 10000) -> tuple[DataFrame, int, int]:
-    """``(col, n, rank_start)`` per distinct value, the number of distinct
-    values and the number of rows (both from the bound job)."""
-    dist = (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("_k", _sort_key(df, col)))
-    bounds, n_distinct, n_rows = _bounds_and_count(dist, n_buckets, accuracy)
-    dist = _with_bucket(dist, bounds)
-    w = Window.partitionBy(_B).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    kind = dist.schema[col].dataType
+    arr = F.array(*[F.lit(b).cast(kind) for b in bounds])
+    return dist.withColumn(_B, F.size(F.filter(arr, lambda b: b < F.col(col))))
+
+
+def _cumulative(dist: DataFrame, col: str, bounds: list[str]) -> DataFrame:
+    """``(col, n, rank_start)`` from distinct values with their counts ``n``."""
+    dist = _with_bucket(dist, col, bounds)
+    w = Window.partitionBy(_B).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
     local = dist.withColumn("_local", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    # One row per bucket: bounded by n_buckets, so a broadcast join is safe.
-    totals = dist.groupBy(_B).agg(F.sum("n").alias("_bn"))
+    totals = dist.groupBy(_B).agg(F.sum("n").alias("_bn"))      # one row per bucket
     ow = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_bn").over(ow), F.lit(0))).select(_B, "_off")
-    out = local.join(F.broadcast(offsets), _B)
-    return out.select(col, "n", (F.col("_off") + F.col("_local")).alias("rank_start")), n_distinct, n_rows
+    offsets = totals.select(_B, F.coalesce(F.sum("_bn").over(ow), F.lit(0)).alias("_off"))
+    return local.join(offsets, _B).select(col, "n", (F.col("_off") + F.col("_local")).alias("rank_start"))
+
+
+def frequencies(df: DataFrame, col: str) -> DataFrame:
+    """``(col, n)``: rows of each distinct non-null value."""
+    return df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
 
 
 def cumulative_counts(df: DataFrame, col: str, n_buckets: int | None = None) -> DataFrame:
     """``(col, n, rank_start)`` for each distinct non-null value of ``col``."""
-    return cumulative_counts_sized(df, col, n_buckets)[0]
+    return _cumulative(frequencies(df, col), col, label_bounds(df, [col], n_buckets)[col])
 
 
-def dense_positions_sized(df: DataFrame, col: str, name: str = "pos",
-                          n_buckets: int | None = None) -> tuple[DataFrame, int]:
-    """Label positions and the number of labels."""
-    cc, n, _ = cumulative_counts_sized(df.select(col).distinct(), col, n_buckets)
-    return cc.select(col, F.col("rank_start").alias(name)), n
+def axis_positions(df: DataFrame, axes: dict[str, str], n_buckets: int | None = None) -> dict[str, DataFrame]:
+    """Per axis column a table ``(col, name)`` of 0-based positions of its
+    distinct labels in order (W1); all bounds come from one query."""
+    bounds = label_bounds(df, list(axes), n_buckets)
+    out = {}
+    for col, name in axes.items():
+        labels = df.select(col).where(F.col(col).isNotNull()).distinct().withColumn("n", F.lit(1).cast("long"))
+        out[col] = _cumulative(labels, col, bounds[col]).select(col, F.col("rank_start").alias(name))
+    return out
 
 
 def dense_positions(df: DataFrame, col: str, name: str = "pos", n_buckets: int | None = None) -> DataFrame:
     """``(col, pos)``: 0-based position of each distinct label on its sorted axis."""
-    return dense_positions_sized(df, col, name, n_buckets)[0]
-
+    return axis_positions(df, {col: name}, n_buckets)[col]
 
-def join_positions(df: DataFrame, col: str, name: str = "pos", n_buckets: int | None = None) -> DataFrame:
-    """``df`` with the position of its ``col`` label attached.
 
-    The position table is broadcast only when its label count - measured by
-    the same job that finds the bucket bounds - is at most
-    ``MAX_BROADCAST_LABELS``; beyond that it is a shuffle join.
-    """
-    pos, n = dense_positions_sized(df, col, name, n_buckets)
-    side = F.broadcast(pos) if n <= MAX_BROADCAST_LABELS else pos
-    return df.join(side, col)
+def join_positions(df: DataFrame, axes: dict[str, str], n_buckets: int | None = None) -> DataFrame:
+    """``df`` with the position of each axis label attached.  Rows with a null
+    label are kept, their position is null.  Spark chooses the join (it
+    broadcasts the label table only below its own size threshold)."""
+    out = df
+    for col, pos in axis_positions(df, axes, n_buckets).items():
+        out = out.join(pos, col, "left")
+    return out
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str],
-                    n_buckets: int | None = None) -> DataFrame:
+def quantiles_of(freq: DataFrame, col: str, probs: list[float], names: list[str], n_buckets: int | None = None) -> DataFrame:
     """One row of exact quantiles with linear interpolation between ranks
-    (the ``quantile_cont`` / numpy ``linear`` definition) (A13)."""
-    cc = cumulative_counts(df, col, n_buckets)
-    # The total is a scalar subquery, evaluated with the query itself, so the
-    # ranks and the total always come from the same data.
-    j = cc.withColumn("_total", cc.agg(F.sum("n")).scalar())
+    (the ``quantile_cont`` / numpy ``linear`` definition) of values given with
+    their frequencies ``(col, n)`` (A13)."""
+    cc = _cumulative(freq, col, label_bounds(freq, [col], n_buckets)[col])
+    j = cc.withColumn("_total", freq.agg(F.sum("n")).scalar())
     aggs = []
     for p, name in zip(probs, names):
         k = F.lit(p) * (F.col("_total") - 1)
@@ -168,3 +148,11 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str
     one = j.agg(*aggs)
     return one.select(*[(F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_f")).alias(n)
                         for n in names])
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str],
+                    n_buckets: int | None = None) -> DataFrame:
+    """One row of exact quantiles of the non-null values of ``col``."""
+    return quantiles_of(frequencies(df, col), col, probs, names, n_buckets)
+
+

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import METERS_TO_FEET, missing_as_null
 from .joins import with_scalars
-from .ranking import exact_quantiles
+from ..session import checkpoint_root
+from .ranking import frequencies, quantiles_of
 
 
 def forecast_obs_join(fc: DataFrame, obs: DataFrame, on: list[str], value: str = "value") -> DataFrame:
@@ -31,11 +32,16 @@ def site_error(merged: DataFrame, keys: list[str]) -> DataFrame:
 
 def describe(df: DataFrame, col: str) -> DataFrame:
     """count, mean, std (divisor n-1), min, quartiles (linear), max - one row."""
-    v = missing_as_null(col)
-    moments = df.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                     F.min(v).alias("min"), F.max(v).alias("max"))
-    clean = df.select(v.alias(col))
-    quart = exact_quantiles(clean, col, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
+    checkpoint_root(df.sparkSession)
+    # One pass makes (value, rows); moments and ranks both come from it.
+    freq = frequencies(df.select(missing_as_null(col).alias(col)), col).checkpoint(eager=True)
+    n, v = F.col("n"), F.col(col)
+    mean = freq.agg((F.sum(n * v) / F.sum(n)).alias("m")).scalar()
+    moments = freq.withColumn("_mean", mean).agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("count"), F.max("_mean").alias("mean"),
+        F.when(F.sum(n) > 1, F.sqrt(F.sum(n * (v - F.col("_mean")) ** 2) / F.nullif(F.sum(n) - 1, F.lit(0)))).alias("std"),
+        F.min(v).alias("min"), F.max(v).alias("max"))
+    quart = quantiles_of(freq, col, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
     return with_scalars(moments, quart).select("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 

@@ -86,15 +86,14 @@ UNION ALL
 SELECT 'square' AS layout, count(DISTINCT (chunk_time, chunk_feature)) AS nb_chunks
 FROM ({_sql_chunked(*lay.CHUNKS_SQUARE, f"f.feature_id IN {SQL_AREA_IDS} AND f.{SQL_CLOSED}")})""")
 def q_chunks_touched(spark, root):
-    flow = fx.flow(spark, root)
-    ids = study_ids(spark, root)
-    out = None
-    for name, shape in [("original", lay.CHUNKS_ORIGINAL), ("square", lay.CHUNKS_SQUARE)]:
-        chunked = lay.with_chunk_ids(flow, *shape)
-        sel = subset_ids(chunked, ids).where(range_closed("time", RANGE_START, RANGE_STOP))
-        one = lay.chunks_touched(sel).select(F.lit(name).alias("layout"), "nb_chunks")
-        out = one if out is None else out.unionByName(one)
-    return out
+    # Positions of both axes are found once and serve both shapes.
+    flow = lay.with_positions(fx.flow(spark, root), {"time": "_pt", "feature_id": "_pf"})
+    sel = subset_ids(flow, study_ids(spark, root)).where(range_closed("time", RANGE_START, RANGE_STOP))
+    shapes = F.array(*[F.struct(F.lit(name).alias("layout"), F.floor(F.col("_pt") / t).alias("chunk_time"),
+                                F.floor(F.col("_pf") / f).alias("chunk_feature"))
+                       for name, (t, f) in [("original", lay.CHUNKS_ORIGINAL), ("square", lay.CHUNKS_SQUARE)]])
+    return sel.select(F.inline(shapes)).groupBy("layout").agg(
+        F.count_distinct("chunk_time", "chunk_feature").alias("nb_chunks"))
 
 
 @query("q_cube_size", f"""
@@ -150,11 +149,12 @@ APPEND_SPLIT_LEAD = 6
 def q_archive_append(spark, root):
     fc = fo.with_lead(fx.forecast(spark, root))
     path = shared_dir(spark, "archive")
-    lay.append_slices([fc.where(F.col("lead") <= APPEND_SPLIT_LEAD), fc.where(F.col("lead") > APPEND_SPLIT_LEAD)],
-                      f"{path}/by_lead")
+    for part in (fc.where(F.col("lead") <= APPEND_SPLIT_LEAD), fc.where(F.col("lead") > APPEND_SPLIT_LEAD),
+                 fc.where(F.col("lead") > APPEND_SPLIT_LEAD)):      # the second delivery runs twice
+        lay.append_slices(part, f"{path}/by_lead", "lead", ["feature_id"])
     lay.write_sorted(spark.read.parquet(f"{path}/by_lead"), f"{path}/by_feature", "feature_id")
     back = spark.read.parquet(f"{path}/by_feature")
-    return rounded(back.select("feature_id", "reference_time", "time", "streamflow", "lead"))
+    return rounded(back.select("feature_id", "reference_time", "time", "streamflow", F.col("lead").cast("int").alias("lead")))
 
 
 @query("q_archive_two_axis", """
@@ -180,3 +180,13 @@ def q_sorted_layout(spark, root):
     path = shared_dir(spark, "sorted")
     lay.write_sorted(fx.flow(spark, root), path, "feature_id")
     return rounded(spark.read.parquet(path).where(F.col("feature_id") == POINT_FEATURE))
+
+
+@query("q_rechunk_rerun", _sql_chunked(*lay.CHUNKS_TRANSPOSED))
+def q_rechunk_rerun(spark, root):
+    """Two shapes into one folder: only the second is left."""
+    path = shared_dir(spark, "chunks_rerun")
+    for shape in (lay.CHUNKS_SQUARE, lay.CHUNKS_TRANSPOSED):
+        lay.write_chunked(lay.with_chunk_ids(fx.flow(spark, root), *shape), path, ["feature_id", "time"])
+    back = lay.read_chunked(spark, path)
+    return rounded(back.select("feature_id", "time", "streamflow", "chunk_time", "chunk_feature"))

@@ -9,10 +9,9 @@ from __future__ import annotations
 
 import re
 
-_CATALOG = ("SELECT DISTINCT concat('{prefix}nwm.', strftime(o_orderdate, '%Y%m%d'), '/short_range/nwm.t', "
-            "lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0'), 'z.short_range.channel_rt.f', "
-            "lpad(CAST(1 + o_orderkey % 18 AS VARCHAR), 3, '0'), '{suffix}') AS path "
-            "FROM orders WHERE o_orderkey % {mod} <> 0")
+_CATALOG = ("SELECT DISTINCT concat('{prefix}nwm.', strftime({day}, '%Y%m%d'), '/short_range/nwm.t', "
+            "lpad(CAST({key} % 24 AS VARCHAR), 2, '0'), 'z.short_range.channel_rt.f', "
+            "lpad(CAST(1 + {key} % 18 AS VARCHAR), 3, '0'), '{suffix}') AS path FROM {table}")
 
 VIEWS: dict[str, str] = {
     "flow": "SELECT l_suppkey AS feature_id, l_shipdate AS time, avg(l_quantity) AS streamflow "
@@ -22,14 +21,14 @@ VIEWS: dict[str, str] = {
     "forecast": "SELECT l_suppkey AS feature_id, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS reference_time, "
                 "CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS time, avg(l_quantity) AS streamflow "
                 "FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
-                "WHERE l_shipdate > o_orderdate AND l_shipdate < o_orderdate + INTERVAL 540 DAY GROUP BY 1, 2, 3",
+                "WHERE l_shipdate > o_orderdate GROUP BY 1, 2, 3",
     "grid": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS time, CAST(user_id % 10 AS DOUBLE) AS y, "
             "CAST(user_id AS DOUBLE) AS x, avg(value) AS zwattablrt FROM events GROUP BY 1, 2, 3",
     "gauge": "SELECT user_id AS site, CAST(date_trunc('day', ts) AS TIMESTAMP) AS value_date, avg(value) - 20 AS value "
-             "FROM events WHERE event_type = 'view' GROUP BY 1, 2",
+             "FROM events WHERE event_type NOT IN ('purchase', 'signup') GROUP BY 1, 2",
     "gauge_forecast": "SELECT user_id AS site, user_id + 1000 AS nwm_feature_id, "
                       "CAST(date_trunc('day', ts) AS TIMESTAMP) AS value_date, avg(value) AS value "
-                      "FROM events WHERE event_type = 'purchase' GROUP BY 1, 2, 3",
+                      "FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1, 2, 3",
     "huc": "SELECT lpad(CAST(n_regionkey AS VARCHAR), 2, '0') || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS huc4, "
            "lpad(CAST(n_regionkey AS VARCHAR), 2, '0') AS huc2, n_nationkey AS huc_key FROM nation",
     "reach": "SELECT c_custkey AS comid, c_nationkey AS huc_key FROM customer",
@@ -37,12 +36,12 @@ VIEWS: dict[str, str] = {
     "flowpaths": "SELECT DISTINCT l_orderkey AS id, l_partkey AS toid, l_linenumber AS ord FROM lineitem",
     "nexus": "SELECT s_suppkey AS id, s_acctbal < 0 AS outflow FROM supplier",
     "crosswalk": "SELECT o_orderkey AS id, o_custkey AS comid FROM orders",
-    "catalog_src": _CATALOG.format(prefix="", suffix=".conus.nc", mod=5),
-    "catalog_dst": _CATALOG.format(prefix="kerchunk/", suffix=".conus.json", mod=7),
+    "catalog_src": _CATALOG.format(prefix="", suffix=".conus.nc", day="o_orderdate", key="o_orderkey", table="orders"),
+    "catalog_dst": _CATALOG.format(prefix="kerchunk/", suffix=".conus.json", day="l_shipdate", key="l_orderkey", table="lineitem"),
     "seg": "SELECT vec_id AS comid, CAST(embedding[1] AS DOUBLE) * 10 AS x1, CAST(embedding[2] AS DOUBLE) * 10 AS y1, "
            "CAST(embedding[3] AS DOUBLE) * 10 AS x2, CAST(embedding[4] AS DOUBLE) * 10 AS y2 FROM embeddings",
     "coverage": "SELECT c_custkey AS toid, c_nationkey AS grp, CAST(c_custkey % 40 AS INTEGER) AS cx, "
-                "CAST(floor(c_custkey / 40) % 40 AS INTEGER) AS cy FROM customer",
+                "CAST(floor(c_custkey / 40) AS INTEGER) AS cy FROM customer",
     "results": "SELECT l_returnflag AS query, l_linenumber AS nb_days, "
                "CASE WHEN l_linestatus = 'O' THEN 'base' ELSE 'rechunked' END AS source, "
                "l_extendedprice / 1000 AS time FROM lineitem",
@@ -60,10 +59,6 @@ VIEWS: dict[str, str] = {
                   "(VALUES (0), (1), (2), (3)) AS c(v)",
 }
 
-# Views built on other views.
-DEPENDS: dict[str, list[str]] = {}
-
-
 def _used(sql: str) -> list[str]:
     found = []
     for name in VIEWS:
@@ -73,17 +68,8 @@ def _used(sql: str) -> list[str]:
 
 
 def with_views(body: str) -> str:
-    """Prefix ``body`` with CTEs for every fixture it names (and their inputs)."""
-    names: list[str] = []
-
-    def add(n: str) -> None:
-        for d in DEPENDS.get(n, []):
-            add(d)
-        if n not in names:
-            names.append(n)
-
-    for n in _used(body):
-        add(n)
+    """Prefix ``body`` with CTEs for every fixture it names ."""
+    names = _used(body)
     if not names:
         return body.strip()
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)

@@ -9,7 +9,6 @@ cluster names in ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -21,13 +20,13 @@ SQL_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
                   app: str = "tributary") -> SparkSession:
-    """A local session for tests and the bench (never used by operators)."""
+    """A local session for tests and the bench (never used by operators).  It
+    names a checkpoint folder only where the Spark defaults name none."""
     parts = shuffle_partitions or (os.cpu_count() if cores == "*" else int(cores))
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -40,12 +39,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
     )
     for k, v in SQL_DEFAULTS.items():
         builder = builder.config(k, v)
+    builder = with_checkpoint_dir(builder)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     apply_defaults(spark)
     return spark
 
 
+def with_checkpoint_dir(builder: SparkSession.Builder) -> SparkSession.Builder:
+    """For local sessions: name a checkpoint folder at build time unless the
+    Spark defaults already do."""
+    import tempfile
+
+    from pyspark import SparkConf
+    if SparkConf().get("spark.checkpoint.dir"):
+        return builder
+    return builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tributary-local-"))
+
+
 def apply_defaults(spark: SparkSession) -> None:
     """Set the SQL settings the operators rely on (UTC clock, AQE)."""
     for k, v in SQL_DEFAULTS.items():
@@ -53,16 +64,15 @@ def apply_defaults(spark: SparkSession) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a folder of
-    our own is made and registered, so later ``checkpoint()`` calls and
-    written tables land in the same place.
+    It is only read: a folder of one machine would not be seen by the others,
+    so an unset session is told what to set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="tributary-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share "
+                           "when the session is built (.config('spark.checkpoint.dir', ...)); written tables go there")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

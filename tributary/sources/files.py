@@ -20,9 +20,8 @@ def write_by_label(df: DataFrame, path: str, label: str, mode: str = "overwrite"
     value is spread over several tasks and files.
     """
     keys = [label, *(order_cols or [])]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-       .write.mode(mode).partitionBy(label).parquet(path))
+    (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+       .write.option("partitionOverwriteMode", "static").mode(mode).partitionBy(label).parquet(path))
 
 
 def read_stacked(spark: SparkSession, path: str, pattern: str, name: str,

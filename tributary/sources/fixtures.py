@@ -39,12 +39,11 @@ def flow_hourly(spark: SparkSession, root: str) -> DataFrame:
 
 
 def forecast(spark: SparkSession, root: str) -> DataFrame:
-    """Forecast cube ``(feature_id, reference_time, time, streamflow)``; monthly axes."""
+    """Forecast cube ``(feature_id, reference_time, time, streamflow)``; monthly
+    axes.  A forecast is valid after its reference time, by definition."""
     li = scan(spark, root, "lineitem")
     od = scan(spark, root, "orders")
-    j = li.join(od, li.l_orderkey == od.o_orderkey)
-    j = j.where((F.col("l_shipdate") > F.col("o_orderdate"))
-                & (F.col("l_shipdate") < F.col("o_orderdate") + F.expr("INTERVAL 540 DAYS")))
+    j = li.join(od, li.l_orderkey == od.o_orderkey).where(F.col("l_shipdate") > F.col("o_orderdate"))
     return (j.groupBy(F.col("l_suppkey").alias("feature_id"),
                       _ntz(F.date_trunc("month", "o_orderdate")).alias("reference_time"),
                       _ntz(F.date_trunc("month", "l_shipdate")).alias("time"))
@@ -60,9 +59,14 @@ def grid(spark: SparkSession, root: str) -> DataFrame:
               .agg(F.avg("value").alias("zwattablrt")))
 
 
+# The event types that stand for forecasts; all others are observations.
+FORECAST_EVENTS = ["purchase", "signup"]
+
+
 def gauge(spark: SparkSession, root: str) -> DataFrame:
-    """Gauge observations ``(site, value_date, value)``; some values negative."""
-    ev = scan(spark, root, "events").where(F.col("event_type") == "view")
+    """Gauge observations ``(site, value_date, value)``; some values negative.
+    Every event is an observation or a forecast (:func:`gauge_forecast`)."""
+    ev = scan(spark, root, "events").where(~F.col("event_type").isin(FORECAST_EVENTS))
     return (ev.groupBy(F.col("user_id").alias("site"),
                        _ntz(F.date_trunc("day", "ts")).alias("value_date"))
               .agg((F.avg("value") - 20).alias("value")))
@@ -70,7 +74,7 @@ def gauge(spark: SparkSession, root: str) -> DataFrame:
 
 def gauge_forecast(spark: SparkSession, root: str) -> DataFrame:
     """Forecasts at gauges ``(site, nwm_feature_id, value_date, value)``."""
-    ev = scan(spark, root, "events").where(F.col("event_type") == "purchase")
+    ev = scan(spark, root, "events").where(F.col("event_type").isin(FORECAST_EVENTS))
     return (ev.groupBy(F.col("user_id").alias("site"),
                        (F.col("user_id") + 1000).alias("nwm_feature_id"),
                        _ntz(F.date_trunc("day", "ts")).alias("value_date"))
@@ -112,23 +116,22 @@ def crosswalk(spark: SparkSession, root: str) -> DataFrame:
     return o.select(o.o_orderkey.alias("id"), o.o_custkey.alias("comid"))
 
 
-def _catalog(spark: SparkSession, root: str, prefix: str, suffix: str, keep_mod: int) -> DataFrame:
-    o = scan(spark, root, "orders").where(F.col("o_orderkey") % keep_mod != 0)
-    path = F.concat(F.lit(prefix + "nwm."), F.date_format("o_orderdate", "yyyyMMdd"),
-                    F.lit("/short_range/nwm.t"), _pad(o.o_orderkey % 24, 2),
-                    F.lit("z.short_range.channel_rt.f"), _pad(1 + o.o_orderkey % 18, 3),
+def _catalog(df: DataFrame, day: str, key: str, prefix: str, suffix: str) -> DataFrame:
+    path = F.concat(F.lit(prefix + "nwm."), F.date_format(day, "yyyyMMdd"),
+                    F.lit("/short_range/nwm.t"), _pad(F.col(key) % 24, 2),
+                    F.lit("z.short_range.channel_rt.f"), _pad(1 + F.col(key) % 18, 3),
                     F.lit(suffix))
-    return o.select(path.alias("path")).distinct()
+    return df.select(path.alias("path")).distinct()
 
 
 def catalog_src(spark: SparkSession, root: str) -> DataFrame:
-    """Source forecast files (object keys)."""
-    return _catalog(spark, root, "", ".conus.nc", 5)
+    """Source forecast files (object keys): one per order date and key."""
+    return _catalog(scan(spark, root, "orders"), "o_orderdate", "o_orderkey", "", ".conus.nc")
 
 
 def catalog_dst(spark: SparkSession, root: str) -> DataFrame:
-    """Index files made from the source files."""
-    return _catalog(spark, root, "kerchunk/", ".conus.json", 7)
+    """Index files: one per ship date and key, so the catalogs differ by themselves."""
+    return _catalog(scan(spark, root, "lineitem"), "l_shipdate", "l_orderkey", "kerchunk/", ".conus.json")
 
 
 def seg(spark: SparkSession, root: str) -> DataFrame:
@@ -139,7 +142,7 @@ def seg(spark: SparkSession, root: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("comid"), *xy)
 
 
-# The coverage lattice (cells per row and per column).
+# Fixed value: cells per row of the coverage lattice; it has as many rows as the keys fill.
 COVERAGE_SIDE = 40
 
 
@@ -149,7 +152,7 @@ def coverage(spark: SparkSession, root: str) -> DataFrame:
     c = scan(spark, root, "customer")
     return c.select(c.c_custkey.alias("toid"), c.c_nationkey.alias("grp"),
                     (c.c_custkey % COVERAGE_SIDE).cast("int").alias("cx"),
-                    (F.floor(c.c_custkey / COVERAGE_SIDE) % COVERAGE_SIDE).cast("int").alias("cy"))
+                    F.floor(c.c_custkey / COVERAGE_SIDE).cast("int").alias("cy"))
 
 
 def results(spark: SparkSession, root: str) -> DataFrame:

@@ -32,7 +32,7 @@ def refresh_once(source: DataFrame, index: DataFrame, out: str, keep_days: int,
     retained.write.mode("overwrite").parquet(paths["retained"])
     kept = retained.sparkSession.read.parquet(paths["retained"])  # each later step reads the artifact
     (cat.catalog_diff(kept.select("path"), index.select("path"))
-        .write.mode("overwrite").partitionBy("action").parquet(paths["diff"]))
+        .write.option("partitionOverwriteMode", "static").mode("overwrite").partitionBy("action").parquet(paths["diff"]))
     expected = cat.expected_files(kept, cycles, leads)
     cat.missing_files(expected, kept).write.mode("overwrite").parquet(paths["missing"])
     cat.manifest(kept).write.mode("overwrite").parquet(paths["manifest"])
