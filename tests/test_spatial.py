@@ -89,14 +89,121 @@ def test_long_segment_crosses_many_cells(spark):
     assert sp.intersects_lines(_rings_df(spark, poly), "pid", segs, "sid", 0.5).count() == 1
 
 
-def test_dissolve_of_one_polygon_is_its_edges_and_overlap_is_reported(spark):
-    one = _rings_df(spark, {1: [(0, 0), (1, 0), (1, 1), (0, 1)]})
-    e = sp.ring_edges(one, "pid")
-    assert sp.dissolve(e, "pid").count() == 4
-    three = _rings_df(spark, {1: [(0, 0), (1, 0), (1, 1), (0, 1)], 2: [(1, 0), (2, 0), (2, 1), (1, 1)],
-                              3: [(1, 0), (2, 0), (2, 1), (1, 1)]})
-    e3 = sp.ring_edges(three, "pid").withColumn("grp", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(0))
-    assert sp.overlaps(e3, "grp").count() == 1  # the shared edge is seen three times
+def _squares(spark, squares):
+    rows = [(0, i, v, float(x), float(y)) for i, (x0, y0, x1, y1) in enumerate(squares)
+            for v, (x, y) in enumerate([(x0, y0), (x1, y0), (x1, y1), (x0, y1)])]
+    return spark.createDataFrame(rows, "g long, pid long, v int, x double, y double")
+
+
+def _unit_outline(squares, n):
+    """Brute force on unit cells: unit edges with the union on one side only."""
+    inside = {(x, y) for x0, y0, x1, y1 in squares for x in range(x0, x1) for y in range(y0, y1)}
+    out = set()
+    for x in range(-1, n + 1):
+        for y in range(-1, n + 1):
+            if ((x, y) in inside) != ((x, y - 1) in inside):
+                out.add((x, y, x + 1, y))
+            if ((x, y) in inside) != ((x - 1, y) in inside):
+                out.add((x, y, x, y + 1))
+    return out
+
+
+def _as_units(edges):
+    out = set()
+    for r in edges:
+        x1, y1, x2, y2 = (int(v) for v in (r.x1, r.y1, r.x2, r.y2))
+        assert (x1, y1, x2, y2) == (r.x1, r.y1, r.x2, r.y2)
+        for k in range(max(x2 - x1, y2 - y1)):
+            dx, dy = (1, 0) if x2 > x1 else (0, 1)
+            e = (x1 + k * dx, y1 + k * dy, x1 + (k + 1) * dx, y1 + (k + 1) * dy)
+            assert e not in out
+            out.add(e)
+    return out
+
+
+def test_dissolve_is_a_union(spark):
+    """Shared sides of different length, overlaps, copies, containment, holes."""
+    rnd = random.Random(4)
+    cases = [[(0, 0, 2, 2), (2, 0, 4, 1)], [(0, 0, 3, 3), (1, 1, 4, 4)], [(0, 0, 2, 2), (0, 0, 2, 2)], [(0, 0, 5, 5), (1, 1, 3, 3)],
+             [(0, 0, 4, 1), (0, 3, 4, 4), (0, 1, 1, 3), (3, 1, 4, 3)], [(0, 0, 1, 1), (1, 1, 2, 2)]]
+    for _ in range(3):
+        cases.append([(x, y, x + rnd.randint(1, 5), y + rnd.randint(1, 5)) for x, y in
+                      [(rnd.randint(0, 9), rnd.randint(0, 9)) for _ in range(14)]])
+    for squares in cases:
+        got = sp.dissolve(_squares(spark, squares), "g", "pid", 2.0).collect()
+        assert _as_units(got) == _unit_outline(squares, 16), squares
+
+
+def test_dissolve_of_crossing_edges(spark):
+    """Two slanted squares cross at computed points: the outline closes."""
+    rows = [(0, p, v, x, y) for p, ring in enumerate([[(0, 0), (2, 0.3), (1.7, 2.2), (-0.2, 1.9)], [(1, 1), (3, 1.2), (2.8, 3.1), (0.9, 2.9)]])
+            for v, (x, y) in enumerate(ring)]
+    got = sp.dissolve(spark.createDataFrame([(*r[:3], float(r[3]), float(r[4])) for r in rows],
+                                            "g long, pid long, v int, x double, y double"), "g", "pid", 1.0).collect()
+    ends = {}
+    for r in got:
+        for p in ((r.x1, r.y1), (r.x2, r.y2)):
+            ends[p] = ends.get(p, 0) + 1
+    assert set(ends.values()) == {2} and len(got) == 8
+
+
+def test_covers_stops_at_a_notch_that_the_line_touches(spark):
+    """The line runs along the outline but leaves it over a notch."""
+    ring = [(-1, -1), (1, -1), (1, 0), (1.5, 1), (2, 0), (2, -1), (11, -1), (11, 3), (-1, 3)]
+    segs = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 0.0), (2, 2.0, 0.0, 10.0, 0.0), (3, 1.0, 0.0, 1.0, -1.0), (4, 1.5, 1.0, 1.5, 1.0),
+                                  (5, 1.5, 0.5, 1.5, 0.5)], "sid long, x1 double, y1 double, x2 double, y2 double")
+    got = {r.sid for r in sp.covers_lines(_rings_df(spark, {1: ring}), "pid", segs, "sid", 1.0).collect()}
+    assert got == {2, 3, 4}
+
+
+def test_covers_against_exact_arithmetic(spark):
+    """Random concave polygons and lines on a small lattice (many touches),
+    cut and tested with rational numbers."""
+    from fractions import Fraction as Q
+    rnd = random.Random(9)
+
+    def on_ring(p, ring):
+        return any(_orient(a, b, p) == 0 and _on_box(a, b, p) for a, b in zip(ring, ring[1:] + ring[:1]))
+
+    def inside(p, ring):
+        c = False
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            if (y1 > p[1]) != (y2 > p[1]) and p[0] < x1 + Q(p[1] - y1) * (x2 - x1) / (y2 - y1):
+                c = not c
+        return c
+
+    def covered(p, q, ring):
+        ts = {Q(0), Q(1)}
+        for a, b in zip(ring, ring[1:] + ring[:1]):
+            o1, o2 = _orient(a, b, p), _orient(a, b, q)
+            if o1 != o2 and (o1 > 0) != (o2 > 0) or o1 == 0 or o2 == 0:
+                if o1 != o2:
+                    ts.add(Q(o1, o1 - o2))
+            for v in (a, b):
+                if _orient(p, q, v) == 0 and p != q:
+                    k = 0 if p[0] != q[0] else 1
+                    ts.add(Q(v[k] - p[k], q[k] - p[k]))
+        ts = sorted(t for t in ts if 0 <= t <= 1)
+        mids = [(a + b) / 2 for a, b in zip(ts, ts[1:])]
+        return all(on_ring(m, ring) or inside(m, ring) for m in
+                   [(p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])) for t in mids])
+
+    rings = {1: [(0, 0), (8, 0), (8, 8), (6, 8), (6, 2), (4, 2), (4, 8), (2, 8), (2, 3), (0, 3)],
+             2: [(0, 0), (4, 2), (8, 0), (6, 4), (8, 8), (4, 6), (0, 8), (2, 4)]}
+    segs = [(i, rnd.randint(0, 8), rnd.randint(0, 8), rnd.randint(0, 8), rnd.randint(0, 8)) for i in range(250)]
+    df = spark.createDataFrame([(i, *map(float, c)) for i, *c in segs], "sid long, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.pid, r.sid) for r in sp.covers_lines(_rings_df(spark, rings), "pid", df, "sid", 1.5).collect()}
+    want = {(pid, i) for pid, ring in rings.items() for i, a, b, c, d in segs if covered((a, b), (c, d), ring)}
+    assert got == want and len(want) > 20
+
+
+def test_large_polygon_takes_few_cells(spark):
+    """Grid cells per polygon do not grow with its area."""
+    big = _rings_df(spark, {1: [(0, 0), (1000, 0), (1000, 900), (0, 900)]})
+    boxes = sp._ladder(sp._poly_boxes(sp.ring_edges(big, "pid"), ["pid"]), 0.5)
+    assert boxes.count() <= 4
+    pts = spark.createDataFrame([(1, 999.0, 1.0), (2, 1001.0, 5.0)], "q long, px double, py double")
+    assert {r.q for r in sp.points_in_polygons(pts, "q", sp.ring_edges(big, "pid"), "pid", 0.5).collect()} == {1}
 
 
 def test_near_boundary_distance(spark):
@@ -116,8 +223,8 @@ def _seg_dist2(p, a, b):
 
 
 def test_hot_cells_are_refined_and_exact(spark):
-    """Many segments in one cell: over the pair budget the cell is cut into
-    sub-cells; the pairs found must equal brute force."""
+    """Many segments in one cell: its load divides it into sub-cells; the
+    pairs found must equal brute force."""
     rnd = random.Random(7)
     a = [(i, rnd.uniform(0, 1), rnd.uniform(0, 1), rnd.uniform(0, 1), rnd.uniform(0, 1)) for i in range(60)]
     a += [(100 + i, rnd.uniform(-3, 3), rnd.uniform(-3, 3), rnd.uniform(-3, 3), rnd.uniform(-3, 3)) for i in range(20)]
@@ -125,12 +232,12 @@ def test_hot_cells_are_refined_and_exact(spark):
     schema_a = "aid long, x1 double, y1 double, x2 double, y2 double"
     da = spark.createDataFrame(a, schema_a)
     db = spark.createDataFrame(b, schema_a.replace("aid", "bid"))
-    got = {(r.aid, r.bid) for r in sp.segment_pairs(da, "aid", db, "bid", 1.0, budget=10, refine=4).collect()}
+    got = {(r.aid, r.bid) for r in sp.segment_pairs(da, "aid", db, "bid", 1.0, pairs_per_key=10).collect()}
     want = {(ia, ib) for ia, *pa in a for ib, *pb in b
             if _seg_hit((pa[0], pa[1]), (pa[2], pa[3]), (pb[0], pb[1]), (pb[2], pb[3]))}
     assert got == want and len(want) > 50
     near = {(r.aid, r.bid) for r in sp.segment_pairs(da, "aid", db, "bid", 1.0, sp.stage_within(0.05), grow=0.05,
-                                                     budget=10, refine=4).collect()}
+                                                     pairs_per_key=10).collect()}
     want_near = set()
     for ia, *pa in a:
         for ib, *pb in b:

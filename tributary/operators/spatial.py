@@ -9,12 +9,16 @@ Geometry enters as tables of coordinates:
 Candidate pairs come from a grid: every segment is cut into pieces no
 longer than one cell, each piece names the (at most four) cells its box
 touches, and pairs meet by an equi join on the cell key.  Cells per segment
-grow linearly with its length, never with its squared box.  Exact
-predicates then run on the original coordinates:
+grow linearly with its length.  A cell is divided by a factor that follows
+from its own load, so a dense spot meets in many small keys.  Joins have no
+explicit partitioning, so Spark splits what stays skewed.  Exact predicates
+then run on the original coordinates:
 
 * segment intersection by orientation signs (touching counts);
 * point in polygon by ray casting, counted per polygon and horizontal band
-  (edges are keyed by ``(polygon, band)``), odd crossings = inside;
+  (edges are keyed by ``(polygon, band)``), odd crossings = inside; points
+  find polygons on a ladder of grids, each polygon on the grid whose cells are
+  about its size (at most four cells per polygon, whatever its area);
 * segment distance as the least endpoint-to-segment distance.
 
 Everything is DataFrame joins and aggregates; no Python runs per row.
@@ -94,83 +98,49 @@ def segment_cells(segs: DataFrame, cell: float, grow: float = 0.0) -> DataFrame:
     return s.withColumn("cell", F.struct("_cx", "_cy")).drop("_k", "_np", "_cx", "_cy")
 
 
-def _refine(c: DataFrame, size: float, k: int, grow: float, sub_key: str) -> DataFrame:
-    """Rows of hot keys: the current piece (``_pax .. _pby``) is cut again at
-    ``size / k``; each sub-piece is keyed (column ``sub_key``) by the sub-cells
-    it touches inside its current cell (``_ccx, _ccy``), and becomes the
-    current piece and cell for a further level."""
-    sc = size / k
-    g = grow + 1e-9 * sc
-    dx, dy = F.col("_pbx") - F.col("_pax"), F.col("_pby") - F.col("_pay")
-    m = F.greatest(F.lit(1), F.ceil(F.sqrt(dx * dx + dy * dy) / sc).cast("int"))
-    r = c.withColumn("_j", F.explode(F.sequence(F.lit(0), m - 1))).withColumn("_m", m)
-    u0, u1 = F.col("_j") / F.col("_m"), (F.col("_j") + 1) / F.col("_m")
-    ax, ay = F.col("_pax") + u0 * dx, F.col("_pay") + u0 * dy
-    bx, by = F.col("_pax") + u1 * dx, F.col("_pay") + u1 * dy
-    r = r.withColumns({"_nax": ax, "_nay": ay, "_nbx": bx, "_nby": by})
-    r = (r.withColumn("_sx", F.explode(F.sequence(F.floor((F.least("_nax", "_nbx") - g) / sc),
-                                                  F.floor((F.greatest("_nax", "_nbx") + g) / sc))))
-          .withColumn("_sy", F.explode(F.sequence(F.floor((F.least("_nay", "_nby") - g) / sc),
-                                                  F.floor((F.greatest("_nay", "_nby") + g) / sc)))))
-    inside = (F.floor(F.col("_sx") / k) == F.col("_ccx")) & (F.floor(F.col("_sy") / k) == F.col("_ccy"))
-    r = r.where(inside).withColumn(sub_key, F.struct("_sx", "_sy"))
-    r = r.withColumns({"_pax": F.col("_nax"), "_pay": F.col("_nay"), "_pbx": F.col("_nbx"), "_pby": F.col("_nby"),
-                       "_ccx": F.col("_sx"), "_ccy": F.col("_sy")})
-    return r.drop("_j", "_m", "_sx", "_sy", "_nax", "_nay", "_nbx", "_nby")
-
-
-def _cells_as(df: DataFrame, id_col: str, p: str, cell: float, grow: float) -> DataFrame:
-    c = segment_cells(df.select(id_col, "x1", "y1", "x2", "y2"), cell, grow)
-    return c.select(id_col, "cell", "_pax", "_pay", "_pbx", "_pby",
+def _cells_as(df: DataFrame, ids: list[str], p: str, cell: float, grow: float) -> DataFrame:
+    c = segment_cells(df.select(*ids, "x1", "y1", "x2", "y2"), cell, grow)
+    return c.select(*ids, "cell", "_pax", "_pay", "_pbx", "_pby",
                     *[F.col(k).alias(f"{p}{k}") for k in ["x1", "y1", "x2", "y2"]])
 
 
-# Candidate pairs one key may produce before it is cut into
-# REFINE x REFINE sub-cells, and the deepest level of cutting.
-CELL_PAIR_BUDGET = 4_000_000
-REFINE = 16
-MAX_LEVELS = 3
-
+# Fixed value: candidate pairs that one key should produce.
+PAIRS_PER_KEY = 10_000
 
-def _keyed(ca: DataFrame, cb: DataFrame, cell: float, grow: float, budget: int,
-           refine: int, max_levels: int = MAX_LEVELS) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Join keys for both sides; dense cells get finer levels.
 
-    Pieces per key are counted on both sides (partial aggregation absorbs a
-    hot key).  A key whose candidate pairs ``n_a * n_b`` exceed ``budget`` is
-    cut into sub-cells and keyed one level deeper; this repeats (up to
-    ``max_levels``) while some key is over budget, so the pairs tested in a
-    dense spot fall with the sub-cell area instead of growing with the
-    square of its load.  A key is hot or not on both sides alike, so rows
-    left at a level (sub-key ``(0, 0)``) never meet refined rows.  When no
-    cell is over budget the plan is the plain cell join.
-    """
-    cur = {"_ccx": F.col("cell._cx"), "_ccy": F.col("cell._cy")}
-    ca, cb = ca.withColumns(cur), cb.withColumns(cur)
-    keys, size = ["cell"], cell
-    for level in range(max_levels):
-        na = ca.groupBy(*keys).agg(F.count(F.lit(1)).alias("_na"))
-        nb = cb.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nb"))
-        hot = (na.join(nb, keys).where(F.col("_na") * F.col("_nb") > F.lit(budget))
-                 .select(*keys, F.lit(True).alias("_hot")))
-        if hot.isEmpty():
-            break
-        sub_key = f"_sub{level}"
-
-        def split(c: DataFrame, hot=hot, keys=list(keys), size=size, sub_key=sub_key) -> DataFrame:
-            c = c.join(hot, keys, "left")
-            plain = c.where(F.col("_hot").isNull()).withColumn(
-                sub_key, F.struct(F.lit(0).cast("long").alias("_sx"), F.lit(0).cast("long").alias("_sy")))
-            fine = _refine(c.where(F.col("_hot").isNotNull()), size, refine, grow, sub_key)
-            return plain.unionByName(fine).drop("_hot")
-
-        # Each level's keyed pieces are checkpointed (reliable, in the shared
-        # checkpoint folder): the next level's count and the final join read
-        # them instead of recomputing every earlier level.
-        checkpoint_root(ca.sparkSession)
-        ca, cb = split(ca).checkpoint(), split(cb).checkpoint()
-        keys, size = keys + [sub_key], size / refine
-    return ca.drop("_ccx", "_ccy"), cb.drop("_ccx", "_ccy"), keys
+def _divided(c: DataFrame, load: DataFrame, by: list[str], cell: float, grow: float) -> DataFrame:
+    """Rows of cells that both sides have, keyed by sub-cell (``sub``): the
+    piece is cut at ``cell / k``, ``k`` being the cell's own divisor."""
+    c = c.join(load, [*by, "cell"])
+    size = F.lit(cell) / F.col("_div")
+    g = F.lit(grow) + F.lit(1e-9) * size
+    dx, dy = F.col("_pbx") - F.col("_pax"), F.col("_pby") - F.col("_pay")
+    m = F.greatest(F.lit(1), F.ceil(F.sqrt(dx * dx + dy * dy) / size).cast("int"))
+    r = c.withColumn("_m", m).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+    u0, u1 = F.col("_j") / F.col("_m"), (F.col("_j") + 1) / F.col("_m")
+    r = r.withColumns({"_nax": F.col("_pax") + u0 * dx, "_nay": F.col("_pay") + u0 * dy,
+                       "_nbx": F.col("_pax") + u1 * dx, "_nby": F.col("_pay") + u1 * dy})
+    for axis, lo, hi, own in (("_sx", "_nax", "_nbx", "cell._cx"), ("_sy", "_nay", "_nby", "cell._cy")):
+        first = F.greatest(F.floor((F.least(lo, hi) - g) / size), F.col(own) * F.col("_div"))
+        last = F.least(F.floor((F.greatest(lo, hi) + g) / size), (F.col(own) + 1) * F.col("_div") - 1)
+        r = r.withColumn(axis, F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
+    return r.withColumn("sub", F.struct("_sx", "_sy")).drop(
+        "_m", "_j", "_nax", "_nay", "_nbx", "_nby", "_sx", "_sy", "_div", "_pax", "_pay", "_pbx", "_pby")
+
+
+def candidate_segments(a: DataFrame, a_ids: list[str], b: DataFrame, b_ids: list[str], cell: float, grow: float = 0.0,
+                       by: list[str] | None = None, pairs_per_key: int = PAIRS_PER_KEY) -> DataFrame:
+    """Pairs of segments that come near each other: the ids and coordinates
+    (``a_*``, ``b_*``) of both; a pair may appear once per key it shares.
+    ``by``: columns that both sides have and that must be equal."""
+    by = by or []
+    ca = _cells_as(a, [*by, *a_ids], "a_", cell, grow)
+    cb = _cells_as(b, [*by, *b_ids], "b_", cell, grow)
+    na = ca.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("_na"))
+    nb = cb.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("_nb"))
+    div = F.greatest(F.lit(1), F.ceil(F.pow(F.col("_na") * F.col("_nb") / F.lit(float(pairs_per_key)), F.lit(0.25)))).cast("long")
+    load = na.join(nb, [*by, "cell"]).select(*by, "cell", div.alias("_div"))
+    return _divided(ca, load, by, cell, grow).join(_divided(cb, load, by, cell, grow), [*by, "cell", "sub"]).drop("cell", "sub")
 
 
 _A = ["a_x1", "a_y1", "a_x2", "a_y2"]
@@ -227,48 +197,59 @@ def stage_within(d: float):
     return run
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-
-
 def segment_pairs(a: DataFrame, a_id: str, b: DataFrame, b_id: str, cell: float, predicate=None,
-                  grow: float = 0.0, budget: int = CELL_PAIR_BUDGET, refine: int = REFINE) -> DataFrame:
+                  grow: float = 0.0, pairs_per_key: int = PAIRS_PER_KEY) -> DataFrame:
     """Distinct ``(a_id, b_id)`` with some segment of a and some segment of b
-    passing ``predicate`` (a staged filter; default :func:`stage_intersects`).
-
-    Both sides are hash-partitioned on the cell key, so the exact tests run
-    in parallel over cells whatever the layout of the input files.  Cells
-    over the pair budget are refined (:func:`_keyed`); what stays skewed is
-    split by AQE's skew-join handling.
-    """
+    passing ``predicate`` (a staged filter; default :func:`stage_intersects`)."""
     stage = predicate or stage_intersects
-    n = _partitions(a)
-    ca, cb, keys = _keyed(_cells_as(a, a_id, "a_", cell, grow), _cells_as(b, b_id, "b_", cell, grow),
-                          cell, grow, budget, refine)
-    piece = ["_pax", "_pay", "_pbx", "_pby"]
-    ca = ca.drop(*piece).repartition(n, *keys)
-    cb = cb.drop(*piece).repartition(n, *keys)
-    j = ca.join(cb, keys)
-    return stage(j).select(a_id, b_id).distinct()
+    return stage(candidate_segments(a, [a_id], b, [b_id], cell, grow, pairs_per_key=pairs_per_key)).select(a_id, b_id).distinct()
 
 
-def _edge_bands(edges: DataFrame, poly_id: str, band: float) -> DataFrame:
-    lo = F.floor(F.least("y1", "y2") / band)
-    hi = F.floor(F.greatest("y1", "y2") / band)
-    return edges.withColumn("_band", F.explode(F.sequence(lo, hi)))
+def _poly_boxes(edges: DataFrame, keys: list[str]) -> DataFrame:
+    return edges.groupBy(*keys).agg(F.min(F.least("x1", "x2")).alias("_xmin"), F.max(F.greatest("x1", "x2")).alias("_xmax"),
+                                    F.min(F.least("y1", "y2")).alias("_ymin"), F.max(F.greatest("y1", "y2")).alias("_ymax"))
 
 
-def _poly_boxes(edges: DataFrame, poly_id: str) -> DataFrame:
-    return edges.groupBy(poly_id).agg(F.min(F.least("x1", "x2")).alias("_xmin"),
-                                      F.max(F.greatest("x1", "x2")).alias("_xmax"),
-                                      F.min(F.least("y1", "y2")).alias("_ymin"),
-                                      F.max(F.greatest("y1", "y2")).alias("_ymax"))
+def _ladder(boxes: DataFrame, cell: float) -> DataFrame:
+    """Each box on the grid ``cell * 2^rung`` that is at least its size: at most four cells."""
+    side = F.greatest(F.col("_xmax") - F.col("_xmin"), F.col("_ymax") - F.col("_ymin"))
+    rung = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(cell)) / cell))).cast("int")
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("rung"))
+    return (boxes.withColumn("rung", rung)
+                 .withColumn("gx", F.explode(F.sequence(F.floor(F.col("_xmin") / size), F.floor(F.col("_xmax") / size))))
+                 .withColumn("gy", F.explode(F.sequence(F.floor(F.col("_ymin") / size), F.floor(F.col("_ymax") / size)))))
 
 
-def _box_cells(boxes: DataFrame, cell: float) -> DataFrame:
-    return (boxes.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("_xmin") / cell), F.floor(F.col("_xmax") / cell))))
-                 .withColumn("_cy", F.explode(F.sequence(F.floor(F.col("_ymin") / cell), F.floor(F.col("_ymax") / cell))))
-                 .withColumn("cell", F.struct("_cx", "_cy")).drop("_cx", "_cy"))
+def _ray_cast(cand: DataFrame, keys: list[str], pt_id: str, edges: DataFrame, cell: float, boundary: bool) -> DataFrame:
+    """The pairs (polygon ``keys``, ``pt_id``) of ``cand`` whose point (px, py) is inside."""
+    lo, hi = F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell)
+    bands = edges.select(*keys, "x1", "y1", "x2", "y2").withColumn("_band", F.explode(F.sequence(lo, hi)))
+    j = cand.withColumn("_band", F.floor(F.col("py") / cell)).join(bands, [*keys, "_band"])
+    x1, y1, x2, y2, px, py = (F.col(c) for c in ["x1", "y1", "x2", "y2", "px", "py"])
+    spans = (y1 > py) != (y2 > py)
+    crosses = spans & (px < F.when(spans, x1 + (py - y1) * (x2 - x1) / (y2 - y1)))
+    on_edge = point_on_segment(px, py, x1, y1, x2, y2)
+    agg = j.groupBy(pt_id, *keys).agg(F.count_if(crosses).alias("_nc"), F.max(on_edge.cast("int")).alias("_on"))
+    keep = (F.col("_nc") % 2 == 1)
+    if boundary:
+        keep = keep | (F.col("_on") == 1)
+    return agg.where(keep).select(pt_id, *keys)
+
+
+def box_candidates(points: DataFrame, pt_id: str, edges: DataFrame, keys: list[str], cell: float,
+                   by: list[str] | None = None) -> DataFrame:
+    """``(pt_id, keys, px, py)`` where the point lies in the polygon's box;
+    points are looked up once per rung in use.  ``by``: columns of ``keys``
+    that points have too and that must be equal."""
+    by = by or []
+    boxes = _ladder(_poly_boxes(edges, keys), cell)
+    top = boxes.agg(F.max("rung")).scalar()
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("rung"))
+    pc = (points.withColumn("rung", F.explode(F.sequence(F.lit(0), F.coalesce(top, F.lit(0)))))
+                .withColumn("gx", F.floor(F.col("px") / size)).withColumn("gy", F.floor(F.col("py") / size)))
+    cand = pc.join(boxes, [*by, "rung", "gx", "gy"]).where(
+        F.col("px").between(F.col("_xmin"), F.col("_xmax")) & F.col("py").between(F.col("_ymin"), F.col("_ymax")))
+    return cand.select(pt_id, *keys, "px", "py")
 
 
 def points_in_polygons(points: DataFrame, pt_id: str, edges: DataFrame, poly_id: str, cell: float,
@@ -276,37 +257,28 @@ def points_in_polygons(points: DataFrame, pt_id: str, edges: DataFrame, poly_id:
     """Distinct ``(pt_id, poly_id)`` with the point inside the polygon (even-odd);
     with ``boundary=True`` points on an edge count as inside.
 
-    Points meet the polygons whose box holds them (equi join on cell), then
-    the polygon's edges of the point's band (equi join on polygon and band).
+    Points meet the polygons whose box holds them (equi join on a ladder cell),
+    then the polygon's edges of the point's band (equi join on polygon and band).
     """
-    boxes = _poly_boxes(edges, poly_id)
-    pc = points.withColumn("cell", F.struct(F.floor(F.col("px") / cell).alias("_cx"),
-                                            F.floor(F.col("py") / cell).alias("_cy")))
-    cand = pc.join(_box_cells(boxes, cell), "cell").where(
-        F.col("px").between(F.col("_xmin"), F.col("_xmax")) & F.col("py").between(F.col("_ymin"), F.col("_ymax")))
-    cand = cand.select(pt_id, poly_id, "px", "py", F.floor(F.col("py") / cell).alias("_band"))
-    eb = _edge_bands(edges.select(poly_id, "x1", "y1", "x2", "y2"), poly_id, cell)
-    j = cand.join(eb, [poly_id, "_band"])
-    x1, y1, x2, y2, px, py = (F.col(c) for c in ["x1", "y1", "x2", "y2", "px", "py"])
-    spans = (y1 > py) != (y2 > py)
-    crosses = spans & (px < F.when(spans, x1 + (py - y1) * (x2 - x1) / (y2 - y1)))
-    on_edge = point_on_segment(px, py, x1, y1, x2, y2)
-    agg = j.groupBy(pt_id, poly_id).agg(F.count_if(crosses).alias("_nc"), F.max(on_edge.cast("int")).alias("_on"))
-    keep = (F.col("_nc") % 2 == 1)
-    if boundary:
-        keep = keep | (F.col("_on") == 1)
-    return agg.where(keep).select(pt_id, poly_id)
+    return _ray_cast(box_candidates(points, pt_id, edges, [poly_id], cell), [poly_id], pt_id, edges, cell, boundary)
 
 
 # ---------------------------------------------------------------- joins
 
+def kept_edges(rings: DataFrame, poly_id: str, ring_col: str | None = None) -> DataFrame:
+    """Ring edges, made once per query (reliable checkpoint): every step of a
+    spatial join reads them."""
+    checkpoint_root(rings.sparkSession)
+    return ring_edges(rings, poly_id, ring_col).checkpoint()
+
+
 def intersects_lines(polys: DataFrame, poly_id: str, segs: DataFrame, line_id: str, cell: float) -> DataFrame:
     """``(poly_id, line_id)`` for every line meeting a polygon.
 
     A line meets a polygon when one of its segments meets a ring edge, or -
     if it crosses no edge - when one of its vertices lies inside.
     """
-    edges = ring_edges(polys, poly_id)
+    edges = kept_edges(polys, poly_id)
     crossing = segment_pairs(edges, poly_id, segs, line_id, cell)
     # One test point per segment start; each point is counted on its own.
     pts = (segs.select(line_id, F.col("x1").alias("px"), F.col("y1").alias("py")).distinct()
@@ -318,7 +290,7 @@ def intersects_lines(polys: DataFrame, poly_id: str, segs: DataFrame, line_id: s
 def intersects_polygons(a: DataFrame, a_id: str, b: DataFrame, b_id: str, cell: float) -> DataFrame:
     """``(a_id, b_id)`` for every pair of polygons that share a point (J6):
     ring edges meet, or a vertex of one lies inside the other."""
-    ea, eb = ring_edges(a, a_id), ring_edges(b, b_id)
+    ea, eb = kept_edges(a, a_id), kept_edges(b, b_id)
     crossing = segment_pairs(ea, a_id, eb, b_id, cell)
     # Each vertex is its own test point (keyed by polygon and vertex number).
     va = a.select(F.struct(a_id, "v").alias("_pt"), F.col("x").alias("px"), F.col("y").alias("py"))
@@ -328,69 +300,137 @@ def intersects_polygons(a: DataFrame, a_id: str, b: DataFrame, b_id: str, cell:
     return crossing.unionByName(b_in_a).unionByName(a_in_b).distinct()
 
 
+# Fixed value: pieces of a segment shorter than this share of it are rounding.
+TINY = 1e-9
+
+
+def _along(px: Column, py: Column) -> Column:
+    """Position of a point on segment b, 0 at its start and 1 at its end."""
+    x1, y1, x2, y2 = (F.col(c) for c in _B)
+    dx, dy = x2 - x1, y2 - y1
+    len2 = dx * dx + dy * dy
+    return F.when(len2 > 0, ((px - x1) * dx + (py - y1) * dy) / F.nullif(len2, F.lit(0.0))).otherwise(F.lit(0.0))
+
+
 def covers_lines(polys: DataFrame, poly_id: str, segs: DataFrame, line_id: str, cell: float) -> DataFrame:
-    """``(poly_id, line_id)`` where the polygon covers the whole line.
+    """``(poly_id, line_id)`` where the polygon covers the whole line."""
+    return covers_lines_edges(kept_edges(polys, poly_id), poly_id, segs, line_id, cell)
 
-    Every vertex and every segment midpoint inside or on the boundary, and
-    no segment crossing a ring edge properly.
+
+def covers_lines_edges(edges: DataFrame, poly_id: str, segs: DataFrame, line_id: str, cell: float) -> DataFrame:
+    """Covers for outlines given as edges (holes and several parts by the
+    even-odd rule).
+
+    Each segment is cut at all its contacts with the outline; it is covered if
+    every piece runs along the outline or has its midpoint inside.  A segment
+    without contact is covered if its start is inside.
     """
-    edges = ring_edges(polys, poly_id)
-    ends = (segs.select(line_id, F.col("x1").alias("px"), F.col("y1").alias("py"))
-                .unionByName(segs.select(line_id, F.col("x2").alias("px"), F.col("y2").alias("py")))
-                .unionByName(segs.select(line_id, ((F.col("x1") + F.col("x2")) / 2).alias("px"),
-                                         ((F.col("y1") + F.col("y2")) / 2).alias("py"))))
-    ends = ends.distinct().withColumn("_pid", F.xxhash64(line_id, "px", "py"))
-    need = ends.groupBy(line_id).agg(F.count(F.lit(1)).alias("_need"))
-    inside = points_in_polygons(ends, "_pid", edges, poly_id, cell, boundary=True)
-    got = (inside.join(ends.select("_pid", line_id), "_pid")
-                 .groupBy(poly_id, line_id).agg(F.count_distinct("_pid").alias("_got")))
-    full = got.join(need, line_id).where(F.col("_got") == F.col("_need")).select(poly_id, line_id)
-    crossing = segment_pairs(edges, poly_id, segs, line_id, cell, stage_proper)
-    return full.join(crossing, [poly_id, line_id], "left_anti")
+    s = segs.select(line_id, "x1", "y1", "x2", "y2").distinct()
+    p1x, p1y, p2x, p2y = (F.col(c) for c in _A)
+    q1x, q1y, q2x, q2y = (F.col(c) for c in _B)
+    o1, o2, o3, o4 = (F.col(c) for c in ["_o1", "_o2", "_o3", "_o4"])
+    hit = stage_intersects(candidate_segments(edges, [poly_id], s, [line_id], cell))
+    point = (q1x == q2x) & (q1y == q2y)
+    ta, tb = _along(p1x, p1y), _along(p2x, p2y)
+    cuts = F.array_compact(F.array(
+        F.when(_proper_from_orients(), o1 / F.nullif(o1 - o2, F.lit(0.0))),
+        F.when((o3 == 0) & _on_box(q1x, q1y, q2x, q2y, p1x, p1y), ta),
+        F.when((o4 == 0) & _on_box(q1x, q1y, q2x, q2y, p2x, p2y), tb)))
+    run = F.when((o1 == 0) & (o2 == 0), F.when(point, F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))).otherwise(
+        F.struct(F.least(ta, tb).alias("lo"), F.greatest(ta, tb).alias("hi"))))
+    seg = F.struct(*[F.col(c).alias(c[2:]) for c in _B]).alias("seg")
+    met = hit.select(poly_id, line_id, seg, cuts.alias("cuts"), run.alias("run")).groupBy(poly_id, line_id, "seg").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.array(F.array(F.lit(0.0), F.lit(1.0)), F.flatten(F.collect_list("cuts")))))).alias("t"),
+        F.collect_set("run").alias("runs"))
+    pieces = met.select(poly_id, line_id, "seg", "runs", F.explode(F.expr(
+        "transform(sequence(1, size(t) - 1), i -> struct(t[i - 1] as lo, t[i] as hi))")).alias("p"))
+    along = F.exists("runs", lambda r: (r["lo"] <= F.col("p.lo") + TINY) & (F.col("p.hi") <= r["hi"] + TINY))
+    mid = (F.col("p.lo") + F.col("p.hi")) / 2
+    open_ = pieces.where((F.col("p.hi") - F.col("p.lo") > TINY) & ~along).select(
+        poly_id, F.struct(line_id, "seg", mid.alias("t")).alias("_pt"),
+        (F.col("seg.x1") + mid * (F.col("seg.x2") - F.col("seg.x1"))).alias("px"),
+        (F.col("seg.y1") + mid * (F.col("seg.y2") - F.col("seg.y1"))).alias("py"))
+    inside = _ray_cast(open_, [poly_id], "_pt", edges, cell, False)
+    bad = open_.join(inside, [poly_id, "_pt"], "left_anti").select(
+        poly_id, F.col(f"_pt.{line_id}").alias(line_id), F.col("_pt.seg").alias("seg")).distinct()
+    touched = met.select(poly_id, line_id, "seg")
+    whole = s.select(line_id, F.struct("x1", "y1", "x2", "y2").alias("seg"))
+    starts = whole.select(F.struct(line_id, "seg").alias("_pt"), F.col("seg.x1").alias("px"), F.col("seg.y1").alias("py"))
+    free = points_in_polygons(starts, "_pt", edges, poly_id, cell).select(
+        poly_id, F.col(f"_pt.{line_id}").alias(line_id), F.col("_pt.seg").alias("seg")).join(touched, [poly_id, line_id, "seg"], "left_anti")
+    covered = free.unionByName(touched.join(bad, [poly_id, line_id, "seg"], "left_anti"))
+    need = s.groupBy(line_id).agg(F.count(F.lit(1)).alias("_need"))
+    return covered.groupBy(poly_id, line_id).agg(F.count(F.lit(1)).alias("_got")).join(need, line_id) \
+        .where(F.col("_got") == F.col("_need")).select(poly_id, line_id)
 
 
 def near_boundary(polys: DataFrame, poly_id: str, segs: DataFrame, line_id: str, d: float, cell: float) -> DataFrame:
     """``(poly_id, line_id)`` for lines within ``d`` of the polygon outline."""
-    edges = ring_edges(polys, poly_id)
-    return segment_pairs(edges, poly_id, segs, line_id, cell, stage_within(d), grow=d)
+    return near_edges(kept_edges(polys, poly_id), poly_id, segs, line_id, d, cell)
 
 
-def dissolve(edges: DataFrame, group: str) -> DataFrame:
-    """Outline of a coverage per group: undirected edges seen exactly once.
-
-    Neighbouring cells share edges, which then appear twice and cancel.  An
-    edge seen more than twice means overlapping cells; :func:`overlaps`
-    reports those.
-    """
-    return _undirected_counts(edges, group).where(F.col("_n") == 1).drop("_n")
+def near_edges(edges: DataFrame, poly_id: str, segs: DataFrame, line_id: str, d: float, cell: float) -> DataFrame:
+    """Lines (or points, as segments without length) within ``d`` of an outline given as edges."""
+    return segment_pairs(edges, poly_id, segs, line_id, cell, stage_within(d), grow=d)
 
 
-def overlaps(edges: DataFrame, group: str) -> DataFrame:
-    """Edges seen more than twice in a group: the coverage overlaps itself."""
-    return _undirected_counts(edges, group).where(F.col("_n") > 2)
+def dissolve(rings: DataFrame, group: str, poly_id: str, cell: float) -> DataFrame:
+    """Outline of the union of each group's simple polygons (A20), as
+    undirected edges ``(group, x1, y1, x2, y2)``.
 
+    Every edge is cut where others of its group meet it.  Of equal pieces only
+    those stay that have the inside on one side alone, and of these only
+    pieces that do not lie inside another polygon of the group.
+    """
+    checkpoint_root(rings.sparkSession)
+    keyed = rings.withColumn("_poly", F.struct(group, poly_id))
+    edges = ring_edges(keyed.select("_poly", "v", "x", "y"), "_poly")
+    turn = edges.groupBy("_poly").agg(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")).alias("_area"))
+    edges = edges.join(turn, "_poly").select(F.col(f"_poly.{group}").alias(group), F.col(f"_poly.{poly_id}").alias(poly_id),
+                                             "x1", "y1", "x2", "y2", (F.col("_area") > 0).alias("_left")).checkpoint()
+    flat = edges.select(group, "x1", "y1", "x2", "y2").distinct()
+    met = stage_intersects(candidate_segments(flat, [], flat, [], cell, by=[group]))
+    met = met.where(~((F.col("a_x1") == F.col("b_x1")) & (F.col("a_y1") == F.col("b_y1"))
+                      & (F.col("a_x2") == F.col("b_x2")) & (F.col("a_y2") == F.col("b_y2"))))
+    a, b = (F.struct(*[F.col(c).alias(c[2:]) for c in side]) for side in (_A, _B))
+    first, second = F.least(a, b), F.greatest(a, b)      # one order, so both edges get the same crossing point
+    f1x, f1y, f2x, f2y = (first[c] for c in ("x1", "y1", "x2", "y2"))
+    s1x, s1y, s2x, s2y = (second[c] for c in ("x1", "y1", "x2", "y2"))
+    u1, u2 = orient(s1x, s1y, s2x, s2y, f1x, f1y), orient(s1x, s1y, s2x, s2y, f2x, f2y)
+    t = u1 / F.nullif(u1 - u2, F.lit(0.0))
+    p1x, p1y, p2x, p2y = (F.col(c) for c in _A)
+    q1x, q1y, q2x, q2y = (F.col(c) for c in _B)
 
-def _undirected_counts(edges: DataFrame, group: str) -> DataFrame:
-    first = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") <= F.col("y2")))
-    norm = edges.select(group,
-                        F.when(first, F.col("x1")).otherwise(F.col("x2")).alias("x1"),
-                        F.when(first, F.col("y1")).otherwise(F.col("y2")).alias("y1"),
-                        F.when(first, F.col("x2")).otherwise(F.col("x1")).alias("x2"),
-                        F.when(first, F.col("y2")).otherwise(F.col("y1")).alias("y2"))
-    return norm.groupBy(group, "x1", "y1", "x2", "y2").agg(F.count(F.lit(1)).alias("_n"))
+    def place(x, y):
+        return F.struct(_along(x, y).alias("t"), x.alias("x"), y.alias("y"))
+
+    cuts = F.array_compact(F.array(
+        F.when(_proper_from_orients(), place(f1x + t * (f2x - f1x), f1y + t * (f2y - f1y))),
+        F.when((F.col("_o3") == 0) & _on_box(q1x, q1y, q2x, q2y, p1x, p1y), place(p1x, p1y)),
+        F.when((F.col("_o4") == 0) & _on_box(q1x, q1y, q2x, q2y, p2x, p2y), place(p2x, p2y))))
+    by_edge = met.select(group, *[F.col(c).alias(c[2:]) for c in _B], F.explode(cuts).alias("cut")) \
+        .where((F.col("cut.t") > 0) & (F.col("cut.t") < 1)).groupBy(group, "x1", "y1", "x2", "y2").agg(F.collect_set("cut").alias("cuts"))
+    ends = F.array(F.struct(F.lit(0.0).alias("t"), F.col("x1").alias("x"), F.col("y1").alias("y")),
+                   F.struct(F.lit(1.0).alias("t"), F.col("x2").alias("x"), F.col("y2").alias("y")))
+    marks = F.array_sort(F.concat(ends, F.coalesce("cuts", F.array().cast("array<struct<t:double,x:double,y:double>>"))))
+    pieces = edges.join(by_edge, [group, "x1", "y1", "x2", "y2"], "left").withColumn("m", marks).select(
+        group, poly_id, "_left", F.explode(F.expr("transform(sequence(1, size(m) - 1), i -> struct(m[i - 1] as a, m[i] as b))")).alias("p"))
+    forward = (F.col("p.a.x") < F.col("p.b.x")) | ((F.col("p.a.x") == F.col("p.b.x")) & (F.col("p.a.y") <= F.col("p.b.y")))
+    lo, hi = F.when(forward, F.col("p.a")).otherwise(F.col("p.b")), F.when(forward, F.col("p.b")).otherwise(F.col("p.a"))
+    pieces = pieces.select(group, poly_id, lo["x"].alias("x1"), lo["y"].alias("y1"), hi["x"].alias("x2"), hi["y"].alias("y2"),
+                           (F.col("_left") == forward).alias("_left")) \
+        .where((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2"))).checkpoint()
+    key = [group, "x1", "y1", "x2", "y2"]
+    walls = pieces.groupBy(*key).agg(F.max("_left").alias("l"), F.min("_left").alias("r")).where(F.col("l") == F.col("r")).select(*key)
+    mids = walls.select(group, F.struct(*key).alias("_pt"), ((F.col("x1") + F.col("x2")) / 2).alias("px"),
+                        ((F.col("y1") + F.col("y2")) / 2).alias("py"))
+    near = box_candidates(mids, "_pt", edges, [group, poly_id], cell, by=[group])
+    others = near.join(pieces.select(group, poly_id, F.struct(*key).alias("_pt")).distinct(), [group, poly_id, "_pt"], "left_anti")
+    hidden = _ray_cast(others, [group, poly_id], "_pt", edges, cell, False).select("_pt.*").distinct()
+    return walls.join(hidden, key, "left_anti")
 
 
 def bounds(points: DataFrame, key: str, x: str = "x", y: str = "y") -> DataFrame:
     """Bounding box per geometry."""
     return points.groupBy(key).agg(F.min(x).alias("xmin"), F.min(y).alias("ymin"),
                                    F.max(x).alias("xmax"), F.max(y).alias("ymax"))
-
-
-def box_corners(boxes: DataFrame, key: str) -> DataFrame:
-    """The box as a ring of four corners ``(key, v, x, y)``."""
-    corners = F.array(
-        F.struct(F.lit(0).alias("v"), F.col("xmin").alias("x"), F.col("ymin").alias("y")),
-        F.struct(F.lit(1).alias("v"), F.col("xmax").alias("x"), F.col("ymin").alias("y")),
-        F.struct(F.lit(2).alias("v"), F.col("xmax").alias("x"), F.col("ymax").alias("y")),
-        F.struct(F.lit(3).alias("v"), F.col("xmin").alias("x"), F.col("ymax").alias("y")))
-    return boxes.select(key, F.explode(corners).alias("c")).select(key, "c.v", "c.x", "c.y")

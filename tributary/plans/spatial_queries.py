@@ -3,6 +3,8 @@ bounds, bounding-box selection, coordinate transforms."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -57,17 +59,16 @@ def q_poly_intersects(spark, root):
     return sp.intersects_polygons(fx.areas(spark, root), "area_id", fx.catchments(spark, root), "catchment_id", CELL)
 
 
+# Independent of the engine's rule: the bound watersheds are convex and listed
+# counter-clockwise, so an area covers a segment if both ends are on the inner
+# side of all its edges.
 @query("q_spatial_covers", f"""
 WITH {_AE},
-pts AS (SELECT comid, x1 AS px, y1 AS py FROM seg UNION SELECT comid, x2 AS px, y2 AS py FROM seg
-        UNION SELECT comid, (x1 + x2) / 2 AS px, (y1 + y2) / 2 AS py FROM seg),
-need AS (SELECT comid, count(*) AS n FROM pts GROUP BY 1),
-pin AS (SELECT ae.area_id, p.comid, p.px, p.py FROM ae, pts p GROUP BY 1, 2, 3, 4
-        HAVING sum({q.crossing('p.px', 'p.py', *_EDGE)}) % 2 = 1
-            OR max(CASE WHEN {q.on_segment('p.px', 'p.py', *_EDGE)} THEN 1 ELSE 0 END) = 1),
-cov AS (SELECT pin.area_id, pin.comid FROM pin JOIN need USING (comid) GROUP BY 1, 2, need.n HAVING count(*) = need.n),
-crs AS (SELECT DISTINCT ae.area_id, s.comid FROM ae, seg s WHERE {q.proper(*_EDGE, *_SEG)})
-SELECT area_id, comid FROM cov EXCEPT SELECT area_id, comid FROM crs""")
+out AS (SELECT DISTINCT ae.area_id, s.comid FROM ae, seg s
+        WHERE {q.orient('ae.x1', 'ae.y1', 'ae.x2', 'ae.y2', 's.x1', 's.y1')} < 0
+           OR {q.orient('ae.x1', 'ae.y1', 'ae.x2', 'ae.y2', 's.x2', 's.y2')} < 0)
+SELECT a.area_id, s.comid FROM (SELECT DISTINCT area_id FROM areas) a, seg s
+EXCEPT SELECT area_id, comid FROM out""")
 def q_spatial_covers(spark, root):
     return sp.covers_lines(fx.areas(spark, root), "area_id", fx.seg(spark, root), "comid", CELL)
 
@@ -84,7 +85,7 @@ def _square_rings(spark, root):
     cells = fx.coverage(spark, root).select("grp", "cx", "cy").distinct()
     corners = F.array(*[F.struct(F.lit(i).alias("v"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
                         for i, (dx, dy) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1)])])
-    v = cells.select("grp", (F.col("cx") * fx.COVERAGE_SIDE + F.col("cy")).alias("cell"), "cx", "cy",
+    v = cells.select("grp", (F.col("cy") * fx.COVERAGE_SIDE + F.col("cx")).alias("cell"), "cx", "cy",
                      F.explode(corners).alias("c"))
     return v.select("grp", "cell", F.col("c.v").alias("v"), (F.col("cx") + F.col("c.dx")).cast("double").alias("x"),
                     (F.col("cy") + F.col("c.dy")).cast("double").alias("y"))
@@ -98,8 +99,7 @@ e AS (SELECT grp, x0 AS x1, y0 AS y1, x0 + 1 AS x2, y0 AS y2 FROM sq
       UNION ALL SELECT grp, x0, y0, x0, y0 + 1 FROM sq)
 SELECT grp, x1, y1, x2, y2 FROM e GROUP BY ALL HAVING count(*) = 1""")
 def q_dissolve(spark, root):
-    edges = sp.ring_edges(_square_rings(spark, root), "grp", "cell").drop("cell")
-    return sp.dissolve(edges, "grp")
+    return sp.dissolve(_square_rings(spark, root), "grp", "cell", CELL)
 
 
 @query("q_bounds", """
@@ -144,7 +144,7 @@ def _albers_sql(lon, lat):
 
 def _lcc_sql(lon, lat):
     k = geo.lcc_constants(**geo.LCC_GRID)
-    t = f"tan({__import__('math').pi / 4!r} + radians({lat}) / 2)"
+    t = f"tan({math.pi / 4!r} + radians({lat}) / 2)"
     rho = f"({k['r'] * k['f']!r} / pow({t}, {k['n']!r}))"
     th = f"({k['n']!r} * (radians({lon}) - {k['lon_0']!r}))"
     return f"{rho} * sin({th})", f"{k['rho0']!r} - {rho} * cos({th})"
