@@ -21,7 +21,3 @@ def missing_as_null(c) -> Column:
     """NaN cells count as missing: array reductions skip them, Spark's ``avg`` would not."""
     c = _col(c)
     return F.nanvl(c, F.lit(None).cast("double"))
-
-
-def r6(c) -> Column:
-    return F.round(_col(c), DECIMALS)

@@ -30,10 +30,6 @@ def path_key(path) -> Column:
     return F.array_join(F.slice(parts, start, 3), "/")
 
 
-def base_name(path) -> Column:
-    return F.element_at(F.split(_col(path), "/"), -1)
-
-
 def folder_date(path) -> Column:
     """The ``YYYYMMDD`` of the ``nwm.`` folder as a DATE."""
     raw = F.regexp_extract(_col(path), FOLDER_DATE, 1)

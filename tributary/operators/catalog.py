@@ -2,7 +2,7 @@
 
 A catalog is a DataFrame with a ``path`` column (object keys).  Every
 operator is a set of joins and aggregates over catalogs, so listing size
-does not matter: the diff is two anti joins, retention a one-row maximum
+does not matter: the diff is one full outer join, retention a one-row maximum
 attached by broadcast, and the expected-file grid a bounded explode per day.
 """
 
@@ -19,20 +19,15 @@ def catalog_diff(source: DataFrame, destination: DataFrame) -> DataFrame:
     """``(action, path)``: source files with no index yet (``create``) and
     index files whose source is gone (``delete``) (J11, I3).
 
-    Two anti joins against the *distinct* keys of the other side (map-side
-    de-duplication keeps the build side small; Spark broadcasts it under the
-    size threshold).  A key repeated on the streaming side is a skewed
-    partition that AQE splits, which a window over each key could not do.
+    One full outer join on the key: each catalog is read once and its key
+    computed once; rows without a partner are the difference.
     """
-    # Entries without a path are not files.  With null paths gone the key is
-    # made non-nullable, so the optimizer infers no extra not-null filter that
-    # would build every key twice.
-    key = F.coalesce(path_key("path"), F.lit("")).alias("key")
-    src = source.where(F.col("path").isNotNull()).select("path", key)
-    dst = destination.where(F.col("path").isNotNull()).select("path", key)
-    create = src.join(dst.select("key").distinct(), "key", "left_anti").select(F.lit("create").alias("action"), "path")
-    delete = dst.join(src.select("key").distinct(), "key", "left_anti").select(F.lit("delete").alias("action"), "path")
-    return create.unionByName(delete)
+    # Entries without a path are not files.
+    src, dst = [df.where(F.col("path").isNotNull()).select(F.col("path").alias(name), path_key("path").alias("key"))
+                for df, name in ((source, "_src"), (destination, "_dst"))]
+    both = src.join(dst, "key", "full_outer").where(F.col("_src").isNull() | F.col("_dst").isNull())
+    return both.select(F.when(F.col("_dst").isNull(), "create").otherwise("delete").alias("action"),
+                       F.coalesce("_src", "_dst").alias("path"))
 
 
 def keep_recent_days(catalog: DataFrame, n_days: int) -> DataFrame:

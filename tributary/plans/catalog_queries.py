@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import parse_forecast_path, path_key
 from ..operators import catalog as cat
+from ..session import shared_dir
 from ..sources import fixtures as fx
 from ..sources.tables import scan
+from ..streaming.refresh import read_artifact, refresh_once
 from .common import CYCLES, LEADS, RETENTION_DAYS, dates_as_timestamps
 from .registry import query
 
@@ -41,6 +43,19 @@ def q_catalog_diff(spark, root):
     return cat.catalog_diff(fx.catalog_src(spark, root), fx.catalog_dst(spark, root))
 
 
+@query("q_refresh_rerun", f"""
+SELECT 'create' AS action, path FROM {_SQL_KEPT} WHERE {_SQL_KEY} NOT IN (SELECT {_SQL_KEY} FROM catalog_dst)""")
+def q_refresh_rerun(spark, root):
+    """The refresh job run twice into one folder, the second time without
+    stale index files: none of the first run's deletions is left."""
+    src, dst, out = fx.catalog_src(spark, root), fx.catalog_dst(spark, root), shared_dir(spark, "refresh")
+    refresh_once(src, dst, out, RETENTION_DAYS, CYCLES, LEADS)
+    kept = cat.keep_recent_days(src, RETENTION_DAYS).select(path_key("path").alias("key"))
+    current = dst.withColumn("key", path_key("path")).join(kept, "key", "left_semi").select("path")
+    paths = refresh_once(src, current, out, RETENTION_DAYS, CYCLES, LEADS)
+    return read_artifact(spark, paths, "diff").select("action", "path")
+
+
 @query("q_retention", f"SELECT path, CAST(folder_date AS TIMESTAMP) AS folder_date FROM {_SQL_KEPT}")
 def q_retention(spark, root):
     return dates_as_timestamps(cat.keep_recent_days(fx.catalog_src(spark, root), RETENTION_DAYS))

@@ -8,7 +8,7 @@ from ..operators import forecast as fo
 from ..operators.ids import subset_ids
 from ..session import shared_dir
 from ..sources import fixtures as fx
-from ..sources.files import read_stacked, write_by_label
+from ..sources.files import list_objects, read_stacked, write_by_label
 from .common import SQL_AREA_IDS, rounded, study_ids
 from .registry import query
 
@@ -89,6 +89,16 @@ def q_lead_hour(spark, root):
     return rounded(fo.with_lead(fx.forecast(spark, root)))
 
 
+@query("q_lead_hours_hourly", """
+SELECT feature_id, reference_time, time, round(streamflow, 6) AS streamflow,
+       CAST(date_diff('hour', reference_time, time) AS INTEGER) AS lead
+FROM forecast_hourly""")
+def q_lead_hours_hourly(spark, root):
+    """Hourly cycles keyed by lead hour."""
+    out = fo.with_lead(fx.forecast_hourly(spark, root), unit="hours")
+    return rounded(out.withColumn("lead", F.col("lead").cast("int")))
+
+
 @query("q_last_days_two_axes", f"""
 WITH fc AS ({_SQL_FC}), a AS (SELECT max(reference_time) AS anchor FROM fc)
 SELECT feature_id, reference_time, time, round(streamflow, 6) AS streamflow FROM fc, a
@@ -114,6 +124,16 @@ def q_stack_files(spark, root):
     return rounded(st.select("feature_id", "reference_time", "time", "streamflow"))
 
 
+@query("q_list_objects", """
+SELECT DISTINCT strftime(reference_time, '%Y%m%d') AS ref FROM forecast""")
+def q_list_objects(spark, root):
+    """Object listing of landed forecast files: one folder per reference time."""
+    path = shared_dir(spark, "list_objects")
+    _land_forecast(spark, root, path, fx.forecast(spark, root))
+    files = list_objects(spark, path, suffix=".parquet").where(F.col("length") > 0)
+    return files.select(F.regexp_extract("path", r"ref=(\d{8})", 1).alias("ref")).distinct()
+
+
 @query("q_combined_forecast", f"""
 SELECT feature_id, reference_time, time,
        round(CASE WHEN month(reference_time) % 2 = 1 THEN streamflow + {REDELIVERY_OFFSET} ELSE streamflow END, 6)

@@ -37,7 +37,7 @@ def q_flowpath_outflow(spark, root):
 
 
 @query("q_crosswalk", f"""
-SELECT d.toid, d.aoi, f.id, f.ord, c.comid FROM divides d JOIN flowpaths f ON d.toid = f.toid
+SELECT d.toid, d.aoi, f.id, f.ord, c.comid, c.part FROM divides d JOIN flowpaths f ON d.toid = f.toid
 JOIN crosswalk c ON f.id = c.id WHERE d.aoi < {AOI_BELOW}""")
 def q_crosswalk(spark, root):
     d = fx.divides(spark, root).where(F.col("aoi") < AOI_BELOW)

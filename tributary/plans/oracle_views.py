@@ -16,8 +16,9 @@ _CATALOG = ("SELECT DISTINCT concat('{prefix}nwm.', strftime({day}, '%Y%m%d'), '
 VIEWS: dict[str, str] = {
     "flow": "SELECT l_suppkey AS feature_id, l_shipdate AS time, avg(l_quantity) AS streamflow "
             "FROM lineitem GROUP BY 1, 2",
-    "flow_hourly": "SELECT user_id AS feature_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS time, "
-                   "avg(value) AS streamflow FROM events GROUP BY 1, 2",
+    "forecast_hourly": "SELECT user_id AS feature_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS reference_time, "
+                       "CAST(date_trunc('hour', ts) AS TIMESTAMP) + to_hours(CAST(event_id % 18 + 1 AS INTEGER)) AS time, "
+                       "avg(value) AS streamflow FROM events GROUP BY 1, 2, 3",
     "forecast": "SELECT l_suppkey AS feature_id, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS reference_time, "
                 "CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS time, avg(l_quantity) AS streamflow "
                 "FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
@@ -35,7 +36,7 @@ VIEWS: dict[str, str] = {
     "divides": "SELECT p_partkey AS toid, p_size AS aoi FROM part",
     "flowpaths": "SELECT DISTINCT l_orderkey AS id, l_partkey AS toid, l_linenumber AS ord FROM lineitem",
     "nexus": "SELECT s_suppkey AS id, s_acctbal < 0 AS outflow FROM supplier",
-    "crosswalk": "SELECT o_orderkey AS id, o_custkey AS comid FROM orders",
+    "crosswalk": "SELECT o_orderkey AS id, o_custkey AS comid, CAST(o_orderkey % 4 AS INTEGER) AS part FROM orders",
     "catalog_src": _CATALOG.format(prefix="", suffix=".conus.nc", day="o_orderdate", key="o_orderkey", table="orders"),
     "catalog_dst": _CATALOG.format(prefix="kerchunk/", suffix=".conus.json", day="l_shipdate", key="l_orderkey", table="lineitem"),
     "seg": "SELECT vec_id AS comid, CAST(embedding[1] AS DOUBLE) * 10 AS x1, CAST(embedding[2] AS DOUBLE) * 10 AS y1, "

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions.numeric import METERS_TO_FEET
 from ..operators.layout import SEGMENT_FEATURES, with_segments
 from ..operators.udf import map_batches
 from ..sources import fixtures as fx
@@ -36,18 +36,28 @@ def q_first_rows(spark, root):
     return fx.reach(spark, root).orderBy("comid").limit(FIRST_ROWS)
 
 
-def _to_cubic_feet(pdf: pd.DataFrame) -> pd.DataFrame:
+# A rating curve, stage over flow; linear between its points, level beyond.
+RATING_FLOW = [0.0, 5.0, 15.0, 30.0, 50.0]
+RATING_STAGE = [0.0, 1.2, 2.1, 2.9, 3.5]
+
+
+def _stage(pdf: pd.DataFrame) -> pd.DataFrame:
     out = pdf[["feature_id", "time", "segment"]].copy()
-    out["streamflow_ft3"] = pdf["streamflow"] * (METERS_TO_FEET ** 3)
+    out["stage"] = np.interp(pdf["streamflow"], RATING_FLOW, RATING_STAGE)
     return out
 
 
+_SQL_STAGE = "CASE " + " ".join(
+    f"WHEN streamflow <= {x1!r} THEN {y0!r} + (streamflow - {x0!r}) * {(y1 - y0) / (x1 - x0)!r}"
+    for x0, x1, y0, y1 in zip(RATING_FLOW, RATING_FLOW[1:], RATING_STAGE, RATING_STAGE[1:])) + f" ELSE {RATING_STAGE[-1]!r} END"
+
+
 @query("q_map_segments", f"""
 WITH pf AS (SELECT feature_id, dense_rank() OVER (ORDER BY feature_id) - 1 AS p FROM (SELECT DISTINCT feature_id FROM flow))
 SELECT f.feature_id, f.time, CAST(floor(pf.p / {SEGMENT_FEATURES}) AS INTEGER) AS segment,
-       round(f.streamflow * pow(3.28084, 3), 6) AS streamflow_ft3
+       round({_SQL_STAGE}, 6) AS stage
 FROM flow f JOIN pf USING (feature_id)""")
 def q_map_segments(spark, root):
     seg = with_segments(fx.flow(spark, root))
-    out = map_batches(seg, _to_cubic_feet, "feature_id long, time timestamp_ntz, segment int, streamflow_ft3 double")
+    out = map_batches(seg, _stage, "feature_id long, time timestamp_ntz, segment int, stage double")
     return rounded(out)

@@ -30,11 +30,13 @@ def flow(spark: SparkSession, root: str) -> DataFrame:
               .agg(F.avg("l_quantity").alias("streamflow")))
 
 
-def flow_hourly(spark: SparkSession, root: str) -> DataFrame:
-    """Reach cube, hourly."""
+def forecast_hourly(spark: SparkSession, root: str) -> DataFrame:
+    """Hourly forecast cube: an event is a forecast made in its hour, valid 1
+    to 18 hours later."""
     ev = scan(spark, root, "events")
-    return (ev.groupBy(F.col("user_id").alias("feature_id"),
-                       _ntz(F.date_trunc("hour", "ts")).alias("time"))
+    made = _ntz(F.date_trunc("hour", "ts"))
+    return (ev.groupBy(F.col("user_id").alias("feature_id"), made.alias("reference_time"),
+                       (made + F.make_dt_interval(F.lit(0), (F.col("event_id") % 18 + 1).cast("int"))).alias("time"))
               .agg(F.avg("value").alias("streamflow")))
 
 
@@ -113,7 +115,7 @@ def nexus(spark: SparkSession, root: str) -> DataFrame:
 
 def crosswalk(spark: SparkSession, root: str) -> DataFrame:
     o = scan(spark, root, "orders")
-    return o.select(o.o_orderkey.alias("id"), o.o_custkey.alias("comid"))
+    return o.select(o.o_orderkey.alias("id"), o.o_custkey.alias("comid"), (o.o_orderkey % 4).cast("int").alias("part"))
 
 
 def _catalog(df: DataFrame, day: str, key: str, prefix: str, suffix: str) -> DataFrame:
@@ -211,7 +213,7 @@ def catchments(spark: SparkSession, root: str) -> DataFrame:
 
 
 FIXTURES = {
-    "flow": flow, "flow_hourly": flow_hourly, "forecast": forecast, "grid": grid,
+    "flow": flow, "forecast": forecast, "forecast_hourly": forecast_hourly, "grid": grid,
     "gauge": gauge, "gauge_forecast": gauge_forecast, "huc": huc, "reach": reach,
     "divides": divides, "flowpaths": flowpaths, "nexus": nexus, "crosswalk": crosswalk,
     "catalog_src": catalog_src, "catalog_dst": catalog_dst, "seg": seg,

@@ -17,9 +17,3 @@ def table_path(root: str, name: str) -> str:
 def scan(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Lazy scan of ``<root>/<name>.parquet``."""
     return spark.read.parquet(table_path(root, name))
-
-
-def scan_columns(spark: SparkSession, root: str, name: str, columns: dict[str, str]) -> DataFrame:
-    """Scan with a column list and new names: ``{source_column: new_name}``."""
-    df = scan(spark, root, name)
-    return df.select(*[df[c].alias(n) for c, n in columns.items()])
