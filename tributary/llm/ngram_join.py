@@ -16,12 +16,19 @@ that one differs in one shingle at most), each indexed by its subset and by
 every subset with one shingle deleted.  Two sets with too many empty segments
 share such a key; if one has few, the first kind suffices.
 
-Candidates that share a key are verified on their whole sets, in two rounds.
-Round one pairs each key's sets with the key's first set only.  Components of
-the links found make round two small: it pairs sets of *different* components
-under a key.  Pairs that share fewer keys than their sizes demand cannot link
-and are dropped before verification.  No link between components is lost, and
-a group of k near copies costs about k pairs.
+A linked pair shares at least ``m - r - d`` keys of the first kind, so sets
+with fewer shared keys than any partner demands are dropped first.  What is
+left is verified on the whole sets, in rounds that grow components:
+
+* Star rounds pair each key's components with one of them only (another one
+  each round), by one set of each.  A group of k near copies costs about k
+  pairs a round.  Rounds end when they merge little.
+* The last step takes every pair of *different* components under a key that
+  shares as many keys as its sizes demand, and compares all sets of the smaller
+  one with all of the larger one, in blocks of ``BLOCK_SETS``: each block and
+  the sets it is compared with meet in one task, which emits links, not pairs.
+
+So no link between components is lost, whatever the rounds found.
 
 Shingles, sets and keys are 64-bit hashes; equal sets are one node from the
 start.  Rows: null texts and texts without words have size 0 and link with
@@ -50,6 +57,7 @@ SHINGLE = 4
 NUMERATOR, DENOMINATOR = 85, 100
 SPARSE = 128            # marks keys of the second kind in the key's last byte
 MAX_SIZE = 1 << 40
+BLOCK_SETS = 256
 
 
 def bands() -> np.ndarray:
@@ -220,18 +228,6 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     return written(pairs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(runs, "key long, node long"), "keys")
 
 
-def _promising(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (u, v, shared, band, sparse) that share as many keys as their
-    sizes demand: equal segments are at least m - d, of which r may be empty."""
-    plan = [partition(k, bands()) for k in range(SPARSE)]
-    need = F.element_at(F.array(*[F.lit(m - r) for _, r, m in plan]), (F.col("band") + 1).cast("int"))
-    most = F.floor(3 * (F.col("nu") + F.col("nv")) / 37)
-    su, sv = [sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "uv"]
-    return pairs.join(su, "u").join(sv, "v").filter(
-        (F.least("nu", "nv") * DENOMINATOR >= F.greatest("nu", "nv") * NUMERATOR)
-        & (F.col("sparse") | (F.col("shared") >= need - most))).select("u", "v").distinct()
-
-
 def _band() -> Column:
     return F.col("key").bitwiseAND(SPARSE - 1).alias("band")
 
@@ -240,6 +236,31 @@ def _kind() -> Column:
     return (F.col("key").bitwiseAND(SPARSE) != 0).alias("sparse")
 
 
+def _table(values: list[int]) -> Column:
+    """Look-up of a number per band."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("band") + 1).cast("int"))
+
+
+def _least_shared() -> Column:
+    """Keys of the first kind that a pair shares at least, but for its difference: m - r."""
+    return _table([m - r for _, r, m in (partition(k, bands()) for k in range(SPARSE))])
+
+
+def partnered(keys: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The keys (key, node, n) of sets that share as many keys as some partner
+    size demands, where such sets are at least two."""
+    upper = _table([int(x) - 1 for x in bands()[1:SPARSE + 1]])
+    # the largest partner: in the own band's partition any, in the lower one its upper end
+    partner = F.when(F.col("n") <= upper, F.floor(F.col("n") * DENOMINATOR / NUMERATOR)).otherwise(upper)
+    demand = _least_shared() - F.floor(3 * (F.col("n") + partner) / 37)
+    counts = keys.select("node", _band(), _kind()).groupBy("node", "band").agg(
+        F.count_if(~F.col("sparse")).alias("shared"), F.count_if("sparse").alias("dear")).join(sizes, "node")
+    able = counts.filter((F.col("dear") > 0) | (F.col("shared") >= demand)).select("node", "band", "n")
+    kept = keys.withColumn("band", _band()).join(able, ["node", "band"]).select("key", "node", "n")
+    several = kept.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key")
+    return kept.join(several, "key", "left_semi")
+
+
 def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, members (packed, sorted): sets of the given nodes, from one text of each."""
     wanted = written(rows.filter("n > 0").join(nodes, "node", "left_semi").groupBy("node")
@@ -247,7 +268,8 @@ def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     texts = flag_members(docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")), "text_key",
                          member_bits(wanted, "text_key"))
-    texts = texts.join(wanted, "text_key")
+    # equal texts are one: the first that meets the node
+    texts = texts.dropDuplicates(["text_key"]).join(wanted, "text_key")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -279,33 +301,100 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(su, "u").join(sv, "v").select("u", "v", "set_u", "set_v").mapInArrow(verify, "u long, v long")
 
 
+def _with_components(keys: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """key, node, n, c; only keys under which two components or more meet."""
+    if roots is None:
+        return keys.withColumn("c", F.col("node"))
+    marked = keys.join(roots.select("node", F.col("root").alias("c")), "node", "left") \
+        .select("key", "node", "n", F.coalesce("c", "node").alias("c"))
+    several = marked.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select("key")
+    return marked.join(several, "key", "left_semi")
+
+
+def star_pairs(marked: DataFrame, turn: int) -> DataFrame:
+    """Pairs (u, v) of sets: under each key the component first in this turn's
+    order with each of the others, one set of each, where the keys that the
+    two sets share this way are as many as their sizes demand."""
+    order = F.struct(F.xxhash64(F.lit(turn), "c").alias("h"), F.xxhash64(F.lit(turn), "node").alias("g"), "c", "node", "n")
+    one = marked.groupBy("key", "c").agg(F.min(order).alias("s"))
+    head = one.groupBy("key").agg(F.min("s").alias("head"))
+    pairs = one.join(head, "key").filter("c != head.c").select(
+        F.col("head.node").alias("u"), F.col("s.node").alias("v"), F.col("head.n").alias("nu"), F.col("s.n").alias("nv"), _band(), _kind())
+    most = F.floor(3 * (F.col("nu") + F.col("nv")) / 37)
+    return pairs.groupBy("u", "v", "nu", "nv", "band", "sparse").agg(F.count(F.lit(1)).alias("shared")).filter(
+        (F.least("nu", "nv") * DENOMINATOR >= F.greatest("nu", "nv") * NUMERATOR)
+        & (F.col("sparse") | (F.col("shared") >= _least_shared() - most))).select("u", "v").distinct()
+
+
+def open_pairs(marked: DataFrame) -> DataFrame:
+    """Pairs (cu, cv) of components that share a key and as many keys as their
+    largest sets demand."""
+    groups = marked.groupBy("key", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    side = [groups.select("key", *[F.col(x).alias(f"{x}{k}") for x in ("c", "lo", "hi")]) for k in "uv"]
+    both = side[0].join(side[1], "key").filter("cu < cv").groupBy("cu", "cv", _band(), _kind()).agg(
+        F.count(F.lit(1)).alias("shared"), *[F.min(f"lo{k}").alias(f"lo{k}") for k in "uv"], *[F.max(f"hi{k}").alias(f"hi{k}") for k in "uv"])
+    most = F.floor(3 * (F.col("hiu") + F.col("hiv")) / 37)
+    return both.filter((F.col("hiu") * DENOMINATOR >= F.col("lov") * NUMERATOR) & (F.col("hiv") * DENOMINATOR >= F.col("lou") * NUMERATOR)
+                       & (F.col("sparse") | (F.col("shared") >= _least_shared() - most))).select("cu", "cv").distinct()
+
+
+def links_between(pairs: DataFrame, roots: DataFrame | None, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between the components of each pair, found by comparing all
+    sets of the smaller with all of the larger one; at least one link of each
+    set and block that have any."""
+    own = sets if roots is None else sets.join(roots, "node", "left")
+    own = own.select("node", "members", (F.col("node") if roots is None else F.coalesce("root", "node")).alias("c"))
+    size = own.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
+    su, sv = [size.select(F.col("c").alias(f"c{k}"), F.col("size").alias(f"s{k}")) for k in "uv"]
+    swap = F.col("su") <= F.col("sv")
+    todo = pairs.join(su, "cu").join(sv, "cv").select(
+        F.when(swap, F.col("cu")).otherwise(F.col("cv")).alias("small"), F.when(swap, F.col("cv")).otherwise(F.col("cu")).alias("large"),
+        F.ceil(F.greatest("su", "sv") / BLOCK_SETS).cast("int").alias("blocks"))
+    seeks = todo.join(own.withColumnRenamed("c", "small"), "small") \
+        .select(F.col("large").alias("to"), F.col("node").alias("seek"), "members",
+                F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    targets = todo.select("large", "blocks").distinct().join(own.withColumnRenamed("c", "large"), "large") \
+        .select("large", "node", "members", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+
+    def compare(left, right):
+        mine = [np.frombuffer(x, "<u8") for x in left.column("members").to_pylist()]
+        names, sizes = np.asarray(left.column("node")), np.array([len(x) for x in mine])
+        flat, owner = np.concatenate(mine) if mine else np.zeros(0, np.uint64), np.repeat(np.arange(len(mine)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        out = []
+        for node, members in zip(right.column("seek").to_pylist(), right.column("members").to_pylist()):
+            y = np.frombuffer(members, "<u8")
+            a, b = np.searchsorted(flat, y), np.searchsorted(flat, y, side="right")
+            n = b - a
+            common = np.bincount(owner[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(mine))
+            hit = np.flatnonzero(DENOMINATOR * common >= NUMERATOR * (sizes + len(y) - common))
+            if len(hit):
+                out.append((node, int(names[hit[0]])))
+        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([x for _, x in out], pa.int64())})
+
+    return targets.groupBy("large", "block").cogroup(seeks.groupBy("to", "part")).applyInArrow(compare, "u long, v long")
+
+
 def links(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links between sets that connect what is connected, and components
     (node, root) of all nodes that are no roots."""
-    keys = shared_keys(rows)
-    sizes = written(rows.filter("n > 0").select("node", "n").distinct().join(keys.select("node"), "node", "left_semi"), "sizes")
-    heads = keys.groupBy("key").agg(F.min("node").alias("u"))
-    star = keys.join(heads, "key").filter("node != u").select(
-        "u", F.col("node").alias("v"), _band(), _kind()).groupBy("u", "v", "band", "sparse").agg(F.count(F.lit(1)).alias("shared"))
-    first = written(_promising(star, sizes), "pairs")
+    sizes = written(rows.filter("n > 0").select("node", "n").distinct(), "sizes")
+    keys = written(partnered(shared_keys(rows), sizes), "partnered")
     sets = written(_sets_of(docs, rows, keys.select("node")), "members")
-    found = written(_linked(first, sets), "found")
-    roots = components(found)
-
-    marked = keys.join(roots.select("node", F.col("root").alias("c")), "node", "left") \
-        .select("key", "node", F.coalesce("c", "node").alias("c"))
-    groups = marked.select("key", "c").distinct()
-    several = groups.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key")
-    marked = written(marked.join(several, "key", "left_semi"), "marked")
-    groups = marked.select("key", "c").distinct()
-    two = groups.withColumnRenamed("c", "cu").join(groups.withColumnRenamed("c", "cv"), "key").filter("cu < cv")
-    side = [marked.select("key", F.col("c").alias(f"c{x}"), F.col("node").alias(x)) for x in "uv"]
-    cross = two.join(side[0], ["key", "cu"]).join(side[1], ["key", "cv"]) \
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), _band(), _kind()) \
-        .groupBy("u", "v", "band", "sparse").agg(F.count(F.lit(1)).alias("shared"))
-    tested = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    second = written(_promising(cross, sizes).join(tested, ["u", "v"], "left_anti"), "pairs")
-    more = written(_linked(second, sets), "found")
+    found, roots, turn, before = None, None, 0, None
+    marked = keys
+    while True:
+        marked = written(_with_components(marked if roots is None else keys, roots), "marked")
+        here = marked.agg(F.count_distinct("c")).first()[0]
+        # another round while the last one merged a tenth of the open components
+        if turn and here > 0.9 * before:
+            break
+        before, turn = here, turn + 1
+        more = written(_linked(star_pairs(marked, turn), sets), "found")
+        found = more if found is None else written(found.unionByName(more), "found")
+        roots = components(found)
+    more = written(links_between(open_pairs(marked), roots, sets), "found")
     if more.isEmpty():
         return found, roots
     found = found.unionByName(more)
