@@ -25,7 +25,6 @@ from __future__ import annotations
 import unicodedata
 import uuid
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_store
+from .common import worker_store, written
 from .words import WordTable, coded_words, doc_of
 
 TRAIN_DOCS = 1500
 MAX_GRAMS = 60_000
 GRAM_SIZES = (1, 2, 3, 4)
+TABLE_SLOTS = 1 << 20
 SWITCH_PENALTY = 10.0
 WORD_LIMIT = 4.0        # most that one word may speak for a language against the mean
 MIN_SCRIPT_SHARE = 0.02
@@ -72,14 +72,37 @@ def core(word: str) -> str:
     return word[letters[0]:letters[-1] + 1] if letters else ""
 
 
-def grams(word: str) -> list[str]:
-    """Character n-grams with both ends marked, and the whole short word."""
-    w = f"^{word}$"
-    out = [w[i:i + n] for n in GRAM_SIZES for i in range(len(w) - n + 1) if n > 1 or w[i] not in "^$"]
-    return out + [w] if len(w) > GRAM_SIZES[-1] and len(w) <= 7 else out
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Character n-grams of all words, both ends marked: hash, position of the
+    first character in the joined words, and the word's number per position."""
+    cp = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    word = np.repeat(np.arange(len(words)), size)
+    first = np.cumsum(size) - size
+    mark = np.zeros(len(cp), bool)
+    mark[first] = mark[first + size - 1] = True
+    hashes, at, h = [], [], np.zeros(len(cp), np.uint64)
+    for n in range(1, max(GRAM_SIZES) + 1):
+        k = len(cp) - n + 1
+        if k <= 0:
+            break
+        h = h[:k] * np.uint64(0x100000001B3) + cp[n - 1:] + np.uint64(n)
+        inside = word[:k] == word[n - 1:]
+        if n == 1:
+            inside = ~mark
+        if n in GRAM_SIZES:
+            x = h[inside]
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            hashes.append(((x ^ (x >> np.uint64(32))) & ~np.uint64(7)) | np.uint64(n))
+            at.append(np.flatnonzero(inside))
+    if not hashes:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), word
+    return np.concatenate(hashes).view(np.int64), np.concatenate(at), word
 
 
 def _script(word: str) -> int:
+    if word.isascii():
+        return SCRIPT_NAMES.index("latin")
     for c in word:
         if c.isalpha():
             return SCRIPT_NAMES.index(script_of(c))
@@ -89,17 +112,23 @@ def _script(word: str) -> int:
 class Model:
     """Log-probabilities of n-grams per language and candidates per script."""
 
-    def __init__(self, languages: list[str], counts: dict[str, list[float]], scripts: dict[str, list[float]], docs: list[int]):
-        self.state = (languages, counts, scripts, docs)     # plain values: what is broadcast
+    def __init__(self, languages: list[str], keys: np.ndarray, counts: np.ndarray, scripts: dict[str, list[float]], docs: list[int]):
+        """``keys``: hashes of n-grams, most frequent first; ``counts``: one row each."""
+        self.state = (languages, keys, counts, scripts, docs)     # plain values: what is broadcast
         self.languages = languages
-        self.index = {g: i for i, g in enumerate(counts)}
-        n = np.array(list(counts.values()), float).reshape(len(counts), len(languages))
-        size = np.array([min(len(g), GRAM_SIZES[-1] + 1) for g in counts])
+        keys, n = np.asarray(keys, np.int64), np.asarray(counts, float).reshape(len(keys), len(languages))
+        size = keys & 7
         logs = np.zeros_like(n)
         for s in set(size.tolist()):
             rows = size == s
             logs[rows] = np.log((n[rows] + 0.2) / (n[rows].sum(axis=0) + 0.2 * rows.sum()))
-        self.logs = (logs - logs.mean(axis=1, keepdims=True)) if len(languages) else logs
+        logs = logs - logs.mean(axis=1, keepdims=True) if len(languages) else logs
+        # Open table of hashes; of two n-grams in one slot the more frequent is used.
+        self.slots = np.zeros(TABLE_SLOTS, np.int32)
+        where = (keys.view(np.uint64) >> np.uint64(40)).astype(np.int64) % TABLE_SLOTS
+        self.slots[where[::-1]] = np.arange(len(keys), 0, -1)
+        self.keys = np.concatenate([[0], keys])
+        self.logs = np.concatenate([np.zeros((1, len(languages))), logs]).astype(np.float32)
         use = np.array([scripts.get(s, [0.0] * len(languages)) for s in SCRIPT_NAMES], float)
         self.candidates = use >= MIN_SCRIPT_SHARE
         self.common = int(np.argmax(docs)) if docs else 0
@@ -107,28 +136,28 @@ class Model:
     def scores(self, words: list[str]) -> np.ndarray:
         """Per word: one score per language, then its number of letters, then
         whether any language uses its script."""
+        cores = list(map(core, words))
+        number: dict[str, int] = {}
+        which = np.fromiter((number.setdefault(c, len(number)) for c in cores), np.int64, len(cores))
+        return self._scores(list(number))[which]
+
+    def _scores(self, cores: list[str]) -> np.ndarray:
         n_lang = len(self.languages)
-        out = np.zeros((len(words), n_lang + 2), np.float32)
-        flat, owner, scripts = [], [], np.full(len(words), -1)
-        get = self.index.get
-        for k, w in enumerate(words):
-            c = core(w)
-            if not c:
-                continue
-            out[k, n_lang] = sum(map(str.isalpha, c))
-            scripts[k] = _script(c)
-            ids = [i for i in map(get, grams(c)) if i is not None]
-            flat += ids
-            owner += [k] * len(ids)
-        if flat:
-            owner = np.array(owner)
-            sums = np.stack([np.bincount(owner, self.logs[flat, j], len(words)) for j in range(n_lang)], axis=1)
-            per_char = np.maximum(1, np.bincount(owner, minlength=len(words)))[:, None] ** 0.5
-            out[:, :n_lang] = np.clip(sums / per_char, -WORD_LIMIT, WORD_LIMIT)
+        out = np.zeros((len(cores), n_lang + 2), np.float32)
+        scripts = np.array([_script(c) if c else -1 for c in cores])
+        out[:, n_lang] = [len(c) if c.isalpha() else sum(map(str.isalpha, c)) for c in cores]
+        hashes, at, word = grams(cores)
+        row = self.slots[(hashes.view(np.uint64) >> np.uint64(40)).astype(np.int64) % TABLE_SLOTS]
+        known = (self.keys[row] == hashes) & (row > 0)
+        owner, row = word[at[known]], row[known]
+        if len(row) and n_lang:
+            hits = np.maximum(1, np.bincount(owner, minlength=len(cores)))[:, None] ** 0.5
+            sums = np.stack([np.bincount(owner, self.logs[row, j], len(cores)) for j in range(n_lang)], axis=1)
+            out[:, :n_lang] = np.clip(sums / hits, -WORD_LIMIT, WORD_LIMIT)
         lettered = (scripts >= 0) & (out[:, n_lang] > 0)
-        allowed = np.zeros((len(words), n_lang), bool)
+        allowed = np.zeros((len(cores), n_lang), bool)
         allowed[lettered] = self.candidates[scripts[lettered]]
-        some = allowed.any(axis=1)
+        some = allowed.any(axis=1) if n_lang else np.zeros(len(cores), bool)
         out[:, :n_lang] = np.where(some[:, None], np.where(allowed, out[:, :n_lang], -2 * WORD_LIMIT), 0)
         out[:, n_lang + 1] = some
         return out
@@ -158,34 +187,42 @@ def decode(scores: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
 
 
 def one_span(scores: np.ndarray, bounds: np.ndarray, penalty: float = SWITCH_PENALTY) -> tuple[np.ndarray, np.ndarray]:
-    """Best single language per text, and whether it is the best path: true if
-    no run of words gains more than ``penalty`` by another language."""
-    n_docs, doc = len(bounds) - 1, doc_of(bounds)
-    totals = np.stack([np.bincount(doc, scores[:, j], n_docs) for j in range(scores.shape[1])], axis=1)
-    best = totals.argmax(axis=1)
-    if not len(doc):
-        return best, np.ones(n_docs, bool)
-    own = scores[np.arange(len(doc)), best[doc]]
-    gain = (scores.max(axis=1) - own).astype(np.float64)
-    loss = np.where(gain > 0, gain, 0.0)
+    """Best single language per text, and whether it is the best path.
+
+    It is if no run of words inside the text gains more than two penalties by
+    other languages, and none at the text's start or end more than one."""
+    n_docs, doc, k = len(bounds) - 1, doc_of(bounds), scores.shape[1]
+    best, single = np.zeros(n_docs, np.int64), np.ones(n_docs, bool)
+    if not len(doc) or k < 2:
+        return best, single
+    some = np.flatnonzero(np.diff(bounds))
+    first = bounds[some]
+    best[some] = np.add.reduceat(scores, first, axis=0, dtype=np.float64).argmax(axis=1)
+    own = best[doc]
     others = scores.copy()
-    others[np.arange(len(doc)), best[doc]] = -np.inf
-    step = others.max(axis=1).astype(np.float64) - own if scores.shape[1] > 1 else np.full(len(doc), -1.0)
-    # Largest sum of a run of words, per text: running sum against its least value so far.
-    run = np.concatenate([[0.0], np.cumsum(step)])
-    far = (2 * np.abs(step).sum() + 1.0)
+    others[np.arange(len(doc)), own] = -np.inf
+    step = (others.max(axis=1) - scores[np.arange(len(doc)), own]).astype(np.float64)
+    run = np.cumsum(step)
+    base = run[first] - step[first]
+    # prefix sums from each text's start
+    pre = run - np.repeat(base, np.diff(bounds)[some])
+    high, low, total = np.maximum.reduceat(pre, first), np.minimum.reduceat(pre, first), pre[bounds[some + 1] - 1]
+    edge = np.maximum(high, total - np.minimum(low, 0.0))
+    # largest run: prefix sum against the least prefix sum before it; texts are set far apart
+    far = 2.0 * np.abs(step).sum() + 1.0
     if far * n_docs > 1e12:
-        return best, np.bincount(doc, loss, n_docs) <= penalty
-    before = run[:-1] - far * doc
-    high = run[1:] - far * doc - np.minimum.accumulate(before)
-    top = np.full(n_docs, -np.inf)
-    np.maximum.at(top, doc, high)
-    return best, top <= penalty
+        inner = edge * 2
+    else:
+        shift = far * doc
+        before = np.minimum.accumulate(np.where(np.isin(np.arange(len(doc)), first), 0.0, pre - step) - shift)
+        inner = np.maximum.reduceat(pre - shift - before, first)
+    single[some] = (edge <= penalty) & (inner <= 2 * penalty)
+    return best, single
 
 
 def label_texts(model: Model, table: WordTable, texts: pa.Array):
     """Per text: predicted language, score, spans (language, first word, words)."""
-    names, codes, bounds = coded_words(texts, lower=False)
+    names, codes, bounds = coded_words(texts)
     n_lang = len(model.languages)
     rows = table.lookup(names.to_pylist())[codes] if len(names) else np.zeros((0, n_lang + 2), np.float32)
     scores, letters, some = rows[:, :n_lang], rows[:, n_lang], rows[:, n_lang + 1]
@@ -221,43 +258,44 @@ def fit(train: DataFrame) -> Model:
     per = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(per)
     if not languages:
-        return Model([], {}, {}, [])
+        return Model([], np.zeros(0, np.int64), np.zeros((0, 0)), {}, [])
     rate = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, TRAIN_DOCS / per[k]))])
     part = F.pmod(F.xxhash64(F.lit("language"), "order"), F.lit(1 << 20)) / float(1 << 20)
     sample = train.filter(part < F.element_at(rate, F.col("lang"))).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Counter] = {}
-        scripts: dict[str, Counter] = {}
+        # n-grams carry their size in the last three bits; scripts are 0 to -29
         for b in batches:
-            names, codes, bounds = coded_words(b.column(0), lower=False)
+            names, codes, bounds = coded_words(b.column(0))
             words = [core(w) for w in names.to_pylist()]
+            scripts = -np.array([_script(w) if w else -1 for w in words], np.int64)
+            hashes, at, word = grams(words)
+            owner = word[at]
             langs = np.array(b.column(1).to_pylist(), object)
             own = langs[doc_of(bounds)]
-            for lang in set(langs.tolist()):
-                n = np.bincount(codes[own == lang], minlength=len(words))
-                to, by = found.setdefault(lang, Counter()), scripts.setdefault(lang, Counter())
-                for k in np.flatnonzero(n):
-                    if words[k]:
-                        # frequent words count by the root, so that they do not drown the rest
-                        x = float(n[k]) ** 0.5
-                        for g in grams(words[k]):
-                            to[g] += x
-                        by[_script(words[k])] += float(n[k])
-        rows = [(lang, g, n) for lang, c in found.items() for g, n in c.items()]
-        rows += [(lang, f"\x00{SCRIPT_NAMES[s]}", n) for lang, c in scripts.items() for s, n in c.items() if s >= 0]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["lang", "gram", "n"])
-
-    counts = sample.mapInArrow(count, "lang string, gram string, n double").groupBy("gram").agg(
+            for lang in sorted(set(langs.tolist())):
+                n = np.bincount(codes[own == lang], minlength=len(words)).astype(float)
+                # frequent words count by the root, so that they do not drown the rest
+                root = np.sqrt(n)[owner]
+                key, inverse = np.unique(hashes[root > 0], return_inverse=True)
+                times = np.bincount(inverse, root[root > 0], len(key))
+                used = scripts <= 0
+                key2, inverse2 = np.unique(scripts[used], return_inverse=True)
+                key, times = np.concatenate([key, key2]), np.concatenate([times, np.bincount(inverse2, n[used], len(key2))])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key, pa.int64()), pa.array(times)],
+                                                 names=["lang", "gram", "n"])
+
+    is_gram = (F.col("gram") > 0) | (F.col("gram") < -64)
+    counts = sample.mapInArrow(count, "lang string, gram long, n double").groupBy("gram").agg(
         *[F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0.0)).alias(f"n{i}") for i, k in enumerate(languages)],
         F.sum("n").alias("all"))
-    top = counts.filter(~F.col("gram").startswith("\x00")).orderBy(F.desc("all"), "gram").limit(MAX_GRAMS).collect()
-    use = counts.filter(F.col("gram").startswith("\x00")).collect()
+    counts = written(counts, "grams")
     width = range(len(languages))
+    top = counts.filter(is_gram).orderBy(F.desc(F.round("all", 6)), "gram").limit(MAX_GRAMS).toPandas()
+    use = counts.filter(~is_gram).collect()
     seen = np.array([[r[f"n{i}"] for i in width] for r in use]).sum(axis=0) if use else np.ones(len(languages))
-    scripts = {r["gram"][1:]: [r[f"n{i}"] / max(seen[i], 1.0) for i in width] for r in use}
-    return Model(languages, {r["gram"]: [r[f"n{i}"] for i in width] for r in top}, scripts, [per[k] for k in languages])
+    scripts = {SCRIPT_NAMES[-r["gram"]]: [r[f"n{i}"] / max(seen[i], 1.0) for i in width] for r in use}
+    return Model(languages, top["gram"].to_numpy(np.int64), top[[f"n{i}" for i in width]].to_numpy(float), scripts, [per[k] for k in languages])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
