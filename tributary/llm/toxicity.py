@@ -86,28 +86,31 @@ class Index:
         return terms, w / np.sqrt((w * w).sum())
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, skip: int = -1):
-        """Exact k nearest examples: numbers and cosines, best first (ties by number)."""
+        """Exact k nearest examples: numbers and cosines, best first (ties by
+        number).  Blocks are scored by falling bound, ever more at a time."""
         bound = weights @ self.top[terms]
-        found, cosine, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(found) >= k and bound[b] < least):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                at = t * self.blocks + b
-                part = slice(self.start[at], self.start[at + 1])
-                score[self.post_example[part] - b * BLOCK] += w * self.post_weight[part]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        found, cosine, least, first, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 2
+        while first < len(order) and (len(found) < k or bound[order[first]] >= least):
+            batch = order[first:first + step]
+            if len(found) >= k:
+                batch = batch[bound[batch] >= least]
+            first, step = first + step, 2 * step
+            cell = (terms[:, None].astype(np.int64) * self.blocks + batch).reshape(-1)
+            size = self.start[cell + 1] - self.start[cell]
+            at = np.repeat(self.start[cell] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            local = np.repeat(np.tile(np.arange(len(batch)) * BLOCK - batch * BLOCK, len(terms)), size) + self.post_example[at]
+            score = np.bincount(local, self.post_weight[at] * np.repeat(np.repeat(weights, len(batch)), size), len(batch) * BLOCK)
             hit = np.flatnonzero(score > 0)
-            number = hit + b * BLOCK
+            number = batch[hit // BLOCK] * BLOCK + hit % BLOCK
             use = number != skip
             found, cosine = np.concatenate([found, number[use]]), np.concatenate([cosine, score[hit[use]]])
-            if len(found) > k:
-                best = np.lexsort((found, -np.round(cosine, 12)))[:k]
-                found, cosine = found[best], cosine[best]
+            best = np.lexsort((found, -np.round(cosine, 12)))[:k]
+            found, cosine = found[best], cosine[best]
             if len(found) >= k:
-                least = cosine.min() - 1e-9
-        best = np.lexsort((found, -np.round(cosine, 12)))[:k]
-        return found[best], cosine[best]
+                least = cosine[-1] - 1e-9
+        return found, cosine
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         w = cosine ** 2
