@@ -67,6 +67,21 @@ def test_against_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_families_in_blocks(spark, monkeypatch):
+    """Heavy keys and many blocks give the same groups."""
+    monkeypatch.setattr(ngram_join, "HEAVY", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(90)]
+    rows = near_rows()[:40]
+    for i in range(40):     # near copies of one text, few of them near each other
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 4, 6])):
+            w[rng.randrange(90)] = f"y{rng.randrange(10 ** 6)}"
+        rows.append((5000 + i, " ".join(w), "en", "a"))
+    assert run(spark, rows) == brute(rows)
+
+
 def test_few_words_and_empty(spark):
     rows = [(1, "a b", "en", "a"), (2, "A  b", "en", "a"), (3, "b a", "en", "a"), (4, None, "en", "a"), (5, "", "en", "a"),
             (6, "a b c", "en", "a"), (None, "a b c", "en", "a"), (None, None, "en", "a")]

@@ -24,9 +24,12 @@ left is verified on the whole sets, in rounds that grow components:
   each round), by one set of each.  A group of k near copies costs about k
   pairs a round.  Rounds end when they merge little.
 * The last step takes every pair of *different* components under a key that
-  shares as many keys as its sizes demand, and compares all sets of the smaller
-  one with all of the larger one, in blocks of ``BLOCK_SETS``: each block and
-  the sets it is compared with meet in one task, which emits links, not pairs.
+  shares as many keys as its sizes demand, and compares all sets of one with
+  all of the other, in blocks of ``BLOCK_SETS``: two blocks meet in one task,
+  which emits links, not pairs.  Under a key where more than ``HEAVY``
+  components are left (near copies of one text that are not near enough to
+  each other), pairs of components are not listed: its sets, with those they
+  share such keys with, are one family, compared block by block.
 
 So no link between components is lost, whatever the rounds found.
 
@@ -58,6 +61,7 @@ NUMERATOR, DENOMINATOR = 85, 100
 SPARSE = 128            # marks keys of the second kind in the key's last byte
 MAX_SIZE = 1 << 40
 BLOCK_SETS = 256
+HEAVY = 64              # components under a key beyond which its sets are compared as one family
 
 
 def bands() -> np.ndarray:
@@ -338,42 +342,46 @@ def open_pairs(marked: DataFrame) -> DataFrame:
                        & (F.col("sparse") | (F.col("shared") >= _least_shared() - most))).select("cu", "cv").distinct()
 
 
-def links_between(pairs: DataFrame, roots: DataFrame | None, sets: DataFrame) -> DataFrame:
-    """Links (u, v) between the components of each pair, found by comparing all
-    sets of the smaller with all of the larger one; at least one link of each
-    set and block that have any."""
-    own = sets if roots is None else sets.join(roots, "node", "left")
-    own = own.select("node", "members", (F.col("node") if roots is None else F.coalesce("root", "node")).alias("c"))
-    size = own.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
-    su, sv = [size.select(F.col("c").alias(f"c{k}"), F.col("size").alias(f"s{k}")) for k in "uv"]
-    swap = F.col("su") <= F.col("sv")
-    todo = pairs.join(su, "cu").join(sv, "cv").select(
-        F.when(swap, F.col("cu")).otherwise(F.col("cv")).alias("small"), F.when(swap, F.col("cv")).otherwise(F.col("cu")).alias("large"),
-        F.ceil(F.greatest("su", "sv") / BLOCK_SETS).cast("int").alias("blocks"))
-    seeks = todo.join(own.withColumnRenamed("c", "small"), "small") \
-        .select(F.col("large").alias("to"), F.col("node").alias("seek"), "members",
-                F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
-    targets = todo.select("large", "blocks").distinct().join(own.withColumnRenamed("c", "large"), "large") \
-        .select("large", "node", "members", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+def links_between(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Links (u, v) between different components (``c``) of the groups (``g``)
+    in each pair (ga, gb), found by comparing all sets of one with all of the
+    other, in blocks: for every set and block one link per other component."""
+    size = own.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
+    sa, sb = [size.select(F.col("g").alias(f"g{k}"), F.col("blocks").alias(f"n{k}")) for k in "ab"]
+    todo = pairs.join(sa, "ga").join(sb, "gb")
+    block = F.xxhash64("node")
+
+    def side(k: str, names: list[str]) -> DataFrame:
+        other = "b" if k == "a" else "a"
+        rows = todo.join(own.withColumnRenamed("g", f"g{k}"), f"g{k}").withColumn(k, F.pmod(block, F.col(f"n{k}")).cast("int")) \
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1)))
+        return rows.filter("ga != gb or a <= b").select(*[F.col(x).alias(y) for x, y in zip(["ga", "gb", "a", "b"], names)], "node", "c", "members")
 
     def compare(left, right):
         mine = [np.frombuffer(x, "<u8") for x in left.column("members").to_pylist()]
-        names, sizes = np.asarray(left.column("node")), np.array([len(x) for x in mine])
+        names, groups, sizes = np.asarray(left.column("node")), np.asarray(left.column("c")), np.array([len(x) for x in mine], np.int64)
         flat, owner = np.concatenate(mine) if mine else np.zeros(0, np.uint64), np.repeat(np.arange(len(mine)), sizes)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
         out = []
-        for node, members in zip(right.column("seek").to_pylist(), right.column("members").to_pylist()):
+        for node, c, members in zip(*(right.column(f).to_pylist() for f in ("node", "c", "members"))):
             y = np.frombuffer(members, "<u8")
-            a, b = np.searchsorted(flat, y), np.searchsorted(flat, y, side="right")
-            n = b - a
+            a = np.searchsorted(flat, y)
+            n = np.searchsorted(flat, y, side="right") - a
             common = np.bincount(owner[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(mine))
-            hit = np.flatnonzero(DENOMINATOR * common >= NUMERATOR * (sizes + len(y) - common))
-            if len(hit):
-                out.append((node, int(names[hit[0]])))
+            hit = np.flatnonzero((DENOMINATOR * common >= NUMERATOR * (sizes + len(y) - common)) & (groups != c))
+            out += [(node, int(names[hit[i]])) for i in np.unique(groups[hit], return_index=True)[1]]
         return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([x for _, x in out], pa.int64())})
 
-    return targets.groupBy("large", "block").cogroup(seeks.groupBy("to", "part")).applyInArrow(compare, "u long, v long")
+    return side("a", ["ga", "gb", "a", "b"]).groupBy("ga", "gb", "a", "b").cogroup(
+        side("b", ["ha", "hb", "i", "j"]).groupBy("ha", "hb", "i", "j")).applyInArrow(compare, "u long, v long")
+
+
+def families(heavy: DataFrame) -> DataFrame:
+    """node, g: sets that share a heavy key, directly or through others, are one family."""
+    head = heavy.groupBy("key").agg(F.min("node").alias("u"))
+    roots = components(heavy.join(head, "key").filter("node != u").select("u", F.col("node").alias("v")))
+    return heavy.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("g"))
 
 
 def links(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -394,7 +402,16 @@ def links(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         more = written(_linked(star_pairs(marked, turn), sets), "found")
         found = more if found is None else written(found.unionByName(more), "found")
         roots = components(found)
-    more = written(links_between(open_pairs(marked), roots, sets), "found")
+    own = written(sets.join(roots, "node", "left").select("node", "members", F.coalesce("root", "node").alias("c")), "own")
+    busy = marked.groupBy("key").agg(F.count_distinct("c").alias("k")).filter(F.col("k") > HEAVY).select("key")
+    light = open_pairs(marked.join(busy, "key", "left_anti")).select(F.col("cu").alias("ga"), F.col("cv").alias("gb"))
+    more = links_between(light, own.withColumn("g", F.col("c")))
+    heavy = written(marked.join(busy, "key", "left_semi").select("key", "node"), "heavy")
+    if not heavy.isEmpty():
+        family = written(families(heavy), "families")
+        self_pairs = family.select(F.col("g").alias("ga"), F.col("g").alias("gb")).distinct()
+        more = more.unionByName(links_between(self_pairs, own.join(family, "node")))
+    more = written(more, "found")
     if more.isEmpty():
         return found, roots
     found = found.unionByName(more)
