@@ -6,6 +6,7 @@ from __future__ import annotations
 import sys
 import types
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,13 +60,17 @@ def worker_store(name: str) -> dict:
 
     Functions of this package are shipped by value, so their module globals
     are new in every task; a registered module object is not.  It only holds
-    caches that can be rebuilt at any time.
+    caches that can be rebuilt at any time; those of other operators are
+    dropped, so that a worker holds one operator's caches.
     """
-    key = f"_tributary_{name}"
+    key = "_tributary_worker"
     if key not in sys.modules:
         sys.modules[key] = types.ModuleType(key)
-        sys.modules[key].store = {}
-    return sys.modules[key].store
+        sys.modules[key].stores = {}
+    stores = sys.modules[key].stores
+    for other in [k for k in stores if k != name]:
+        del stores[other]
+    return stores.setdefault(name, {})
 
 
 def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -82,13 +87,20 @@ def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
 
 
 def tagged(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` written once with a unique row number, and that column's name
-    (one that no column of ``docs`` has).  Decisions on rows refer to it, so
-    null and repeated ids are safe."""
+    """``docs`` with a row number, and that column's name (one that no column
+    of ``docs`` has).  Decisions on rows refer to it, so null and repeated ids
+    are safe.
+
+    Rows of a Parquet table are named by a hash of file and position, the same
+    whenever and however they are read; other rows are written once.
+    """
     name = "row_number"
     while name in docs.columns:
         name += "_"
-    return written(docs.withColumn(name, F.monotonically_increasing_id()), "tagged"), name
+    try:
+        return docs.withColumn(name, F.xxhash64("_metadata.file_path", "_metadata.row_index")), name
+    except AnalysisException:       # not read from files
+        return written(docs.withColumn(name, F.monotonically_increasing_id()), "tagged"), name
 
 
 def row_id(row: str | None):

@@ -4,8 +4,8 @@ The tokenizer's pre-tokenizer never lets a token span ASCII white space, so
 the ids of a text are the ids of its white-space chunks, one after the other.
 A batch of texts is split and dictionary-encoded in Arrow; only chunks that
 this Python worker has not met yet reach the tokenizers library, and the ids
-of the batch are gathered with numpy.  The cache is cleared when it reaches
-``CACHE_CHUNKS`` chunks.
+of the batch are gathered with numpy.  When the cache reaches ``CACHE_CHUNKS``
+chunks it keeps those that came up most often.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from .common import worker_store
 from .words import plain
 
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 400_000
 _PUNCT = string.punctuation
 
 
@@ -40,12 +40,24 @@ class ChunkEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.lengths = np.zeros(1024, np.int64)
-        self.starts = np.zeros(1024, np.int64)
+        self.slot: dict[str, int] = {}      # chunk -> its number, in order of numbers
+        self.lengths = np.zeros(1024, np.int32)
+        self.starts = np.zeros(1024, np.int32)
+        self.hits = np.zeros(1024, np.int32)
         self.flat = np.zeros(4096, np.uint32)
         self.used = 0
 
+    def trim(self) -> None:
+        """Keep the chunks that came up in most batches, half a cache at most."""
+        n = len(self.slot)
+        hits = self.hits[:n]
+        keep = np.flatnonzero(hits >= max(2, int(np.sort(hits)[-min(n, CACHE_CHUNKS // 2)]) + 1))
+        names, lengths, starts = list(self.slot), self.lengths[keep], self.starts[keep]
+        self.flat = self.flat[np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+        self.used = len(self.flat)
+        self.slot = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.lengths, self.starts, self.hits = lengths, (np.cumsum(lengths) - lengths).astype(np.int32), np.zeros(len(keep), np.int32)
+
     @property
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -86,16 +98,27 @@ class ChunkEncoder:
             grow = max(first + n, 2 * len(self.lengths))
             self.lengths = np.resize(self.lengths, grow)
             self.starts = np.resize(self.starts, grow)
+            self.hits = np.resize(self.hits, grow)
         lengths = np.fromiter(map(len, ids), np.int64, n)
         total = int(lengths.sum())
         if self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, max(self.used + total, 2 * len(self.flat)))
         self.flat[self.used:self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
         self.lengths[first:first + n] = lengths
+        self.hits[first:first + n] = 0
         self.starts[first:first + n] = self.used + np.cumsum(lengths) - lengths
         self.used += total
         self.slot.update(zip(chunks, range(first, first + n)))
 
+    def encode_distinct(self, chunks: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, without the cache, and the number of each."""
+        ids, lens = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(chunks), step):
+            found = self._encode(chunks[i:i + step])
+            lens.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lens[-1].sum())))
+        return np.concatenate(ids), np.concatenate(lens)
+
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty), each followed by ``end`` if given,
         and the number of ids of each text."""
@@ -112,19 +135,24 @@ class ChunkEncoder:
         bounds = bounds - bounds[0]
         names = coded.dictionary.to_pylist()
         if len(self.slot) + len(names) > CACHE_CHUNKS:
-            self.clear()
+            self.trim()
         slot = self.slot
         fresh = [w for w in names if w not in slot]
         if fresh:
             self._add(fresh)
         slots = np.fromiter(map(slot.__getitem__, names), np.int64, len(names))
-        at = slots[np.asarray(coded.indices)]
+        self.hits[slots] += 1
+        at = slots.astype(np.int32)[np.asarray(coded.indices)]
+        del chunks, coded, names
         per_chunk = self.lengths[at]
-        sums = np.concatenate([[0], np.cumsum(per_chunk)])
+        sums = np.concatenate([[0], np.cumsum(per_chunk, dtype=np.int64)])
         per_text = sums[bounds[1:]] - sums[bounds[:-1]]
         total = int(sums[-1])
-        shift = np.repeat(self.starts[at] - sums[:-1], per_chunk)
-        ids = self.flat[shift + np.arange(total)]
+        kind = np.int32 if total + self.used < 1 << 31 else np.int64
+        where = np.repeat((self.starts[at] - sums[:-1]).astype(kind), per_chunk)
+        where += np.arange(total, dtype=kind)
+        ids = self.flat[where]
+        del where
         if direct.any():
             ids, per_text = self._splice(ids, per_text, direct)
         if end is not None:
