@@ -144,6 +144,69 @@ def test_licences(spark):
     assert license_rules.scan_licences(wide(spark, rows).limit(0)).count() == 0
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE_HEADER = """Copyright 2020 Jane Doe
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL_NOTICE = """frob - a program to frob files
+Copyright (C) 2020  Jane Doe
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+def test_notices_as_they_stand_in_files(spark):
+    """Wrapped, under lines without a full stop; as comments; with other line ends."""
+    files = [MIT_FILE, APACHE_HEADER, GPL_NOTICE]
+    comments = ["/*\n" + "".join(f" * {line}\n" for line in f.splitlines()) + " */\n" for f in files]
+    tight = [f.replace("\n\n", "\n") for f in files]
+    rows = [(i, f, "en", "a") for i, f in enumerate(files + comments + tight + [f.replace("\n", "\r\n") for f in files])]
+    got = {r.doc_id: r for r in license_rules.scan_licences(wide(spark, rows)).collect()}
+    want = [("MIT", "mit-grant mit-notice as-is"), ("Apache-2.0", "apache-notice apache-copy"), ("GPL-3.0", "gpl-grant gpl-warranty")]
+    assert {i: [tuple(x) for x in r.licences] for i, r in got.items()} == {i: [want[i % 3]] for i in range(12)}
+    assert all(" ".join(got[i].sentences) == want[i % 3][1] for i in got)
+
+
 # ---- quality rules ---------------------------------------------------------
 
 def brute_counts(text):

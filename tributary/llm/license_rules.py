@@ -1,15 +1,17 @@
 """Licence scan by sentence rules.
 
-Texts are cut into sentences in two ways, at line ends and at sentence ends
-(where lines are joined, so wrapped notices are found), and each sentence is
-normalised to lower-case words.  Known licence sentences have identifiers; a
-text becomes the ordered sequence of the identifiers it holds.  A licence is
-recognised where one of its rules, an ordered list of identifiers, occurs in
-that sequence (other known sentences may stand between); of the rules of a
-licence the first that matches, from long to short, is reported.
+A text is normalised to lower-case words with marks where a sentence may begin
+or end: at line ends and at sentence ends.  Known licence sentences have
+identifiers; one is found wherever its words stand between two marks, whatever
+marks are between them.  So a wrapped notice is found under a line without a
+full stop, and notices on lines of their own beside notices inside paragraphs.
+A text becomes the sequence of the identifiers it holds, in text order.  A
+licence is recognised where one of its rules, an ordered list of identifiers,
+occurs in that sequence (other known sentences may stand between); of the rules
+of a licence the first that matches, from long to short, is reported.
 
 Everything is DataFrame functions inside one projection: no shuffle.  Only
-texts with one of the ``CUES``, which every known sentence has, are cut.
+texts with one of the ``CUES``, which every known sentence has, are searched.
 
 Rows: null and empty texts have no sentences and no licences; repeated rows
 get equal results; other columns are ignored; an empty table gives an empty
@@ -65,7 +67,8 @@ RULES = {
     "CC0-1.0": [["cc0-named"]],
 }
 CUES = ("licen", "permission", "warranty", "redistribution", "public domain")
-SENTENCE_END = r"(?<=[.!?])[ ]+|(?<=:)[ ]+(?=[A-Z0-9(])"
+SENTENCE_END = rf"(?<=[.!?]){GAP}|(?<=:){GAP}(?=[A-Z0-9(])"
+LINE_END = r"[\n\x0B\x0C\r]"
 
 
 def normal_key(sentence: str) -> str:
@@ -73,14 +76,22 @@ def normal_key(sentence: str) -> str:
     return " ".join("".join(c if c.isalnum() else " " for c in sentence.lower()).split())
 
 
-def _normal(sentence: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
+def _normal(text: Column) -> Column:
+    """Lower-case words between line feeds where a sentence may begin or end
+    and spaces elsewhere; the first and the last character are line feeds."""
+    marked = F.regexp_replace(F.regexp_replace(text, SENTENCE_END, "\n"), LINE_END, "\n")
+    marked = F.concat(F.lit("\n"), marked, F.lit("\n"))
+    return F.regexp_replace(F.regexp_replace(F.lower(marked), r"[^\p{L}\p{N}\n]+", " "), r" ?\n[ \n]*", "\n")
 
 
-def _identifiers(sentences: Column) -> Column:
-    """Identifiers of the known ones among sentences, in their order."""
-    known = F.create_map(*[F.lit(x) for k, text in SENTENCES.items() for x in (normal_key(text), k)])
-    return F.filter(F.transform(sentences, lambda s: F.try_element_at(known, _normal(s))), lambda x: x.isNotNull())
+def _identifiers(normal: Column) -> Column:
+    """Identifiers of the known sentences of a normalised text, in their order;
+    of sentences that begin at one place the longest."""
+    keys = {normal_key(text): k for k, text in SENTENCES.items()}
+    known = F.create_map(*[F.lit(x) for key, k in keys.items() for x in (key, k)])
+    some = "|".join(key.replace(" ", r"[ \n]") for key in sorted(keys, key=len, reverse=True))
+    found = F.regexp_extract_all(normal, F.lit(rf"(?<=\n)(?:{some})(?=\n)"), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(known, F.translate(s, "\n", " ")))
 
 
 def _holds(sequence: Column, rule: list[str]) -> Column:
@@ -100,15 +111,11 @@ def _licences(sequence: Column) -> Column:
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, sentences (identifiers in order, lines first read as
-    sentences, then joined lines), licences (structs of licence and rule)."""
+    """Per row: doc_id, sentences (identifiers in text order), licences
+    (structs of licence and rule)."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold().alias("text"))
     cue = F.col("text").rlike("(?i)" + "|".join(c.replace(" ", r"\s+") for c in CUES))
     df = df.withColumn("cued", F.when(cue, F.col("text")).otherwise(""))
-    joined = F.regexp_replace("cued", GAP, " ")
-    df = df.select("doc_id", _identifiers(F.split("cued", r"\n")).alias("by_line"),
-                   _identifiers(F.split(joined, SENTENCE_END)).alias("by_end"))
-    # the reading that knows more sentences; lines if both know as many
-    df = df.select("doc_id", F.when(F.size("by_end") > F.size("by_line"), F.col("by_end")).otherwise(F.col("by_line")).alias("sentences"))
+    df = df.select("doc_id", _identifiers(_normal(F.col("cued"))).alias("sentences"))
     df = df.withColumn("sequence", F.concat(F.lit(" "), F.array_join("sentences", "  "), F.lit(" ")))
     return df.select("doc_id", "sentences", _licences(F.col("sequence")).alias("licences"))
