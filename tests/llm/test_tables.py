@@ -207,6 +207,16 @@ def test_notices_as_they_stand_in_files(spark):
     assert all(" ".join(got[i].sentences) == want[i % 3][1] for i in got)
 
 
+def test_notices_on_lines_and_in_paragraphs(spark):
+    """What only lines show and what only sentence ends show are both kept, in text order."""
+    rows = [(1, "Licence\nReleased under the MIT License.\nThe manual is ours. Licensed under CC BY 4.0. Thanks to all", "en", "a"),
+            (2, "Ours. Licensed under CC BY 4.0. Thanks\nReleased under\nthe MIT License.\nLicence\nLicensed under CC BY 4.0\nThanks", "en", "a"),
+            (3, license_rules.SENTENCES["mit-named"], "en", "a")]
+    got = {r.doc_id: (r.sentences, [x.licence for x in r.licences]) for r in license_rules.scan_licences(wide(spark, rows)).collect()}
+    assert got == {1: (["mit-named", "cc-by-named"], ["MIT", "CC-BY-4.0"]),
+                   2: (["cc-by-named", "mit-named", "cc-by-named"], ["MIT", "CC-BY-4.0"]), 3: (["mit-named"], ["MIT"])}
+
+
 # ---- quality rules ---------------------------------------------------------
 
 def brute_counts(text):
