@@ -1,5 +1,6 @@
 """Language (2), language model (5) and toxicity (9)."""
 
+import base64
 import collections
 import math
 import zlib
@@ -99,6 +100,20 @@ def test_base_scores(spark):
     assert attention_lm.score_documents(wide(spark, EDGE).limit(0), held, PATH, 49407).count() == 0
 
 
+def test_word_of_many_ids(spark):
+    """One unbroken word of over 65,536 ids is scored like any text, and so are its neighbours."""
+    held = F.coalesce(fold_crc(5) == 1, F.lit(False))
+    long = base64.b64encode(np.random.default_rng(1).bytes(112_500)).decode()
+    few = real_rows()[:40]
+    assert len(attention_lm.encoder(PATH).encode_distinct([long.lower()])[0]) > 1 << 16
+    plain = {r.doc_id: r.score for r in attention_lm.score_documents(wide(spark, few).coalesce(1), held, PATH, 49407).collect()}
+    heldout = next(i for i in range(10_000, 10_100) if zlib.crc32(str(i).encode()) % 5 == 1)    # does not train
+    got = {r.doc_id: r.score for r in attention_lm.score_documents(
+        wide(spark, [*few, (heldout, f"{few[0][1]} {long}", "en", "a")]).coalesce(1), held, PATH, 49407).collect()}
+    long_score = got.pop(heldout)
+    assert got == pytest.approx(plain, abs=1e-3) and -10 * 150_000 < long_score < got[few[0][0]] - 65_536
+
+
 def test_beats_word_counts_on_held_out_texts(spark):
     got = [r for r in QUERIES["op5_attention_lm"](spark, "/root/testdata/sf0.1").collect() if r.held_out]
     assert len(got) > 1500 and sum(r.score for r in got) > 0.99 * sum(r.base_score for r in got)
