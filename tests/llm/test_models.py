@@ -114,6 +114,29 @@ def test_word_of_many_ids(spark):
     assert got == pytest.approx(plain, abs=1e-3) and -10 * 150_000 < long_score < got[few[0][0]] - 65_536
 
 
+def test_counts_cover_all_pairs(spark, monkeypatch):
+    """With fewer model ids than the corpus has pairs, no pair inside a word is lost."""
+    monkeypatch.setattr(attention_lm, "IDS", 12)
+    seen = {}
+    fit_counts = attention_lm.fit_counts
+    monkeypatch.setattr(attention_lm, "fit_counts", lambda *a, **k: seen.update(a=a, model=fit_counts(*a, **k)) or seen["model"])
+    rows = EDGE + real_rows()
+    attention_lm.score_documents(wide(spark, rows), F.lit(False), PATH, 49407).count()
+    words_of = collections.Counter(w for _, t, *_ in rows for w in words(t, lower=True))
+    ids, lens = attention_lm.encoder(PATH).encode_distinct(list(words_of))
+    n = np.array(list(words_of.values()))
+    count = np.bincount(ids, np.repeat(n, lens), attention_lm.vocabulary_size(PATH))
+    number, got, inner = seen["a"][:3]
+    count[49407] = got[49407]
+    assert (got == count).all() and (number == attention_lm.model_numbers(count, 49407)).all()
+    want, size = collections.Counter(), int(number[-1]) + 1
+    for k, x in zip(n, np.split(ids, np.cumsum(lens)[:-1])):
+        m = [size, *number[x], size] if len(x) else []
+        for pair in zip(m[:-1], m[1:]):
+            want[pair] += k
+    assert size == 12 and {(i // (size + 1), i % (size + 1)): x for i, x in enumerate(inner.tolist()) if x} == want
+
+
 def test_beats_word_counts_on_held_out_texts(spark):
     got = [r for r in QUERIES["op5_attention_lm"](spark, "/root/testdata/sf0.1").collect() if r.held_out]
     assert len(got) > 1500 and sum(r.score for r in got) > 0.99 * sum(r.base_score for r in got)
