@@ -137,6 +137,35 @@ def test_counts_cover_all_pairs(spark, monkeypatch):
     assert size == 12 and {(i // (size + 1), i % (size + 1)): x for i, x in enumerate(inner.tolist()) if x} == want
 
 
+def test_transitions_between_words_cover_all_texts(spark, monkeypatch):
+    """Pairs between words and ends are the corpus's, whatever the sample."""
+    monkeypatch.setattr(attention_lm, "TRAIN_DOCS", 3)
+    monkeypatch.setattr(attention_lm, "IDS", 200)
+    seen = {}
+    fit_counts = attention_lm.fit_counts
+    monkeypatch.setattr(attention_lm, "fit_counts", lambda *a, **k: seen.update(a=a, model=fit_counts(*a, **k)) or seen["model"])
+    rows = EDGE + real_rows()
+    held = F.coalesce(fold_crc(5) == 1, F.lit(False))
+    attention_lm.score_documents(wide(spark, rows), held, PATH, 49407).count()
+    number, count, _, cross, ends, sample = seen["a"]
+    encode = attention_lm.encoder(PATH).encode_distinct
+    own, want, texts = {}, collections.Counter(), 0
+    for i, t, *_ in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 5 == 1:
+            continue
+        texts += 1
+        before = int(number[-1])
+        for w in words(t, lower=True):
+            if w not in own:
+                own[w] = number[encode([w])[0]]
+            if len(own[w]):
+                want[before, int(own[w][0])] += 1
+                before = int(own[w][-1])
+        want[before, int(number[-1])] += 1
+    assert len(sample) < 30 < texts == ends == count[49407]
+    assert {(int(a), int(b)): cross[a, b] for a, b in zip(*np.nonzero(cross))} == want
+
+
 def test_beats_word_counts_on_held_out_texts(spark):
     got = [r for r in QUERIES["op5_attention_lm"](spark, "/root/testdata/sf0.1").collect() if r.held_out]
     assert len(got) > 1500 and sum(r.score for r in got) > 0.99 * sum(r.base_score for r in got)
