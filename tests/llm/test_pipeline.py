@@ -1,10 +1,11 @@
 """The pipeline's stages against what they must keep."""
 
 import collections
+import random
 
 import corpus_pipeline
-from helpers import EDGE, real_rows, wide
-from test_ngram_join import brute
+from helpers import EDGE, real_rows, wide, words
+from test_ngram_join import brute, near_rows
 
 from tributary.llm import mixing
 
@@ -34,6 +35,30 @@ def test_dedup_stages(spark):
     assert near.columns == docs.columns and set(ids(near)) == set(least) and max(ids(near)[i] for i in least if i is not None) == 1
 
 
+def test_near_copies_by_five_words(spark):
+    """Jaccard similarity of 0.8 or more over five-word shingles, whatever op10's rule says."""
+    rng, rows = random.Random(9), [*EDGE, *real_rows(), *near_rows()]
+    for k, (n, more) in enumerate([(104, 20), (104, 25), (104, 26), (204, 40), (204, 50), (204, 51), (404, 90), (404, 100), (404, 101)]):
+        base = [f"p{k}x{rng.randrange(10 ** 6)}" for _ in range(n)]
+        rows += [(9000 + 2 * k, " ".join(base), "en", "a"), (9001 + 2 * k, " ".join(base + [f"q{k}x{i}" for i in range(more)]), "en", "a")]
+    sets = []
+    for _, t, *_ in rows:
+        w = words(t, lower=True)
+        sets.append({tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                old, new = root[a], root[b]
+                root = [new if r == old else r for r in root]
+    least = collections.defaultdict(list)
+    for k, (i, *_) in enumerate(rows):
+        least[root[k]].append((i is None, i or 0))
+    want = collections.Counter(None if none else i for none, i in map(min, least.values()))
+    assert want[9001] == want[9003] == 0 and want[9005] == 1
+    assert ids(corpus_pipeline.drop_near_copies(spark, wide(spark, rows), "")) == want
+
+
 def test_mix_stage(spark):
     rows = EDGE + real_rows()
     docs = wide(spark, rows)

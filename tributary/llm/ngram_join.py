@@ -1,8 +1,8 @@
 """Exact n-gram Jaccard self-join by universe partition and pigeonhole.
 
-A text's set holds its distinct ``SHINGLE``-word shingles.  Sets of sizes a
-and b link when ``100 * common >= 85 * union``, so they differ in at most
-``d = 3 (a + b) / 37`` shingles.  Sizes fall in bands such that partners are
+A text's set holds its distinct shingles of the rule's words.  Sets of sizes a
+and b link when ``common >= t * union``, t being the rule's least similarity,
+so they differ in at most ``d = (a + b) (1 - t) / (1 + t)`` shingles.  Sizes fall in bands such that partners are
 in the same band or in the next one.  For a band, a hash deals all shingles to
 ``m = H + 1 + r`` segments, ``H`` being the largest difference of a partner
 pair: at least ``r + 1`` segments of a pair are equal.  Each set is indexed by
@@ -35,7 +35,7 @@ So no link between components is lost, whatever the rounds found.
 
 Shingles, sets and keys are 64-bit hashes; equal sets are one node from the
 start.  Rows: null texts and texts without words have size 0 and link with
-nothing; a text of fewer than ``SHINGLE`` words has its whole word sequence as
+nothing; a text of fewer words than a shingle has its whole word sequence as
 its one shingle; repeated rows are rows of their own; a null ``doc_id`` never
 is the least id of its group; other columns are ignored; an empty table gives
 an empty table.
@@ -43,7 +43,9 @@ an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -56,26 +58,46 @@ from .components import components
 from .exact_dedup import flag_members, member_bits
 from .words import coded_words, doc_of
 
-SHINGLE = 4
-NUMERATOR, DENOMINATOR = 85, 100
 SPARSE = 128            # marks keys of the second kind in the key's last byte
 MAX_SIZE = 1 << 40
 BLOCK_SETS = 256
 HEAVY = 64              # components under a key beyond which its sets are compared as one family
 
 
-def bands() -> np.ndarray:
-    """Least size of every band: the next starts above least / 0.85."""
+class Rule(NamedTuple):
+    """Which sets link: words of a shingle, least similarity as a fraction."""
+
+    shingle: int = 4
+    numerator: int = 85
+    denominator: int = 100
+
+    def difference(self) -> tuple[int, int]:
+        """(1 - t) / (1 + t) in lowest terms: shingles that partners differ in, to the sum of their sizes."""
+        a, b = self.denominator - self.numerator, self.denominator + self.numerator
+        return a // math.gcd(a, b), b // math.gcd(a, b)
+
+    def most(self, total: Column) -> Column:
+        """Shingles that partners of this sum of sizes differ in at most."""
+        a, b = self.difference()
+        return F.floor(a * total / b)
+
+
+RULE = Rule()           # of the op10 query
+
+
+def bands(rule: Rule = RULE) -> np.ndarray:
+    """Least size of every band: the next starts above least / t."""
     out = [1]
     while out[-1] < MAX_SIZE:
-        out.append(out[-1] * DENOMINATOR // NUMERATOR + 1)
+        out.append(out[-1] * rule.denominator // rule.numerator + 1)
     return np.array(out, np.int64)
 
 
-def partition(band: int, least: np.ndarray) -> tuple[int, int, int]:
+def partition(band: int, least: np.ndarray, rule: Rule = RULE) -> tuple[int, int, int]:
     """H, r and m of a band's partition."""
     upper = int(least[band + 1]) - 1
-    h = 3 * (upper + upper * DENOMINATOR // NUMERATOR) // 37
+    a, b = rule.difference()
+    h = a * (upper + upper * rule.denominator // rule.numerator) // b
     r = 2 + (h + 1) // 12
     return h, r, h + 1 + r
 
@@ -89,13 +111,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, rule: Rule = RULE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, and bounds per text."""
     names, codes, bounds = coded_words(texts)
     words = pd.util.hash_array(names.to_numpy(zero_copy_only=False), categorize=False) if len(names) else np.zeros(0, np.uint64)
     w, doc = words[codes], doc_of(bounds)
     prime = np.uint64(0x9E3779B97F4A7C15)
-    n, k = np.diff(bounds), SHINGLE
+    n, k = np.diff(bounds), rule.shingle
     whole = np.zeros(max(0, len(w) - k + 1), np.uint64)
     for j in range(k):
         whole = whole * prime + w[j:len(w) - k + 1 + j]
@@ -129,11 +151,11 @@ def _key(value: np.ndarray, part: np.ndarray, segment: np.ndarray, last: int | n
     return (x & ~np.uint64(0xFF)) | np.asarray(last).astype(np.uint64)
 
 
-def signatures(sets: np.ndarray, bounds: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets: np.ndarray, bounds: np.ndarray, least: np.ndarray, rule: Rule = RULE) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all sets and the number of keys per set."""
     n = np.diff(bounds)
     band = np.searchsorted(least, n, side="right") - 1
-    plans = np.array([partition(k, least) for k in range(max(1, int(band.max(initial=0)) + 1))])
+    plans = np.array([partition(k, least, rule) for k in range(max(1, int(band.max(initial=0)) + 1))])
     keys, owners = [], []
     token = mix(sets + np.uint64(0x632BE59BD9B4E019))
     doc = doc_of(bounds)
@@ -175,15 +197,15 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, least: np.ndarray) -> tuple
     return key[order], np.bincount(owner, minlength=len(n))
 
 
-def described(docs: DataFrame, row: str | None = None) -> DataFrame:
+def described(docs: DataFrame, row: str | None = None, rule: Rule = RULE) -> DataFrame:
     """Per row: row, doc_id, n, node (hash of the set), text_key, keys (packed), written once."""
-    least = bands()
+    least = bands(rule)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets, bounds = shingle_sets(b.column(2))
+            sets, bounds = shingle_sets(b.column(2), rule)
             n = np.diff(bounds)
-            key, per = signatures(sets, bounds, least)
+            key, per = signatures(sets, bounds, least, rule)
             cut = np.concatenate([[0], np.cumsum(per)])
             raw = key.astype("<u8").tobytes()
             yield pa.RecordBatch.from_arrays(
@@ -245,18 +267,19 @@ def _table(values: list[int]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("band") + 1).cast("int"))
 
 
-def _least_shared() -> Column:
+def _least_shared(rule: Rule) -> Column:
     """Keys of the first kind that a pair shares at least, but for its difference: m - r."""
-    return _table([m - r for _, r, m in (partition(k, bands()) for k in range(SPARSE))])
+    least = bands(rule)
+    return _table([m - r for _, r, m in (partition(k, least, rule) for k in range(min(SPARSE, len(least) - 1)))])
 
 
-def partnered(keys: DataFrame, sizes: DataFrame) -> DataFrame:
+def partnered(keys: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
     """The keys (key, node, n) of sets that share as many keys as some partner
     size demands, where such sets are at least two."""
-    upper = _table([int(x) - 1 for x in bands()[1:SPARSE + 1]])
+    upper = _table([int(x) - 1 for x in bands(rule)[1:SPARSE + 1]])
     # the largest partner: in the own band's partition any, in the lower one its upper end
-    partner = F.when(F.col("n") <= upper, F.floor(F.col("n") * DENOMINATOR / NUMERATOR)).otherwise(upper)
-    demand = _least_shared() - F.floor(3 * (F.col("n") + partner) / 37)
+    partner = F.when(F.col("n") <= upper, F.floor(F.col("n") * rule.denominator / rule.numerator)).otherwise(upper)
+    demand = _least_shared(rule) - rule.most(F.col("n") + partner)
     counts = keys.select("node", _band(), _kind()).groupBy("node", "band").agg(
         F.count_if(~F.col("sparse")).alias("shared"), F.count_if("sparse").alias("dear")).join(sizes, "node")
     able = counts.filter((F.col("dear") > 0) | (F.col("shared") >= demand)).select("node", "band", "n")
@@ -265,7 +288,7 @@ def partnered(keys: DataFrame, sizes: DataFrame) -> DataFrame:
     return kept.join(several, "key", "left_semi")
 
 
-def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """node, members (packed, sorted): sets of the given nodes, from one text of each."""
     wanted = written(rows.filter("n > 0").join(nodes, "node", "left_semi").groupBy("node")
                      .agg(F.min("text_key").alias("text_key")), "wanted")
@@ -277,7 +300,7 @@ def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets, bounds = shingle_sets(b.column(0))
+            sets, bounds = shingle_sets(b.column(0), rule)
             own = fingerprints(sets, bounds) == np.asarray(b.column(1))
             raw = sets.astype("<u8").tobytes()
             yield pa.RecordBatch.from_arrays(
@@ -287,7 +310,7 @@ def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.select("text", "node").mapInArrow(members, "node long, members binary")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (u, v) whose sets link, by exact intersection."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -298,7 +321,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     x, y = y, x
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 common = int((y[at] == x).sum())
-                keep[i] = DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common)
+                keep[i] = rule.denominator * common >= rule.numerator * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
     su, sv = [sets.select(F.col("node").alias(x), F.col("members").alias(f"set_{x}")) for x in "uv"]
@@ -315,7 +338,7 @@ def _with_components(keys: DataFrame, roots: DataFrame | None) -> DataFrame:
     return marked.join(several, "key", "left_semi")
 
 
-def star_pairs(marked: DataFrame, turn: int) -> DataFrame:
+def star_pairs(marked: DataFrame, turn: int, rule: Rule) -> DataFrame:
     """Pairs (u, v) of sets: under each key the component first in this turn's
     order with each of the others, one set of each, where the keys that the
     two sets share this way are as many as their sizes demand."""
@@ -324,25 +347,26 @@ def star_pairs(marked: DataFrame, turn: int) -> DataFrame:
     head = one.groupBy("key").agg(F.min("s").alias("head"))
     pairs = one.join(head, "key").filter("c != head.c").select(
         F.col("head.node").alias("u"), F.col("s.node").alias("v"), F.col("head.n").alias("nu"), F.col("s.n").alias("nv"), _band(), _kind())
-    most = F.floor(3 * (F.col("nu") + F.col("nv")) / 37)
+    most = rule.most(F.col("nu") + F.col("nv"))
     return pairs.groupBy("u", "v", "nu", "nv", "band", "sparse").agg(F.count(F.lit(1)).alias("shared")).filter(
-        (F.least("nu", "nv") * DENOMINATOR >= F.greatest("nu", "nv") * NUMERATOR)
-        & (F.col("sparse") | (F.col("shared") >= _least_shared() - most))).select("u", "v").distinct()
+        (F.least("nu", "nv") * rule.denominator >= F.greatest("nu", "nv") * rule.numerator)
+        & (F.col("sparse") | (F.col("shared") >= _least_shared(rule) - most))).select("u", "v").distinct()
 
 
-def open_pairs(marked: DataFrame) -> DataFrame:
+def open_pairs(marked: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (cu, cv) of components that share a key and as many keys as their
     largest sets demand."""
     groups = marked.groupBy("key", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     side = [groups.select("key", *[F.col(x).alias(f"{x}{k}") for x in ("c", "lo", "hi")]) for k in "uv"]
     both = side[0].join(side[1], "key").filter("cu < cv").groupBy("cu", "cv", _band(), _kind()).agg(
         F.count(F.lit(1)).alias("shared"), *[F.min(f"lo{k}").alias(f"lo{k}") for k in "uv"], *[F.max(f"hi{k}").alias(f"hi{k}") for k in "uv"])
-    most = F.floor(3 * (F.col("hiu") + F.col("hiv")) / 37)
-    return both.filter((F.col("hiu") * DENOMINATOR >= F.col("lov") * NUMERATOR) & (F.col("hiv") * DENOMINATOR >= F.col("lou") * NUMERATOR)
-                       & (F.col("sparse") | (F.col("shared") >= _least_shared() - most))).select("cu", "cv").distinct()
+    most = rule.most(F.col("hiu") + F.col("hiv"))
+    return both.filter((F.col("hiu") * rule.denominator >= F.col("lov") * rule.numerator)
+                       & (F.col("hiv") * rule.denominator >= F.col("lou") * rule.numerator)
+                       & (F.col("sparse") | (F.col("shared") >= _least_shared(rule) - most))).select("cu", "cv").distinct()
 
 
-def links_between(pairs: DataFrame, own: DataFrame) -> DataFrame:
+def links_between(pairs: DataFrame, own: DataFrame, rule: Rule) -> DataFrame:
     """Links (u, v) between different components (``c``) of the groups (``g``)
     in each pair (ga, gb), found by comparing all sets of one with all of the
     other, in blocks: for every set and block one link per other component."""
@@ -369,7 +393,7 @@ def links_between(pairs: DataFrame, own: DataFrame) -> DataFrame:
             a = np.searchsorted(flat, y)
             n = np.searchsorted(flat, y, side="right") - a
             common = np.bincount(owner[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(mine))
-            hit = np.flatnonzero((DENOMINATOR * common >= NUMERATOR * (sizes + len(y) - common)) & (groups != c))
+            hit = np.flatnonzero((rule.denominator * common >= rule.numerator * (sizes + len(y) - common)) & (groups != c))
             out += [(node, int(names[hit[i]])) for i in np.unique(groups[hit], return_index=True)[1]]
         return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([x for _, x in out], pa.int64())})
 
@@ -384,12 +408,12 @@ def families(heavy: DataFrame) -> DataFrame:
     return heavy.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("g"))
 
 
-def links(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """Links between sets that connect what is connected, and components
     (node, root) of all nodes that are no roots."""
     sizes = written(rows.filter("n > 0").select("node", "n").distinct(), "sizes")
-    keys = written(partnered(shared_keys(rows), sizes), "partnered")
-    sets = written(_sets_of(docs, rows, keys.select("node")), "members")
+    keys = written(partnered(shared_keys(rows), sizes, rule), "partnered")
+    sets = written(_sets_of(docs, rows, keys.select("node"), rule), "members")
     found, roots, turn, before = None, None, 0, None
     marked = keys
     while True:
@@ -399,18 +423,18 @@ def links(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         if turn and here > 0.9 * before:
             break
         before, turn = here, turn + 1
-        more = written(_linked(star_pairs(marked, turn), sets), "found")
+        more = written(_linked(star_pairs(marked, turn, rule), sets, rule), "found")
         found = more if found is None else written(found.unionByName(more), "found")
         roots = components(found)
     own = written(sets.join(roots, "node", "left").select("node", "members", F.coalesce("root", "node").alias("c")), "own")
     busy = marked.groupBy("key").agg(F.count_distinct("c").alias("k")).filter(F.col("k") > HEAVY).select("key")
-    light = open_pairs(marked.join(busy, "key", "left_anti")).select(F.col("cu").alias("ga"), F.col("cv").alias("gb"))
-    more = links_between(light, own.withColumn("g", F.col("c")))
+    light = open_pairs(marked.join(busy, "key", "left_anti"), rule).select(F.col("cu").alias("ga"), F.col("cv").alias("gb"))
+    more = links_between(light, own.withColumn("g", F.col("c")), rule)
     heavy = written(marked.join(busy, "key", "left_semi").select("key", "node"), "heavy")
     if not heavy.isEmpty():
         family = written(families(heavy), "families")
         self_pairs = family.select(F.col("g").alias("ga"), F.col("g").alias("gb")).distinct()
-        more = more.unionByName(links_between(self_pairs, own.join(family, "node")))
+        more = more.unionByName(links_between(self_pairs, own.join(family, "node"), rule))
     more = written(more, "found")
     if more.isEmpty():
         return found, roots
@@ -418,11 +442,11 @@ def links(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, components(found)
 
 
-def near_groups(docs: DataFrame, row: str | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, row: str | None = None, rule: Rule = RULE) -> DataFrame:
     """Per row: row, doc_id, n_shingles, component_id (least doc_id of its
     group), node, group (null for rows without words)."""
-    rows = described(docs, row)
-    _, roots = links(docs, rows)
+    rows = described(docs, row, rule)
+    _, roots = links(docs, rows, rule)
     grouped = rows.select("row", "doc_id", "n", "node").join(roots, "node", "left") \
         .select("row", "doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("root", "node").alias("group"))
     least = grouped.filter("group is not null").groupBy("group").agg(
