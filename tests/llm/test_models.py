@@ -79,6 +79,16 @@ def test_viterbi_and_one_span():
             assert value([int(best[0])] * n) == pytest.approx(every)
 
 
+def test_one_span_with_extreme_sums():
+    """Sums too large for one prefix sum over all texts never hide a span inside a text."""
+    own, other = [9.0, 0.0], [0.0, 9.0]
+    scores = np.array([own] * 50 + [other] * 20 + [own] * 50 + [own] * 40 + [[1e13, 0.0]])
+    bounds = np.array([0, 120, 160, 161])
+    best, single = language.one_span(scores, bounds)
+    assert best.tolist() == [0, 0, 0] and single.tolist() == [False, True, True]
+    assert set(language.decode(scores[:120]).tolist()) == {0, 1}
+
+
 # ---- language model --------------------------------------------------------
 
 def test_base_scores(spark):

@@ -210,8 +210,8 @@ def one_span(scores: np.ndarray, bounds: np.ndarray, penalty: float = SWITCH_PEN
     edge = np.maximum(high, total - np.minimum(low, 0.0))
     # largest run: prefix sum against the least prefix sum before it; texts are set far apart
     far = 2.0 * np.abs(step).sum() + 1.0
-    if far * n_docs > 1e12:
-        inner = edge * 2
+    if far * n_docs > 1e12:     # too far for the sums' digits: texts where any step gains are left to the decoder
+        inner = np.where(np.maximum.reduceat(step, first) > 0, np.inf, 0.0)
     else:
         shift = far * doc
         before = np.minimum.accumulate(np.where(np.isin(np.arange(len(doc)), first), 0.0, pre - step) - shift)
