@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import scan
-from . import attention_lm, best_fit, exact_dedup, id_files, language, license_rules, mixing, ngram_join, quality_rules, toxicity
+from . import alignment, attention_lm, best_fit, divergence, exact_dedup, id_files, language, license_rules, mixing, ngram_join, quality_rules, toxicity
 from .common import documents, fold_crc, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,7 @@ ORACLES: dict[str, str] = {}
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 LM_END_ID = 49407   # the tokenizer's own end-of-text id, which no text is encoded to
 
 
@@ -135,3 +136,47 @@ def op7(spark, sf_dir):
     return license_rules.scan_licences(documents(spark, sf_dir)).select(
         "doc_id", F.size("sentences").alias("n_sentences"), F.array_join("sentences", " ").alias("sentence_ids"),
         F.array_join(F.transform("licences", lambda x: x["licence"]), " ").alias("licences"))
+
+
+@query("op11_alignment")
+def op11(spark, sf_dir):
+    """Overlap links, groups and corpus counts of two tokenizers' tokens."""
+    return alignment.corpus_alignment(documents(spark, sf_dir), public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_group_links")
+
+
+OP13_SQL = """
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+n AS (SELECT row_number() OVER () AS doc, * FROM d),
+o AS (SELECT doc, lang, source, unnest(words) AS term FROM n),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+c AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN k ON o.lang = k.lang AND o.term = k.term GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS total FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+p AS (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+             1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (t.total + v.v) AS p
+      FROM t JOIN k ON t.lang = k.lang JOIN v ON t.lang = v.lang
+      LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+q AS (SELECT k.lang, k.term, 1 + (1000000000::HUGEINT * (coalesce(sum(c.n), 0) + 1)) // (any_value(w.total) + any_value(v.v)) AS q
+      FROM k JOIN v ON k.lang = v.lang JOIN (SELECT lang, sum(total) AS total FROM t GROUP BY lang) w ON k.lang = w.lang
+      LEFT JOIN c ON c.lang = k.lang AND c.term = k.term GROUP BY k.lang, k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL
+      SELECT p.lang, p.source, 'term', p.term, CAST(((p.p - q.q) * (p.p - q.q)) // q.q AS BIGINT)
+      FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q),
+s AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM r)
+SELECT * FROM s WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query("op13_divergence", OP13_SQL)
+def op13(spark, sf_dir):
+    """How far a language's sources differ, and by which terms."""
+    return divergence.divergence(documents(spark, sf_dir))
