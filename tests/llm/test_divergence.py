@@ -71,7 +71,7 @@ def test_empty_table_and_no_terms(spark):
 
 
 def test_rare_prefixes_are_discarded_before_they_grow(spark):
-    rows = [(k, f"common{'abcdefgh'[k]}tail rare{k}x", "en", "a") for k in range(8)] + [(9, "commonxx commonyy", "en", "a")]
+    rows = [(k, f"common{'abcdefgh'[k]}tail rare{'abcdefgh'[k]}x", "en", "a") for k in range(8)] + [(9, "commonxx commonyy", "en", "a")]
     packed = divergence.blocks(wide(spark, rows))
     two = divergence.level(packed, 2, 0, None, 3)
     assert {r["prefix"]: r["n"] for r in two.collect()} == {b"co": 9, b"ra": 8}

@@ -50,8 +50,8 @@ from .words import plain
 LEAST = 3               # documents that a kept term is in
 TOP = 200               # ranks of part ``term``
 SCALE = 1_000_000_000
-FIRST_LEVEL = 2         # bytes of the first level's prefixes
-BLOCK_BYTES = 4 << 20   # text of one block (a longer text is a block of its own)
+FIRST_LEVEL = 4         # bytes of the first level's prefixes
+BLOCK_BYTES = 8 << 20   # text of one block (a longer text is a block of its own)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
