@@ -5,9 +5,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from helpers import EDGE, real_rows, wide, words
+from helpers import BASE, EDGE, real_rows, wide, words
 
-from tributary.llm import components, ngram_join
+from tributary.llm import components, linking, ngram_join
 
 
 def brute(rows):
@@ -69,8 +69,8 @@ def test_against_brute_force(spark):
 
 def test_families_in_blocks(spark, monkeypatch):
     """Heavy keys and many blocks give the same groups."""
-    monkeypatch.setattr(ngram_join, "HEAVY", 2)
-    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    monkeypatch.setattr(linking, "HEAVY", 2)
+    monkeypatch.setattr(linking, "BLOCK_SETS", 16)
     rng = random.Random(6)
     base = [f"b{i}" for i in range(90)]
     rows = near_rows()[:40]
@@ -150,3 +150,11 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
+
+
+def test_rounds_end(spark):
+    """No copies, all copies, two copies, one row."""
+    unlike = [(i, " ".join(f"d{i}w{j}" for j in range(40)), "en", "a") for i in range(6)]
+    near = [(10, BASE, "en", "a"), (11, BASE + " more", "en", "a")]
+    for rows in (unlike, [(i, BASE, "en", "a") for i in range(5)], near, near + unlike, unlike[:1]):
+        assert run(spark, rows) == brute(rows)

@@ -18,20 +18,7 @@ share such a key; if one has few, the first kind suffices.
 
 A linked pair shares at least ``m - r - d`` keys of the first kind, so sets
 with fewer shared keys than any partner demands are dropped first.  What is
-left is verified on the whole sets, in rounds that grow components:
-
-* Star rounds pair each key's components with one of them only (another one
-  each round), by one set of each.  A group of k near copies costs about k
-  pairs a round.  Rounds end when they merge little.
-* The last step takes every pair of *different* components under a key that
-  shares as many keys as its sizes demand, and compares all sets of one with
-  all of the other, in blocks of ``BLOCK_SETS``: two blocks meet in one task,
-  which emits links, not pairs.  Under a key where more than ``HEAVY``
-  components are left (near copies of one text that are not near enough to
-  each other), pairs of components are not listed: its sets, with those they
-  share such keys with, are one family, compared block by block.
-
-So no link between components is lost, whatever the rounds found.
+left is verified on the whole sets, in rounds that grow components (:mod:`.linking`).
 
 Shingles, sets and keys are 64-bit hashes; equal sets are one node from the
 start.  Rows: null texts and texts without words have size 0 and link with
@@ -43,9 +30,7 @@ an empty table.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -54,32 +39,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_id, written
-from .components import components
 from .exact_dedup import flag_members, member_bits
+from .linking import Rule, connect, linked
 from .words import coded_words, doc_of
 
 SPARSE = 128            # marks keys of the second kind in the key's last byte
 MAX_SIZE = 1 << 40
-BLOCK_SETS = 256
-HEAVY = 64              # components under a key beyond which its sets are compared as one family
-
-
-class Rule(NamedTuple):
-    """Which sets link: words of a shingle, least similarity as a fraction."""
-
-    shingle: int = 4
-    numerator: int = 85
-    denominator: int = 100
-
-    def difference(self) -> tuple[int, int]:
-        """(1 - t) / (1 + t) in lowest terms: shingles that partners differ in, to the sum of their sizes."""
-        a, b = self.denominator - self.numerator, self.denominator + self.numerator
-        return a // math.gcd(a, b), b // math.gcd(a, b)
-
-    def most(self, total: Column) -> Column:
-        """Shingles that partners of this sum of sizes differ in at most."""
-        a, b = self.difference()
-        return F.floor(a * total / b)
 
 
 RULE = Rule()           # of the op10 query
@@ -310,34 +275,6 @@ def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, rule: Rule) ->
     return texts.select("text", "node").mapInArrow(members, "node long, members binary")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (u, v) whose sets link, by exact intersection."""
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3))):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common = int((y[at] == x).sum())
-                keep[i] = rule.denominator * common >= rule.numerator * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep))
-
-    su, sv = [sets.select(F.col("node").alias(x), F.col("members").alias(f"set_{x}")) for x in "uv"]
-    return pairs.join(su, "u").join(sv, "v").select("u", "v", "set_u", "set_v").mapInArrow(verify, "u long, v long")
-
-
-def _with_components(keys: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """key, node, n, c; only keys under which two components or more meet."""
-    if roots is None:
-        return keys.withColumn("c", F.col("node"))
-    marked = keys.join(roots.select("node", F.col("root").alias("c")), "node", "left") \
-        .select("key", "node", "n", F.coalesce("c", "node").alias("c"))
-    several = marked.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select("key")
-    return marked.join(several, "key", "left_semi")
-
-
 def star_pairs(marked: DataFrame, turn: int, rule: Rule) -> DataFrame:
     """Pairs (u, v) of sets: under each key the component first in this turn's
     order with each of the others, one set of each, where the keys that the
@@ -366,87 +303,20 @@ def open_pairs(marked: DataFrame, rule: Rule) -> DataFrame:
                        & (F.col("sparse") | (F.col("shared") >= _least_shared(rule) - most))).select("cu", "cv").distinct()
 
 
-def links_between(pairs: DataFrame, own: DataFrame, rule: Rule) -> DataFrame:
-    """Links (u, v) between different components (``c``) of the groups (``g``)
-    in each pair (ga, gb), found by comparing all sets of one with all of the
-    other, in blocks: for every set and block one link per other component."""
-    size = own.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
-    sa, sb = [size.select(F.col("g").alias(f"g{k}"), F.col("blocks").alias(f"n{k}")) for k in "ab"]
-    todo = pairs.join(sa, "ga").join(sb, "gb")
-    block = F.xxhash64("node")
-
-    def side(k: str, names: list[str]) -> DataFrame:
-        other = "b" if k == "a" else "a"
-        rows = todo.join(own.withColumnRenamed("g", f"g{k}"), f"g{k}").withColumn(k, F.pmod(block, F.col(f"n{k}")).cast("int")) \
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1)))
-        return rows.filter("ga != gb or a <= b").select(*[F.col(x).alias(y) for x, y in zip(["ga", "gb", "a", "b"], names)], "node", "c", "members")
-
-    def compare(left, right):
-        mine = [np.frombuffer(x, "<u8") for x in left.column("members").to_pylist()]
-        names, groups, sizes = np.asarray(left.column("node")), np.asarray(left.column("c")), np.array([len(x) for x in mine], np.int64)
-        flat, owner = np.concatenate(mine) if mine else np.zeros(0, np.uint64), np.repeat(np.arange(len(mine)), sizes)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        out = []
-        for node, c, members in zip(*(right.column(f).to_pylist() for f in ("node", "c", "members"))):
-            y = np.frombuffer(members, "<u8")
-            a = np.searchsorted(flat, y)
-            n = np.searchsorted(flat, y, side="right") - a
-            common = np.bincount(owner[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(mine))
-            hit = np.flatnonzero((rule.denominator * common >= rule.numerator * (sizes + len(y) - common)) & (groups != c))
-            out += [(node, int(names[hit[i]])) for i in np.unique(groups[hit], return_index=True)[1]]
-        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([x for _, x in out], pa.int64())})
-
-    return side("a", ["ga", "gb", "a", "b"]).groupBy("ga", "gb", "a", "b").cogroup(
-        side("b", ["ha", "hb", "i", "j"]).groupBy("ha", "hb", "i", "j")).applyInArrow(compare, "u long, v long")
-
-
-def families(heavy: DataFrame) -> DataFrame:
-    """node, g: sets that share a heavy key, directly or through others, are one family."""
-    head = heavy.groupBy("key").agg(F.min("node").alias("u"))
-    roots = components(heavy.join(head, "key").filter("node != u").select("u", F.col("node").alias("v")))
-    return heavy.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("g"))
-
-
-def links(docs: DataFrame, rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """Links between sets that connect what is connected, and components
-    (node, root) of all nodes that are no roots."""
+def links(docs: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
+    """Components (node, root) of all linked nodes that are no roots."""
     sizes = written(rows.filter("n > 0").select("node", "n").distinct(), "sizes")
     keys = written(partnered(shared_keys(rows), sizes, rule), "partnered")
     sets = written(_sets_of(docs, rows, keys.select("node"), rule), "members")
-    found, roots, turn, before = None, None, 0, None
-    marked = keys
-    while True:
-        marked = written(_with_components(marked if roots is None else keys, roots), "marked")
-        here = marked.agg(F.count_distinct("c")).first()[0]
-        # another round while the last one merged a tenth of the open components
-        if turn and here > 0.9 * before:
-            break
-        before, turn = here, turn + 1
-        more = written(_linked(star_pairs(marked, turn, rule), sets, rule), "found")
-        found = more if found is None else written(found.unionByName(more), "found")
-        roots = components(found)
-    own = written(sets.join(roots, "node", "left").select("node", "members", F.coalesce("root", "node").alias("c")), "own")
-    busy = marked.groupBy("key").agg(F.count_distinct("c").alias("k")).filter(F.col("k") > HEAVY).select("key")
-    light = open_pairs(marked.join(busy, "key", "left_anti"), rule).select(F.col("cu").alias("ga"), F.col("cv").alias("gb"))
-    more = links_between(light, own.withColumn("g", F.col("c")), rule)
-    heavy = written(marked.join(busy, "key", "left_semi").select("key", "node"), "heavy")
-    if not heavy.isEmpty():
-        family = written(families(heavy), "families")
-        self_pairs = family.select(F.col("g").alias("ga"), F.col("g").alias("gb")).distinct()
-        more = more.unionByName(links_between(self_pairs, own.join(family, "node"), rule))
-    more = written(more, "found")
-    if more.isEmpty():
-        return found, roots
-    found = found.unionByName(more)
-    return found, components(found)
+    return connect(keys, sets, rule, lambda marked, turn: linked(star_pairs(marked, turn, rule), sets, rule),
+                   lambda marked: open_pairs(marked, rule))
 
 
 def near_groups(docs: DataFrame, row: str | None = None, rule: Rule = RULE) -> DataFrame:
     """Per row: row, doc_id, n_shingles, component_id (least doc_id of its
     group), node, group (null for rows without words)."""
     rows = described(docs, row, rule)
-    _, roots = links(docs, rows, rule)
+    roots = links(docs, rows, rule)
     grouped = rows.select("row", "doc_id", "n", "node").join(roots, "node", "left") \
         .select("row", "doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("root", "node").alias("group"))
     least = grouped.filter("group is not null").groupBy("group").agg(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import scan
-from . import alignment, attention_lm, best_fit, divergence, exact_dedup, id_files, language, license_rules, mixing, ngram_join, quality_rules, toxicity
+from . import alignment, attention_lm, best_fit, divergence, exact_dedup, id_files, language, license_rules, minhash, mixing, ngram_join, quality_rules, toxicity
 from .common import documents, fold_crc, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,9 @@ SELECT * FROM s WHERE part = 'pair' OR rank <= 200
 def op13(spark, sf_dir):
     """How far a language's sources differ, and by which terms."""
     return divergence.divergence(documents(spark, sf_dir))
+
+
+@query("op12_minhash")
+def op12(spark, sf_dir):
+    """Components of documents whose 2-word shingle sets are near copies."""
+    return minhash.near_groups(documents(spark, sf_dir))
