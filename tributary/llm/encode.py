@@ -3,8 +3,8 @@
 The tokenizer's pre-tokenizer never lets a token span ASCII white space, so
 the ids of a text are the ids of its white-space chunks, one after the other.
 A batch of texts is split and dictionary-encoded in Arrow; only chunks that
-this Python worker has not met yet reach the tokenizers library, and the ids
-of the batch are gathered with numpy.  When the cache reaches ``CACHE_CHUNKS``
+this Python worker has not met yet reach the tokenizers library, many of them
+as one text, and the ids of the batch are gathered with numpy.  When the cache reaches ``CACHE_CHUNKS``
 chunks it keeps those that came up most often.
 """
 
@@ -18,9 +18,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .common import worker_store
+from .csr import spread
 from .words import plain
 
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_000_000
+JOINED = 2000     # chunks that are encoded in one call
 _PUNCT = string.punctuation
 
 
@@ -40,23 +42,22 @@ class ChunkEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[str, int] = {}      # chunk -> its number, in order of numbers
-        self.lengths = np.zeros(1024, np.int32)
-        self.starts = np.zeros(1024, np.int32)
-        self.hits = np.zeros(1024, np.int32)
-        self.flat = np.zeros(4096, np.uint32)
-        self.used = 0
+        self.names = pa.array([], pa.large_string())        # chunks in order of their numbers
+        self.lengths, self.hits = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.uint32)                  # their ids, one after the other
 
     def trim(self) -> None:
         """Keep the chunks that came up in most batches, half a cache at most."""
-        n = len(self.slot)
-        hits = self.hits[:n]
-        keep = np.flatnonzero(hits >= max(2, int(np.sort(hits)[-min(n, CACHE_CHUNKS // 2)]) + 1))
-        names, lengths, starts = list(self.slot), self.lengths[keep], self.starts[keep]
-        self.flat = self.flat[np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
-        self.used = len(self.flat)
-        self.slot = {names[k]: i for i, k in enumerate(keep.tolist())}
-        self.lengths, self.starts, self.hits = lengths, (np.cumsum(lengths) - lengths).astype(np.int32), np.zeros(len(keep), np.int32)
+        n = len(self.names)
+        least = max(2, int(np.sort(self.hits)[-min(n, CACHE_CHUNKS // 2)]) + 1) if n else 2
+        keep = np.flatnonzero(self.hits >= least)
+        self.flat = self.flat[spread(self.starts[keep], self.lengths[keep])]
+        self.names, self.lengths = self.names.take(pa.array(keep)), self.lengths[keep]
+        self.hits = np.zeros(len(keep), np.int32)
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.lengths, dtype=np.int64) - self.lengths
 
     @property
     def vocabulary(self) -> int:
@@ -65,50 +66,47 @@ class ChunkEncoder:
     def _encode(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _add(self, chunks: list[str]) -> None:
+    def _each(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks and the number of each.  Many chunks are one
+        text, with a special token between two (no chunk holds one)."""
+        if not self.specials:
+            return self.encode_distinct(chunks.to_pylist())
+        mark = self.specials[0]
+        ids, lens, own = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], self.tokenizer.token_to_id(mark)
+        for i in range(0, len(chunks), JOINED):
+            names = chunks.slice(i, JOINED).to_pylist()
+            found = np.array(self._encode([mark.join(names)])[0], np.uint32)
+            at = np.flatnonzero(found == own)
+            if len(at) != len(names) - 1:
+                raise ValueError("a chunk holds a special token")
+            ids.append(np.delete(found, at))
+            lens.append(np.diff(np.concatenate([[-1], at, [len(found)]])) - 1)
+        return np.concatenate(ids), np.concatenate(lens)
+
+    def _add(self, chunks: pa.Array) -> None:
         """Encode new chunks.  A trailing ASCII punctuation run after a letter
-        or digit is a token sequence of its own, so it is cached apart."""
-        parts, need = [], {}
-        for c in chunks:
-            core = c.rstrip(_PUNCT)
-            if core and core is not c and len(core) < len(c) and (core[-1].isalpha() or core[-1] in "0123456789"):
-                pair = (core, c[len(core):])
-            else:
-                pair = (c,)
-            parts.append(pair)
-            for p in pair:
-                if p not in self.slot:
-                    need[p] = None
-        fresh = list(need)
-        self._append(fresh, self._encode(fresh) if fresh else [])
-        whole = [(c, p) for c, p in zip(chunks, parts) if len(p) == 2]
-        if whole:
-            self._append([c for c, _ in whole],
-                         [self._ids(p[0]) + self._ids(p[1]) for _, p in whole])
-
-    def _ids(self, chunk: str) -> list[int]:
-        k = self.slot[chunk]
-        return self.flat[self.starts[k]:self.starts[k] + self.lengths[k]].tolist()
-
-    def _append(self, chunks: list[str], ids: list[list[int]]) -> None:
-        if not chunks:
-            return
-        first, n = len(self.slot), len(chunks)
-        if first + n > len(self.lengths):
-            grow = max(first + n, 2 * len(self.lengths))
-            self.lengths = np.resize(self.lengths, grow)
-            self.starts = np.resize(self.starts, grow)
-            self.hits = np.resize(self.hits, grow)
-        lengths = np.fromiter(map(len, ids), np.int64, n)
-        total = int(lengths.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.resize(self.flat, max(self.used + total, 2 * len(self.flat)))
-        self.flat[self.used:self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
-        self.lengths[first:first + n] = lengths
-        self.hits[first:first + n] = 0
-        self.starts[first:first + n] = self.used + np.cumsum(lengths) - lengths
-        self.used += total
-        self.slot.update(zip(chunks, range(first, first + n)))
+        or digit is a token sequence of its own, so it is encoded apart."""
+        core = pc.utf8_rtrim(chunks, characters=_PUNCT)
+        size = np.asarray(pc.binary_length(core)).astype(np.int64)
+        cut = np.asarray(pc.and_(pc.match_substring_regex(core, r"[\p{L}0-9]$"), pc.not_equal(core, chunks)))
+        head = pc.if_else(pa.array(cut), core, chunks)
+        data = chunks.filter(pa.array(cut)).to_pylist()
+        tail = pa.array([c.encode()[n:].decode() for c, n in zip(data, size[cut].tolist())], pa.large_string())
+        parts = pa.concat_arrays([head, tail]).dictionary_encode()
+        at = pc.index_in(parts.dictionary, value_set=self.names)
+        fresh = parts.dictionary.filter(pc.is_null(at))
+        self._append(fresh, *self._each(fresh))
+        at = np.asarray(pc.index_in(parts.dictionary, value_set=self.names)).astype(np.int64)[np.asarray(parts.indices)]
+        # chunks with a tail: the ids of their parts, one after the other
+        both = np.stack([at[:len(chunks)][cut], at[len(chunks):]], 1).reshape(-1)
+        lens = self.lengths[both].astype(np.int64)
+        self._append(chunks.filter(pa.array(cut)), self.flat[spread(self.starts[both], lens)], lens.reshape(-1, 2).sum(1))
+
+    def _append(self, chunks: pa.Array, ids: np.ndarray, lens: np.ndarray) -> None:
+        self.names = pa.concat_arrays([self.names, chunks])
+        self.lengths = np.concatenate([self.lengths, lens.astype(np.int32)])
+        self.hits = np.concatenate([self.hits, np.zeros(len(chunks), np.int32)])
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
 
     def encode_distinct(self, chunks: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct chunks, without the cache, and the number of each."""
@@ -133,22 +131,21 @@ class ChunkEncoder:
         bounds = np.asarray(chunks.offsets).astype(np.int64)
         coded = chunks.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds = bounds - bounds[0]
-        names = coded.dictionary.to_pylist()
-        if len(self.slot) + len(names) > CACHE_CHUNKS:
+        names = coded.dictionary
+        if len(self.names) + len(names) > CACHE_CHUNKS:
             self.trim()
-        slot = self.slot
-        fresh = [w for w in names if w not in slot]
-        if fresh:
+        fresh = names.filter(pc.is_null(pc.index_in(names, value_set=self.names)))
+        if len(fresh):
             self._add(fresh)
-        slots = np.fromiter(map(slot.__getitem__, names), np.int64, len(names))
+        slots = np.asarray(pc.index_in(names, value_set=self.names)).astype(np.int32)
         self.hits[slots] += 1
-        at = slots.astype(np.int32)[np.asarray(coded.indices)]
+        at = slots[np.asarray(coded.indices)]
         del chunks, coded, names
         per_chunk = self.lengths[at]
         sums = np.concatenate([[0], np.cumsum(per_chunk, dtype=np.int64)])
         per_text = sums[bounds[1:]] - sums[bounds[:-1]]
         total = int(sums[-1])
-        kind = np.int32 if total + self.used < 1 << 31 else np.int64
+        kind = np.int32 if total + len(self.flat) < 1 << 31 else np.int64
         where = np.repeat((self.starts[at] - sums[:-1]).astype(kind), per_chunk)
         where += np.arange(total, dtype=kind)
         ids = self.flat[where]
