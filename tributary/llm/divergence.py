@@ -40,12 +40,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .alignment import text_slices
 from .common import written
 from .csr import spread
 from .exact_dedup import member_bits, positions
 from .ngram_join import mix
-from .words import plain
+from .words import plain, text_slices
 
 LEAST = 3               # documents that a kept term is in
 TOP = 200               # ranks of part ``term``

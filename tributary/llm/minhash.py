@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .alignment import text_slices
 from .common import row_id, written
 from .exact_dedup import flag_members, member_bits
 from .linking import Rule, connect, linked
 from .ngram_join import fingerprints, mix, shingle_sets
+from .words import text_slices
 
 RULE = Rule(shingle=2, numerator=80)
 BANDS, ROWS = 40, 5

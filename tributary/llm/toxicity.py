@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import worker_store, written
-from .words import WordTable, coded_words, doc_of
+from .words import WordTable, coded_words, doc_of, text_slices
 
 TRAIN_ROWS = 12_000
 MAX_TERMS = 4096
@@ -40,6 +40,7 @@ PREFIXES = (4, 5, 6, 7)
 NEIGHBOURS = 15
 BLOCK = 64
 PRIOR_WEIGHT = 0.5
+SLICE_BYTES = 2 << 20   # text whose terms are counted at a time
 
 
 def word_terms(word: str) -> list[str]:
@@ -162,6 +163,7 @@ def _examples(sample: DataFrame, terms: list[str]) -> list[tuple]:
     """(doc_id, toxic, term numbers, counts) of the sample's rows with a term;
     at most the sample's rows."""
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("toxicity")
         index = Index(terms, [0] * len(terms), 1, [], 0.0)
         table = index.table()
         for b in batches:
@@ -186,25 +188,27 @@ def _examples(sample: DataFrame, terms: list[str]) -> list[tuple]:
 def _term_counts(sample: DataFrame) -> DataFrame:
     """term, n0, n1: clean and toxic examples that have it."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("toxicity")
         for b in batches:
-            names, codes, bounds = coded_words(b.column(2))
-            toxic = np.array(b.column(1).to_pylist(), np.int64)
-            numbers: dict[str, int] = {}
-            lists = [[numbers.setdefault(t, len(numbers)) for t in word_terms(w)] for w in names.to_pylist()]
-            width = 1 + len(PREFIXES)
-            rows = np.full((len(lists), width), -1, np.int64)
-            for k, x in enumerate(lists):
-                rows[k, :len(x)] = x
-            n = max(1, len(numbers))
-            pair = np.unique(doc_of(bounds) * len(names) + codes)
-            doc, terms = pair // max(1, len(names)), rows[pair % max(1, len(names))]
-            some = terms >= 0
-            key = np.unique((doc[:, None] * n + terms)[some])
-            n1 = np.bincount(key % n, toxic[key // n], minlength=n).astype(np.int64)
-            n0 = np.bincount(key % n, minlength=n) - n1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(numbers), pa.string()), pa.array(n0[:len(numbers)]), pa.array(n1[:len(numbers)])],
-                names=["term", "n0", "n1"])
+            for i, j in text_slices(b.column(2), SLICE_BYTES):
+                yield slice_counts(b.column(2).slice(i, j - i), np.array(b.column(1).slice(i, j - i).to_pylist(), np.int64))
+
+    def slice_counts(texts: pa.Array, toxic: np.ndarray) -> pa.RecordBatch:
+        names, codes, bounds = coded_words(texts)
+        numbers: dict[str, int] = {}
+        lists = [[numbers.setdefault(t, len(numbers)) for t in word_terms(w)] for w in names.to_pylist()]
+        rows = np.full((len(lists), 1 + len(PREFIXES)), -1, np.int32)
+        for k, x in enumerate(lists):
+            rows[k, :len(x)] = x
+        n = max(1, len(numbers))
+        pair = np.unique(doc_of(bounds) * len(names) + codes)
+        doc, terms = pair // max(1, len(names)), rows[pair % max(1, len(names))]
+        some = terms >= 0
+        key = np.unique((doc[:, None] * n + terms)[some])
+        n1 = np.bincount(key % n, toxic[key // n], minlength=n).astype(np.int64)
+        n0 = np.bincount(key % n, minlength=n) - n1
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(numbers), pa.string()), pa.array(n0[:len(numbers)]), pa.array(n1[:len(numbers)])], names=["term", "n0", "n1"])
 
     return sample.mapInArrow(count, "term string, n0 long, n1 long").groupBy("term") \
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -218,7 +222,9 @@ def labelled(docs: DataFrame, labels: DataFrame, use) -> DataFrame:
     share = min(1.0, TRAIN_ROWS / max(1, marks.count()))
     chosen = marks.filter(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    return written(chosen.join(texts, "doc_id").select("doc_id", "toxic", "text"), "toxic-sample")
+    # of a repeated id one text (the least), so that the sample stays as small as its ids
+    return written(chosen.join(texts, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "toxic", "text"),
+                   "toxic-sample")
 
 
 def fit(sample: DataFrame) -> tuple[Index, tuple[list[float], list[float]]]:

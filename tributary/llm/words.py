@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -46,6 +48,16 @@ def doc_of(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
+def text_slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most ``limit`` bytes, or of one text."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64))
+    first, done = 0, 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield first, last
+        first, done = last, int(ends[last - 1])
+
+
 class WordTable:
     """A worker's cache of one small vector per word, cleared when full."""
 
