@@ -317,15 +317,10 @@ def covers_lines(polys: DataFrame, poly_id: str, segs: DataFrame, line_id: str,
     return covers_lines_edges(kept_edges(polys, poly_id), poly_id, segs, line_id, cell)
 
 
-def covers_lines_edges(edges: DataFrame, poly_id: str, segs: DataFrame, line_id: str, cell: float) -> DataFrame:
-    """Covers for outlines given as edges (holes and several parts by the
-    even-odd rule).
-
-    Each segment is cut at all its contacts with the outline; it is covered if
-    every piece runs along the outline or has its midpoint inside.  A segment
-    without contact is covered if its start is inside.
-    """
-    s = segs.select(line_id, "x1", "y1", "x2", "y2").distinct()
+def _contacts(edges: DataFrame, poly_id: str, s: DataFrame, line_id: str, cell: float) -> DataFrame:
+    """``(poly_id, line_id, seg, t, runs)`` for every segment that meets the
+    outline: ``t`` the sorted places of its contacts (0 and 1 included),
+    ``runs`` the stretches along the outline."""
     p1x, p1y, p2x, p2y = (F.col(c) for c in _A)
     q1x, q1y, q2x, q2y = (F.col(c) for c in _B)
     o1, o2, o3, o4 = (F.col(c) for c in ["_o1", "_o2", "_o3", "_o4"])
@@ -339,17 +334,38 @@ def covers_lines_edges(edges: DataFrame, poly_id: str, segs: DataFrame, line_id:
     run = F.when((o1 == 0) & (o2 == 0), F.when(point, F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))).otherwise(
         F.struct(F.least(ta, tb).alias("lo"), F.greatest(ta, tb).alias("hi"))))
     seg = F.struct(*[F.col(c).alias(c[2:]) for c in _B]).alias("seg")
-    met = hit.select(poly_id, line_id, seg, cuts.alias("cuts"), run.alias("run")).groupBy(poly_id, line_id, "seg").agg(
+    return hit.select(poly_id, line_id, seg, cuts.alias("cuts"), run.alias("run")).groupBy(poly_id, line_id, "seg").agg(
         F.array_sort(F.array_distinct(F.flatten(F.array(F.array(F.lit(0.0), F.lit(1.0)), F.flatten(F.collect_list("cuts")))))).alias("t"),
         F.collect_set("run").alias("runs"))
+
+
+def _pieces(met: DataFrame, poly_id: str, line_id: str) -> DataFrame:
+    """The pieces ``p`` (lo, hi) between contacts, and whether they run ``along`` the outline."""
     pieces = met.select(poly_id, line_id, "seg", "runs", F.explode(F.expr(
         "transform(sequence(1, size(t) - 1), i -> struct(t[i - 1] as lo, t[i] as hi))")).alias("p"))
     along = F.exists("runs", lambda r: (r["lo"] <= F.col("p.lo") + TINY) & (F.col("p.hi") <= r["hi"] + TINY))
+    return pieces.where(F.col("p.hi") - F.col("p.lo") > TINY).select(poly_id, line_id, "seg", "p", along.alias("along"))
+
+
+def _middles(pieces: DataFrame, poly_id: str, line_id: str) -> DataFrame:
+    """The middle of each piece as a test point ``_pt`` (line, seg, t)."""
     mid = (F.col("p.lo") + F.col("p.hi")) / 2
-    open_ = pieces.where((F.col("p.hi") - F.col("p.lo") > TINY) & ~along).select(
-        poly_id, F.struct(line_id, "seg", mid.alias("t")).alias("_pt"),
-        (F.col("seg.x1") + mid * (F.col("seg.x2") - F.col("seg.x1"))).alias("px"),
-        (F.col("seg.y1") + mid * (F.col("seg.y2") - F.col("seg.y1"))).alias("py"))
+    return pieces.select(poly_id, F.struct(line_id, "seg", mid.alias("t")).alias("_pt"),
+                         (F.col("seg.x1") + mid * (F.col("seg.x2") - F.col("seg.x1"))).alias("px"),
+                         (F.col("seg.y1") + mid * (F.col("seg.y2") - F.col("seg.y1"))).alias("py"), "p")
+
+
+def covers_lines_edges(edges: DataFrame, poly_id: str, segs: DataFrame, line_id: str, cell: float) -> DataFrame:
+    """Covers for outlines given as edges (holes and several parts by the
+    even-odd rule).
+
+    Each segment is cut at all its contacts with the outline; it is covered if
+    every piece runs along the outline or has its midpoint inside.  A segment
+    without contact is covered if its start is inside.
+    """
+    s = segs.select(line_id, "x1", "y1", "x2", "y2").distinct()
+    met = _contacts(edges, poly_id, s, line_id, cell)
+    open_ = _middles(_pieces(met, poly_id, line_id).where(~F.col("along")), poly_id, line_id).drop("p")
     inside = _ray_cast(open_, [poly_id], "_pt", edges, cell, False)
     bad = open_.join(inside, [poly_id, "_pt"], "left_anti").select(
         poly_id, F.col(f"_pt.{line_id}").alias(line_id), F.col("_pt.seg").alias("seg")).distinct()
@@ -364,6 +380,65 @@ def covers_lines_edges(edges: DataFrame, poly_id: str, segs: DataFrame, line_id:
         .where(F.col("_got") == F.col("_need")).select(poly_id, line_id)
 
 
+def clip_lines(edges: DataFrame, poly_id: str, segs: DataFrame, line_id: str, cell: float) -> DataFrame:
+    """``(poly_id, line_id, x1, y1, x2, y2)``: what of each segment lies in the
+    polygon or on its outline (S18), given as edges (holes by even-odd).
+
+    A segment is cut at all its contacts; pieces along the outline or with
+    their middle inside stay, and pieces that follow each other are one.  A
+    segment without contact stays whole if its start is inside; one that
+    only touches the outline leaves nothing.
+    """
+    s = segs.select(line_id, "x1", "y1", "x2", "y2").distinct()
+    met = _contacts(edges, poly_id, s, line_id, cell)
+    pieces = _middles(_pieces(met, poly_id, line_id), poly_id, line_id)
+    along = _pieces(met, poly_id, line_id).where("along").select(poly_id, line_id, "seg", "p")
+    inside = _ray_cast(pieces.drop("p"), [poly_id], "_pt", edges, cell, False)
+    kept = pieces.join(inside, [poly_id, "_pt"]).select(poly_id, F.col(f"_pt.{line_id}").alias(line_id), F.col("_pt.seg").alias("seg"), "p") \
+        .unionByName(along).groupBy(poly_id, line_id, "seg").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    # neighbours that touch are joined; the list of one segment's pieces in one polygon is as long as its contacts
+    joined = F.aggregate("ps", F.expr("cast(array() as array<struct<lo:double,hi:double>>)"), lambda acc, x: F.when(
+        (F.size(acc) > 0) & (F.element_at(acc, -1)["hi"] >= x["lo"] - TINY),
+        F.concat(F.slice(acc, 1, F.size(acc) - 1),
+                 F.array(F.struct(F.element_at(acc, -1)["lo"].alias("lo"), F.greatest(F.element_at(acc, -1)["hi"], x["hi"]).alias("hi")))))
+        .otherwise(F.concat(acc, F.array(F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"))))))
+    cut = kept.select(poly_id, line_id, "seg", F.explode(joined).alias("p"))
+
+    def place(t: Column, axis: str) -> Column:
+        # ends that no contact moved keep their own coordinates
+        first, last = F.col(f"seg.{axis}1"), F.col(f"seg.{axis}2")
+        return F.when(t == 0, first).when(t == 1, last).otherwise(first + t * (last - first))
+
+    cut = cut.select(poly_id, line_id, place(F.col("p.lo"), "x").alias("x1"), place(F.col("p.lo"), "y").alias("y1"),
+                     place(F.col("p.hi"), "x").alias("x2"), place(F.col("p.hi"), "y").alias("y2"))
+    whole = s.select(line_id, F.struct("x1", "y1", "x2", "y2").alias("seg"))
+    starts = whole.select(F.struct(line_id, "seg").alias("_pt"), F.col("seg.x1").alias("px"), F.col("seg.y1").alias("py"))
+    free = points_in_polygons(starts, "_pt", edges, poly_id, cell).select(
+        poly_id, F.col(f"_pt.{line_id}").alias(line_id), F.col("_pt.seg").alias("seg")) \
+        .join(met.select(poly_id, line_id, "seg"), [poly_id, line_id, "seg"], "left_anti")
+    return cut.unionByName(free.select(poly_id, line_id, "seg.*"))
+
+
+def outline_flags(edges: DataFrame, poly_id: str, segs: DataFrame, line_id: str, sinks: DataFrame, d: float, cell: float) -> DataFrame:
+    """``(poly_id, line_id, boundary, outflow)`` for every line that a polygon
+    covers (J9): ``boundary`` if the line comes within ``d`` of the outline,
+    ``outflow`` if its sink ``(line_id, px, py)`` does.  Lines without a sink
+    have no row, as in the join with their nexus.
+
+    Both flags are existence joins that keep every covered line: the near
+    pairs are distinct, so a line has one row a polygon.
+    """
+    covered = covers_lines_edges(edges, poly_id, segs, line_id, cell)
+    checkpoint_root(edges.sparkSession)
+    covered = covered.join(sinks.select(line_id, F.col("px").alias("_sx"), F.col("py").alias("_sy")), line_id).checkpoint()
+    own = segs.join(covered.select(line_id).distinct(), line_id, "left_semi")
+    ends = covered.select(line_id, F.col("_sx").alias("x1"), F.col("_sy").alias("y1"), F.col("_sx").alias("x2"), F.col("_sy").alias("y2")).distinct()
+    near = near_edges(edges, poly_id, own, line_id, d, cell).withColumn("boundary", F.lit(True))
+    out = near_edges(edges, poly_id, ends, line_id, d, cell).withColumn("outflow", F.lit(True))
+    return covered.select(poly_id, line_id).join(near, [poly_id, line_id], "left").join(out, [poly_id, line_id], "left").select(
+        poly_id, line_id, F.coalesce("boundary", F.lit(False)).alias("boundary"), F.coalesce("outflow", F.lit(False)).alias("outflow"))
+
+
 def near_boundary(polys: DataFrame, poly_id: str, segs: DataFrame, line_id: str, d: float, cell: float) -> DataFrame:
     """``(poly_id, line_id)`` for lines within ``d`` of the polygon outline."""
     return near_edges(kept_edges(polys, poly_id), poly_id, segs, line_id, d, cell)
@@ -376,7 +451,14 @@ def near_edges(edges: DataFrame, poly_id: str, segs: DataFrame, line_id: str, d:
 
 def dissolve(rings: DataFrame, group: str, poly_id: str, cell: float) -> DataFrame:
     """Outline of the union of each group's simple polygons (A20), as
-    undirected edges ``(group, x1, y1, x2, y2)``.
+    undirected edges ``(group, x1, y1, x2, y2)``; :mod:`.rings` makes rings of them.
+    """
+    return union_walls(rings, group, poly_id, cell).drop("left")
+
+
+def union_walls(rings: DataFrame, group: str, poly_id: str, cell: float) -> DataFrame:
+    """The edges of :func:`dissolve` from their lesser to their greater end,
+    with ``left``: whether the union lies on their left side.
 
     Every edge is cut where others of its group meet it.  Of equal pieces only
     those stay that have the inside on one side alone, and of these only
@@ -421,7 +503,7 @@ def dissolve(rings: DataFrame, group: str, poly_id: str, cell: float) -> DataFra
                            (F.col("_left") == forward).alias("_left")) \
         .where((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2"))).checkpoint()
     key = [group, "x1", "y1", "x2", "y2"]
-    walls = pieces.groupBy(*key).agg(F.max("_left").alias("l"), F.min("_left").alias("r")).where(F.col("l") == F.col("r")).select(*key)
+    walls = pieces.groupBy(*key).agg(F.max("_left").alias("l"), F.min("_left").alias("r")).where(F.col("l") == F.col("r")).select(*key, F.col("l").alias("left"))
     mids = walls.select(group, F.struct(*key).alias("_pt"), ((F.col("x1") + F.col("x2")) / 2).alias("px"),
                         ((F.col("y1") + F.col("y2")) / 2).alias("py"))
     near = box_candidates(mids, "_pt", edges, [group, poly_id], cell, by=[group])

@@ -75,6 +75,8 @@ def with_views(body: str) -> str:
         return body.strip()
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

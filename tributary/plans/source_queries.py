@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..operators.layout import SEGMENT_FEATURES, with_segments
 from ..operators.udf import map_batches
 from ..sources import fixtures as fx
+from ..session import shared_dir
+from ..sources.keyed import by_keys, join_keyed, write_keyed
 from ..sources.typed import typed_projection
 from .common import rounded
 from .registry import query
@@ -18,6 +20,8 @@ from .registry import query
 LOOKUP_HUC_KEY = 7
 CASTS = {"integer": "bigint", "float": "double"}
 FIRST_ROWS = 10
+LOOKUP_REACHES = [3, 42, 77, 150]
+BUCKETS = 16
 
 
 @query("q_lookup_by_key", f"SELECT comid, huc_key FROM reach WHERE huc_key = {LOOKUP_HUC_KEY}")
@@ -25,6 +29,28 @@ def q_lookup_by_key(spark, root):
     return fx.reach(spark, root).where(F.col("huc_key") == LOOKUP_HUC_KEY)
 
 
+def _store(spark, df, name, key):
+    """The table written as a keyed store of its own name."""
+    path = shared_dir(spark, f"keyed/{name}")
+    return write_keyed(df, f"{name}_{path.rpartition('/')[2][:12]}", path, key, BUCKETS)
+
+
+@query("q_keyed_lookup", f"""
+SELECT comid, huc_key FROM reach WHERE comid IN ({", ".join(map(str, LOOKUP_REACHES))})""")
+def q_keyed_lookup(spark, root):
+    """Reaches read by a list of ids from a keyed store: the ids' buckets only."""
+    store = _store(spark, fx.reach(spark, root), "reach", "comid")
+    return store.where(F.col("comid").isin(LOOKUP_REACHES))
+
+
+@query("q_keyed_join", """
+SELECT c.comid, c.id, c.part, r.huc_key FROM crosswalk c JOIN reach r ON c.comid = r.comid""")
+def q_keyed_join(spark, root):
+    """Crosswalk rows with their reach: two keyed stores merged without a shuffle."""
+    reach = _store(spark, fx.reach(spark, root), "reach", "comid")
+    return join_keyed(_store(spark, fx.crosswalk(spark, root), "crosswalk", "comid"), reach, "comid").select("comid", "id", "part", "huc_key")
+
+
 @query("q_typed_projection", """
 SELECT CAST(id AS BIGINT) AS id, CAST(toid AS BIGINT) AS toid, CAST(ord AS BIGINT) AS ord FROM flowpaths""")
 def q_typed_projection(spark, root):

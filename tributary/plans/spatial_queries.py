@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.time import partial_label
+from ..operators import rings as rg
 from ..operators import spatial as sp
 from ..sources import fixtures as fx
 from . import spatial_sql as q
@@ -102,6 +103,65 @@ def q_dissolve(spark, root):
     return sp.dissolve(_square_rings(spark, root), "grp", "cell", CELL)
 
 
+@query("q_dissolve_rings")
+def q_dissolve_rings(spark, root):
+    return rg.union_rings(_square_rings(spark, root), "grp", "cell", CELL)
+
+
+# Independent of the rings: cells that share an edge make up a part; its area is
+# their number, its outline their free edges.
+@query("q_dissolve_parts", """
+WITH RECURSIVE sq AS (SELECT DISTINCT grp, cx, cy FROM coverage),
+near AS (SELECT a.grp, a.cx, a.cy, b.cx AS bx, b.cy AS by FROM sq a JOIN sq b
+         ON a.grp = b.grp AND abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1),
+reach AS (SELECT grp, cx, cy, cx AS sx, cy AS sy FROM sq
+          UNION SELECT r.grp, n.bx, n.by, r.sx, r.sy FROM reach r JOIN near n ON r.grp = n.grp AND r.cx = n.cx AND r.cy = n.cy),
+part AS (SELECT grp, cx, cy, min((sx, sy)) AS p FROM reach GROUP BY 1, 2, 3),
+free AS (SELECT s.grp, s.cx, s.cy, 4 - count(n.bx) AS k FROM sq s LEFT JOIN near n ON s.grp = n.grp AND s.cx = n.cx AND s.cy = n.cy GROUP BY 1, 2, 3)
+SELECT p.grp, CAST(min(p.cx) AS DOUBLE) AS x0, CAST(min(p.cy) FILTER (p.cx = p.p[1]) AS DOUBLE) AS y0,
+       CAST(count(*) AS DOUBLE) AS area, CAST(sum(f.k) AS DOUBLE) AS length
+FROM part p JOIN free f ON p.grp = f.grp AND p.cx = f.cx AND p.cy = f.cy GROUP BY p.grp, p.p""")
+def q_dissolve_parts(spark, root):
+    rings = rg.union_rings(_square_rings(spark, root), "grp", "cell", CELL)
+    return rounded(rg.part_measures(rings, "grp").select("grp", "x0", "y0", "area", "length"))
+
+
+# The oracle rests on the convex watersheds: covered if both ends are inside.
+@query("q_outflow_flags", f"""
+WITH {_AE},
+out AS (SELECT DISTINCT ae.area_id, s.comid FROM ae, seg s
+        WHERE {q.orient('ae.x1', 'ae.y1', 'ae.x2', 'ae.y2', 's.x1', 's.y1')} < 0
+           OR {q.orient('ae.x1', 'ae.y1', 'ae.x2', 'ae.y2', 's.x2', 's.y2')} < 0)
+SELECT ae.area_id, s.comid, bool_or({q.within(NEAR, *_EDGE, *_SEG)}) AS boundary,
+       bool_or({q.dist2('s.x2', 's.y2', *_EDGE)} <= {NEAR * NEAR!r}) AS outflow
+FROM ae, seg s WHERE NOT EXISTS (SELECT 1 FROM out o WHERE o.area_id = ae.area_id AND o.comid = s.comid) GROUP BY 1, 2""")
+def q_outflow_flags(spark, root):
+    s = fx.seg(spark, root)
+    sinks = s.select("comid", F.col("x2").alias("px"), F.col("y2").alias("py"))
+    return sp.outline_flags(sp.kept_edges(fx.areas(spark, root), "area_id"), "area_id", s, "comid", sinks, NEAR, CELL)
+
+
+# Convex watersheds again: a segment enters and leaves once, at the last entry
+# and the first exit over the sides of the outline.
+@query("q_extract_geometry", f"""
+WITH {_AE},
+side AS (SELECT ae.area_id, s.comid, s.x1, s.y1, s.x2, s.y2,
+                {q.orient('ae.x1', 'ae.y1', 'ae.x2', 'ae.y2', 's.x1', 's.y1')} AS a,
+                {q.orient('ae.x1', 'ae.y1', 'ae.x2', 'ae.y2', 's.x2', 's.y2')} AS b FROM ae, seg s),
+t AS (SELECT area_id, comid, x1, y1, x2, y2, max(CASE WHEN a < 0 AND b > a THEN a / (a - b) ELSE 0 END) AS lo,
+             min(CASE WHEN b < 0 AND a > b THEN a / (a - b) ELSE 1 END) AS hi, bool_or(a < 0 AND b < 0) AS off
+      FROM side GROUP BY ALL)
+SELECT area_id, true AS is_boundary, CAST(0 AS BIGINT) AS comid, CAST(v AS INTEGER) AS v, round(x, 6) AS x, round(y, 6) AS y FROM areas
+UNION ALL SELECT area_id, false, comid, 0, round(x1 + lo * (x2 - x1), 6), round(y1 + lo * (y2 - y1), 6) FROM t WHERE lo < hi AND NOT off
+UNION ALL SELECT area_id, false, comid, 1, round(x1 + hi * (x2 - x1), 6), round(y1 + hi * (y2 - y1), 6) FROM t WHERE lo < hi AND NOT off""")
+def q_extract_geometry(spark, root):
+    areas = fx.areas(spark, root)
+    cut = sp.clip_lines(sp.kept_edges(areas, "area_id"), "area_id", fx.seg(spark, root), "comid", CELL)
+    ends = cut.select("area_id", F.lit(False).alias("is_boundary"), "comid", F.expr("stack(2, 0, x1, y1, 1, x2, y2) as (v, x, y)"))
+    outline = areas.select("area_id", F.lit(True).alias("is_boundary"), F.lit(0).cast("long").alias("comid"), F.col("v").cast("int").alias("v"), "x", "y")
+    return rounded(outline.unionByName(ends))
+
+
 @query("q_bounds", """
 SELECT catchment_id, round(min(x), 6) AS xmin, round(min(y), 6) AS ymin, round(max(x), 6) AS xmax,
        round(max(y), 6) AS ymax FROM catchments GROUP BY 1""")
