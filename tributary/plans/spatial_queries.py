@@ -114,9 +114,9 @@ def q_dissolve_rings(spark, root):
 WITH RECURSIVE sq AS (SELECT DISTINCT grp, cx, cy FROM coverage),
 near AS (SELECT a.grp, a.cx, a.cy, b.cx AS bx, b.cy AS by FROM sq a JOIN sq b
          ON a.grp = b.grp AND abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1),
-reach AS (SELECT grp, cx, cy, cx AS sx, cy AS sy FROM sq
-          UNION SELECT r.grp, n.bx, n.by, r.sx, r.sy FROM reach r JOIN near n ON r.grp = n.grp AND r.cx = n.cx AND r.cy = n.cy),
-part AS (SELECT grp, cx, cy, min((sx, sy)) AS p FROM reach GROUP BY 1, 2, 3),
+walk AS (SELECT grp, cx, cy, cx AS sx, cy AS sy FROM sq
+          UNION SELECT r.grp, n.bx, n.by, r.sx, r.sy FROM walk r JOIN near n ON r.grp = n.grp AND r.cx = n.cx AND r.cy = n.cy),
+part AS (SELECT grp, cx, cy, min((sx, sy)) AS p FROM walk GROUP BY 1, 2, 3),
 free AS (SELECT s.grp, s.cx, s.cy, 4 - count(n.bx) AS k FROM sq s LEFT JOIN near n ON s.grp = n.grp AND s.cx = n.cx AND s.cy = n.cy GROUP BY 1, 2, 3)
 SELECT p.grp, CAST(min(p.cx) AS DOUBLE) AS x0, CAST(min(p.cy) FILTER (p.cx = p.p[1]) AS DOUBLE) AS y0,
        CAST(count(*) AS DOUBLE) AS area, CAST(sum(f.k) AS DOUBLE) AS length
