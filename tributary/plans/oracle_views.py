@@ -26,7 +26,7 @@ VIEWS: dict[str, str] = {
     "grid": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS time, CAST(user_id % 10 AS DOUBLE) AS y, "
             "CAST(user_id AS DOUBLE) AS x, avg(value) AS zwattablrt FROM events GROUP BY 1, 2, 3",
     "gauge": "SELECT user_id AS site, CAST(date_trunc('day', ts) AS TIMESTAMP) AS value_date, avg(value) - 20 AS value "
-             "FROM events WHERE event_type NOT IN ('purchase', 'signup') GROUP BY 1, 2",
+             "FROM events WHERE (event_type NOT IN ('purchase', 'signup') OR event_type IS NULL) GROUP BY 1, 2",
     "gauge_forecast": "SELECT user_id AS site, user_id + 1000 AS nwm_feature_id, "
                       "CAST(date_trunc('day', ts) AS TIMESTAMP) AS value_date, avg(value) AS value "
                       "FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1, 2, 3",

@@ -68,7 +68,7 @@ FORECAST_EVENTS = ["purchase", "signup"]
 def gauge(spark: SparkSession, root: str) -> DataFrame:
     """Gauge observations ``(site, value_date, value)``; some values negative.
     Every event is an observation or a forecast (:func:`gauge_forecast`)."""
-    ev = scan(spark, root, "events").where(~F.col("event_type").isin(FORECAST_EVENTS))
+    ev = scan(spark, root, "events").where(~F.col("event_type").isin(FORECAST_EVENTS) | F.col("event_type").isNull())
     return (ev.groupBy(F.col("user_id").alias("site"),
                        _ntz(F.date_trunc("day", "ts")).alias("value_date"))
               .agg((F.avg("value") - 20).alias("value")))
