@@ -13,7 +13,7 @@ grow components:
   more than ``HEAVY`` components are left (near copies of one text that are
   not near enough to each other), pairs of components are not listed: its
   sets, with those that they share such keys with, are one family, compared
-  block by block.
+  block by block; other keys within the family need no pairs then.
 
 So no link between components is lost, whatever the rounds found.  Without
 shared keys there is no round at all.
@@ -36,7 +36,7 @@ from .components import components
 
 BLOCK_BYTES = 1 << 20   # members of the sets of a block (a larger set is a block of its own, or meets others by chance of its hash)
 BLOCK_SETS = 1024
-HEAVY = 64              # components under a key beyond which its sets are compared as one family
+HEAVY = 16              # components under a key beyond which its sets are compared as one family
 
 
 class Rule(NamedTuple):
@@ -165,12 +165,19 @@ def connect(keys: DataFrame, sets: DataFrame, rule: Rule, star_links: Callable[[
         marked = written(with_components(keys, roots), "marked")
     own = written(sets.join(marked.select("node", "c").distinct(), "node").select("node", "members", "c"), "own")
     busy = marked.groupBy("key").agg(F.count_distinct("c").alias("k")).filter(F.col("k") > HEAVY).select("key")
-    light = open_pairs(marked.join(busy, "key", "left_anti")).select(F.col("cu").alias("ga"), F.col("cv").alias("gb"))
-    more = links_between(light, own.withColumn("g", F.col("c")), rule)
+    rest = marked.join(busy, "key", "left_anti")
     heavy = written(marked.join(busy, "key", "left_semi").select("key", "node"), "heavy")
+    more = None
     if not heavy.isEmpty():
         family = written(families(heavy), "families")
         self_pairs = family.select(F.col("g").alias("ga"), F.col("g").alias("gb")).distinct()
-        more = more.unionByName(links_between(self_pairs, own.join(family, "node"), rule))
+        more = links_between(self_pairs, own.join(family, "node"), rule)
+        # a family is compared as a whole, so keys within one family need no pairs of their own
+        inner = rest.join(family, "node", "left").groupBy("key").agg(
+            F.min("g").alias("a"), F.max("g").alias("b"), F.count_if(F.col("g").isNull()).alias("free")).filter("free = 0 and a = b").select("key")
+        rest = rest.join(inner, "key", "left_anti")
+    light = open_pairs(rest).select(F.col("cu").alias("ga"), F.col("cv").alias("gb"))
+    light = links_between(light, own.withColumn("g", F.col("c")), rule)
+    more = light if more is None else more.unionByName(light)
     more = written(more, "found")
     return roots if more.isEmpty() else components(reduce(DataFrame.unionByName, [*found, more]))
