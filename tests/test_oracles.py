@@ -10,6 +10,8 @@ from tools.oracle_check import TABLES, norm
 from tributary.plans.registry import all_queries
 
 SF = os.environ.get("TRIBUTARY_TEST_SF", "/root/testdata/sf0.001")
+# SQL has no form for the order of ring corners: brute force in test_rings.py.
+BY_BRUTE_FORCE = {"q_dissolve_rings"}
 # The training-data queries have tests of their own in tests/llm.
 QUERIES = {k: f for k, f in entry.queries().items() if k in all_queries()}
 ORACLES = {k: q for k, q in entry.oracle_sql().items() if k in QUERIES}
@@ -26,7 +28,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - BY_BRUTE_FORCE == set(ORACLES)
 
 
 def test_entry_runs(spark):
@@ -35,7 +37,7 @@ def test_entry_runs(spark):
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - BY_BRUTE_FORCE))
 def test_query_matches_oracle(spark, duck, name):
     got = QUERIES[name](spark, SF).toPandas()
     want = duck.execute(ORACLES[name]).fetchdf()

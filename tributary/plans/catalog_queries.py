@@ -9,7 +9,7 @@ from ..operators import catalog as cat
 from ..session import shared_dir
 from ..sources import fixtures as fx
 from ..sources.tables import scan
-from ..streaming.refresh import read_artifact, refresh_once
+from ..streaming.refresh import published, read_artifact, refresh_once
 from .common import CYCLES, LEADS, RETENTION_DAYS, dates_as_timestamps
 from .registry import query
 
@@ -52,8 +52,8 @@ def q_refresh_rerun(spark, root):
     refresh_once(src, dst, out, RETENTION_DAYS, CYCLES, LEADS)
     kept = cat.keep_recent_days(src, RETENTION_DAYS).select(path_key("path").alias("key"))
     current = dst.withColumn("key", path_key("path")).join(kept, "key", "left_semi").select("path")
-    paths = refresh_once(src, current, out, RETENTION_DAYS, CYCLES, LEADS)
-    return read_artifact(spark, paths, "diff").select("action", "path")
+    refresh_once(src, current, out, RETENTION_DAYS, CYCLES, LEADS)
+    return read_artifact(spark, published(spark, out), "diff").select("action", "path")
 
 
 @query("q_retention", f"SELECT path, CAST(folder_date AS TIMESTAMP) AS folder_date FROM {_SQL_KEPT}")

@@ -3,8 +3,10 @@
 The reference runs it as separate pods joined by text-file artifacts: list
 and diff, create and delete in parallel, then rebuild the combined index.
 Here each step is a DataFrame over the catalogs, and each artifact is a table
-written below one output folder (in the shared checkpoint folder on a
-cluster):
+of one version below the output folder (in the shared checkpoint folder on a
+cluster), published when all four are written (:mod:`..sources.versions`):
+readers never see artifacts of two runs, and of two runs at a time one is
+refused:
 
 * ``retained`` - source files kept by the retention window (I2);
 * ``diff`` - files to index (``create``) and stale index files (``delete``),
@@ -22,23 +24,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog as cat
+from ..sources import versions as vs
+
+ARTIFACTS = ("retained", "diff", "missing", "manifest")
 
 
 def refresh_once(source: DataFrame, index: DataFrame, out: str, keep_days: int,
                  cycles: int, leads: int) -> dict[str, str]:
-    """Write the four artifacts of one refresh below ``out``; return their paths."""
+    """Write and publish the four artifacts of one refresh; return their paths.
+
+    A run that fails leaves the version before it published.  A run that ends
+    after another one that started from the same version raises
+    :class:`~..sources.versions.VersionTaken`.
+    """
+    spark = source.sparkSession
     retained = cat.keep_recent_days(source.select("path"), keep_days)
-    paths = {name: f"{out.rstrip('/')}/{name}" for name in ("retained", "diff", "missing", "manifest")}
-    retained.write.mode("overwrite").parquet(paths["retained"])
-    kept = retained.sparkSession.read.parquet(paths["retained"])  # each later step reads the artifact
-    (cat.catalog_diff(kept.select("path"), index.select("path"))
-        .write.option("partitionOverwriteMode", "static").mode("overwrite").partitionBy("action").parquet(paths["diff"]))
-    expected = cat.expected_files(kept, cycles, leads)
-    cat.missing_files(expected, kept).write.mode("overwrite").parquet(paths["missing"])
-    cat.manifest(kept).write.mode("overwrite").parquet(paths["manifest"])
+    with vs.publish(spark, out) as folder:
+        paths = _paths(folder)
+        retained.write.parquet(paths["retained"])
+        kept = spark.read.parquet(paths["retained"])  # each later step reads the artifact
+        cat.catalog_diff(kept.select("path"), index.select("path")).write.partitionBy("action").parquet(paths["diff"])
+        expected = cat.expected_files(kept, cycles, leads)
+        cat.missing_files(expected, kept).write.parquet(paths["missing"])
+        cat.manifest(kept).write.parquet(paths["manifest"])
     return paths
 
 
+def _paths(folder: str) -> dict[str, str]:
+    return {name: f"{folder}/{name}" for name in ARTIFACTS}
+
+
+def published(spark: SparkSession, out: str) -> dict[str, str]:
+    """Paths of the artifacts of the published version below ``out``."""
+    folder = vs.current(spark, out)
+    if folder is None:
+        raise FileNotFoundError(f"no refresh has been published below {out}")
+    return _paths(folder)
+
+
 def read_artifact(spark: SparkSession, paths: dict[str, str], name: str) -> DataFrame:
     df = spark.read.parquet(paths[name])
     if name == "diff":
