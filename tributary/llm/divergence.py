@@ -188,7 +188,9 @@ def level(packed: DataFrame, length: int, before: int, survivors: np.ndarray | N
                     [pa.array([x.names[k] for k in lang]), names.take(pa.array(item)).cast(pa.binary()),
                      pa.array(x.hashes(lang, by_code[item])), pa.array(n)], names=["lang", "prefix", "h", "n"])
 
-    found = packed.mapInArrow(count, "lang string, prefix binary, h long, n long").groupBy("lang", "prefix", "h").agg(F.sum("n").alias("n"))
+    # Dealt before any sum: a block lists a prefix once, so sums per task would save no rows.
+    rows = packed.mapInArrow(count, "lang string, prefix binary, h long, n long").repartition("lang", "prefix")
+    found = rows.groupBy("lang", "prefix", "h").agg(F.sum("n").alias("n"))
     return written(found.filter(F.col("n") >= least), "divergence-level")
 
 
@@ -232,8 +234,10 @@ def term_counts(packed: DataFrame, kept: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*sides, names.take(pa.array(term)).cast(pa.string()), pa.array(times)],
                                                  names=["lang", "source", "term", "n"])
 
-    rows = packed.mapInArrow(count, "lang string, source string, term string, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    return rows.join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
+    # Dealt by term before any sum: a block lists a group's term once; one exchange serves the sum and the join.
+    rows = packed.mapInArrow(count, "lang string, source string, term string, n long").repartition("lang", "term")
+    return rows.groupBy("lang", "term", "source").agg(F.sum("n").alias("n")).join(kept.select("lang", "term"), ["lang", "term"], "left_semi") \
+        .select("lang", "source", "term", "n")
 
 
 def share(n: str, total: str, terms: str):
