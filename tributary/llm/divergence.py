@@ -133,17 +133,25 @@ class Block:
         self.lang = self.lang_of_group[self.group]
         self.salt = mix(pd.util.hash_array(np.array(self.names, object), categorize=False) + np.uint64(1))
 
-    def prefixes(self, length: int, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-        """Of some terms (ascending): the number and the hash of each one's
-        prefix, and the distinct prefixes."""
+    def prefixes(self, length: int, terms: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """Of some terms (ascending): the number of each one's prefix, and the
+        distinct prefixes."""
         size = np.minimum(self.size[terms], length)
         out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(terms), [
             None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(self.data[spread(self.start[terms], size)])])
         coded = out.dictionary_encode()
-        names = np.empty(len(coded.dictionary), object)
-        names[:] = coded.dictionary.to_pylist()
-        code = np.asarray(coded.indices).astype(np.int64)
-        return code, pd.util.hash_array(names, categorize=False)[code], coded.dictionary
+        return np.asarray(coded.indices).astype(np.int64), coded.dictionary
+
+    def prefix_hash(self, length: int, terms: np.ndarray) -> np.ndarray:
+        """A hash of each term's prefix: the sum of its bytes (plus one, so that
+        the zero byte counts) times a random weight of their place."""
+        if not len(terms):
+            return np.zeros(0, np.uint64)
+        size = np.minimum(self.size[terms], length)
+        at = spread(self.start[terms], size)
+        weight = mix(np.arange(1, int(size.max()) + 1, dtype=np.uint64))
+        value = (self.data[at].astype(np.uint64) + np.uint64(1)) * weight[at - np.repeat(self.start[terms], size)]
+        return np.add.reduceat(value, np.cumsum(size) - size)
 
     def hashes(self, lang: np.ndarray, prefix: np.ndarray) -> np.ndarray:
         return mix(self.salt[lang] ^ prefix).view(np.int64)
@@ -168,7 +176,7 @@ def level(packed: DataFrame, length: int, before: int, survivors: np.ndarray | N
                 if shared.value is not None:
                     terms = np.flatnonzero(x.size > before)
                     hashed = np.zeros(len(x.size), np.uint64)
-                    hashed[terms] = x.prefixes(before, terms)[1]
+                    hashed[terms] = x.prefix_hash(before, terms)
                     alive = np.zeros((len(x.names), len(x.size)), bool)
                     for k in range(len(x.names)):
                         alive[k, terms] = is_member(shared.value, x.hashes(np.full(len(terms), k), hashed[terms]))
@@ -176,7 +184,7 @@ def level(packed: DataFrame, length: int, before: int, survivors: np.ndarray | N
                 if not use.any():
                     continue
                 terms = np.unique(x.term[use])
-                code, hashed, names = x.prefixes(length, terms)
+                (code, names), hashed = x.prefixes(length, terms), x.prefix_hash(length, terms)
                 number, by_code = np.zeros(len(x.size), np.int64), np.zeros(len(names), np.uint64)
                 number[terms], by_code[code] = code, hashed
                 # terms ascend within a document, and so do their prefixes: equal ones are neighbours
@@ -188,7 +196,7 @@ def level(packed: DataFrame, length: int, before: int, survivors: np.ndarray | N
                     [pa.array([x.names[k] for k in lang]), names.take(pa.array(item)).cast(pa.binary()),
                      pa.array(x.hashes(lang, by_code[item])), pa.array(n)], names=["lang", "prefix", "h", "n"])
 
-    # Dealt before any sum: a block lists a prefix once, so sums per task would save no rows.
+    # Dealt before any sum: a block lists a prefix once, sums per task cost more time than the rows they save.
     rows = packed.mapInArrow(count, "lang string, prefix binary, h long, n long").repartition("lang", "prefix")
     found = rows.groupBy("lang", "prefix", "h").agg(F.sum("n").alias("n"))
     return written(found.filter(F.col("n") >= least), "divergence-level")
@@ -219,7 +227,7 @@ def term_counts(packed: DataFrame, kept: DataFrame) -> DataFrame:
                 n = len(x.size)
                 if not n:
                     continue
-                hashed = x.prefixes(int(x.size.max()), np.arange(n))[1]
+                hashed = x.prefix_hash(int(x.size.max()), np.arange(n))
                 alive = np.stack([is_member(shared.value, x.hashes(np.full(n, k), hashed)) for k in range(len(x.names))])
                 use = alive[x.lang, x.term]
                 cell, at = np.unique(x.group[use].astype(np.int64) * n + x.term[use], return_inverse=True)
@@ -234,7 +242,7 @@ def term_counts(packed: DataFrame, kept: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*sides, names.take(pa.array(term)).cast(pa.string()), pa.array(times)],
                                                  names=["lang", "source", "term", "n"])
 
-    # Dealt by term before any sum: a block lists a group's term once; one exchange serves the sum and the join.
+    # Dealt by term before any sum: a block sums a group's term; one exchange serves the sum over blocks and the join.
     rows = packed.mapInArrow(count, "lang string, source string, term string, n long").repartition("lang", "term")
     return rows.groupBy("lang", "term", "source").agg(F.sum("n").alias("n")).join(kept.select("lang", "term"), ["lang", "term"], "left_semi") \
         .select("lang", "source", "term", "n")
