@@ -4,10 +4,10 @@ import os
 
 from pyspark.sql import functions as F
 
-from tributary.functions.paths import parse_forecast_path, path_key
+from tributary.functions.paths import base_name, parse_forecast_path, path_key, with_extension
 from tributary.operators import catalog as cat
 from tributary.operators import layout as lay
-from tributary.sources.files import list_objects, read_stacked, write_by_label
+from tributary.sources.files import list_objects, read_stacked, read_stacked_first, write_by_label
 from tributary.streaming.incremental import ingest_new_files
 
 
@@ -23,6 +23,26 @@ def test_path_key_and_parse(spark):
     assert str(r.reference_time) == "2022-01-05 07:00:00" and str(r.valid_time) == "2022-01-05 19:00:00"
 
 
+def test_base_name_and_extension(spark):
+    cases = {"a.b/c": ("c", "a.b/c.json"), "a/c.nc": ("c.nc", "a/c.json"), "c.tar.gz": ("c.tar.gz", "c.tar.json"),
+             "a/.hidden": (".hidden", "a/.hidden.json"), "a/": ("", "a/.json"), None: (None, None)}
+    df = spark.createDataFrame([(p,) for p in cases], "path string")
+    got = df.select("path", base_name("path").alias("b"), with_extension("path", "json").alias("e")).collect()
+    assert {r.path: (r.b, r.e) for r in got} == cases
+
+
+def test_coordinates_come_from_the_first_file(spark, tmp_dir):
+    def land(ref, data):
+        spark.createDataFrame(data, "id long, v double, lat double, note string").repartition(2).write.parquet(f"{tmp_dir}/ref={ref}")
+    land("20200102", [(1, 1.0, 99.0, "x"), (2, 2.0, 98.0, "x"), (3, 3.0, 97.0, "x"), (None, 4.0, 96.0, "x")])
+    land("20200101", [(1, 5.0, 10.0, "x"), (2, 6.0, None, "x"), (1, 7.0, 10.0, "x")])
+    spark.createDataFrame([(1, 8.0, 1.0, "x")], "id long, v double, lat double, note string").write.parquet(f"{tmp_dir}/a_stray")
+    got = read_stacked_first(spark, tmp_dir, r"ref=(\d{8})", "ref", "id", ["lat"])
+    assert sorted(((r.ref, r.id, r.v, r.lat) for r in got.collect()), key=str) == sorted([
+        ("20200102", 1, 1.0, 10.0), ("20200102", 2, 2.0, None), ("20200102", 3, 3.0, None), ("20200102", None, 4.0, None),
+        ("20200101", 1, 5.0, 10.0), ("20200101", 2, 6.0, None), ("20200101", 1, 7.0, 10.0), ("", 1, 8.0, 10.0)], key=str)
+
+
 def test_retention_keeps_n_plus_one_days(spark):
     paths = [(f"nwm.202201{d:02d}/short_range/x.nc",) for d in range(1, 32)]
     kept = cat.keep_recent_days(spark.createDataFrame(paths, "path string"), 28)

@@ -71,3 +71,32 @@ def lcc(lon: Column, lat: Column, params: dict | None = None) -> tuple[Column, C
     rho = F.lit(k["r"] * k["f"]) / F.pow(t, F.lit(k["n"]))
     theta = F.lit(k["n"]) * (F.radians(lon) - F.lit(k["lon_0"]))
     return rho * F.sin(theta), F.lit(k["rho0"]) - rho * F.cos(theta)
+
+
+def albers_inverse(x: Column, y: Column, params: dict | None = None) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees of :func:`albers` coordinates (F16).
+
+    The latitude is a fixed point; six steps reach the precision of doubles at
+    every latitude of a northern cone.
+    """
+    k = albers_constants(**(params or ALBERS_5070))
+    e, e2 = F.lit(k["e"]), F.lit(k["e2"])
+    up = F.lit(k["rho0"]) - y
+    q = (F.lit(k["c"]) - (x * x + up * up) * F.lit((k["n"] / k["a"]) ** 2)) / F.lit(k["n"])
+
+    def step(phi: Column, s: Column) -> Column:
+        w = F.lit(1.0) - e2 * s * s
+        rest = q / F.lit(1 - k["e2"]) - s / w + F.log((F.lit(1.0) - e * s) / (F.lit(1.0) + e * s)) * F.lit(1 / (2 * k["e"]))
+        return phi + w * w / (F.cos(phi) * 2) * rest
+
+    phi = F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.asin(q / 2), lambda p, _: step(p, F.sin(p)))
+    return F.degrees(F.atan2(x, up) / F.lit(k["n"]) + F.lit(k["lon_0"])), F.degrees(phi)
+
+
+def lcc_inverse(x: Column, y: Column, params: dict | None = None) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees of :func:`lcc` coordinates, in closed form (F16)."""
+    k = lcc_constants(**(params or LCC_GRID))
+    up = F.lit(k["rho0"]) - y
+    rho = F.sqrt(x * x + up * up)
+    phi = F.atan(F.pow(F.lit(k["r"] * k["f"]) / rho, F.lit(1 / k["n"]))) * 2 - F.lit(math.pi / 2)
+    return F.degrees(F.atan2(x, up) / F.lit(k["n"]) + F.lit(k["lon_0"])), F.degrees(phi)

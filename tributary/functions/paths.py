@@ -30,6 +30,17 @@ def path_key(path) -> Column:
     return F.array_join(F.slice(parts, start, 3), "/")
 
 
+def base_name(path) -> Column:
+    """Last part of a path (F8)."""
+    return F.regexp_extract(_col(path), r"([^/]*)$", 1)
+
+
+def with_extension(path, ext: str) -> Column:
+    """The path with its last part's extension changed to ``ext``; one is added
+    to a name without (a leading dot is no extension) (F8)."""
+    return F.concat(F.regexp_replace(_col(path), r"([^/])\.[^./]*$", "$1"), F.lit(f".{ext}"))
+
+
 def folder_date(path) -> Column:
     """The ``YYYYMMDD`` of the ``nwm.`` folder as a DATE."""
     raw = F.regexp_extract(_col(path), FOLDER_DATE, 1)

@@ -516,3 +516,11 @@ def bounds(points: DataFrame, key: str, x: str = "x", y: str = "y") -> DataFrame
     """Bounding box per geometry."""
     return points.groupBy(key).agg(F.min(x).alias("xmin"), F.min(y).alias("ymin"),
                                    F.max(x).alias("xmax"), F.max(y).alias("ymax"))
+
+
+def box_corners(boxes: DataFrame, key: str) -> DataFrame:
+    """Corners of each box ``(key, v, x, y)``, from the lower left
+    counter-clockwise, ``v`` from 0 (F17)."""
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ring = F.array(corner("xmin", "ymin"), corner("xmax", "ymin"), corner("xmax", "ymax"), corner("xmin", "ymax"))
+    return boxes.select(key, F.posexplode(ring).alias("v", "p")).select(key, "v", "p.x", "p.y")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.paths import parse_forecast_path, path_key
+from ..functions.paths import base_name, parse_forecast_path, path_key, with_extension
 from ..operators import catalog as cat
 from ..session import shared_dir
 from ..sources import fixtures as fx
@@ -100,6 +100,15 @@ def q_path_key(spark, root):
     return both.select("path", path_key("path").alias("key"))
 
 
+@query("q_path_names", r"""
+SELECT path, regexp_extract(path, '([^/]*)$', 1) AS base_name,
+       regexp_replace(path, '([^/])\.[^./]*$', '\1') || '.json' AS index_path FROM catalog_src""")
+def q_path_names(spark, root):
+    """Name of each source file and path of the index file made from it."""
+    return fx.catalog_src(spark, root).select("path", base_name("path").alias("base_name"),
+                                              with_extension("path", "json").alias("index_path"))
+
+
 @query("q_list_by_prefix", f"""
 SELECT path FROM catalog_src WHERE starts_with(path, '{LIST_PREFIX}') AND ends_with(path, '{LIST_SUFFIX}')""")
 def q_list_by_prefix(spark, root):

@@ -8,7 +8,7 @@ from ..operators import forecast as fo
 from ..operators.ids import subset_ids
 from ..session import shared_dir
 from ..sources import fixtures as fx
-from ..sources.files import list_objects, read_stacked, write_by_label
+from ..sources.files import list_objects, read_stacked, read_stacked_first, write_by_label
 from .common import SQL_AREA_IDS, rounded, study_ids
 from .registry import query
 
@@ -124,6 +124,20 @@ def q_stack_files(spark, root):
     return rounded(st.select("feature_id", "reference_time", "time", "streamflow"))
 
 
+@query("q_stack_first_coords", """
+WITH first AS (SELECT DISTINCT feature_id, CAST(feature_id AS DOUBLE) + month(reference_time) / CAST(100 AS DOUBLE) AS elevation
+               FROM forecast WHERE reference_time = (SELECT min(reference_time) FROM forecast))
+SELECT f.feature_id, reference_time, time, round(streamflow, 6) AS streamflow, round(elevation, 6) AS elevation
+FROM forecast f LEFT JOIN first USING (feature_id)""")
+def q_stack_first_coords(spark, root):
+    """Stacked files that disagree on a coordinate: the first file's holds."""
+    path = shared_dir(spark, "stack_first")
+    elevation = F.col("feature_id").cast("double") + F.month("reference_time") / 100
+    _land_forecast(spark, root, path, fx.forecast(spark, root).withColumn("elevation", elevation))
+    st = read_stacked_first(spark, path, r"ref=(\d{8})", "reference_time", "feature_id", ["elevation"], "yyyyMMdd")
+    return rounded(st.select("feature_id", "reference_time", "time", "streamflow", "elevation"))
+
+
 @query("q_list_objects", """
 SELECT DISTINCT strftime(reference_time, '%Y%m%d') AS ref FROM forecast""")
 def q_list_objects(spark, root):

@@ -229,3 +229,28 @@ def q_reproject(spark, root):
     return s.select("comid", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"),
                     F.round(ax, 3).alias("x_albers"), F.round(ay, 3).alias("y_albers"),
                     F.round(lx, 3).alias("x_lcc"), F.round(ly, 3).alias("y_lcc"))
+
+
+@query("q_reproject_back", f"""
+SELECT comid, round({_LON}, 6) AS lon_albers, round({_LAT}, 6) AS lat_albers,
+       round({_LON}, 6) AS lon_lcc, round({_LAT}, 6) AS lat_lcc FROM seg""")
+def q_reproject_back(spark, root):
+    """Points carried to both map grids and back to degrees."""
+    lon = F.lit(LON_0) + F.col("x1") * LON_SCALE
+    lat = F.lit(LAT_0) + F.col("y1") * LAT_SCALE
+    grids = {"albers": (geo.albers, geo.albers_inverse), "lcc": (geo.lcc, geo.lcc_inverse)}
+    s = fx.seg(spark, root)
+    for name, (forward, _) in grids.items():
+        x, y = forward(lon, lat)
+        s = s.withColumns({f"x_{name}": x, f"y_{name}": y})
+    back = {name: inverse(F.col(f"x_{name}"), F.col(f"y_{name}")) for name, (_, inverse) in grids.items()}
+    return rounded(s.select("comid", *[c.alias(f"{axis}_{name}") for name, cs in back.items() for axis, c in zip(("lon", "lat"), cs)]))
+
+
+@query("q_box_corners", """
+WITH b AS (SELECT catchment_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM catchments GROUP BY 1)
+SELECT catchment_id, CAST(v AS INTEGER) AS v, round(CASE WHEN v IN (1, 2) THEN x1 ELSE x0 END, 6) AS x,
+       round(CASE WHEN v IN (2, 3) THEN y1 ELSE y0 END, 6) AS y
+FROM b, range(0, 4) r(v)""")
+def q_box_corners(spark, root):
+    return rounded(sp.box_corners(sp.bounds(fx.catchments(spark, root), "catchment_id"), "catchment_id"))

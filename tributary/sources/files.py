@@ -43,6 +43,24 @@ def read_stacked(spark: SparkSession, path: str, pattern: str, name: str,
     return df.select("*", label.alias(name), fp.alias("path"))
 
 
+def read_stacked_first(spark: SparkSession, path: str, pattern: str, name: str, key: str, static: list[str],
+                       fmt: str | None = None, schema: StructType | None = None) -> DataFrame:
+    """Stacked files whose ``static`` columns come from the first file alone (S3).
+
+    Measured columns are stacked as by :func:`read_stacked`.  The first file
+    is the one with the least label (all its parts, if it is a folder); its
+    static values are joined by ``key``, so files that disagree on a
+    coordinate give the first file's.  Where that file has a key more than
+    once, the least values count.  Keys it lacks, and null keys, have null
+    coordinates; files without the label are never the first.
+    """
+    label = F.regexp_extract("path", pattern, 1)
+    first = list_objects(spark, path, suffix=".parquet").select(label.alias("label")).where("label != ''").agg(F.min("label")).first()[0]
+    of_first = read_stacked(spark, path, pattern, "_label", schema=schema).where(F.col("_label") == F.lit(first))
+    coords = of_first.groupBy(key).agg(F.min(F.struct(*static)).alias("_static")).select(key, "_static.*")
+    return read_stacked(spark, path, pattern, name, fmt, schema).drop(*static).join(coords, key, "left")
+
+
 def list_objects(spark: SparkSession, root: str, prefix: str = "", suffix: str = "") -> DataFrame:
     """Object listing ``(path, length, modificationTime)`` filtered by name prefix and suffix.
 
