@@ -283,3 +283,11 @@ def test_cutoffs_are_certified(spark):
     few = marks[:100] + marks[2500:2560]
     got = {r.doc_id: r.kept for r in quality_rules.judge(wide(spark, clean[:100] + junk), labels(spark, few)).collect()}
     assert all(got.values())
+
+
+def test_level_counts_strata_exactly(spark):
+    counts = spark.range(1200).select(F.when(F.col("id") > 0, F.col("id").cast("string")).alias("stratum"))
+    level = quality_rules.with_level(counts, counts)
+    assert level.columns == ["stratum", "level"]
+    assert {r.level for r in level.collect()} == {quality_rules.ERROR / (1200 * len(quality_rules.CUTOFFS))}
+    assert quality_rules.with_level(counts.limit(0), counts.limit(0)).count() == 0

@@ -7,9 +7,10 @@ and a signal the cutoffs are tested from the most lenient to the strictest,
 each by the exact binomial test that the rule rejects more than
 ``MAX_FALSE_REJECTION`` of the good documents; testing stops at the first
 cutoff that is not certified (fixed-sequence testing), and the level is
-``ERROR / (strata * signals)`` (Bonferroni over all sequences).  So with
-probability ``1 - ERROR`` no rule in use rejects more good documents of any
-stratum than allowed.  Of the certified cutoffs the one that rejects most bad
+``ERROR / (strata * signals)`` (Bonferroni over all sequences, strata counted
+exactly).  So with probability ``1 - ERROR`` no rule in use rejects more good
+documents of any stratum than allowed; the verdict, which any rule can turn,
+rejects at most that share times the number of signals in use there.  Of the certified cutoffs the one that rejects most bad
 documents is used (the most lenient of equals), if it rejects at least
 ``MIN_BAD_REJECTION`` of them; else the signal rejects nothing there.
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import with_scalars
 from .common import ASCII_SPACE, GAP, fold, written
 
 MAX_FALSE_REJECTION = 0.005
@@ -118,6 +120,12 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
     return F.when(k > n * rate, F.lit(1.0)).otherwise(terms)
 
 
+def with_level(tests: DataFrame, counts: DataFrame) -> DataFrame:
+    """Add the ``level`` of one test; ``counts`` has one row per stratum."""
+    out = with_scalars(tests, counts.agg(F.count(F.lit(1)).alias("strata")))
+    return out.withColumn("level", F.lit(ERROR) / (F.col("strata") * len(CUTOFFS))).drop("strata")
+
+
 def thresholds(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Cutoffs in use: stratum, and one column per signal (null: none)."""
     marks = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")) \
@@ -129,13 +137,12 @@ def thresholds(rows: DataFrame, labels: DataFrame) -> DataFrame:
             above = F.col(name) > cut
             sums += [F.count_if(above & good).alias(f"{name}_{j}_good"), F.count_if(above & ~good).alias(f"{name}_{j}_bad")]
     counts = known.groupBy("stratum").agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad"), *sums)
+    counts = written(counts, "strata")
     tests = counts.select("stratum", "good", "bad", F.explode(F.array(*[
         F.struct(F.lit(name).alias("signal"), F.lit(j).alias("j"), F.lit(float(cut)).alias("cut"),
                  F.col(f"{name}_{j}_good").alias("false"), F.col(f"{name}_{j}_bad").alias("hits"))
         for name, cuts in CUTOFFS.items() for j, cut in enumerate(cuts)])).alias("t")).select("stratum", "good", "bad", "t.*")
-    strata = F.approx_count_distinct("stratum").over(Window.partitionBy()) + 1
-    level = F.lit(ERROR) / (strata * len(CUTOFFS))
-    tests = tests.withColumn("level", level).withColumn("p", binomial_tail(F.col("good"), F.col("false"), MAX_FALSE_REJECTION))
+    tests = with_level(tests, counts).withColumn("p", binomial_tail(F.col("good"), F.col("false"), MAX_FALSE_REJECTION))
     path = Window.partitionBy("stratum", "signal").orderBy("j")
     tests = tests.withColumn("certified", F.min((F.col("p") <= F.col("level")).cast("int")).over(path) == 1)
     useful = tests.filter(F.col("certified") & (F.col("hits") >= F.lit(MIN_BAD_REJECTION) * F.col("bad")) & (F.col("hits") > 0))
