@@ -110,6 +110,26 @@ def test_base_scores(spark):
     assert attention_lm.score_documents(wide(spark, EDGE).limit(0), held, PATH, 49407).count() == 0
 
 
+def test_packed_numbers():
+    for kind in ("u1", "<u2", "<u4", "<i8"):
+        for n in (0, 1, 1000):
+            x = np.random.default_rng(n).integers(0, np.iinfo(kind).max, n).astype(kind)
+            assert (attention_lm.unpacked(attention_lm.packed(x), kind) == x).all()
+    codes = np.array([0, 3, 70000, 70001])
+    assert (attention_lm.ascending(attention_lm.packed(np.diff(codes, prepend=0).astype("<u4"))) == codes).all()
+
+
+def test_many_buckets_of_words(spark, monkeypatch):
+    """Words dealt over many buckets give the scores of one."""
+    rows, held = real_rows(), F.col("doc_id") % 5 == 1
+    keep = lambda: sorted(attention_lm.score_documents(wide(spark, rows), held, PATH, 49407)
+                          .select("doc_id", "n_known", "train_tokens", "base_score", "score").collect())
+    one = keep()
+    monkeypatch.setattr(attention_lm, "BUCKET_WORDS", 100)
+    for a, b in zip(one, keep(), strict=True):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-5)
+
+
 def test_word_of_many_ids(spark):
     """One unbroken word of over 65,536 ids is scored like any text, and so are its neighbours."""
     held = F.coalesce(fold_crc(5) == 1, F.lit(False))
