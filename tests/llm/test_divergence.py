@@ -51,6 +51,14 @@ def test_against_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_many_buckets(spark, monkeypatch):
+    """Counts dealt over many buckets are those of one."""
+    monkeypatch.setattr(divergence, "BUCKET_TERMS", 40)
+    rows = EDGE + real_rows()
+    assert divergence.bucket_count(divergence.blocks(wide(spark, rows))) > 20
+    assert run(spark, rows) == brute(rows)
+
+
 def test_edge_rows_and_long_terms(spark):
     long = "漢" * 5000
     rows = EDGE + [(300 + k, f"{long}{'x' * (k % 2)} shared Term{k}", "zh", f"s{k % 3}") for k in range(8)] \

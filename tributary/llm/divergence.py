@@ -10,7 +10,10 @@ which no term holds) is a complete kept term.  Levels end when no longer
 prefix is left.
 
 Texts are cut into terms once: a packed row per block of documents holds the
-block's sorted distinct terms and each document's terms and counts.  The
+block's sorted distinct terms and each document's terms and counts.  A block
+deals its counts to buckets by hash, packed into one row per bucket, and each
+bucket sums those of all blocks; buckets grow in number with the blocks' terms,
+not in size.  The
 prefixes that survive a level are sent to the next as a Bloom filter of a
 bounded size (32 MB at most): it may let a rare prefix pass, whose count then
 discards it, but loses none.
@@ -51,6 +54,7 @@ TOP = 200               # ranks of part ``term``
 SCALE = 1_000_000_000
 FIRST_LEVEL = 4         # bytes of the first level's prefixes
 BLOCK_BYTES = 8 << 20   # text of one block (a longer text is a block of its own)
+BUCKET_TERMS = 200_000  # blocks' distinct terms whose counts are summed together, on average
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -110,6 +114,28 @@ def blocks(docs: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
     return written(rows.mapInArrow(run, BLOCK), "divergence-blocks", compression="zstd")
 
 
+def salts(langs: list[str]) -> np.ndarray:
+    """A number for each language, to be mixed with hashes of its prefixes."""
+    return mix(pd.util.hash_array(np.array(langs, object), categorize=False) + np.uint64(1))
+
+
+def byte_hash(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each run of bytes (none is empty): the sum of its bytes (plus
+    one, so that the zero byte counts) times a random weight of their place."""
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(size) - size
+    weight = mix(np.arange(1, int(size.max()) + 1, dtype=np.uint64))
+    return np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * weight[np.arange(len(data)) - np.repeat(first, size)], first)
+
+
+def byte_runs(names: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all strings, one after the other, and bounds."""
+    offsets = np.frombuffer(names.buffers()[1], np.int64)[names.offset:names.offset + len(names) + 1] if len(names) else np.zeros(1, np.int64)
+    data = np.frombuffer(names.buffers()[2], np.uint8) if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return data[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
 class Block:
     """A packed row read back; ``pair`` names the (language, term) pairs of
     the block, in order of language and term."""
@@ -131,7 +157,7 @@ class Block:
         self.names = sorted(set(self.langs))
         self.lang_of_group = np.array([self.names.index(x) for x in self.langs], np.int64)
         self.lang = self.lang_of_group[self.group]
-        self.salt = mix(pd.util.hash_array(np.array(self.names, object), categorize=False) + np.uint64(1))
+        self.salt = salts(self.names)
 
     def prefixes(self, length: int, terms: np.ndarray) -> tuple[np.ndarray, pa.Array]:
         """Of some terms (ascending): the number of each one's prefix, and the
@@ -143,15 +169,9 @@ class Block:
         return np.asarray(coded.indices).astype(np.int64), coded.dictionary
 
     def prefix_hash(self, length: int, terms: np.ndarray) -> np.ndarray:
-        """A hash of each term's prefix: the sum of its bytes (plus one, so that
-        the zero byte counts) times a random weight of their place."""
-        if not len(terms):
-            return np.zeros(0, np.uint64)
+        """A hash of each term's prefix."""
         size = np.minimum(self.size[terms], length)
-        at = spread(self.start[terms], size)
-        weight = mix(np.arange(1, int(size.max()) + 1, dtype=np.uint64))
-        value = (self.data[at].astype(np.uint64) + np.uint64(1)) * weight[at - np.repeat(self.start[terms], size)]
-        return np.add.reduceat(value, np.cumsum(size) - size)
+        return byte_hash(self.data[spread(self.start[terms], size)], size)
 
     def hashes(self, lang: np.ndarray, prefix: np.ndarray) -> np.ndarray:
         return mix(self.salt[lang] ^ prefix).view(np.int64)
@@ -162,7 +182,55 @@ def is_member(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((bitmap[p >> 3] >> (p & 7)) & 1).all(axis=0).astype(bool)
 
 
-def level(packed: DataFrame, length: int, before: int, survivors: np.ndarray | None, least: int) -> DataFrame:
+DEALT = "bucket long, langs array<string>, sources array<string>, items binary, sizes binary, of binary, n binary"
+
+
+def bucket_count(packed: DataFrame) -> int:
+    """Buckets for the blocks' distinct terms."""
+    terms = packed.agg(F.sum(F.length("term_sizes"))).first()[0] or 0
+    return max(1, -(-terms // (4 * BUCKET_TERMS)))
+
+
+def dealt(buckets: int, langs: list[str], sources: list[str], of: np.ndarray, names: pa.LargeBinaryArray, item: np.ndarray,
+          h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A block's entries (number of the group, item among the names, hash,
+    count) by buckets of the hash, a packed row for each."""
+    bucket = (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    data, ends = byte_runs(names.take(pa.array(item[order])))
+    of, n, sizes = of[order].astype("<u4"), n[order].astype("<i8"), np.diff(ends).astype("<u4")
+    some, first = np.unique(bucket[order], return_index=True)
+    cuts = list(zip(first.tolist(), np.append(first[1:], len(order)).tolist()))
+    parts = [[data[ends[i]:ends[j]].tobytes() for i, j in cuts], *[[x[i:j].tobytes() for i, j in cuts] for x in (sizes, of, n)]]
+    groups = [pa.array([x] * len(cuts), pa.list_(pa.string())) for x in (langs, sources)]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *groups, *[pa.array(x, pa.binary()) for x in parts]],
+                                      names=[f.split()[0] for f in DEALT.split(", ")])
+
+
+def summed(rows: DataFrame, least: int) -> DataFrame:
+    """lang, source, item, h, n: sums of dealt entries that reach ``least``."""
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        numbers: dict[tuple, int] = {}
+        of = [np.array([numbers.setdefault(g, len(numbers)) for g in zip(langs, sources)], np.int64)[np.frombuffer(x, "<u4")]
+              for langs, sources, x in zip(*[table.column(f).to_pylist() for f in ("langs", "sources", "of")])]
+        sizes, n = [np.frombuffer(b"".join(table.column(f).to_pylist()), kind).astype(np.int64) for f, kind in (("sizes", "<u4"), ("n", "<i8"))]
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [
+            None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)])), pa.py_buffer(b"".join(table.column("items").to_pylist()))]).dictionary_encode()
+        names, width = coded.dictionary, len(coded.dictionary)
+        cell, at = np.unique(np.concatenate(of) * width + np.asarray(coded.indices), return_inverse=True)
+        total = np.bincount(at, n).astype(np.int64)
+        cell, total = cell[total >= least], total[total >= least]
+        group, item = cell // width, cell % width
+        data, ends = byte_runs(names)
+        langs, sources = [[g[k] for g in numbers] for k in range(2)]
+        h = mix(salts(langs)[group] ^ byte_hash(data, np.diff(ends))[item]).view(np.int64)
+        sides = [pa.array(x, pa.string()).take(pa.array(group)) for x in (langs, sources)]
+        return pa.table([*sides, names.take(pa.array(item)).cast(pa.binary()), pa.array(h), pa.array(total)], ["lang", "source", "item", "h", "n"])
+
+    return rows.groupBy("bucket").applyInArrow(add, "lang string, source string, item binary, h long, n long")
+
+
+def level(packed: DataFrame, length: int, before: int, survivors: np.ndarray | None, least: int, buckets: int = 1) -> DataFrame:
     """lang, prefix, h, n: prefixes of this length (shorter ones at the end of
     their term) that extend a survivor of the level before and are in
     ``least`` documents."""
@@ -192,22 +260,18 @@ def level(packed: DataFrame, length: int, before: int, survivors: np.ndarray | N
                 new = np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))
                 cell, n = np.unique(lang[new] * len(names) + item[new], return_counts=True)
                 lang, item = cell // len(names), cell % len(names)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.names[k] for k in lang]), names.take(pa.array(item)).cast(pa.binary()),
-                     pa.array(x.hashes(lang, by_code[item])), pa.array(n)], names=["lang", "prefix", "h", "n"])
+                yield dealt(buckets, x.names, [""] * len(x.names), lang, names, item, x.hashes(lang, by_code[item]), n)
 
-    # Dealt before any sum: a block lists a prefix once, sums per task cost more time than the rows they save.
-    rows = packed.mapInArrow(count, "lang string, prefix binary, h long, n long").repartition("lang", "prefix")
-    found = rows.groupBy("lang", "prefix", "h").agg(F.sum("n").alias("n"))
-    return written(found.filter(F.col("n") >= least), "divergence-level")
+    found = summed(packed.mapInArrow(count, DEALT), least)
+    return written(found.select("lang", F.col("item").alias("prefix"), "h", "n"), "divergence-level")
 
 
 def kept_terms(packed: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, term, h (hash of both), n (documents): by prefix refinement."""
-    out, before, length, survivors = None, 0, FIRST_LEVEL, None
+    out, before, length, survivors, buckets = None, 0, FIRST_LEVEL, None, bucket_count(packed)
     whole = F.expr("substring(prefix, -1, 1) = X'00'")
     while True:
-        found = level(packed, length, before, survivors, least)
+        found = level(packed, length, before, survivors, least, buckets)
         done = found.filter(whole).select("lang", F.expr("substring(prefix, 1, length(prefix) - 1)").cast("string").alias("term"), "h", "n")
         out = done if out is None else out.unionByName(done)
         longer = found.filter(~whole)
@@ -218,7 +282,7 @@ def kept_terms(packed: DataFrame, least: int = LEAST) -> DataFrame:
 
 def term_counts(packed: DataFrame, kept: DataFrame) -> DataFrame:
     """lang, source, term, n: occurrences of the kept terms by group."""
-    shared = packed.sparkSession.sparkContext.broadcast(member_bits(kept, "h"))
+    shared, buckets = packed.sparkSession.sparkContext.broadcast(member_bits(kept, "h")), bucket_count(packed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,16 +300,12 @@ def term_counts(packed: DataFrame, kept: DataFrame) -> DataFrame:
                 times = np.bincount(at, x.times[use]).astype(np.int64)
                 group, term = cell // n, cell % n
                 names = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [
-                    None, pa.py_buffer(x.ends.astype(np.int64)), pa.py_buffer(x.data[x.data != 0])]).cast(pa.large_string())
-                sides = [pa.DictionaryArray.from_arrays(pa.array(group, pa.int32()), pa.array(s, pa.string())).cast(pa.string())
-                         for s in (x.langs, x.sources)]
-                yield pa.RecordBatch.from_arrays([*sides, names.take(pa.array(term)).cast(pa.string()), pa.array(times)],
-                                                 names=["lang", "source", "term", "n"])
-
-    # Dealt by term before any sum: a block sums a group's term; one exchange serves the sum over blocks and the join.
-    rows = packed.mapInArrow(count, "lang string, source string, term string, n long").repartition("lang", "term")
-    return rows.groupBy("lang", "term", "source").agg(F.sum("n").alias("n")).join(kept.select("lang", "term"), ["lang", "term"], "left_semi") \
-        .select("lang", "source", "term", "n")
+                    None, pa.py_buffer(x.ends.astype(np.int64)), pa.py_buffer(x.data[x.data != 0])])
+                yield dealt(buckets, x.langs, x.sources, group, names, term, x.hashes(x.lang_of_group[group], hashed[term]), times)
+
+    # the filter lets some terms pass that are not kept
+    rows = summed(packed.mapInArrow(count, DEALT), 1).select("lang", "source", F.col("item").cast("string").alias("term"), "n")
+    return rows.join(kept.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "source", "term", "n")
 
 
 def share(n: str, total: str, terms: str):
