@@ -41,10 +41,11 @@ from pyspark.sql import functions as F
 from .common import row_id, written
 from .exact_dedup import flag_members, member_bits
 from .linking import Rule, connect, linked
-from .words import coded_words, doc_of
+from .words import coded_words, doc_of, text_slices
 
 SPARSE = 128            # marks keys of the second kind in the key's last byte
 MAX_SIZE = 1 << 40
+SLICE_BYTES = 4 << 20   # text whose sets are held at a time
 
 
 RULE = Rule()           # of the op10 query
@@ -167,16 +168,18 @@ def described(docs: DataFrame, row: str | None = None, rule: Rule = RULE) -> Dat
     least = bands(rule)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets, bounds = shingle_sets(b.column(2), rule)
-            n = np.diff(bounds)
-            key, per = signatures(sets, bounds, least, rule)
-            cut = np.concatenate([[0], np.cumsum(per)])
-            raw = key.astype("<u8").tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n), pa.array(fingerprints(sets, bounds), mask=n == 0), b.column(3),
-                 pa.array([raw[8 * cut[i]:8 * cut[i + 1]] for i in range(len(n))], pa.binary())],
-                names=["row", "doc_id", "n", "node", "text_key", "keys"])
+        for whole in batches:
+            for first, last in text_slices(whole.column(2), SLICE_BYTES):
+                b = whole.slice(first, last - first)
+                sets, bounds = shingle_sets(b.column(2), rule)
+                n = np.diff(bounds)
+                key, per = signatures(sets, bounds, least, rule)
+                cut = np.concatenate([[0], np.cumsum(per)])
+                raw = key.astype("<u8").tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.array(n), pa.array(fingerprints(sets, bounds), mask=n == 0), b.column(3),
+                     pa.array([raw[8 * cut[i]:8 * cut[i + 1]] for i in range(len(n))], pa.binary())],
+                    names=["row", "doc_id", "n", "node", "text_key", "keys"])
 
     text = F.col("text").cast("string")
     return written(docs.select(row_id(row), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
@@ -264,13 +267,15 @@ def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, rule: Rule) ->
     texts = texts.dropDuplicates(["text_key"]).join(wanted, "text_key")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets, bounds = shingle_sets(b.column(0), rule)
-            own = fingerprints(sets, bounds) == np.asarray(b.column(1))
-            raw = sets.astype("<u8").tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(1), pa.array([raw[8 * bounds[i]:8 * bounds[i + 1]] for i in range(len(own))], pa.binary())],
-                names=["node", "members"]).filter(pa.array(own))
+        for whole in batches:
+            for first, last in text_slices(whole.column(0), SLICE_BYTES):
+                b = whole.slice(first, last - first)
+                sets, bounds = shingle_sets(b.column(0), rule)
+                own = fingerprints(sets, bounds) == np.asarray(b.column(1))
+                raw = sets.astype("<u8").tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(1), pa.array([raw[8 * bounds[i]:8 * bounds[i + 1]] for i in range(len(own))], pa.binary())],
+                    names=["node", "members"]).filter(pa.array(own))
 
     return texts.select("text", "node").mapInArrow(members, "node long, members binary")
 
