@@ -64,6 +64,15 @@ def test_remove_old_keeps_published_and_running(spark, tmp_dir):
         vs.remove_old(spark, tmp_dir, keep=0)
 
 
+def test_refresh_without_changes_publishes_an_empty_diff(spark, tmp_dir):
+    name = "nwm.20240102/short_range/nwm.t00z.short_range.channel_rt.f001.conus"
+    src = spark.createDataFrame([(f"{name}.nc",)], "path string")
+    index = spark.createDataFrame([(f"kerchunk/{name}.json",)], "path string")
+    refresh_once(src, index, tmp_dir, 28, 24, 18)
+    diff = read_artifact(spark, published(spark, tmp_dir), "diff")
+    assert diff.columns == ["path", "action"] and diff.count() == 0
+
+
 def test_failed_refresh_leaves_the_version_before(spark, tmp_dir, monkeypatch):
     path = "nwm.20220101/short_range/nwm.t{:02d}z.short_range.channel_rt.f001.conus.nc"
     src = spark.createDataFrame([(path.format(h),) for h in (0, 1)], "path string")

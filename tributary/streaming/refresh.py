@@ -21,12 +21,12 @@ The ingest of new data itself is :func:`.incremental.ingest_new_files` (I1).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import catalog as cat
 from ..sources import versions as vs
 
 ARTIFACTS = ("retained", "diff", "missing", "manifest")
+DIFF_SCHEMA = "path string, action string"
 
 
 def refresh_once(source: DataFrame, index: DataFrame, out: str, keep_days: int,
@@ -63,7 +63,5 @@ def published(spark: SparkSession, out: str) -> dict[str, str]:
 
 
 def read_artifact(spark: SparkSession, paths: dict[str, str], name: str) -> DataFrame:
-    df = spark.read.parquet(paths[name])
-    if name == "diff":
-        df = df.withColumn("action", F.col("action").cast("string"))
-    return df
+    # a diff without rows has no action folder, so no file to take its schema from
+    return (spark.read.schema(DIFF_SCHEMA) if name == "diff" else spark.read).parquet(paths[name])
