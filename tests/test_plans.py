@@ -40,3 +40,16 @@ def test_area_ids_are_a_semi_join(spark):
 def test_point_lookup_is_pushed(spark):
     plan = _formatted(spark, QUERIES["q_point_lookup"](spark, SF))
     assert "EqualTo(l_suppkey,42)" in plan
+
+
+def test_rows_made_by_explode_are_not_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from tributary.operators import spatial as sp
+    from tributary.sources import fixtures as fx
+
+    rings = fx.catchments(spark, SF)
+    assert "Broadcast" not in _plan(sp.ring_edges(rings, "catchment_id"))
+    points = rings.select(F.struct("catchment_id", "v").alias("_pt"), F.col("x").alias("px"), F.col("y").alias("py"))
+    edges = sp.kept_edges(fx.areas(spark, SF), "area_id")
+    assert "Broadcast" not in _plan(sp.box_candidates(points, "_pt", edges, ["area_id"], 2.0))

@@ -8,7 +8,10 @@ outer plan has no join at all.
 
 Every join elsewhere leaves the strategy to Spark, which broadcasts a side
 only below ``spark.sql.autoBroadcastJoinThreshold`` (checked from
-statistics, or at run time by AQE) and uses a shuffle join beyond it.
+statistics, or at run time by AQE) and uses a shuffle join beyond it.  The
+exception are rows that an ``explode`` made: the statistics count them as the
+rows before it, so a side of any size can pass for a small one and end in the
+driver.  Those are marked by :func:`by_shuffle`.
 """
 
 from __future__ import annotations
@@ -26,3 +29,8 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row global aggregate to every row of ``df``."""
     s = scalar(one_row)
     return df.select("*", *[s[c].alias(c) for c in one_row.columns])
+
+
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is not broadcast, whatever the statistics say."""
+    return df.hint("merge")

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
+from .joins import by_shuffle
 
 
 # ---------------------------------------------------------------- predicates
@@ -67,10 +68,10 @@ def ring_edges(rings: DataFrame, id_col: str, ring_col: str | None = None) -> Da
     """
     keys = [id_col] + ([ring_col] if ring_col else [])
     n = rings.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    a = rings.join(n, keys).select(*keys, F.col("v"), ((F.col("v") + 1) % F.col("_n")).alias("_next"),
+    a = by_shuffle(rings).join(n, keys).select(*keys, F.col("v"), ((F.col("v") + 1) % F.col("_n")).alias("_next"),
                                    F.col("x").alias("x1"), F.col("y").alias("y1"))
     b = rings.select(*keys, F.col("v").alias("_next"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return a.join(b, keys + ["_next"]).select(*keys, "x1", "y1", "x2", "y2")
+    return a.join(by_shuffle(b), keys + ["_next"]).select(*keys, "x1", "y1", "x2", "y2")
 
 
 def segment_cells(segs: DataFrame, cell: float, grow: float = 0.0) -> DataFrame:
@@ -247,7 +248,7 @@ def box_candidates(points: DataFrame, pt_id: str, edges: DataFrame, keys: list[s
     size = F.lit(cell) * F.pow(F.lit(2.0), F.col("rung"))
     pc = (points.withColumn("rung", F.explode(F.sequence(F.lit(0), F.coalesce(top, F.lit(0)))))
                 .withColumn("gx", F.floor(F.col("px") / size)).withColumn("gy", F.floor(F.col("py") / size)))
-    cand = pc.join(boxes, [*by, "rung", "gx", "gy"]).where(
+    cand = by_shuffle(pc).join(boxes, [*by, "rung", "gx", "gy"]).where(
         F.col("px").between(F.col("_xmin"), F.col("_xmax")) & F.col("py").between(F.col("_ymin"), F.col("_ymax")))
     return cand.select(pt_id, *keys, "px", "py")
 
