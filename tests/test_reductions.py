@@ -156,3 +156,12 @@ def test_more_buckets_than_the_sample_serves(spark, monkeypatch):
     df = spark.range(0, 9000, 3).withColumnRenamed("id", "t")
     assert len(ranking.label_bounds(df, ["t"])["t"]) > 64
     assert {r.t: r.pos for r in dense_positions(df, "t").collect()} == {v: i for i, v in enumerate(range(0, 9000, 3))}
+
+
+def test_combined_files_aggregate_numbers_and_the_last_path_wins(spark):
+    from tributary.operators import forecast as fo
+    rows = [(1, 0, 5, 1.0, "a/9"), (1, 0, 5, 2.0, "b/1"), (1, 0, 5, 3.0, "B/7"), (1, 1, 5, None, "b/1"), (1, 1, 5, 4.0, "a/9"), (2, 0, 5, 6.0, None)]
+    out = fo.combine_versions(spark.createDataFrame(rows, "feature_id long, reference_time long, time long, streamflow double, path string"))
+    assert sorted(map(tuple, out.collect())) == [(1, 0, 5, 2.0), (1, 1, 5, None), (2, 0, 5, None)]
+    # text among the aggregates would have every task sort all its rows
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import missing_as_null
 from ..functions.time import hours_between, months_between_labels, range_instants
+from ..session import shared_dir
 from .joins import with_scalars
+from .ranking import dense_positions
 
 KEY = ["feature_id", "reference_time", "time"]
 
@@ -88,5 +90,16 @@ def last_days_two_axes(fc: DataFrame, first_days_back: int, last_days_back: int)
 
 def combine_versions(stacked: DataFrame, var: str = "streamflow", path_col: str = "path") -> DataFrame:
     """Combine stacked forecast files on ``(feature_id, reference_time, time)``;
-    where two files hold a cell, the lexically last path wins (S4)."""
-    return stacked.groupBy(*KEY).agg(F.max_by(var, path_col).alias(var))
+    where two files hold a cell, the lexically last path wins (S4).
+
+    Rows carry the place of their path in order, not its text: numbers are
+    aggregated by hash, text would have every task sort all its rows.  Few
+    cells come twice, so rows are dealt by cell before they are aggregated
+    and a task holds the cells of its share only.
+    """
+    spark = stacked.sparkSession
+    places = dense_positions(stacked, path_col, "_place")
+    kept = shared_dir(spark, "paths")
+    places.write.parquet(kept)
+    placed = stacked.join(spark.read.schema(places.schema).parquet(kept), path_col, "left")
+    return placed.select(*KEY, var, "_place").repartition(*[F.col(k) for k in KEY]).groupBy(*KEY).agg(F.max_by(var, "_place").alias(var))
