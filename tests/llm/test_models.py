@@ -196,6 +196,34 @@ def test_transitions_between_words_cover_all_texts(spark, monkeypatch):
     assert {(int(a), int(b)): cross[a, b] for a, b in zip(*np.nonzero(cross))} == want
 
 
+def test_head_learns_from_every_training_text(spark, monkeypatch):
+    """Each window of each training text is in one round; a text beyond any sample moves the weights, a held-out one does not."""
+    lengths = np.array([1, 16, 17, 50])
+    model, _ = tiny_model(0)
+    ids = np.random.default_rng(2).integers(1, 20, lengths.sum()).astype(np.int32)
+    seen = []
+    monkeypatch.setattr(attention_lm.Adam, "step", lambda self, x, y, inside, pace: seen.append(y[inside]))
+    assert sum(attention_lm.train_shard(model, ids, lengths, turn, 3) for turn in range(3)) == 1 + 1 + 2 + 4
+    assert sorted(np.concatenate(seen).tolist()) == sorted(ids.tolist())
+    monkeypatch.undo()
+
+    def weights(texts, held):
+        rows = [(k, list(range(k * 40, k * 40 + 40)), held, attention_lm.packed(np.full(40, 30, "<i8")), attention_lm.packed(x)) for k, x in enumerate(texts)]
+        model, _ = tiny_model(0)
+        attention_lm.train_corpus(model, spark.createDataFrame(rows, "block long, doc_id array<long>, held array<boolean>, lengths binary, ids binary"))
+        return np.concatenate([getattr(model, f).reshape(-1) for f in attention_lm.Adam.HEAD])
+
+    texts = [np.random.default_rng(k).integers(1, 20, 1200).astype("<u2") for k in range(50)]      # 2,000 texts
+    held = [k == 39 for k in range(40)]
+    base = weights(texts, held)
+    for k in (7, 49):
+        other = [x.copy() for x in texts]
+        other[k][-30:] = 1
+        assert (weights(other, held) == base).all()
+        other[k][:30] = 1
+        assert (weights(other, held) != base).any()
+
+
 def test_beats_word_counts_on_held_out_texts(spark):
     got = [r for r in QUERIES["op5_attention_lm"](spark, "/root/testdata/sf0.1").collect() if r.held_out]
     assert len(got) > 1500 and sum(r.score for r in got) > 0.99 * sum(r.base_score for r in got)

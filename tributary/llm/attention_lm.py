@@ -16,15 +16,20 @@ context, with one batched masked attention for all windows of a batch.
 What is gathered from the corpus covers all training documents: the count of
 every word, and from these the counts of subwords, of subword pairs inside
 words, and of first and last subwords; and the count of every pair of a word's
-last and the next word's first subword.  Only the attention head is fitted on
-a sample of about ``TRAIN_DOCS`` whole documents.  The model has at most ``IDS`` ids of its own; rarer ids share one
-and are told apart by their counts.
+last and the next word's first subword.  The attention head is trained on all
+of them too, each id once: in ``ROUNDS`` rounds, each over its share of the
+windows, every shard of ``TRAIN_DOCS`` training texts takes Adam steps from
+the same weights, and the mean of the shards' weights, by their numbers of
+windows, starts the next round.  The sums are of whole numbers, so they do not
+depend on the order of tasks.  The model has at most ``IDS`` ids of its own;
+rarer ids share one and are told apart by their counts.
 
 Texts are split into words once; each block of texts lists its distinct words.
 A word is counted and encoded once for the whole corpus and its count and ids
 go back to the blocks that have it, so neither word counts nor texts are ever
-broadcast; texts themselves do not shuffle, their word codes do, twice (to
-count what stands between words, and to be scored).
+broadcast; texts themselves do not shuffle, their word codes do, once, to meet
+their words' ids.  What comes of it, one row of model ids a block, is written;
+training and scoring read it without a shuffle.
 
 Rows: a null text is empty (its end token is scored); repeated rows get equal
 results and each counts; a null doc_id counts for training; without training
@@ -54,7 +59,9 @@ CLASSES = 32
 WIDTH = 8               # of queries, keys and values
 WINDOW = 16
 STRIDE = 12
-TRAIN_DOCS = 1500
+TRAIN_DOCS = 1500       # training texts of one shard
+ROUNDS = 2
+BATCH = 512             # windows of an Adam step
 STEPS = 400
 BLOCK_BYTES = 10 * 1024 * 1024
 SMOOTHING = 5.0         # weight of the subword frequencies in a transition row
@@ -291,25 +298,80 @@ def between_words(bounds: np.ndarray, codes: np.ndarray, held: np.ndarray, lens:
     return np.insert(last[codes], cuts - n, end), np.insert(first[codes], cuts, end)
 
 
-def corpus_crossings(blocks: DataFrame, words: DataFrame, number: np.ndarray) -> np.ndarray:
-    """Counts of the training texts' pairs between words, by model ids."""
-    shared, size = blocks.sparkSession.sparkContext.broadcast(number), int(number[-1]) + 1
+def text_streams(blocks: DataFrame, words: DataFrame, number: np.ndarray, spread: np.ndarray, base) -> DataFrame:
+    """One row per block: of its texts ``doc_id``, ``held``, number of words,
+    known words, base score and log10 of the rare ids' shares, and packed the
+    number of model ids of each (with the end's) and these ids; and packed the
+    pairs between words of its training texts, and how often."""
+    shared, size = blocks.sparkSession.sparkContext.broadcast((number, spread)), int(number[-1]) + 1
+    width = 2 if size <= 1 << 16 else 4
 
-    def count(left, right):
-        _, lens, ids = block_words(right)
-        total, own = np.zeros(size * size, np.int64), shared.value[ids]
+    def make(left, right):
+        number, spread = shared.value
+        order, lens, ids = block_words(right)
+        counts = joined([unpacked(x, "<i8") for x in right.column("counts").to_pylist()], "<i8")[order]
+        own = number[ids].astype(f"<u{width}")
+        rare = np.concatenate([[0.0], np.cumsum(spread[ids])])
+        start = np.cumsum(lens) - lens
+        rare = rare[start + lens] - rare[start]
+        rows = []
         for i in range(left.num_rows):
-            a, b = between_words(*block_codes(left, i), np.array(left.column("held")[i].as_py(), bool), lens, own, size - 1)
+            bounds, codes = block_codes(left, i)
+            held = np.array(left.column("held")[i].as_py(), bool)
+            a, b = between_words(bounds, codes, held, lens, own.astype(np.int64), size - 1)
             a *= size
             a += b
-            total += np.bincount(a, minlength=size * size)
-        pair = np.flatnonzero(total)
-        return pa.table({"pair": pair, "n": total[pair]})
-
-    texts = blocks.select("block", "held", "bounds", "codes")
-    entries = words.filter("block is not null").select(F.col("block").alias("of"), "codes", "lengths", "ids", "width")
-    rows = texts.groupBy("block").cogroup(entries.groupBy("of")).applyInArrow(count, "pair long, n long") \
-        .groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+            total = np.bincount(a, minlength=size * size)
+            del a, b
+            pair = np.flatnonzero(total)
+            known, score, shares, lengths, stream = block_stream(bounds, codes, counts, lens, own, rare, base, size - 1)
+            rows.append((left.column("block")[i].as_py(), left.column("doc_id")[i].as_py(), held.tolist(), np.diff(bounds).tolist(), known.tolist(),
+                         score.tolist(), shares.tolist(), packed(lengths.astype("<i8")), packed(stream), packed(pair.astype("<i8")), packed(total[pair].astype("<i8"))))
+        names = ("block", "doc_id", "held", "n", "known", "base", "rare", "lengths", "ids", "pairs", "pair_counts")
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()),
+                 pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({f: pa.array([r[k] for r in rows], kind) for k, (f, kind) in enumerate(zip(names, kinds))})
+
+    texts = blocks.select("block", "doc_id", "held", "bounds", "codes")
+    entries = words.filter("block is not null").select(F.col("block").alias("of"), "codes", "counts", "lengths", "ids", "width")
+    return written(texts.groupBy("block").cogroup(entries.groupBy("of")).applyInArrow(
+        make, "block long, doc_id array<long>, held array<boolean>, n array<long>, known array<long>, base array<double>, rare array<double>, "
+              "lengths binary, ids binary, pairs binary, pair_counts binary"), "streams", compression="zstd", **{"parquet.block.size": str(16 * 1024 * 1024)})
+
+
+def block_stream(bounds, codes, counts, lens, own, rare, base, end: int, slice_words: int = 300_000):
+    """Known words, base score and the rare ids' part of each text of a block,
+    the number of its ids (with the end's) and the ids; texts are taken in
+    slices of bounded size."""
+    k = len(bounds) - 1
+    start = np.cumsum(lens) - lens
+    known, score, shares, lengths, streams = np.zeros(k, np.int64), np.zeros(k), np.zeros(k), np.zeros(k, np.int64), []
+    first = 0
+    while first < k:
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + slice_words, side="right")) - 1)
+        mine, cut = codes[bounds[first]:bounds[last]], bounds[first:last + 1] - bounds[first]
+        doc = doc_of(cut)
+        part = slice(first, last)
+        known[part] = np.bincount(doc, counts[mine] > 0, last - first)
+        score[part] = np.bincount(doc, base(counts)[mine] if len(counts) < len(mine) else base(counts[mine]), last - first)
+        shares[part] = np.bincount(doc, rare[mine], last - first)
+        per = lens[mine]
+        sums = np.concatenate([[0], np.cumsum(per)])
+        lengths[part] = sums[cut[1:]] - sums[cut[:-1]] + 1
+        stream = own[np.repeat(start[mine] - sums[:-1], per) + np.arange(sums[-1])]
+        streams.append(np.insert(stream, sums[cut[1:]], end))
+        first = last
+    return known, score, shares, lengths, joined(streams, own.dtype)
+
+
+def corpus_crossings(streams: DataFrame, size: int) -> np.ndarray:
+    """Counts of the training texts' pairs between words, by model ids."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for pairs, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(unpacked(pairs, "<i8")), pa.array(unpacked(n, "<i8"))], names=["pair", "n"])
+
+    rows = streams.select("pairs", "pair_counts").mapInArrow(read, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size)
     out[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
     return out.reshape(size, size)
@@ -416,6 +478,14 @@ def model_numbers(count: np.ndarray, end_id: int) -> np.ndarray:
     return number
 
 
+def rare_shares(number: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """log10 of each rare subword's share of the id that they have in common; 0 for the others."""
+    rare = number[:-1] == 0
+    spread = np.zeros(len(count))
+    spread[rare] = np.log10((count[rare] + 0.5) / (count[rare] + 0.5).sum())
+    return spread
+
+
 def fit(pairs: list[tuple], sample: list[np.ndarray], vocabulary: int, end_id: int, steps: int = STEPS) -> Model:
     """Model from subword pair counts (arrays pair, n) and texts (ids) that are
     the whole corpus."""
@@ -442,9 +512,7 @@ def fit_counts(number: np.ndarray, count: np.ndarray, inner: np.ndarray, cross:
     rng = np.random.default_rng(7)
     end = int(number[-1])
     size = end + 1
-    rare = number[:-1] == 0
-    spread = np.zeros(len(count))
-    spread[rare] = np.log10((count[rare] + 0.5) / (count[rare] + 0.5).sum())
+    spread = rare_shares(number, count)
     uni = np.bincount(number[:-1], count, size) + 0.5
     uni /= uni.sum()
 
@@ -486,91 +554,137 @@ def train(model: Model, texts: list[np.ndarray], steps: int, rng, batch: int = 2
     starts = np.flatnonzero(ok)
     if not len(starts):
         return
-    params = {f: getattr(model, f) for f in ("q", "k", "v", "w", "bias")}
-    first = {f: np.zeros_like(x) for f, x in params.items()}
-    second = {f: np.zeros_like(x) for f, x in params.items()}
-    lag = np.clip(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0, None)
+    adam = Adam(model)
     for step in range(1, steps + 1):
         at = rng.choice(starts, batch)[:, None] + np.arange(WINDOW + 1)
-        x, y = flat[at[:, :-1]], flat[at[:, 1:]]
-        e, total, a = model.attention(x)
-        weight = e / total
-        z = np.exp(a @ model.w) * model.s[x]
-        dz = -z / z.sum(axis=2, keepdims=True)
-        np.put_along_axis(dz, model.cls[y][:, :, None], np.take_along_axis(dz, model.cls[y][:, :, None], 2) + 1.0, 2)
-        dz /= x.size
-        grad = {"w": np.einsum("btd,btc->dc", a, dz)}
-        da = dz @ model.w.T
-        vx = model.v[x]
-        dweight = np.matmul(da, vx.transpose(0, 2, 1))
-        dscore = weight * (dweight - (dweight * weight).sum(axis=2, keepdims=True))
-        grad["bias"] = np.bincount(lag.reshape(-1), dscore.sum(axis=0).reshape(-1), WINDOW).astype(np.float32)
-        for f, d in (("v", np.matmul(weight.transpose(0, 2, 1), da)), ("q", np.matmul(dscore, model.k[x])),
-                     ("k", np.matmul(dscore.transpose(0, 2, 1), model.q[x]))):
-            grad[f] = np.zeros_like(params[f])
-            np.add.at(grad[f], x.reshape(-1), d.reshape(-1, WIDTH))
-        pace = rate * min(1.0, 3.0 * (1.0 - step / (steps + 1.0)))
-        for f, p in params.items():
-            first[f] = 0.9 * first[f] + 0.1 * grad[f]
-            second[f] = 0.99 * second[f] + 0.01 * grad[f] ** 2
-            p += (pace * (first[f] / (1 - 0.9 ** step)) / (np.sqrt(second[f] / (1 - 0.99 ** step)) + 1e-6)).astype(np.float32)
+        adam.step(flat[at[:, :-1]], flat[at[:, 1:]], None, rate * min(1.0, 3.0 * (1.0 - step / (steps + 1.0))))
         if step % 50 == 0 or step == steps:
             now = score(model, check_ids, check_lengths).sum()
             if now > best_score:
-                best_score, best = now, {f: p.copy() for f, p in params.items()}
+                best_score, best = now, {f: p.copy() for f, p in adam.params.items()}
     for f, p in best.items():
         setattr(model, f, p)
 
 
-def sample_ids(docs: DataFrame, held_out, path: str, end_id: int) -> list[np.ndarray]:
-    """Ids of about ``TRAIN_DOCS`` whole training documents, chosen by hash."""
-    train = docs.filter(~held_out)
-    n = train.count()
-    pick = F.pmod(F.xxhash64(F.lit("attention"), "doc_id"), F.lit(1 << 20)) < min(1.0, TRAIN_DOCS / max(1, n)) * (1 << 20)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = encoder(path)
-        for b in batches:
-            ids, lens = tok.encode(b.column(1), end_id)
-            raw, cut = ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(lens)]) * 4
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([raw[i:j] for i, j in zip(cut[:-1], cut[1:])], pa.binary())], names=["doc_id", "ids"])
-
-    rows = train.filter(pick).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .mapInArrow(encode, "doc_id long, ids binary").collect()
-    rows.sort(key=lambda r: (r[0] is None, r[0] or 0, bytes(r[1])))
-    return [np.frombuffer(r[1], "<u4").astype(np.int64) for r in rows]
+class Adam:
+    """Steps on the weights of a model's head, in place."""
+
+    HEAD = ("q", "k", "v", "w", "bias")
+
+    def __init__(self, model: Model):
+        self.model, self.n = model, 0
+        self.params = {f: getattr(model, f) for f in self.HEAD}
+        self.first = {f: np.zeros_like(x) for f, x in self.params.items()}
+        self.second = {f: np.zeros_like(x) for f, x in self.params.items()}
+        self.lag = np.clip(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0, None).reshape(-1)
+
+    def gradient(self, x: np.ndarray, y: np.ndarray, inside: np.ndarray | None) -> dict[str, np.ndarray]:
+        """Of the mean log-likelihood of ``y`` after ``x``, at the places ``inside`` a text (all, if None)."""
+        model = self.model
+        weight, total, a = model.attention(x)
+        weight /= total
+        dz = np.exp(a @ model.w)
+        dz *= model.s[x]
+        dz /= -dz.sum(axis=2, keepdims=True)
+        dz.reshape(-1, dz.shape[2])[np.arange(y.size), model.cls[y].reshape(-1)] += 1.0
+        if inside is not None:
+            dz *= inside[:, :, None]
+        dz /= np.float32(x.size if inside is None else inside.sum())
+        da = dz @ model.w.T
+        dscore = np.matmul(da, model.v[x].transpose(0, 2, 1))
+        dscore -= (dscore * weight).sum(axis=2, keepdims=True)
+        dscore *= weight
+        rows = np.concatenate([np.matmul(dscore, model.k[x]), np.matmul(dscore.transpose(0, 2, 1), model.q[x]),
+                               np.matmul(weight.transpose(0, 2, 1), da)], axis=2).reshape(x.size, 3 * WIDTH)
+        # the rows of one id are neighbours once sorted
+        at = x.reshape(-1)
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        heads = np.flatnonzero(np.diff(at, prepend=-1))
+        sums = np.zeros((len(model.q), 3 * WIDTH), np.float32)
+        sums[at[heads]] = np.add.reduceat(rows[order], heads, axis=0)
+        return {"q": sums[:, :WIDTH], "k": sums[:, WIDTH:2 * WIDTH], "v": sums[:, 2 * WIDTH:],
+                "w": a.reshape(-1, WIDTH).T @ dz.reshape(-1, dz.shape[2]),
+                "bias": np.bincount(self.lag, dscore.sum(axis=0).reshape(-1), WINDOW).astype(np.float32)}
+
+    def step(self, x: np.ndarray, y: np.ndarray, inside: np.ndarray | None, pace: float) -> None:
+        self.n += 1
+        pace, fix1, fix2 = np.float32(pace / (1 - 0.9 ** self.n)), np.float32(0.1), np.float32(1 / (1 - 0.99 ** self.n))
+        for f, d in self.gradient(x, y, inside).items():
+            first, second = self.first[f], self.second[f]
+            first += fix1 * (d - first)
+            second += np.float32(0.01) * (d * d - second)
+            self.params[f] += pace * first / (np.sqrt(second * fix2) + np.float32(1e-6))
+
+
+def train_shard(model: Model, ids: np.ndarray, lengths: np.ndarray, turn: int, rounds: int, rate: float = 0.02) -> int:
+    """Adam steps on round ``turn``'s share of the windows of the texts (ids,
+    each text with its end): every ``rounds``-th in a fixed random order, each
+    id in one window.  Returns the number of windows."""
+    count = -(-lengths // WINDOW)
+    text = np.repeat(np.arange(len(lengths)), count)
+    order = np.random.default_rng(7).permutation(len(text))[turn::rounds]
+    if not len(order):
+        return 0
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    starts = np.cumsum(lengths) - lengths
+    before = np.concatenate([ids[:1], ids[:-1]])
+    before[starts] = model.number[-1]
+    first, left = (starts[text] + nth * WINDOW)[order], np.minimum(WINDOW, lengths[text] - nth * WINDOW)[order]
+    adam, span, steps = Adam(model), np.arange(WINDOW), -(-len(order) // BATCH)
+    for step in range(steps):
+        part = slice(step * BATCH, (step + 1) * BATCH)
+        at = first[part, None] + np.minimum(span, left[part, None] - 1)
+        done = (turn + (step + 1) / (steps + 1)) / rounds
+        adam.step(before[at], ids[at], span < left[part, None], rate * min(1.0, 3.0 * (1.0 - done)))
+    return len(order)
+
+
+def train_corpus(model: Model, streams: DataFrame, rounds: int = ROUNDS) -> None:
+    """Train the head on all training texts of the blocks."""
+    shapes = {f: getattr(model, f).shape for f in Adam.HEAD}
+    size = sum(int(np.prod(s)) for s in shapes.values())
+    for turn in range(rounds):
+        shared = streams.sparkSession.sparkContext.broadcast(model.state())
+
+        def run(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
+            # weights times windows, as whole numbers; the last entry counts windows
+            total = np.zeros(size + 1, np.int64)
+            for b in batches:
+                for doc, held, lengths, ids in zip(*(b.column(k).to_pylist() for k in range(4))):
+                    lengths, ids = unpacked(lengths, "<i8"), unpacked(ids, "<u2" if len(shared.value["q"]) <= 1 << 16 else "<u4")
+                    # by doc_id, so the order of a block's rows does not matter
+                    order = np.array(sorted((k for k in range(len(held)) if not held[k]), key=lambda k: (doc[k] is None, doc[k] or 0)), np.int64)
+                    start, lengths = (np.cumsum(lengths) - lengths)[order], lengths[order]
+                    ids = ids[np.repeat(start - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())].astype(np.int32)
+                    ends = np.concatenate([[0], np.cumsum(lengths)])
+                    for k in range(0, len(lengths), TRAIN_DOCS):
+                        mine = slice(k, k + TRAIN_DOCS)
+                        own = Model(**shared.value | {f: shared.value[f].copy() for f in Adam.HEAD})
+                        n = train_shard(own, ids[ends[k]:ends[min(k + TRAIN_DOCS, len(lengths))]], lengths[mine], turn, rounds)
+                        if n:
+                            flat = np.concatenate([getattr(own, f).reshape(-1) for f in Adam.HEAD]).astype(np.float64)
+                            total[:-1] += np.rint(flat * (n * 2.0 ** 20)).astype(np.int64)
+                            total[-1] += n
+            if total[-1]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1, dtype=np.int32)), pa.array(total)], names=["i", "total"])
+
+        rows = streams.select("doc_id", "held", "lengths", "ids").mapInArrow(run, "i int, total long").groupBy("i").agg(F.sum("total").alias("total")).toArrow()
+        shared.unpersist()
+        if not rows.num_rows:
+            return
+        total = np.zeros(size + 1)
+        total[rows.column("i").to_numpy()] = rows.column("total").to_numpy()
+        flat = (total[:-1] / (total[-1] * 2.0 ** 20)).astype(np.float32)
+        cut = 0
+        for f, shape in shapes.items():
+            n = int(np.prod(shape))
+            setattr(model, f, flat[cut:cut + n].reshape(shape).copy())
+            cut += n
 
 
 # ---- scoring ---------------------------------------------------------------
 
-def score_block(model: Model, bounds, codes, counts, lens, ids, base, slice_words: int = 300_000):
-    """Words, known words, base score and model score (without the end token)
-    of each text of a block; texts are taken in slices of bounded size."""
-    k = len(bounds) - 1
-    start = np.cumsum(lens) - lens
-    own, rare = model.number[ids].astype(np.int32), np.concatenate([[0.0], np.cumsum(model.spread[ids])])
-    rare = rare[start + lens] - rare[start]
-    end = np.int32(model.number[-1])
-    known, base_score, total = np.zeros(k, np.int64), np.zeros(k), np.zeros(k)
-    first = 0
-    while first < k:
-        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + slice_words, side="right")) - 1)
-        mine, cut = codes[bounds[first]:bounds[last]], bounds[first:last + 1] - bounds[first]
-        doc = doc_of(cut)
-        part = slice(first, last)
-        known[part] = np.bincount(doc, counts[mine] > 0, last - first)
-        base_score[part] = np.bincount(doc, base(counts)[mine] if len(counts) < len(mine) else base(counts[mine]), last - first)
-        per = lens[mine]
-        sums = np.concatenate([[0], np.cumsum(per)])
-        lengths = sums[cut[1:]] - sums[cut[:-1]]
-        stream = own[np.repeat(start[mine] - sums[:-1], per) + np.arange(sums[-1])]
-        stream = np.insert(stream, sums[cut[1:]], end)
-        total[part] = score(model, stream, lengths + 1) + np.bincount(doc, rare[mine], last - first)
-        first = last
-    return known, base_score, total
-
-
 def score_documents(docs: DataFrame, held_out, path: str, end_id: int) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score."""
@@ -584,35 +698,29 @@ def score_documents(docs: DataFrame, held_out, path: str, end_id: int) -> DataFr
     count = corpus_subwords(words, vocabulary)
     count[end_id] += ends or 1
     number = model_numbers(count, end_id)
-    model = fit_counts(number, count, corpus_pairs(words, number), corpus_crossings(blocks, words, number), ends,
-                       sample_ids(docs, held_out, path, end_id))
-    shared, key = spark.sparkContext.broadcast(model.state()), uuid.uuid4().hex
 
     def base(c):
         return np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
 
-    def run(left, right):
+    streams = text_streams(blocks, words, number, rare_shares(number, count), base)
+    model = fit_counts(number, count, corpus_pairs(words, number), corpus_crossings(streams, int(number[-1]) + 1), ends, [])
+    train_corpus(model, streams)
+    shared, key = spark.sparkContext.broadcast(model.state()), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = worker_store("attention")
         if key not in store:
             store.clear()
             store[key] = Model(**shared.value)
-        out = {f: [] for f in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
-        order, per, ids = block_words(right)
-        counts = joined([unpacked(x, "<i8") for x in right.column("counts").to_pylist()], "<i8")[order]
-        for i in range(left.num_rows):
-            bounds, text = block_codes(left, i)
-            known, base_score, total = score_block(store[key], bounds, text, counts, per, ids, base)
-            out["doc_id"] += left.column("doc_id")[i].as_py()
-            out["held_out"] += left.column("held")[i].as_py()
-            for f, x in (("n_tokens", np.diff(bounds) + 1), ("n_known", known + (ends > 0)), ("base_score", base_score + base(ends)), ("score", total)):
-                out[f] += x.tolist()
-        size = len(out["score"])
-        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "held_out": pa.array(out["held_out"], pa.bool_()),
-                         "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()),
-                         "train_tokens": pa.array([n] * size, pa.int64()), "base_score": pa.array(out["base_score"], pa.float64()),
-                         "score": pa.array(out["score"], pa.float64())})
-
-    texts = blocks.select("block", "doc_id", "held", "bounds", "codes")
-    entries = words.filter("block is not null").select(F.col("block").alias("of"), "codes", "counts", "lengths", "ids", "width")
-    return texts.groupBy("block").cogroup(entries.groupBy("of")).applyInArrow(
+        kind = "<u2" if len(store[key].q) <= 1 << 16 else "<u4"
+        for b in batches:
+            for i in range(b.num_rows):
+                doc, held, count, known, plain, rare, lengths, ids = (b.column(k).slice(i, 1) for k in range(8))
+                total = score(store[key], unpacked(ids[0].as_py(), kind).astype(np.int32), unpacked(lengths[0].as_py(), "<i8")) + rare.flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [doc.flatten(), held.flatten(), pa.array(count.flatten().to_numpy() + 1), pa.array(known.flatten().to_numpy() + (ends > 0)),
+                     pa.array([n] * len(total), pa.int64()), pa.array(plain.flatten().to_numpy() + base(ends)), pa.array(total)],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return streams.select("doc_id", "held", "n", "known", "base", "rare", "lengths", "ids").mapInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
