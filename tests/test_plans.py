@@ -53,3 +53,14 @@ def test_rows_made_by_explode_are_not_broadcast(spark):
     points = rings.select(F.struct("catchment_id", "v").alias("_pt"), F.col("x").alias("px"), F.col("y").alias("py"))
     edges = sp.kept_edges(fx.areas(spark, SF), "area_id")
     assert "Broadcast" not in _plan(sp.box_candidates(points, "_pt", edges, ["area_id"], 2.0))
+
+
+def test_segments_meet_without_their_cells_loads(spark):
+    """Dense cells are found ahead; the join of the pairs counts nothing."""
+    from tributary.operators import spatial as sp
+    a, b = (spark.createDataFrame([(k, float(k), 0.5, k + 0.5, 0.5) for k in range(9)], f"{n} long, x1 double, y1 double, x2 double, y2 double") for n in "ab")
+    for per_key, least, most in ((10_000, 81, 81), (1, 9, 60)):
+        got = sp.candidate_segments(a, ["a"], b, ["b"], 20.0, pairs_per_key=per_key)
+        assert "Aggregate" not in _plan(got)
+        pairs = {(r.a, r.b) for r in got.collect()}
+        assert pairs >= {(i, i) for i in range(9)} and least <= len(pairs) <= most

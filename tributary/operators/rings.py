@@ -24,16 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
-from .spatial import _ray_cast, box_candidates, union_walls
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, read back.  A checkpoint would
-    carry each round's constraints into the next, and they double every round."""
-    path = shared_dir(df.sparkSession, "rings")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .spatial import _ray_cast, box_candidates, kept, union_walls
 
 
 def _successors(edges: DataFrame, group: str) -> DataFrame:
@@ -49,10 +40,10 @@ def _successors(edges: DataFrame, group: str) -> DataFrame:
 
 def _cycles(links: DataFrame) -> DataFrame:
     """``e, ring``: the least edge of the cycle of each edge of (e, next)."""
-    now = _kept(links.select("e", F.col("next").alias("ptr"), F.least("e", "next").alias("ring")))
+    now = kept(links.select("e", F.col("next").alias("ptr"), F.least("e", "next").alias("ring")))
     while True:
         twice = _label_step(_label_step(now.withColumn("first", F.col("ring"))))
-        now = _kept(twice.select("e", "ptr", "ring", (F.col("ring") < F.col("first")).alias("moved")))
+        now = kept(twice.select("e", "ptr", "ring", (F.col("ring") < F.col("first")).alias("moved")))
         # the least edge's label reaches twice as many edges a step until it has reached all
         if now.where("moved").isEmpty():
             return now.select("e", "ring")
@@ -71,11 +62,11 @@ def _distance_step(now: DataFrame) -> DataFrame:
 
 def _positions(links: DataFrame, cycles: DataFrame) -> DataFrame:
     """``e, ring, v``: place of each edge in its cycle, 0 at the least edge."""
-    now = _kept(links.join(cycles, "e").select(
+    now = kept(links.join(cycles, "e").select(
         "e", "ring", F.when(F.col("e") == F.col("ring"), F.col("e")).otherwise(F.col("next")).alias("ptr"),
         F.when(F.col("e") == F.col("ring"), 0).otherwise(1).cast("long").alias("steps")))
     while not now.where("ptr != ring").isEmpty():
-        now = _kept(_distance_step(_distance_step(now)))
+        now = kept(_distance_step(_distance_step(now)))
     size = now.groupBy("ring").agg(F.count(F.lit(1)).alias("_n"))
     return now.join(size, "ring").select("e", "ring", F.pmod(F.col("_n") - F.col("steps"), F.col("_n")).alias("v"))
 
@@ -83,7 +74,7 @@ def _positions(links: DataFrame, cycles: DataFrame) -> DataFrame:
 def _split(edges: DataFrame, links: DataFrame, cycles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links and cycles after walks that repeat a vertex are split there."""
     at = cycles.join(edges.select("e", F.col("x1").alias("_x"), F.col("y1").alias("_y")), "e")
-    twice = _kept(at.groupBy("ring", "_x", "_y").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k"))
+    twice = kept(at.groupBy("ring", "_x", "_y").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k"))
     if twice.isEmpty():
         return links, cycles
     own = cycles.join(twice.select("ring").distinct(), "ring", "left_semi")
@@ -93,9 +84,9 @@ def _split(edges: DataFrame, links: DataFrame, cycles: DataFrame) -> tuple[DataF
     order = W.partitionBy("ring", "_x", "_y").orderBy("v")
     last = F.max_by("e", "v").over(W.partitionBy("ring", "_x", "_y"))
     moved = visits.select(F.col("e").alias("next"), F.coalesce(F.lag("e").over(order), last).alias("_new"))
-    links = _kept(links.join(moved, "next", "left").select("e", F.coalesce("_new", "next").alias("next")))
+    links = kept(links.join(moved, "next", "left").select("e", F.coalesce("_new", "next").alias("next")))
     again = _cycles(links.join(own.select("e"), "e", "left_semi"))
-    return links, _kept(cycles.join(own.select("e"), "e", "left_anti").unionByName(again))
+    return links, kept(cycles.join(own.select("e"), "e", "left_anti").unionByName(again))
 
 
 def union_rings(rings: DataFrame, group: str, poly_id: str, cell: float) -> DataFrame:
@@ -109,20 +100,20 @@ def union_rings(rings: DataFrame, group: str, poly_id: str, cell: float) -> Data
     walls = union_walls(rings, group, poly_id, cell)
     a, b = (F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in "12")
     first, last = F.when(F.col("left"), a).otherwise(b), F.when(F.col("left"), b).otherwise(a)
-    edges = _kept(walls.select(group, first.alias("_a"), last.alias("_b")).select(
+    edges = kept(walls.select(group, first.alias("_a"), last.alias("_b")).select(
         group, F.monotonically_increasing_id().alias("e"), F.col("_a.x").alias("x1"), F.col("_a.y").alias("y1"),
         F.col("_b.x").alias("x2"), F.col("_b.y").alias("y2")))
-    links = _kept(_successors(edges, group))
+    links = kept(_successors(edges, group))
     links, cycles = _split(edges, links, _cycles(links))
     # the walk's first edge departs from the ring's least vertex
     heads = cycles.join(edges, "e").groupBy("ring").agg(F.min_by("e", F.struct("x1", "y1")).alias("_head"))
-    cycles = _kept(cycles.join(heads, "ring").select("e", F.col("_head").alias("ring")))
-    placed = _kept(_positions(links, cycles).join(edges, "e"))
+    cycles = kept(cycles.join(heads, "ring").select("e", F.col("_head").alias("ring")))
+    placed = kept(_positions(links, cycles).join(edges, "e"))
     area = F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2
     whole = placed.groupBy(group, F.col("ring").alias("_ring")).agg(
         area.alias("area"), F.min_by(F.struct("x1", "y1", "x2", "y2"), "v").alias("head"))
     # one row a ring; sorted, never held
-    whole = _kept(whole.withColumn("ring", (F.row_number().over(W.partitionBy(group).orderBy("head")) - 1).cast("int")))
+    whole = kept(whole.withColumn("ring", (F.row_number().over(W.partitionBy(group).orderBy("head")) - 1).cast("int")))
     outer = whole.where("area > 0").select(group, F.col("ring").alias("part"), "area", "_ring")
     walls = placed.withColumnRenamed("ring", "_ring").join(outer, [group, "_ring"]).select(group, "part", "x1", "y1", "x2", "y2")
     mids = whole.where("area < 0").select(group, F.struct(group, "ring").alias("_pt"), ((F.col("head.x1") + F.col("head.x2")) / 2).alias("px"),

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root
+from ..session import checkpoint_root, shared_dir
 from .joins import by_shuffle
 
 
@@ -60,6 +60,14 @@ def point_segment_dist2(px, py, ax, ay, bx, by) -> Column:
 
 # ---------------------------------------------------------------- geometry tables
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read back.  A checkpoint would
+    carry each round's constraints into the next, and they double every round."""
+    path = shared_dir(df.sparkSession, "rings")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ring_edges(rings: DataFrame, id_col: str, ring_col: str | None = None) -> DataFrame:
     """``(<id>, x1, y1, x2, y2)``: ring edges, closing edge included.
 
@@ -110,7 +118,7 @@ PAIRS_PER_KEY = 10_000
 
 
 def _divided(c: DataFrame, load: DataFrame, by: list[str], cell: float, grow: float) -> DataFrame:
-    """Rows of cells that both sides have, keyed by sub-cell (``sub``): the
+    """Rows of the cells of ``load``, keyed by sub-cell (``sub``): the
     piece is cut at ``cell / k``, ``k`` being the cell's own divisor."""
     c = c.join(load, [*by, "cell"])
     size = F.lit(cell) / F.col("_div")
@@ -140,8 +148,18 @@ def candidate_segments(a: DataFrame, a_ids: list[str], b: DataFrame, b_ids: list
     na = ca.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("_na"))
     nb = cb.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("_nb"))
     div = F.greatest(F.lit(1), F.ceil(F.pow(F.col("_na") * F.col("_nb") / F.lit(float(pairs_per_key)), F.lit(0.25)))).cast("long")
-    load = na.join(nb, [*by, "cell"]).select(*by, "cell", div.alias("_div"))
-    return _divided(ca, load, by, cell, grow).join(_divided(cb, load, by, cell, grow), [*by, "cell", "sub"]).drop("cell", "sub")
+    # the few dense cells, written: Spark sees how small they are and the others meet by one shuffle
+    load = kept(na.join(nb, [*by, "cell"]).select(*by, "cell", div.alias("_div")).where("_div > 1"))
+    return _keyed(ca, load, by, cell, grow).join(_keyed(cb, load, by, cell, grow), [*by, "cell", "sub"]).drop("cell", "sub")
+
+
+def _keyed(c: DataFrame, load: DataFrame, by: list[str], cell: float, grow: float) -> DataFrame:
+    """Rows with their sub-cell: of dense cells (``load``) by :func:`_divided`, of others the cell."""
+    sub = F.struct(F.col("cell._cx").alias("_sx"), F.col("cell._cy").alias("_sy"))
+    same = [F.col(x).eqNullSafe(F.col(f"_l_{x}")) for x in [*by, "cell"]]
+    light = c.join(load.select(*[F.col(x).alias(f"_l_{x}") for x in [*by, "cell"]]), same, "left_anti") \
+        .withColumn("sub", sub).drop("_pax", "_pay", "_pbx", "_pby")
+    return light.unionByName(_divided(c, load, by, cell, grow))
 
 
 _A = ["a_x1", "a_y1", "a_x2", "a_y2"]
@@ -471,7 +489,7 @@ def union_walls(rings: DataFrame, group: str, poly_id: str, cell: float) -> Data
     turn = edges.groupBy("_poly").agg(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")).alias("_area"))
     edges = edges.join(turn, "_poly").select(F.col(f"_poly.{group}").alias(group), F.col(f"_poly.{poly_id}").alias(poly_id),
                                              "x1", "y1", "x2", "y2", (F.col("_area") > 0).alias("_left")).checkpoint()
-    flat = edges.select(group, "x1", "y1", "x2", "y2").distinct()
+    flat = kept(edges.select(group, "x1", "y1", "x2", "y2").distinct())
     met = stage_intersects(candidate_segments(flat, [], flat, [], cell, by=[group]))
     met = met.where(~((F.col("a_x1") == F.col("b_x1")) & (F.col("a_y1") == F.col("b_y1"))
                       & (F.col("a_x2") == F.col("b_x2")) & (F.col("a_y2") == F.col("b_y2"))))
