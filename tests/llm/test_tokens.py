@@ -98,3 +98,18 @@ def test_best_fit_takes_the_tightest():
             room.append(64)
         room[k] -= length
     assert len(room) == n
+
+
+def test_lookups_hash_the_batch_not_the_cache(monkeypatch):
+    import pyarrow as pa
+
+    from tributary.llm import encode
+    tok = encode.ChunkEncoder(PATH)
+    tok.encode(pa.array([" ".join(f"word{k}" for k in range(3000))]))
+    sizes, index_in = [], encode.pc.index_in
+    monkeypatch.setattr(encode.pc, "index_in", lambda x, value_set: sizes.append(len(value_set)) or index_in(x, value_set=value_set))
+    texts = ["word7 new, word2999 new. (word8)", "newer, newer new,"]
+    ids, lens = tok.encode(pa.array(texts))
+    assert max(sizes) < 20
+    want = [tok.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == sum(want, []) and lens.tolist() == [len(x) for x in want]

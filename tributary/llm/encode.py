@@ -83,8 +83,17 @@ class ChunkEncoder:
             lens.append(np.diff(np.concatenate([[-1], at, [len(found)]])) - 1)
         return np.concatenate(ids), np.concatenate(lens)
 
-    def _add(self, chunks: pa.Array) -> None:
-        """Encode new chunks.  A trailing ASCII punctuation run after a letter
+    def _find(self, chunks: pa.Array) -> np.ndarray:
+        """Number of each of these distinct chunks, -1 if new.  The hash table
+        is of these chunks; one of all the cache's would be made anew a batch."""
+        at = pc.index_in(self.names, value_set=chunks)
+        known = np.flatnonzero(np.asarray(at.is_valid()))
+        out = np.full(len(chunks), -1, np.int64)
+        out[np.asarray(at.drop_null())] = known
+        return out
+
+    def _add(self, chunks: pa.Array) -> np.ndarray:
+        """Encode new chunks and return their numbers.  A trailing ASCII punctuation run after a letter
         or digit is a token sequence of its own, so it is encoded apart."""
         core = pc.utf8_rtrim(chunks, characters=_PUNCT)
         size = np.asarray(pc.binary_length(core)).astype(np.int64)
@@ -93,14 +102,19 @@ class ChunkEncoder:
         data = chunks.filter(pa.array(cut)).to_pylist()
         tail = pa.array([c.encode()[n:].decode() for c, n in zip(data, size[cut].tolist())], pa.large_string())
         parts = pa.concat_arrays([head, tail]).dictionary_encode()
-        at = pc.index_in(parts.dictionary, value_set=self.names)
-        fresh = parts.dictionary.filter(pc.is_null(at))
+        at = self._find(parts.dictionary)
+        new = np.flatnonzero(at < 0)
+        at[new] = len(self.names) + np.arange(len(new))
+        fresh = parts.dictionary.take(pa.array(new))
         self._append(fresh, *self._each(fresh))
-        at = np.asarray(pc.index_in(parts.dictionary, value_set=self.names)).astype(np.int64)[np.asarray(parts.indices)]
+        at = at[np.asarray(parts.indices)]
         # chunks with a tail: the ids of their parts, one after the other
         both = np.stack([at[:len(chunks)][cut], at[len(chunks):]], 1).reshape(-1)
         lens = self.lengths[both].astype(np.int64)
+        own = at[:len(chunks)]
+        own[cut] = len(self.names) + np.arange(len(size[cut]))
         self._append(chunks.filter(pa.array(cut)), self.flat[spread(self.starts[both], lens)], lens.reshape(-1, 2).sum(1))
+        return own
 
     def _append(self, chunks: pa.Array, ids: np.ndarray, lens: np.ndarray) -> None:
         self.names = pa.concat_arrays([self.names, chunks])
@@ -134,10 +148,11 @@ class ChunkEncoder:
         names = coded.dictionary
         if len(self.names) + len(names) > CACHE_CHUNKS:
             self.trim()
-        fresh = names.filter(pc.is_null(pc.index_in(names, value_set=self.names)))
+        slots = self._find(names)
+        fresh = np.flatnonzero(slots < 0)
         if len(fresh):
-            self._add(fresh)
-        slots = np.asarray(pc.index_in(names, value_set=self.names)).astype(np.int32)
+            slots[fresh] = self._add(names.take(pa.array(fresh)))
+        slots = slots.astype(np.int32)
         self.hits[slots] += 1
         at = slots[np.asarray(coded.indices)]
         del chunks, coded, names
