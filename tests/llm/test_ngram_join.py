@@ -158,3 +158,13 @@ def test_rounds_end(spark):
     near = [(10, BASE, "en", "a"), (11, BASE + " more", "en", "a")]
     for rows in (unlike, [(i, BASE, "en", "a") for i in range(5)], near, near + unlike, unlike[:1]):
         assert run(spark, rows) == brute(rows)
+
+
+def test_families_need_few_links(spark):
+    """Keys with heads of their own give a link a node, not one a node and head."""
+    from tributary.llm import linking
+    rows = [(k, n) for k in range(30) for n in [k, *range(100, 160)]] + [(99, 500), (99, 501)]
+    heavy = spark.createDataFrame(rows, "key long, node long")
+    assert linking.family_links(heavy).count() < 130       # nodes and heads; 1,800 a node and head
+    got = {r.node: r.g for r in linking.families(heavy).collect()}
+    assert {n for n, g in got.items() if g == 0} == {*range(30), *range(100, 160)} and got[500] == got[501] == 500

@@ -101,7 +101,8 @@ def with_components(keys: DataFrame, roots: DataFrame) -> DataFrame:
 def links_between(pairs: DataFrame, own: DataFrame, rule: Rule) -> DataFrame:
     """Links (u, v) between different components (``c``) of the groups (``g``)
     in each pair (ga, gb), found by comparing all sets of one with all of the
-    other, in blocks: for every set and block one link per other component."""
+    other, in blocks: of a block's links only those that join two components
+    which the ones before have not joined."""
     count = F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum(F.length("members")) / BLOCK_BYTES)
     size = own.groupBy("g").agg(F.ceil(count).cast("int").alias("blocks"))
     sa, sb = [size.select(F.col("g").alias(f"g{k}"), F.col("blocks").alias(f"n{k}")) for k in "ab"]
@@ -120,14 +121,25 @@ def links_between(pairs: DataFrame, own: DataFrame, rule: Rule) -> DataFrame:
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
         others, cuts = flat_members(right.column("members"))
-        out = []
+        out, parent = [], {}
+
+        def root(x: int) -> int:
+            while (above := parent.get(x, x)) != x:
+                parent[x] = parent.get(above, above)
+                x = above
+            return x
+
         for k, (node, c) in enumerate(zip(right.column("node").to_pylist(), right.column("c").to_pylist())):
             y = others[cuts[k]:cuts[k + 1]]
             a = np.searchsorted(flat, y)
             n = np.searchsorted(flat, y, side="right") - a
             common = np.bincount(owner[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sizes))
             hit = np.flatnonzero((rule.denominator * common >= rule.numerator * (sizes + len(y) - common)) & (groups != c))
-            out += [(node, int(names[hit[i]])) for i in np.unique(groups[hit], return_index=True)[1]]
+            for i in np.unique(groups[hit], return_index=True)[1]:
+                one, two = root(int(groups[hit[i]])), root(c)
+                if one != two:
+                    parent[one] = two
+                    out.append((node, int(names[hit[i]])))
         return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([x for _, x in out], pa.int64())})
 
     return side("a", ["ga", "gb", "a", "b"]).groupBy("ga", "gb", "a", "b").cogroup(
@@ -136,9 +148,19 @@ def links_between(pairs: DataFrame, own: DataFrame, rule: Rule) -> DataFrame:
 
 def families(heavy: DataFrame) -> DataFrame:
     """node, g: sets that share a heavy key, directly or through others, are one family."""
+    return heavy.select("node").distinct().join(components(family_links(heavy)), "node", "left").select("node", F.coalesce("root", "node").alias("g"))
+
+
+def family_links(heavy: DataFrame) -> DataFrame:
+    """Links (u, v) that make the nodes of a key, and keys with a common node,
+    one component: a node's and its least key head's, and of these heads and
+    the least one under a key; not one of every node and head."""
     head = heavy.groupBy("key").agg(F.min("node").alias("u"))
-    roots = components(heavy.join(head, "key").filter("node != u").select("u", F.col("node").alias("v")))
-    return heavy.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("g"))
+    own = heavy.join(head, "key").groupBy("node").agg(F.min("u").alias("m"))
+    under = heavy.join(own, "node").select("key", "m").distinct()
+    least = under.groupBy("key").agg(F.min("m").alias("u"))
+    return own.select(F.col("m").alias("u"), F.col("node").alias("v")).unionByName(
+        under.join(least, "key").select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
 
 def connect(keys: DataFrame, sets: DataFrame, rule: Rule, star_links: Callable[[DataFrame, int], DataFrame],
