@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from helpers import BASE, EDGE, real_rows, wide, words
 
-from tributary.llm import components, linking, ngram_join
+from tributary.llm import common, components, exact_dedup, linking, ngram_join
 
 
 def brute(rows):
@@ -168,3 +168,27 @@ def test_families_need_few_links(spark):
     assert linking.family_links(heavy).count() < 130       # nodes and heads; 1,800 a node and head
     got = {r.node: r.g for r in linking.families(heavy).collect()}
     assert {n for n, g in got.items() if g == 0} == {*range(30), *range(100, 160)} and got[500] == got[501] == 500
+
+
+def test_other_operators_caches_are_dropped(spark):
+    """Python workers are reused: what the toxicity stage cached must not stay beside the next stages' data."""
+    def fill(batches):
+        yield from batches
+        common.worker_store("toxicity")["cache"] = bytearray(1 << 20)
+
+    def look(batches):
+        import sys
+        for _ in batches:
+            pass
+        stores = getattr(sys.modules.get("_tributary_worker"), "stores", {})
+        yield pa.RecordBatch.from_arrays([pa.array([-1] * ("toxicity" in stores), pa.int64())], names=["id"])
+
+    def held():
+        return spark.range(0, 64, 1, 64).mapInArrow(look, "id long").filter("id < 0").count()
+
+    docs = spark.createDataFrame([(i, f"{BASE} tail{i // 2}") for i in range(64)], "doc_id long, text string").repartition(64)
+    for step in (ngram_join.near_groups, exact_dedup.exact_groups):
+        spark.range(0, 64, 1, 64).mapInArrow(fill, "id long").count()
+        assert held()
+        assert step(docs).count() == 64
+        assert not held()

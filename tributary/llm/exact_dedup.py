@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, fold, row_id, written
+from .common import GAP, drop_caches, fold, row_id, written
 
 HASHES = 2
 BITS_PER_ROW = 16
@@ -59,6 +59,7 @@ def repeated_bits(rows: DataFrame, bits: int) -> np.ndarray:
     segments = bits // SEGMENT_BITS
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         once = np.zeros(bits // 8, np.uint8)
         twice = np.zeros(bits // 8, np.uint8)
         for b in batches:
@@ -98,6 +99,7 @@ def flag_repeats(rows: DataFrame, bits: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(repeated_bits(rows, bits))
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         bitmap = shared.value
         for b in batches:
             p = positions(np.asarray(b.column("h")), bits)
@@ -112,6 +114,7 @@ def member_bits(rows: DataFrame, column: str) -> np.ndarray:
     bits = filter_bits(rows.count())
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for b in batches:
             p = np.unique(positions(np.asarray(b.column(0)), bits))
             cuts = np.searchsorted(p, np.arange(0, bits + 1, SEGMENT_BITS))
@@ -144,6 +147,7 @@ def flag_members(rows: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
     shared, at = rows.sparkSession.sparkContext.broadcast(bitmap), rows.columns.index(column)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         bits = shared.value
         for b in batches:
             p = positions(np.asarray(b.column(at)), 8 * len(bits))

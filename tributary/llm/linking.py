@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_caches, written
 from .components import components
 
 BLOCK_BYTES = 1 << 20   # members of the sets of a block (a larger set is a block of its own, or meets others by chance of its hash)
@@ -78,6 +78,7 @@ def common_members(x: np.ndarray, y: np.ndarray) -> int:
 def linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (u, v) whose sets link, by exact intersection."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
             for i, (x, y) in enumerate(zip(b.column(2), b.column(3))):

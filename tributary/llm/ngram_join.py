@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_id, written
+from .common import drop_caches, row_id, written
 from .exact_dedup import flag_members, member_bits
 from .linking import Rule, connect, linked
 from .words import coded_words, doc_of, text_slices
@@ -168,6 +168,7 @@ def described(docs: DataFrame, row: str | None = None, rule: Rule = RULE) -> Dat
     least = bands(rule)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for whole in batches:
             for first, last in text_slices(whole.column(2), SLICE_BYTES):
                 b = whole.slice(first, last - first)
@@ -190,6 +191,7 @@ def described(docs: DataFrame, row: str | None = None, rule: Rule = RULE) -> Dat
 def shared_keys(rows: DataFrame) -> DataFrame:
     """key, node: the keys that two different sets or more have."""
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for b in batches:
             keys = b.column(1).to_pylist()
             size = np.array([len(k) // 8 for k in keys], np.int64)
@@ -198,6 +200,7 @@ def shared_keys(rows: DataFrame) -> DataFrame:
                                              names=["key", "node"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         # Rows come sorted by (key, node); the last distinct pair waits for its successor.
         held_key, held_node, held_shared = None, None, False
         for b in batches:
@@ -267,6 +270,7 @@ def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, rule: Rule) ->
     texts = texts.dropDuplicates(["text_key"]).join(wanted, "text_key")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for whole in batches:
             for first, last in text_slices(whole.column(0), SLICE_BYTES):
                 b = whole.slice(first, last - first)
