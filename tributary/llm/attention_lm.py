@@ -396,22 +396,24 @@ class Model:
         n = x.shape[1]
         lag = np.arange(n)[:, None] - np.arange(n)[None, :]
         mask = np.where(lag >= 0, self.bias[np.clip(lag, 0, len(self.bias) - 1)], np.float32(-1e9)).astype(np.float32)
-        e = np.matmul(self.q[x], self.k[x].transpose(0, 2, 1))
+        e = np.matmul(self.q.take(x, axis=0), self.k.take(x, axis=0).transpose(0, 2, 1))
         e += mask
-        np.clip(e, None, 30.0, out=e)
+        np.minimum(e, np.float32(30.0), out=e)
         np.exp(e, out=e)
-        total = e.sum(axis=2, keepdims=True)
-        return e, total, np.matmul(e, self.v[x]) / total
+        total = (e.reshape(-1, n) @ np.ones(n, np.float32)).reshape(*x.shape, 1)
+        out = np.matmul(e, self.v.take(x, axis=0))
+        out /= total
+        return e, total, out
 
     def log10(self, x: np.ndarray, y: np.ndarray, first: int) -> np.ndarray:
         """log10 p(y) after each position of ``x`` from ``first`` on (flat)."""
         a = self.attention(x)[2][:, first:].reshape(-1, WIDTH)
         s, t = x[:, first:].reshape(-1), y[:, first:].reshape(-1)
         z = a @ self.w
-        own = z[np.arange(len(t)), self.cls[t]] + self.u[s, t]
+        own = z[np.arange(len(t)), self.cls.take(t)] + self.u.reshape(-1).take(s.astype(np.int64) * self.u.shape[1] + t)
         np.exp(z, out=z)
-        z *= self.s[s]
-        return (own - np.log(z.sum(axis=1))) / np.float32(np.log(10.0))
+        z *= self.s.take(s, axis=0)
+        return (own - np.log(z @ np.ones(CLASSES, np.float32))) / np.float32(np.log(10.0))
 
 
 def windows(lengths: np.ndarray, stride: int = STRIDE, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -443,7 +445,7 @@ def score(model: Model, ids: np.ndarray, lengths: np.ndarray, rows: int = 4096)
             t, at = text[part], start[part]
             left = np.minimum(WINDOW, lengths[t] - at)
             pos = bounds[t][:, None] + at[:, None] + np.minimum(span, left[:, None] - 1)
-            p = model.log10(before[pos], ids[pos], int(first)).reshape(len(part), -1)
+            p = model.log10(before.take(pos), ids.take(pos), int(first)).reshape(len(part), -1)
             p *= span[first:] < left[:, None]
             out += np.bincount(t, p.sum(axis=1, dtype=np.float64), len(lengths))
     return out
@@ -580,31 +582,37 @@ class Adam:
 
     def gradient(self, x: np.ndarray, y: np.ndarray, inside: np.ndarray | None) -> dict[str, np.ndarray]:
         """Of the mean log-likelihood of ``y`` after ``x``, at the places ``inside`` a text (all, if None)."""
-        model = self.model
+        model, at = self.model, x.reshape(-1)
+        q, k, v = (getattr(model, f).take(x, axis=0) for f in "qkv")
         weight, total, a = model.attention(x)
         weight /= total
-        dz = np.exp(a @ model.w)
-        dz *= model.s[x]
-        dz /= -dz.sum(axis=2, keepdims=True)
-        dz.reshape(-1, dz.shape[2])[np.arange(y.size), model.cls[y].reshape(-1)] += 1.0
-        if inside is not None:
-            dz *= inside[:, :, None]
-        dz /= np.float32(x.size if inside is None else inside.sum())
+        a = a.reshape(-1, WIDTH)
+        dz = a @ model.w
+        np.exp(dz, out=dz)
+        dz *= model.s.take(at, axis=0)
+        # each place's part of the mean; less the probabilities of the classes, and the one that came
+        part = np.full(at.size, 1.0 / at.size, np.float32) if inside is None else inside.reshape(-1) / np.float32(inside.sum())
+        dz *= (-part / (dz @ np.ones(dz.shape[1], np.float32)))[:, None]
+        dz[np.arange(at.size), model.cls.take(y.reshape(-1))] += part
         da = dz @ model.w.T
-        dscore = np.matmul(da, model.v[x].transpose(0, 2, 1))
-        dscore -= (dscore * weight).sum(axis=2, keepdims=True)
+        # the weighted mean of a row's scores is that of its values
+        mean = np.einsum("ij,ij->i", da, a).reshape(*x.shape, 1)
+        da = da.reshape(*x.shape, WIDTH)
+        dscore = np.matmul(da, v.transpose(0, 2, 1))
+        dscore -= mean
         dscore *= weight
-        rows = np.concatenate([np.matmul(dscore, model.k[x]), np.matmul(dscore.transpose(0, 2, 1), model.q[x]),
-                               np.matmul(weight.transpose(0, 2, 1), da)], axis=2).reshape(x.size, 3 * WIDTH)
-        # the rows of one id are neighbours once sorted
-        at = x.reshape(-1)
-        order = np.argsort(at, kind="stable")
-        at = at[order]
+        rows = np.empty((*x.shape, 3 * WIDTH), np.float32)
+        rows[:, :, :WIDTH] = np.matmul(dscore, k)
+        rows[:, :, WIDTH:2 * WIDTH] = np.matmul(dscore.transpose(0, 2, 1), q)
+        rows[:, :, 2 * WIDTH:] = np.matmul(weight.transpose(0, 2, 1), da)
+        # the rows of one id are neighbours once sorted (small numbers sort by their digits)
+        order = np.argsort(at.astype(np.uint16) if len(model.q) <= 1 << 16 else at, kind="stable")
+        at = at.take(order)
         heads = np.flatnonzero(np.diff(at, prepend=-1))
         sums = np.zeros((len(model.q), 3 * WIDTH), np.float32)
-        sums[at[heads]] = np.add.reduceat(rows[order], heads, axis=0)
+        sums[at[heads]] = np.add.reduceat(rows.reshape(-1, 3 * WIDTH).take(order, axis=0), heads, axis=0)
         return {"q": sums[:, :WIDTH], "k": sums[:, WIDTH:2 * WIDTH], "v": sums[:, 2 * WIDTH:],
-                "w": a.reshape(-1, WIDTH).T @ dz.reshape(-1, dz.shape[2]),
+                "w": a.T @ dz,
                 "bias": np.bincount(self.lag, dscore.sum(axis=0).reshape(-1), WINDOW).astype(np.float32)}
 
     def step(self, x: np.ndarray, y: np.ndarray, inside: np.ndarray | None, pace: float) -> None:
@@ -636,7 +644,7 @@ def train_shard(model: Model, ids: np.ndarray, lengths: np.ndarray, turn: int, r
         part = slice(step * BATCH, (step + 1) * BATCH)
         at = first[part, None] + np.minimum(span, left[part, None] - 1)
         done = (turn + (step + 1) / (steps + 1)) / rounds
-        adam.step(before[at], ids[at], span < left[part, None], rate * min(1.0, 3.0 * (1.0 - done)))
+        adam.step(before.take(at), ids.take(at), span < left[part, None], rate * min(1.0, 3.0 * (1.0 - done)))
     return len(order)
 
 
