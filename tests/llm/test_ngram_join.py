@@ -170,6 +170,59 @@ def test_families_need_few_links(spark):
     assert {n for n, g in got.items() if g == 0} == {*range(30), *range(100, 160)} and got[500] == got[501] == 500
 
 
+def joined_rows(df):
+    """Rows that the joins of a query make; a reused exchange counts once."""
+    df.collect()
+
+    def made(plan):
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return made(plan.executedPlan())
+        if name.endswith("QueryStage"):
+            return made(plan.plan())
+        if name == "ReusedExchange":
+            return 0
+        own = plan.metrics().apply("numOutputRows").value() if "Join" in name else 0
+        return own + sum(made(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    return made(df._jdf.queryExecution().executedPlan())
+
+
+def test_families_join_a_row_once(spark, monkeypatch):
+    """A row of a heavy key (key, node) is joined to the key's head and to nothing else."""
+    rows = [(k, n) for k in range(30) for n in [k, *range(100, 160)]] + [(99, 500), (99, 501)]
+    made = []
+
+    def counted(df, name):
+        made.append(joined_rows(df))
+        return common.written(df, name)
+
+    monkeypatch.setattr(linking, "written", counted)
+    made.append(joined_rows(linking.family_links(spark.createDataFrame(rows, "key long, node long"))))
+    assert sum(made) == len(rows)
+
+
+def test_families_of_any_keys(spark):
+    """Nodes and keys in random order give the components of nodes and keys."""
+    rng = random.Random(4)
+    rows = [(rng.randrange(60), rng.randrange(1000)) for _ in range(120)] + [(100 + k, 2000 + (k + d) % 40) for k in range(39) for d in range(2)]
+    rows += rows[:10]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for k, n in rows:
+        parent[find(("key", k))] = find(("node", n))
+    least = {}
+    for _, n in rows:
+        least[find(("node", n))] = min(n, least.get(find(("node", n)), n))
+    got = {r.node: r.g for r in linking.families(spark.createDataFrame(rows, "key long, node long")).collect()}
+    assert got == {n: least[find(("node", n))] for _, n in rows}
+
+
 def test_other_operators_caches_are_dropped(spark):
     """Python workers are reused: what the toxicity stage cached must not stay beside the next stages' data."""
     def fill(batches):

@@ -154,14 +154,14 @@ def families(heavy: DataFrame) -> DataFrame:
 
 def family_links(heavy: DataFrame) -> DataFrame:
     """Links (u, v) that make the nodes of a key, and keys with a common node,
-    one component: a node's and its least key head's, and of these heads and
-    the least one under a key; not one of every node and head."""
+    one component: of a node and its least key head, and of that head and the
+    others of the node; not one of every node and head.  Each row of ``heavy``
+    is joined once, to its key's head."""
     head = heavy.groupBy("key").agg(F.min("node").alias("u"))
-    own = heavy.join(head, "key").groupBy("node").agg(F.min("u").alias("m"))
-    under = heavy.join(own, "node").select("key", "m").distinct()
-    least = under.groupBy("key").agg(F.min("m").alias("u"))
-    return own.select(F.col("m").alias("u"), F.col("node").alias("v")).unionByName(
-        under.join(least, "key").select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+    heads = written(heavy.join(head, "key").groupBy("node").agg(F.sort_array(F.collect_set("u")).alias("heads")), "heads")
+    least = F.element_at("heads", 1).alias("u")
+    return heads.select(least, F.col("node").alias("v")).unionByName(
+        heads.select("heads").distinct().select(least, F.explode("heads").alias("v"))).filter("u != v").distinct()
 
 
 def connect(keys: DataFrame, sets: DataFrame, rule: Rule, star_links: Callable[[DataFrame, int], DataFrame],
