@@ -152,6 +152,27 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent if find(x) != x}
 
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Stars take one round and one table; no round of a chain or of repeated
+    and turned links leaves the links as they were."""
+    tables = []
+
+    def kept(df, name, **options):
+        tables.append(common.written(df, name, **options))
+        return tables[-1]
+
+    monkeypatch.setattr(components, "written", kept)
+    stars = [(10 * (k % 3), 100 + k) for k in range(40)]
+    got = {tuple(r) for r in components.components(spark.createDataFrame(stars, "u long, v long")).collect()}
+    assert got == {(v, u) for u, v in stars} and len(tables) == 1
+    for pairs in ([(i, i + 1) for i in range(70)], [(i * 37 % 71, (i + 1) * 37 % 71) for i in range(70)] * 2 + [(3, 3), (1, 0)]):
+        tables.clear()
+        got = {tuple(r) for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+        rounds = [sorted(t.collect()) for t in tables]
+        assert got == {(i, 0) for i in range(1, 71)} and len(rounds[-1]) == 70
+        assert all(a != b for a, b in zip(rounds, rounds[1:]))
+
+
 def test_rounds_end(spark):
     """No copies, all copies, two copies, one row."""
     unlike = [(i, " ".join(f"d{i}w{j}" for j in range(40)), "en", "a") for i in range(6)]

@@ -188,8 +188,8 @@ def connect(keys: DataFrame, sets: DataFrame, rule: Rule, star_links: Callable[[
         marked = written(with_components(keys, roots), "marked")
     own = written(sets.join(marked.select("node", "c").distinct(), "node").select("node", "members", "c"), "own")
     busy = marked.groupBy("key").agg(F.count_distinct("c").alias("k")).filter(F.col("k") > HEAVY).select("key")
-    rest = marked.join(busy, "key", "left_anti")
     heavy = written(marked.join(busy, "key", "left_semi").select("key", "node"), "heavy")
+    rest = marked.join(heavy.select("key").distinct(), "key", "left_anti")
     more = None
     if not heavy.isEmpty():
         family = written(families(heavy), "families")

@@ -144,7 +144,7 @@ def star_pairs(marked: DataFrame, turn: int, rule: Rule) -> DataFrame:
     the others, one set of each, as distinct pairs (u, v)."""
     order = F.struct(F.xxhash64(F.lit(turn), "c").alias("h"), F.xxhash64(F.lit(turn), "node").alias("g"), "c", "node", "n")
     one = marked.groupBy("key", "c").agg(F.min(order).alias("s"))
-    head = one.groupBy("key").agg(F.min("s").alias("head"))
+    head = marked.groupBy("key").agg(F.min(order).alias("head"))
     return one.join(head, "key").filter("c != head.c").select(
         F.col("head.node").alias("u"), F.col("s.node").alias("v"), F.col("head.n").alias("a"), F.col("s.n").alias("b")) \
         .filter(fits("a", "b", rule)).select("u", "v").distinct()
