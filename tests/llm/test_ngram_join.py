@@ -266,3 +266,36 @@ def test_other_operators_caches_are_dropped(spark):
         assert held()
         assert step(docs).count() == 64
         assert not held()
+
+
+def test_keys_are_handed_over_in_parts(monkeypatch):
+    monkeypatch.setattr(ngram_join, "KEY_ROWS", 100)
+    sizes = [0, 250, 3, 0, 1000, 0]
+    keys = [np.arange(n, dtype="<i8") - 7 for n in sizes]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10, 16)), pa.array([k.tobytes() for k in keys], pa.binary())], names=["node", "keys"])
+    got = list(ngram_join.key_rows(iter([batch.slice(0, 0), batch.slice(1), batch.slice(0, 1)])))
+    assert max(b.num_rows for b in got) <= 100
+    assert [r for b in got for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())] == \
+        [(int(k), 10 + i) for i, x in enumerate(keys) for k in x]
+
+
+def test_a_step_holds_no_freed_memory():
+    import re
+    from pathlib import Path
+
+    def own():
+        return int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) >> 10
+
+    pins = []
+
+    def step(batches):
+        held = [np.ones(12_000) for _ in range(2000)]     # 192 MB in pieces that the C library does not map one by one
+        pins.append(np.ones(12_000))
+        yield from batches
+        del held
+
+    common.worker_store("other")["held"] = 1
+    before = own()
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], names=["x"])
+    assert list(common.alone(step)(iter([batch]))) == [batch]
+    assert own() - before < 60 and not common.worker_store("other")

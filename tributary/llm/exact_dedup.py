@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, drop_caches, fold, row_id, written
+from .common import GAP, alone, fold, row_id, written
 
 HASHES = 2
 BITS_PER_ROW = 16
@@ -59,7 +59,6 @@ def repeated_bits(rows: DataFrame, bits: int) -> np.ndarray:
     segments = bits // SEGMENT_BITS
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_caches()
         once = np.zeros(bits // 8, np.uint8)
         twice = np.zeros(bits // 8, np.uint8)
         for b in batches:
@@ -88,7 +87,7 @@ def repeated_bits(rows: DataFrame, bits: int) -> np.ndarray:
                          "bitmap": pa.array([np.packbits(n > 1, bitorder="little").tobytes()], pa.binary())})
 
     # A filter of at most MAX_BITS, so at most 32 MB reach the driver.
-    found = rows.select("h").mapInArrow(listed, "segment int, once binary, twice binary") \
+    found = rows.select("h").mapInArrow(alone(listed), "segment int, once binary, twice binary") \
         .groupBy("segment").applyInArrow(merged, "segment int, bitmap binary").collect()
     return _assembled(found, bits)
 
@@ -99,14 +98,13 @@ def flag_repeats(rows: DataFrame, bits: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(repeated_bits(rows, bits))
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_caches()
         bitmap = shared.value
         for b in batches:
             p = positions(np.asarray(b.column("h")), bits)
             hit = ((bitmap[p >> 3] >> (p & 7)) & 1).all(axis=0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit.astype(bool))], names=[*b.schema.names, "maybe"])
 
-    return rows.mapInArrow(flag, "doc_id long, text_sha256 string, h long, row long, maybe boolean")
+    return rows.mapInArrow(alone(flag), "doc_id long, text_sha256 string, h long, row long, maybe boolean")
 
 
 def member_bits(rows: DataFrame, column: str) -> np.ndarray:
@@ -114,7 +112,6 @@ def member_bits(rows: DataFrame, column: str) -> np.ndarray:
     bits = filter_bits(rows.count())
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_caches()
         for b in batches:
             p = np.unique(positions(np.asarray(b.column(0)), bits))
             cuts = np.searchsorted(p, np.arange(0, bits + 1, SEGMENT_BITS))
@@ -130,7 +127,7 @@ def member_bits(rows: DataFrame, column: str) -> np.ndarray:
         return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()),
                          "bitmap": pa.array([np.packbits(n, bitorder="little").tobytes()], pa.binary())})
 
-    found = rows.select(column).mapInArrow(listed, "segment int, bits binary") \
+    found = rows.select(column).mapInArrow(alone(listed), "segment int, bits binary") \
         .groupBy("segment").applyInArrow(merged, "segment int, bitmap binary").collect()
     return _assembled(found, bits)
 
@@ -147,13 +144,12 @@ def flag_members(rows: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
     shared, at = rows.sparkSession.sparkContext.broadcast(bitmap), rows.columns.index(column)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_caches()
         bits = shared.value
         for b in batches:
             p = positions(np.asarray(b.column(at)), 8 * len(bits))
             yield b.filter(pa.array(((bits[p >> 3] >> (p & 7)) & 1).all(axis=0).astype(bool)))
 
-    return rows.mapInArrow(pick, rows.schema)
+    return rows.mapInArrow(alone(pick), rows.schema)
 
 
 def exact_groups(docs: DataFrame, row: str | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_caches, written
+from .common import alone, written
 from .components import components
 
 BLOCK_BYTES = 1 << 20   # members of the sets of a block (a larger set is a block of its own, or meets others by chance of its hash)
@@ -78,7 +78,6 @@ def common_members(x: np.ndarray, y: np.ndarray) -> int:
 def linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (u, v) whose sets link, by exact intersection."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_caches()
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
             for i, (x, y) in enumerate(zip(b.column(2), b.column(3))):
@@ -88,7 +87,7 @@ def linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
     su, sv = [sets.select(F.col("node").alias(x), F.col("members").alias(f"set_{x}")) for x in "uv"]
-    return pairs.join(su, "u").join(sv, "v").select("u", "v", "set_u", "set_v").mapInArrow(verify, "u long, v long")
+    return pairs.join(su, "u").join(sv, "v").select("u", "v", "set_u", "set_v").mapInArrow(alone(verify), "u long, v long")
 
 
 def with_components(keys: DataFrame, roots: DataFrame) -> DataFrame:

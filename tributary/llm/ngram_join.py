@@ -38,14 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_caches, row_id, written
+from .common import alone, row_id, written
 from .exact_dedup import flag_members, member_bits
-from .linking import Rule, connect, linked
+from .linking import Rule, connect, flat_members, linked
 from .words import coded_words, doc_of, text_slices
 
 SPARSE = 128            # marks keys of the second kind in the key's last byte
 MAX_SIZE = 1 << 40
-SLICE_BYTES = 4 << 20   # text whose sets are held at a time
+SLICE_BYTES = 2 << 20   # text whose sets are held at a time
+KEY_ROWS = 1 << 17      # keys that a worker hands over at a time
 
 
 RULE = Rule()           # of the op10 query
@@ -168,7 +169,6 @@ def described(docs: DataFrame, row: str | None = None, rule: Rule = RULE) -> Dat
     least = bands(rule)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_caches()
         for whole in batches:
             for first, last in text_slices(whole.column(2), SLICE_BYTES):
                 b = whole.slice(first, last - first)
@@ -185,22 +185,23 @@ def described(docs: DataFrame, row: str | None = None, rule: Rule = RULE) -> Dat
     text = F.col("text").cast("string")
     return written(docs.select(row_id(row), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
                                F.xxhash64(text).alias("text_key"))
-                   .mapInArrow(describe, "row long, doc_id long, n long, node long, text_key long, keys binary"), "sets")
+                   .mapInArrow(alone(describe), "row long, doc_id long, n long, node long, text_key long, keys binary"), "sets")
+
+
+def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node) of nodes and their packed keys, ``KEY_ROWS`` at a time."""
+    for b in batches:
+        flat, bounds = flat_members(pa.chunked_array([b.column(1)]))
+        node = np.asarray(b.column(0))
+        for first in range(0, len(flat), KEY_ROWS):
+            part = flat[first:first + KEY_ROWS].view("<i8")
+            owner = np.searchsorted(bounds, np.arange(first, first + len(part)), side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(node[owner])], names=["key", "node"])
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
     """key, node: the keys that two different sets or more have."""
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_caches()
-        for b in batches:
-            keys = b.column(1).to_pylist()
-            size = np.array([len(k) // 8 for k in keys], np.int64)
-            flat = np.frombuffer(b"".join(keys), "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.asarray(b.column(0)), size))],
-                                             names=["key", "node"])
-
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_caches()
         # Rows come sorted by (key, node); the last distinct pair waits for its successor.
         held_key, held_node, held_shared = None, None, False
         for b in batches:
@@ -221,8 +222,8 @@ def shared_keys(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([held_key], pa.int64()), pa.array([held_node], pa.int64())],
                                              names=["key", "node"])
 
-    pairs = rows.filter("n > 0").select("node", "keys").mapInArrow(explode, "key long, node long")
-    return written(pairs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(runs, "key long, node long"), "keys")
+    pairs = rows.filter("n > 0").select("node", "keys").mapInArrow(alone(key_rows), "key long, node long")
+    return written(pairs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(alone(runs), "key long, node long"), "keys")
 
 
 def _band() -> Column:
@@ -270,7 +271,6 @@ def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, rule: Rule) ->
     texts = texts.dropDuplicates(["text_key"]).join(wanted, "text_key")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_caches()
         for whole in batches:
             for first, last in text_slices(whole.column(0), SLICE_BYTES):
                 b = whole.slice(first, last - first)
@@ -281,7 +281,7 @@ def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, rule: Rule) ->
                     [b.column(1), pa.array([raw[8 * bounds[i]:8 * bounds[i + 1]] for i in range(len(own))], pa.binary())],
                     names=["node", "members"]).filter(pa.array(own))
 
-    return texts.select("text", "node").mapInArrow(members, "node long, members binary")
+    return texts.select("text", "node").mapInArrow(alone(members), "node long, members binary")
 
 
 def star_pairs(marked: DataFrame, turn: int, rule: Rule) -> DataFrame:
